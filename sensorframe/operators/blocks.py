@@ -26,6 +26,15 @@ def keys_of(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def field(name: str) -> Callable[[Column], Column]:
+    """Reader of one field of an array's structs, for ``transform``."""
+    return lambda row: row[name]
+
+
+def double_field(name: str) -> Callable[[Column], Column]:
+    return lambda row: row[name].cast("double")
+
+
 def block_of(pos: str, block: int) -> Column:
     return F.floor(F.col(pos) / block)
 
@@ -73,16 +82,20 @@ def prefix_sums(df: DataFrame, sums: dict[str, Column], key="rec", pos: str = "f
     totals = (base.groupBy(*keys, BLOCK)
               .agg(*[F.sum(raw[n]).alias(f"_t_{n}") for n in names])
               .withColumn("_super", F.floor(F.col(BLOCK) / fan_out)))
-    upper = totals.groupBy(*keys, "_super").agg(*[F.sum(f"_t_{n}").alias(f"_u_{n}") for n in names])
+    # one row per group of blocks, carrying its (at most fan_out) block totals
+    upper = totals.groupBy(*keys, "_super").agg(
+        F.collect_list(F.struct(BLOCK, *[f"_t_{n}" for n in names])).alias("_blocks"),
+        *[F.sum(f"_t_{n}").alias(f"_u_{n}") for n in names])
     w_top = Window.partitionBy(*keys).orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
-    upper = upper.select(*keys, "_super", *[
+    upper = upper.select(*keys, "_super", "_blocks", *[
         F.coalesce(F.sum(f"_u_{n}").over(w_top), F.lit(0.0)).alias(f"_top_{n}") for n in names])
     w_mid = (Window.partitionBy(*keys, "_super").orderBy(BLOCK)
              .rowsBetween(Window.unboundedPreceding, -1))
-    middle = totals.select(*keys, "_super", BLOCK, *[
-        F.coalesce(F.sum(f"_t_{n}").over(w_mid), F.lit(0.0)).alias(f"_mid_{n}") for n in names])
-    offsets = middle.join(upper, [*keys, "_super"]).select(*keys, BLOCK, *[
-        (F.col(f"_top_{n}") + F.col(f"_mid_{n}")).alias(f"_off_{n}") for n in names])
+    middle = upper.select(*keys, "_super", *[f"_top_{n}" for n in names],
+                          F.explode("_blocks").alias("_b")).select("*", "_b.*").drop("_b")
+    offsets = middle.select(*keys, BLOCK, *[
+        (F.col(f"_top_{n}") + F.coalesce(F.sum(f"_t_{n}").over(w_mid), F.lit(0.0)))
+        .alias(f"_off_{n}") for n in names])
     last = Window.currentRow if inclusive else -1
     w_in = (Window.partitionBy(*keys, BLOCK).orderBy(pos)
             .rowsBetween(Window.unboundedPreceding, last))

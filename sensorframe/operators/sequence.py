@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions import vec as V
-from sensorframe.operators.blocks import FRAME_BLOCK, apply_local
+from sensorframe.operators.blocks import FRAME_BLOCK, apply_local, double_field
 from sensorframe.operators.windows import recording_lengths
 from sensorframe.params import DEFAULT_RIG, Rig
 
@@ -96,7 +96,7 @@ def neighbourhood(frames: DataFrame, cols: Sequence[str], taps: Sequence[float],
               .groupBy("rec", "win_idx")
               .agg(F.array_sort(F.collect_list(F.struct("frame", *cols))).alias("_rows"))
               .where(F.size("_rows") == t)
-              .select("rec", "win_idx", *[F.transform("_rows", lambda r, c=c: r[c].cast("double"))
+              .select("rec", "win_idx", *[F.transform("_rows", double_field(c))
                                           .alias(c) for c in cols]))
     zeros = F.array_repeat(F.lit(0.0), t)
 

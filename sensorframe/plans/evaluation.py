@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorframe.functions import vec as V
-from sensorframe.operators.blocks import percentiles, prefix_sums, top_k
+from sensorframe.operators.blocks import apply_local, percentiles, prefix_sums, top_k
 from sensorframe.operators.relational import digitise, recipe_of, share_of
 from sensorframe.params import (ATE_REFERENCE, ATE_WEIGHT, AVE_REFERENCE, AVE_WEIGHT, SPEED_EDGES)
 
@@ -55,29 +55,39 @@ def score_share(platform_table: DataFrame, keys: Sequence[str] = ("tag",)) -> Da
     return platform_table.withColumn("share", share_of("score", keys))
 
 
+def _paths(steps: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
+    """Running sums c_* of predicted steps m_* and g_* of true steps t_* in one scan."""
+    sums = {f"{to}_{a}": F.col(f"{frm}_{a}") for to, frm in (("c", "m"), ("g", "t")) for a in "xyz"}
+    if "t_x" not in steps.columns:  # true positions g_* are given instead
+        sums = {n: c for n, c in sums.items() if n.startswith("c_")}
+    return prefix_sums(steps, sums, key=list(keys), pos=pos, block=4096)
+
+
 def path_rmse(steps: DataFrame, keys: Sequence[str] = ("rec", "segment"),
               pos: str = "off") -> DataFrame:
     """Root mean square distance of two paths after taking out their means.
 
-    ``steps`` has per window a displacement (m_x..m_z, predicted, in the world)
-    and a true position (g_x..g_z). Means come from the same sums, so one
-    running sum and one aggregation suffice: the result is the root of the summed
-    variances of the coordinate differences.
+    ``steps`` has per window a predicted displacement m_x..m_z in the world and
+    either true displacements t_x..t_z or true positions g_x..g_z. The result is
+    the root of the summed variances of the coordinate differences.
     """
-    run = prefix_sums(steps, {f"c_{a}": F.col(f"m_{a}") for a in "xyz"}, key=list(keys), pos=pos,
-                      block=4096)
-    diff = {a: F.col(f"c_{a}") - F.col(f"g_{a}") for a in "xyz"}
-    spread = sum((F.var_pop(d) for d in diff.values()), F.lit(0.0))
+    run = _paths(steps, keys, pos)
+    spread = sum((F.var_pop(F.col(f"c_{a}") - F.col(f"g_{a}")) for a in "xyz"), F.lit(0.0))
     return run.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_steps"),
                                   F.sqrt(spread + 1e-8).alias("path_rmse"))
 
 
+def world_steps(windows: DataFrame, velocity: Sequence[str], quat: Sequence[str] = V.QUAT,
+                dt: str = "dt") -> DataFrame:
+    """Displacement m_* of each window: its velocity turned to the world, times dt."""
+    turned = V.scale(V.matvec(V.quat_matrix(V.vec4(quat)), V.vec(*velocity)), F.col(dt))
+    return windows.withColumns(V.as_columns(turned, ("m_x", "m_y", "m_z")))
+
+
 def relative_error(steps: DataFrame, span: int = 5, keys: Sequence[str] = ("rec",),
                    pos: str = "win_idx") -> DataFrame:
     """Root mean square difference of predicted and true motion over ``span`` windows."""
-    from sensorframe.operators.blocks import apply_local
-    run = prefix_sums(steps, {f"c_{a}": F.col(f"m_{a}") for a in "xyz"}, key=list(keys), pos=pos,
-                      block=4096)
+    run = _paths(steps, keys, pos)
 
     def stage(w):
         return {f"e_{a}": (F.lead(f"c_{a}", span).over(w) - F.col(f"c_{a}"))

@@ -108,12 +108,7 @@ FROM st WINDOW w AS (PARTITION BY tag, rec ORDER BY win_idx))
 SELECT tag, rec, count(ex) AS n_pairs, sqrt(avg(ex*ex + ey*ey + ez*ez)) AS rte
 FROM d5 GROUP BY tag, rec""")
 def relative_error(spark, d):
-    from sensorframe.operators.blocks import prefix_sums
-    m = I.matched(spark, d)
-    path = prefix_sums(m, {f"g_{a}": F.col(f"v{a}_gt") for a in "xyz"}, key=["tag", "rec"],
-                       pos="win_idx", block=4096)
-    return E.relative_error(path.withColumnsRenamed({f"v{a}_pred": f"m_{a}" for a in "xyz"}),
-                            5, ("tag", "rec"))
+    return E.relative_error(I.steps(spark, d), 5, ("tag", "rec"))
 
 
 @query("speed_bin_report", "tag:string n:bigint", "bin ave ratio",
