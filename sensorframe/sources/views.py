@@ -7,7 +7,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sensorframe.operators.blocks import number_rows
 from sensorframe.params import Rig
@@ -62,6 +62,12 @@ def vector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.withColumnRenamed("label", "rec").drop("vec_id")
 
 
+def wall_clock(c) -> Column:
+    """A timestamp without zone read as UTC, whatever the session's time zone."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+
+
 def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An irregular stream: rec, ts, value, numbered in time order."""
     e = load(spark, sf_dir, "events").select(

@@ -112,22 +112,16 @@ def decompose_up(spark, d):
 
 
 @query("canonical_up", KEYS, "ux uy uz ax", f"""{Q.WINDOWS},
-u AS (SELECT rec, win_idx, ax AS fax, ay AS fay, az AS faz, wx AS wax, vx / n AS x, vy / n AS y, vz / n AS z
+u AS (SELECT rec, win_idx, ax AS fax, ay AS fay, az AS faz, n, vx / n AS x, vy / n AS y, vz / n AS z
       FROM (SELECT *, sqrt(vx*vx + vy*vy + vz*vz) AS n FROM wm)),
 k AS (SELECT *, sqrt(y*y + x*x) AS s FROM u)
-SELECT rec, win_idx, 0.0 AS ux, 0.0 AS uy, 1.0 AS uz,
+SELECT rec, win_idx, 0.0 AS ux, 0.0 AS uy, n AS uz,
        fax * (z + (y/s)*(y/s)*(1-z)) + fay * ((y/s)*(-x/s)*(1-z)) + faz * ((-x/s)*s) AS ax FROM k""")
 def canonical_up(spark, d):
-    """The window's mean up direction lands on +z; its force turns along."""
-    w = I.means(spark, d)
-    m = V.canonical_up_matrix(V.vec(*V.VEL))
-    w = w.withColumns(V.as_columns(m, V.mat_cols("k")))
-    up = V.matvec(V.mat(V.mat_cols("k")), V.unit(V.vec(*V.VEL)))
-    acc = V.matvec(V.mat(V.mat_cols("k")), V.vec(*V.ACC))
-    return w.select("rec", "win_idx", *V.named(up, ("ux", "uy", "uz")), acc[0].alias("ax"))
-
-
-_Z = tuple(f"{c} / fn" for c in ("ax", "ay", "az"))
+    """Every window is turned so that its mean direction lands on +z."""
+    from sensorframe.plans.features import canonical_frames
+    turned = canonical_frames(sensor_view(spark, d), V.VEL, I.RIG)
+    return W.window_means(turned, {"ux": "vx", "uy": "vy", "uz": "vz", "ax": "ax"}, I.RIG)
 
 
 @query("upright_basis", KEYS, "x0 x1 x2 y0 y1 y2", f"""{Q.BASE},

@@ -9,7 +9,8 @@ from sensorframe.operators import relational as R
 from sensorframe.operators import summary as S
 from sensorframe.operators import windows as W
 from sensorframe.operators.sequence import variable_shift
-from sensorframe.sources.views import event_view, load, sensor_view, with_platform
+from sensorframe.sources.views import (event_view, load, sensor_view, wall_clock,
+                                       with_platform)
 from workload import inputs as I
 from workload import sql as Q
 from workload.registry import query
@@ -373,7 +374,7 @@ SELECT rec, count(*) AS n, avg(gap) AS gap_mean, max(gap) AS gap_max, avg(step)
 FROM g GROUP BY rec""")
 def event_gaps(spark, d):
     from sensorframe.operators.blocks import apply_local
-    e = event_view(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    e = event_view(spark, d).withColumn("t", F.unix_micros(wall_clock("ts")) / 1e6)
     g = apply_local(e, [lambda w: {"gap": F.col("t") - F.lag("t").over(w),
                                    "step": F.abs(F.col("value") - F.lag("value").over(w))}], 1, 0)
     return g.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("gap_mean"),

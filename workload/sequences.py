@@ -83,7 +83,7 @@ _TAP_ROWS = ", ".join(f"({i - 15}, CAST({h!r} AS DOUBLE))" for i, h in enumerate
 @query("neighbourhood", "rec:bigint win_idx:int q:int", "ax_lp", f"""{Q.WINDOWS},
 tp AS (SELECT * FROM (VALUES {_TAP_ROWS}) AS t(o, h)),
 ou AS (SELECT rec, win_idx, unnest(range(63)) AS q FROM wm),
-fr AS (SELECT sv.rec, frame, ax FROM sv JOIN wm ON sv.rec = wm.rec AND {_WIN.replace('frame', 'sv.frame')} = wm.win_idx)
+fr AS (SELECT sv.rec, frame, sv.ax FROM sv JOIN wm ON sv.rec = wm.rec AND {_WIN.replace('frame', 'sv.frame')} = wm.win_idx)
 SELECT ou.rec, ou.win_idx, q, coalesce(sum(h * fr.ax), 0) AS ax_lp FROM ou CROSS JOIN tp
 LEFT JOIN fr ON fr.rec = ou.rec AND fr.frame = (ou.win_idx - 2) * 50 + q * 4 + tp.o
      AND q * 4 + tp.o BETWEEN 0 AND 249
