@@ -1,7 +1,8 @@
 """Running products and recursions along a recording.
 
-Rotations are composed with a three-level prefix product (inside a block, over
-blocks, over groups of blocks), so a recording of any length is spread over
+Rotations and rotated force sums form one associative state: every block is
+reduced to one row, the block rows are combined in levels, and each block is
+replayed from its start state, so a recording of any length is spread over
 tasks. The up-direction filters are true recursions; they run block by block
 with a warm-up, every hand-over between blocks is checked, and blocks whose
 start state was off are run again from the right state until all agree.
@@ -13,7 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators.blocks import BLOCK, block_of, prefix_sums
@@ -47,74 +48,159 @@ def _rec_type(df: DataFrame) -> str:
     return df.schema["rec"].dataType.simpleString()
 
 
-def _exclusive(df: DataFrame, group: list[str], order: str, tag: str) -> DataFrame:
-    """Exclusive running product of Q inside each (bounded) group, plus its total."""
-    ex = [f"_{tag}{c}" for c in Q]
+def _rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Turn vectors by unit quaternions, row by row."""
+    u, s = q[:, :3], q[:, 3:]
+    c = np.cross(u, v)
+    return v + 2 * (s * c + np.cross(u, c))
+
+
+def _shifted(x: np.ndarray, first: list[float]) -> np.ndarray:
+    return np.concatenate([[first], x[:-1]])
+
+
+NO_TURN = [0.0, 0.0, 0.0, 1.0]
+
+
+def _turns(pdf: pd.DataFrame, dt: float) -> np.ndarray:
+    """Quaternion of every frame's turn from its angular rate."""
+    v = pdf[list(V.GYR)].to_numpy(float) * dt
+    half = np.linalg.norm(v, axis=1, keepdims=True) / 2
+    k = np.where(half > 1e-12, np.sin(half) / np.maximum(2 * half, 1e-300), 0.5)
+    return np.concatenate([v * k, np.cos(half)], axis=1)
+
+
+def _table(left: pd.DataFrame, names, values: np.ndarray) -> pd.DataFrame:
+    cols = {c: left[c].to_numpy() for c in left.columns}
+    cols.update({n: values[:, i] for i, n in enumerate(names)})
+    return pd.DataFrame(cols)
+
+
+def _block_state(pdf: pd.DataFrame, dt: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation from block start to each frame, and the force summed before each frame.
+
+    One row more than there are frames: the last row is the whole block.
+    """
+    q = np.concatenate([[NO_TURN], running_product(_turns(pdf, dt))])
+    lifted = _rotate(q[:-1], pdf[list(V.ACC)].to_numpy(float))
+    s = np.concatenate([np.zeros((1, 3)), np.cumsum(lifted, axis=0)])
+    return q, s
+
+
+S = ("_sx", "_sy", "_sz")
+A = ("_aqx", "_aqy", "_aqz", "_aqw", "_asx", "_asy", "_asz")
+_STATE = ", ".join(f"{c} double" for c in (*Q, *S))
+
+
+def _block_totals(frames: DataFrame, keys: list[str], dt: float) -> DataFrame:
+    """One row per block: its whole turn and force sum, and both at the anchor frame."""
+    types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    schema = ", ".join([f"{k} {types[k]}" for k in (*keys, BLOCK)] + [_STATE] + [
+        f"{c} double" for c in A])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        inc = running_product(pdf[list(Q)].to_numpy())
-        exc = np.concatenate([[[0.0, 0.0, 0.0, 1.0]], inc[:-1]])
-        out = pdf[[*group, order]].copy()
-        for i, c in enumerate(ex):
-            out[c] = exc[:, i]
-        for i, c in enumerate(Q):
-            out[c] = inc[-1, i]
-        out["_closes"] = np.arange(len(out)) == len(out) - 1
-        return out
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"{g} {types[g]}" for g in [*group, order]]
-                       + [f"{c} double" for c in [*ex, *Q]] + ["_closes boolean"])
-    return df.select(*group, order, *Q).groupBy(*group).applyInPandas(run, schema)
+        pdf = pdf.sort_values("frame", kind="stable")
+        q, s = _block_state(pdf, dt)
+        at = np.flatnonzero(pdf["frame"].to_numpy() == pdf["anchor_at"].to_numpy())
+        here = np.concatenate([q[at[0]], s[at[0]]]) if len(at) else np.full(7, np.nan)
+        return _table(pdf[[*keys, BLOCK]].iloc[:1], (*Q, *S, *A),
+                      np.concatenate([q[-1], s[-1], here])[None, :])
+    return frames.groupBy(*keys, BLOCK).applyInPandas(run, schema)
 
 
-def rotation_prefix(frames: DataFrame, rate: tuple[Column, ...], rig: Rig = DEFAULT_RIG,
-                    group: tuple[str, ...] = (), block: int = SCAN_BLOCK) -> DataFrame:
-    """Rotation from frame 0 to every frame as a quaternion (p_x, p_y, p_z, p_w).
+def _prefix_states(totals: DataFrame, group: list[str], order: str) -> DataFrame:
+    """State before each row of a bounded group (b_*), and the group's total."""
+    types = {f.name: f.dataType.simpleString() for f in totals.schema.fields}
+    before = [f"_b{c}" for c in (*Q, *S)]
 
-    ``rate`` is the angular rate per frame; ``group`` adds keys (for example a
-    candidate axis map) that each get their own product.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        q = running_product(pdf[list(Q)].to_numpy(float))
+        prior = _shifted(q, NO_TURN)
+        s = np.cumsum(_rotate(prior, pdf[list(S)].to_numpy(float)), axis=0)
+        total = np.tile(np.concatenate([q[-1], s[-1]]), (len(pdf), 1))
+        out = _table(pdf[[*group, order]], (*before, *Q, *S), np.concatenate(
+            [prior, _shifted(s, [0.0, 0.0, 0.0]), total], axis=1))
+        out["_closes"] = np.arange(len(out)) == len(out) - 1
+        return out
+    schema = ", ".join([f"{g} {types[g]}" for g in (*group, order)]
+                       + [f"{c} double" for c in before] + [_STATE, "_closes boolean"])
+    return totals.select(*group, order, *Q, *S).groupBy(*group).applyInPandas(run, schema)
+
+
+def _after(q0, s0, q1, s1):
+    """State after running (q1, s1) from state (q0, s0)."""
+    return (*V.quat_multiply(q0, q1), *V.add(s0, V.matvec(V.unit_quat_matrix(q0), s1)))
+
+
+def _block_starts(totals: DataFrame, keys: list[str], fan_out: int) -> DataFrame:
+    """State at the start of every block; needs no more than fan_out rows per group."""
+    names = [f"_b{c}" for c in (*Q, *S)]
+    longest = totals.agg(F.max(BLOCK)).first()[0] or 0
+    if longest < fan_out:
+        return _prefix_states(totals, keys, BLOCK).select(*keys, BLOCK, *names)
+    tagged = totals.withColumn("_super", F.floor(F.col(BLOCK) / fan_out))
+    middle = cut_lineage(_prefix_states(tagged, [*keys, "_super"], BLOCK))
+    top = _prefix_states(middle.where("_closes"), keys, "_super").select(
+        *keys, "_super", *[F.col(n).alias(f"_t{n}") for n in names])
+    state = _after(V.vec4([f"_t_b{c}" for c in Q]), V.vec(*[f"_t_b{c}" for c in S]),
+                   V.vec4([f"_b{c}" for c in Q]), V.vec(*[f"_b{c}" for c in S]))
+    return middle.join(top, [*keys, "_super"]).select(*keys, BLOCK, *V.named(state, names))
+
+
+def anchored_states(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
+                    group: tuple[str, ...] = (), keep: tuple[str, ...] = (),
+                    block: int = SCAN_BLOCK, fan_out: int = SCAN_FAN_OUT) -> DataFrame:
+    """Rotation to the anchor frame and force summed from the anchor, for every frame.
+
+    Both are one associative running state. Pass 1 reduces every block to one
+    row; the few block rows are combined in at most two levels and moved to the
+    anchor; pass 2 replays each block from its start state. Frames are read
+    twice and a task never holds more than one block. Returns the quaternion
+    _qx.._qw, the force sum _sx.._sz (anchor frame) and ``anchor_at``.
     """
     keys = ["rec", *group]
-    turn = V.quat_from_rotvec(V.scale(rate, rig.dt))
-    base = (frames.select(*keys, "frame", *V.named(turn, Q))
-            .withColumn(BLOCK, block_of("frame", block))
-            .withColumn("_super", F.floor(F.col(BLOCK) / SCAN_FAN_OUT)))
-    inner = _exclusive(base, [*keys, "_super", BLOCK], "frame", "in")
-    blocks = inner.where("_closes").select(*keys, "_super", BLOCK, *Q)
-    middle = _exclusive(blocks, [*keys, "_super"], BLOCK, "mid")
-    top = _exclusive(middle.where("_closes").select(*keys, "_super", *Q), keys, "_super", "top")
-    start = (middle.join(top.select(*keys, "_super", *[f"_top{c}" for c in Q]), [*keys, "_super"])
-             .select(*keys, "_super", BLOCK, *V.named(V.quat_multiply(
-                 tuple(F.col(f"_top{c}") for c in Q), tuple(F.col(f"_mid{c}") for c in Q)),
-                 [f"_start{c}" for c in Q])))
-    full = inner.join(start, [*keys, "_super", BLOCK])
-    product = V.quat_multiply(tuple(F.col(f"_start{c}") for c in Q),
-                              tuple(F.col(f"_in{c}") for c in Q))
-    return full.select(*keys, "frame", *V.named(product, ("p_x", "p_y", "p_z", "p_w")))
-
-
-P = ("p_x", "p_y", "p_z", "p_w")
+    spot = anchors.select("rec", "anchor_at")
+    base = frames.select(*keys, "frame", *V.ACC, *V.GYR, *keep).withColumn(
+        BLOCK, block_of("frame", block)).join(spot, "rec")
+    totals = cut_lineage(_block_totals(base, keys, rig.dt))
+    starts = _block_starts(totals, keys, fan_out)
+    bq, bs = V.vec4([f"_b{c}" for c in Q]), V.vec(*[f"_b{c}" for c in S])
+    anchored = totals.where(F.col(A[0]).isNotNull() & ~F.isnan(A[0])).join(starts, [*keys, BLOCK]).select(*keys, *V.named(
+        _after(bq, bs, V.vec4(A[:4]), V.vec(*A[4:])), [f"_z{c}" for c in (*Q, *S)]))
+    zq, zs = V.vec4([f"_z{c}" for c in Q]), V.vec(*[f"_z{c}" for c in S])
+    moved = (*V.quat_multiply(V.quat_conjugate(zq), bq),
+             *V.mat_t_vec(V.unit_quat_matrix(zq), V.sub(bs, zs)))
+    starts = starts.join(anchored, keys).select(*keys, BLOCK, *V.named(
+        moved, [f"_b{c}" for c in (*Q, *S)]))
+    types = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    held = [*keys, "frame", "anchor_at", *keep]
+    schema = ", ".join([f"{c} {types[c]}" for c in held] + [_STATE])
+    dt = rig.dt
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame", kind="stable")
+        q, s = _block_state(pdf, dt)
+        q0 = pdf[[f"_b{c}" for c in Q]].to_numpy(float)
+        s0 = pdf[[f"_b{c}" for c in S]].to_numpy(float)
+        return _table(pdf[held], (*Q, *S), np.concatenate(
+            [_quat_mul(q0, q[:-1]), s0 + _rotate(q0, s[:-1])], axis=1))
+    return (base.join(starts, [*keys, BLOCK]).groupBy(*keys, BLOCK)
+            .applyInPandas(replay, schema))
 
 
 def attitude(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
-             rate: tuple[Column, ...] | None = None, group: tuple[str, ...] = (),
-             block: int = SCAN_BLOCK) -> DataFrame:
+             group: tuple[str, ...] = (), block: int = SCAN_BLOCK,
+             fan_out: int = SCAN_FAN_OUT) -> DataFrame:
     """Rotation r00..r22 from every frame to the rest anchor's frame.
 
     Frames after the anchor use the product of the turns in between, frames
-    before it the inverse; both follow from one prefix product re-anchored at
-    the anchor frame.
+    before it the inverse. ``group`` adds keys (for example a candidate axis
+    map) that each get their own product.
     """
-    keys = ["rec", *group]
-    rate = rate or V.vec(*V.GYR)
-    run = rotation_prefix(frames, rate, rig, group, block)
-    spot = anchors.select("rec", F.col("anchor_at").alias("frame"))
-    at = run.join(spot, ["rec", "frame"], "left_semi").select(
-        *keys, *[F.col(c).alias(f"_a{c}") for c in P])
-    rel = V.quat_multiply(V.quat_conjugate(tuple(F.col(f"_a{c}") for c in P)), V.vec4(P))
-    turned = run.join(at, keys).select(*keys, "frame", *V.named(rel, Q))
-    return turned.select(*keys, "frame", *V.named(V.quat_matrix(V.vec4(Q)), ROTATION))
+    states = anchored_states(frames, anchors, rig, group, (), block, fan_out)
+    return states.select("rec", *group, "frame",
+                         *V.named(V.unit_quat_matrix(V.vec4(Q)), ROTATION))
 
 
 def attitude_small_angle(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
@@ -126,7 +212,6 @@ def attitude_small_angle(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAU
     Cheaper variant: rotation vectors are added inside ``step`` frames and only
     the step totals are composed. A gyro bias and a correction rate may be given.
     """
-    from pyspark.sql import Window
     w = V.vec(*V.GYR)
     if bias is not None:
         w = V.sub(w, bias)
@@ -139,25 +224,33 @@ def attitude_small_angle(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAU
             .rowsBetween(Window.unboundedPreceding, -1))
     inside = cells.select("rec", "frame", "_cell", *[
         F.coalesce(F.sum(n).over(spec), F.lit(0.0)).alias(n) for n in names])
-    totals = cells.groupBy("rec", "_cell").agg(*[(F.sum(n) * rig.fs).alias(n) for n in names])
-    coarse = rotation_prefix(totals.withColumnRenamed("_cell", "frame"),
-                             V.vec(*names), rig, block=block).withColumnRenamed("frame", "_cell")
+    totals = cells.groupBy("rec", F.col("_cell").alias("frame")).agg(
+        *[(F.sum(n) * rig.fs).alias(g) for n, g in zip(names, V.GYR)],
+        *[F.lit(0.0).alias(a) for a in V.ACC])
+    anchors = cut_lineage(anchors.select("rec", "anchor_at"))
+    # states are anchored at the cell that holds the anchor, then at the frame itself
+    cell_anchor = anchors.select("rec", F.floor(F.col("anchor_at") / step).cast("int")
+                                 .alias("anchor_at"))
+    coarse = anchored_states(totals, cell_anchor, rig, block=block).select(
+        "rec", F.col("frame").alias("_cell"), *Q)
     run = inside.join(coarse, ["rec", "_cell"]).select("rec", "frame", *V.named(
-        V.quat_multiply(V.vec4(P), V.quat_from_rotvec(V.vec(*names))), P))
-    spot = anchors.select("rec", F.col("anchor_at").alias("frame"))
-    at = run.join(spot, ["rec", "frame"], "left_semi").select(
-        "rec", *[F.col(c).alias(f"_a{c}") for c in P])
-    rel = V.quat_multiply(V.quat_conjugate(tuple(F.col(f"_a{c}") for c in P)), V.vec4(P))
-    return run.join(at, "rec").select("rec", "frame", *V.named(rel, Q)).select(
-        "rec", "frame", *V.named(V.quat_matrix(V.vec4(Q)), ROTATION))
+        V.quat_multiply(V.vec4(Q), V.quat_from_rotvec(V.vec(*names))), Q))
+    offset = inside.join(anchors, "rec").where(F.col("frame") == F.col("anchor_at")).select(
+        "rec", *V.named(V.quat_from_rotvec(V.vec(*names)), [f"_o{c}" for c in Q]))
+    rel = V.quat_multiply(V.quat_conjugate(V.vec4([f"_o{c}" for c in Q])), V.vec4(Q))
+    return run.join(offset, "rec").select("rec", "frame", *V.named(rel, Q)).select(
+        "rec", "frame", *V.named(V.unit_quat_matrix(V.vec4(Q)), ROTATION))
+
+
+def _rest_up(anchors: DataFrame) -> DataFrame:
+    return anchors.select("rec", *V.named(V.unit(V.vec("fx", "fy", "fz")), ("_u0", "_u1", "_u2")))
 
 
 def carried_up(rotations: DataFrame, anchors: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """The rest anchor's up direction carried to every frame by the attitude."""
-    up0 = anchors.select("rec", *V.named(V.unit(V.vec("fx", "fy", "fz")), ("_u0", "_u1", "_u2")))
     up = V.mat_t_vec(V.mat(ROTATION), V.vec("_u0", "_u1", "_u2"))
-    return rotations.join(up0, "rec").select("rec", *group, "frame",
-                                             *V.named(up, ("ux", "uy", "uz")))
+    return rotations.join(_rest_up(anchors), "rec").select("rec", *group, "frame",
+                                                           *V.named(up, ("ux", "uy", "uz")))
 
 
 def integrate_from_anchor(frames: DataFrame, accel: dict[str, Column], anchors: DataFrame,
@@ -165,43 +258,49 @@ def integrate_from_anchor(frames: DataFrame, accel: dict[str, Column], anchors:
     """Sum an acceleration forward and backward from the anchor (zero there).
 
     One running sum serves both directions: v(t) = (C(t) - C(anchor)) * dt with
-    C the sum of all earlier frames.
+    C the sum of all earlier frames. C(anchor) is a plain grouped sum of the
+    frames before the anchor, so no second running sum is needed.
     """
-    run = prefix_sums(frames, {f"_c_{n}": c for n, c in accel.items()}, inclusive=False,
+    lifted = frames.withColumns({f"_c_{n}": c for n, c in accel.items()})
+    early = F.col("frame") < F.col("anchor_at")
+    at = lifted.join(anchors.select("rec", "anchor_at"), "rec").groupBy("rec").agg(*[
+        F.coalesce(F.sum(F.when(early, F.col(f"_c_{n}"))), F.lit(0.0)).alias(f"_z_{n}")
+        for n in accel])
+    run = prefix_sums(lifted, {f"_c_{n}": F.col(f"_c_{n}") for n in accel}, inclusive=False,
                       block=block)
-    spot = anchors.select("rec", F.col("anchor_at").alias("frame"))
-    at = run.join(spot, ["rec", "frame"], "left_semi").select(
-        "rec", *[F.col(f"_c_{n}").alias(f"_z_{n}") for n in accel])
     return run.join(at, "rec").withColumns({
         n: (F.col(f"_c_{n}") - F.col(f"_z_{n}")) * rig.dt for n in accel}).drop(
         *[f"_c_{n}" for n in accel], *[f"_z_{n}" for n in accel])
 
 
 def dead_reckon(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
-                rotations: DataFrame | None = None, bound: float = VELOCITY_SQUASH,
-                horizon: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Velocity integrated from the rest anchor, in the body frame.
-
-    Returns per frame the bounded velocity d_x..d_z, the unbounded anchor-frame
-    velocity i_x..i_z, the time since the anchor (seconds / 10) and the rotation.
-    Beyond ``horizon`` seconds the velocity is set to zero.
+                bound: float = VELOCITY_SQUASH, horizon: float = 0.0,
+                keep: tuple[str, ...] = (), block: int = SCAN_BLOCK,
+                fan_out: int = SCAN_FAN_OUT) -> DataFrame:
+    """Attitude and velocity integrated from the rest anchor.
+
+    Returns per frame the bounded body velocity d_x..d_z, the unbounded
+    anchor-frame velocity i_x..i_z, the time since the anchor (seconds / 10),
+    the carried up direction u* and the rotation. Beyond ``horizon`` seconds the
+    bounded velocity is zero.
     """
-    rotations = attitude(frames, anchors, rig) if rotations is None else rotations
-    both = frames.select("rec", "frame", *V.ACC, *keep).join(rotations, ["rec", "frame"])
-    up0 = anchors.select("rec", *V.named(V.unit(V.vec("fx", "fy", "fz")), ("_u0", "_u1", "_u2")),
-                         F.col("anchor_at").alias("_s0"))
-    both = both.join(up0, "rec")
-    pull = V.sub(V.matvec(V.mat(ROTATION), V.vec(*V.ACC)),
-                 V.scale(V.vec("_u0", "_u1", "_u2"), rig.g))
-    run = integrate_from_anchor(both, V.as_columns(pull, ("i_x", "i_y", "i_z")), anchors, rig)
+    anchors = cut_lineage(anchors.select("rec", "anchor_at", "fx", "fy", "fz"))
+    states = anchored_states(frames, anchors, rig, (), keep, block, fan_out)
+    away = F.col("frame") - F.col("anchor_at")
+    up0 = V.vec("_u0", "_u1", "_u2")
+    drift = V.scale(V.sub(V.vec(*S), V.scale(up0, away * rig.g)), rig.dt)
+    both = states.join(_rest_up(anchors), "rec").withColumns({
+        **V.as_columns(V.unit_quat_matrix(V.vec4(Q)), ROTATION),
+        **V.as_columns(drift, ("i_x", "i_y", "i_z"))})
     body = V.mat_t_vec(V.mat(ROTATION), V.vec("i_x", "i_y", "i_z"))
-    near = F.abs(F.col("frame") - F.col("_s0")) <= horizon * rig.fs if horizon > 0 else F.lit(True)
-    return run.select(
+    up = V.mat_t_vec(V.mat(ROTATION), up0)
+    near = F.abs(away) <= horizon * rig.fs if horizon > 0 else F.lit(True)
+    return both.select(
         "rec", "frame", *keep,
         *[F.when(near, V.squash(c, bound)).otherwise(0.0).alias(n)
           for c, n in zip(body, ("d_x", "d_y", "d_z"))],
-        ((F.col("frame") - F.col("_s0")) / rig.fs / 10.0).alias("since"),
-        "i_x", "i_y", "i_z", *ROTATION)
+        (away / rig.fs / 10.0).alias("since"), "i_x", "i_y", "i_z",
+        *V.named(up, ("ux", "uy", "uz")), *ROTATION)
 
 
 def truth_attitude_velocity(frames: DataFrame, anchors: DataFrame,
@@ -240,8 +339,9 @@ def candidate_maps(spark) -> DataFrame:
 def carried_up_by_map(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
     """Carried up direction under each candidate gyro axis map (three per frame)."""
     maps = F.broadcast(candidate_maps(frames.sparkSession))
-    wide = frames.select("rec", "frame", *V.GYR).join(maps)
-    turned = wide.select("rec", "candidate", "frame", *V.named(
+    anchors = cut_lineage(anchors.select("rec", "anchor_at", "fx", "fy", "fz"))
+    wide = frames.select("rec", "frame", *V.ACC, *V.GYR).join(maps)
+    turned = wide.select("rec", "candidate", "frame", *V.ACC, *V.named(
         V.matvec(V.mat(V.mat_cols("c")), V.vec(*V.GYR)), V.GYR))
     rot = attitude(turned, anchors, rig, group=("candidate",))
     return carried_up(rot, anchors, group=("candidate",))
@@ -429,12 +529,8 @@ def derived_channels(frames: DataFrame, rig: Rig = DEFAULT_RIG,
     Carried up, bounded velocity, time since anchor, first two rotation columns,
     unbounded anchor-frame velocity and the recording's calibration deviation.
     """
-    anchors = rest_reference(frames, rig)
-    rot = attitude(frames, anchors, rig)
-    up0 = anchors.select("rec", *V.named(V.unit(V.vec("fx", "fy", "fz")), ("_u0", "_u1", "_u2")))
-    dr = dead_reckon(frames, anchors, rig, rotations=rot, horizon=horizon).join(up0, "rec")
-    up = V.mat_t_vec(V.mat(ROTATION), V.vec("_u0", "_u1", "_u2"))
-    out = dr.select("rec", "frame", *V.named(up, ("ux", "uy", "uz")), "d_x", "d_y", "d_z", "since",
+    dr = dead_reckon(frames, rest_reference(frames, rig), rig, horizon=horizon)
+    out = dr.select("rec", "frame", "ux", "uy", "uz", "d_x", "d_y", "d_z", "since",
                     "r00", "r10", "r20", "r01", "r11", "r21", "i_x", "i_y", "i_z")
     if deviation is None:
         return out.withColumn("deviation", F.lit(0.0))

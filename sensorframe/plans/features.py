@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sensorframe.functions import vec as V
-from sensorframe.operators.scan import (adaptive_gain, attitude, carried_up, dead_reckon,
-                                        up_filter)
+from sensorframe.operators.scan import adaptive_gain, dead_reckon, up_filter
 from sensorframe.operators.windows import rest_reference
 from sensorframe.params import DEFAULT_RIG, FAST_GAIN, SLOW_GAIN, Rig
+from sensorframe.session import cut_lineage
 
 RAW = [*V.ACC, *V.GYR]
 _SPLIT = ("a_up", "a_hx", "a_hy", "a_hz", "w_up", "w_hx", "w_hy", "w_hz")
@@ -50,17 +50,14 @@ def features(frames: DataFrame, mode: str = "slowdr", rig: Rig = DEFAULT_RIG,
             up = up_filter(frames, gain, rig, name=f"{prefix}_")
             out = _decomposed(out.join(up, ["rec", "frame"]), prefix)
     if "rest_score" in wanted:
-        anchors = rest_reference(frames, rig)
+        anchors = cut_lineage(rest_reference(frames, rig))
         ref = anchors.select("rec", F.col("score").alias("rest_score"),
                              *[F.col(f"f{c}").alias(f"_f{c}") for c in "xyz"])
         out = out.join(ref, "rec").withColumns(
             {f"rest_d{c}": F.col(f"a{c}") - F.col(f"_f{c}") for c in "xyz"})
         if "ux" in wanted:
-            rot = attitude(frames, anchors, rig)
-            out = out.join(carried_up(rot, anchors), ["rec", "frame"])
-            if "since" in wanted:
-                dr = dead_reckon(frames, anchors, rig, rotations=rot)
-                out = out.join(dr.select("rec", "frame", *RECKONED), ["rec", "frame"])
+            dr = dead_reckon(frames, anchors, rig)
+            out = out.join(dr.select("rec", "frame", *CARRIED, *RECKONED), ["rec", "frame"])
     return out.select("rec", "frame", *keep, *wanted)
 
 

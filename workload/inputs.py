@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sensorframe.operators.windows import window_means
 from sensorframe.plans.evaluation import path_rmse, with_errors
 from sensorframe.sources.views import LINE_RIG, platforms, sensor_view, with_platform
+from sensorframe.session import cut_lineage
 from workload.sql import RUNS
 
 RIG = LINE_RIG
 AXES = ("ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz")
 
 
+def stored_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The frame table written once, for jobs that read it several times."""
+    return cut_lineage(sensor_view(spark, d))
+
+
 def means(spark: SparkSession, d: str) -> DataFrame:
     return window_means(sensor_view(spark, d), {c: c for c in AXES}, RIG)
 

@@ -40,7 +40,7 @@ SELECT rec, {_WIN} AS win_idx, {', '.join(f'avg({c}) AS {c}' for c in (*V.ACC, *
 FROM al GROUP BY 1, 2 HAVING count(*) = 50"""), digits=4)
 def feature_channels(spark, d):
     """All 25 channels of the widest mode, averaged per window."""
-    f = features.features(sensor_view(spark, d), "slowdr", I.RIG)
+    f = features.features(I.stored_frames(spark, d), "slowdr", I.RIG)
     return W.window_means(f, {c: c for c in _NAMES}, I.RIG)
 
 
@@ -158,8 +158,8 @@ def _run_stream(spark, out):
     return spark.read.schema(out.schema).parquet(path)
 
 
-@query("stream_windows", "event_type:string at:bigint n:bigint", "mean std", """
-SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS at, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std
+@query("stream_windows", "event_type:string start_s:bigint n:bigint", "mean std", """
+SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS start_s, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std
 FROM events GROUP BY 1, 2 HAVING max(CAST(floor(epoch(ts) / 21600) AS BIGINT)) * 21600 + 21600 <= (SELECT epoch(max(ts)) - 3600 FROM events)""")
 def stream_windows(spark, d):
     """Six-hour statistics of a live stream; windows past the watermark are out."""
@@ -167,16 +167,16 @@ def stream_windows(spark, d):
     stream = stream.withColumn("ts", wall_clock("ts")).withColumn("value", F.col("value") + 0.0)
     out = incremental.causal_statistics(stream, "value", ("event_type",), width="6 hours",
                                         lateness="1 hour")
-    return _run_stream(spark, out).withColumn("at", F.unix_seconds("start"))
+    return _run_stream(spark, out).withColumn("start_s", F.unix_seconds("start"))
 
 
-@query("stream_rest_scores", "rec:bigint at:bigint n:bigint", "score", f"""WITH b AS (SELECT l_suppkey AS rec, epoch(l_shipdate) AS e,
+@query("stream_rest_scores", "rec:bigint start_s:bigint n:bigint", "score", f"""WITH b AS (SELECT l_suppkey AS rec, epoch(l_shipdate) AS e,
 (l_quantity - 25.5) / 10 AS ax, ((l_discount + 0.0) - 0.05) * 20 AS ay, 9.81 + ((l_tax + 0.0) - 0.04) * 20 AS az,
 ((l_discount + 0.0) - 0.05) * 4 AS wx, ((l_tax + 0.0) - 0.04) * 4 AS wy, (l_quantity - 25.5) / 50 AS wz FROM lineitem),
-c AS (SELECT *, CAST(floor(e / 2592000) AS BIGINT) * 2592000 AS at FROM b)
-SELECT rec, at, count(*) AS n, abs(avg(sqrt(ax*ax + ay*ay + az*az)) - 9.81) + avg(sqrt(wx*wx + wy*wy + wz*wz))
+c AS (SELECT *, CAST(floor(e / 2592000) AS BIGINT) * 2592000 AS start_s FROM b)
+SELECT rec, start_s, count(*) AS n, abs(avg(sqrt(ax*ax + ay*ay + az*az)) - 9.81) + avg(sqrt(wx*wx + wy*wy + wz*wz))
        + 0.5 * stddev_pop(sqrt(ax*ax + ay*ay + az*az)) AS score FROM c
-WHERE at + 2592000 <= (SELECT max(e) - 86400 FROM b) GROUP BY 1, 2""")
+WHERE start_s + 2592000 <= (SELECT max(e) - 86400 FROM b) GROUP BY 1, 2""")
 def stream_rest_scores(spark, d):
     """Rest score of thirty-day windows, computed causally from a frame stream."""
     s = _follow(spark, d, "lineitem")
@@ -187,7 +187,7 @@ def stream_rest_scores(spark, d):
         (9.81 + (t - 0.04) * 20).alias("az"), ((dc - 0.05) * 4).alias("wx"),
         ((t - 0.04) * 4).alias("wy"), ((q - 25.5) / 50).alias("wz"))
     out = incremental.causal_rest_windows(frames, I.RIG, "30 days", "1 day")
-    return _run_stream(spark, out).withColumn("at", F.unix_seconds("start"))
+    return _run_stream(spark, out).withColumn("start_s", F.unix_seconds("start"))
 
 
 @query("content_md5", "text:string n:bigint", "",

@@ -129,7 +129,7 @@ c AS (SELECT *, CASE WHEN slow >= 120 THEN r < 0.2
       ELSE rk <= greatest(120, floor(n / 20)) END AS calm FROM k)
 SELECT rec, sum(calm::INT) AS n_calm, max(frame) FILTER (calm) AS last_calm FROM c GROUP BY rec""")
 def calm_frames(spark, d):
-    c = S.calm_frames(sensor_view(spark, d), 0.2, 120)
+    c = S.calm_frames(I.stored_frames(spark, d), 0.2, 120)
     return c.groupBy("rec").agg(F.count_if("calm").alias("n_calm"),
                                 F.max(F.when(F.col("calm"), F.col("frame"))).alias("last_calm"))
 

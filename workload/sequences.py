@@ -11,6 +11,7 @@ from sensorframe.operators import scan as N
 from sensorframe.operators import sequence as X
 from sensorframe.operators import windows as W
 from sensorframe.operators.blocks import prefix_sums
+from sensorframe.session import cut_lineage
 from sensorframe.sources.views import event_view, sensor_view
 from workload import inputs as I
 from workload import sql as Q
@@ -332,8 +333,8 @@ _ROT = ", ".join(f"avg({e}) AS {n}" for e, n in zip(_R, N.ROTATION))
 SELECT rl.rec, {_WIN} AS win_idx, {_ROT} FROM rl JOIN sv USING (rec, frame) GROUP BY 1, 2 HAVING count(*) = 50"""), digits=5)
 def attitude_scan(spark, d):
     """Attitude from a three-level product; a short block makes every level work."""
-    f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
-    return _window_avg(N.attitude(f, W.rest_anchor(f, I.RIG), I.RIG, block=128), N.ROTATION)
+    f = I.stored_frames(spark, d)
+    return _window_avg(N.attitude(f, W.rest_anchor(f, I.RIG), I.RIG, block=64, fan_out=3), N.ROTATION)
 
 
 _CELLS = f"""cl AS MATERIALIZED (SELECT rec, frame, CAST(floor(frame / 5) AS INTEGER) AS cell, wx * 0.02 AS tx, wy * 0.02 AS ty, wz * 0.02 AS tz FROM sv),
@@ -353,7 +354,7 @@ FROM pt q JOIN an ON an.rec = q.rec JOIN pt z ON z.rec = an.rec AND z.frame = an
 SELECT rec, {_WIN} AS win_idx, {_ROT} FROM rl GROUP BY 1, 2 HAVING count(*) = 50"""), digits=5)
 def attitude_small_angle(spark, d):
     """Turns are summed inside five frames and only the sums are composed."""
-    f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
+    f = I.stored_frames(spark, d)
     return _window_avg(N.attitude_small_angle(f, W.rest_anchor(f, I.RIG), I.RIG), N.ROTATION)
 
 
@@ -367,8 +368,8 @@ SELECT rl.rec, CAST(floor(rl.frame / 50) AS INTEGER) AS win_idx, avg({_UP[0]}) A
 FROM rl JOIN up ON up.rec = rl.rec JOIN sv ON sv.rec = rl.rec AND sv.frame = rl.frame
 GROUP BY 1, 2 HAVING count(*) = 50"""), digits=5)
 def carried_up(spark, d):
-    f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
-    a = W.rest_anchor(f, I.RIG)
+    f = I.stored_frames(spark, d)
+    a = cut_lineage(W.rest_anchor(f, I.RIG))
     return _window_avg(N.carried_up(N.attitude(f, a, I.RIG), a), ("ux", "uy", "uz"))
 
 
@@ -392,7 +393,7 @@ rk AS MATERIALIZED (SELECT rec, frame, x, y, z, w, ix, iy, iz, since, 8 * tanh({
 SELECT rec, {_WIN} AS win_idx, avg(dx) AS d_x, avg(dy) AS d_y, avg(dz) AS d_z, avg(ix) AS i_x, avg(since) AS since
 FROM rk GROUP BY 1, 2 HAVING count(*) = 50"""), digits=4)
 def dead_reckon(spark, d):
-    f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
+    f = I.stored_frames(spark, d)
     return _window_avg(N.dead_reckon(f, W.rest_anchor(f, I.RIG), I.RIG),
                        ("d_x", "d_y", "d_z", "i_x", "since"))
 
@@ -415,7 +416,7 @@ SELECT rec, win_idx, CASE WHEN pdx IS NULL OR NOT abs(since)*10 < 8 THEN 0 ELSE
        CASE WHEN pdx IS NULL OR NOT abs(since)*10 < 8 THEN 0 ELSE {_T[5]} END AS t12,
        CASE WHEN abs(since)*10 < 8 THEN 1 ELSE 0 END AS mask FROM tr"""), digits=4)
 def window_increments(spark, d):
-    f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
+    f = I.stored_frames(spark, d)
     dr = N.dead_reckon(f, W.rest_anchor(f, I.RIG), I.RIG).withColumn("deviation", F.lit(0.0))
     ends = C.window_ends(dr, I.RIG.window, [c for c in dr.columns if c not in ("rec", "frame")])
     return C.window_increments(ends, "end", horizon=8.0)
@@ -426,8 +427,8 @@ SELECT rk.rec, {_WIN} AS win_idx, avg(since) AS since, avg(score) AS rest_score,
        ln(1 + sqrt(avg(dx)*avg(dx) + avg(dy)*avg(dy) + avg(dz)*avg(dz))) AS log_speed
 FROM rk JOIN an ON an.rec = rk.rec GROUP BY 1, 2 HAVING count(*) = 50"""), digits=4)
 def gate_scalars(spark, d):
-    f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
-    a = W.rest_anchor(f, I.RIG)
+    f = I.stored_frames(spark, d)
+    a = cut_lineage(W.rest_anchor(f, I.RIG))
     dr = N.dead_reckon(f, a, I.RIG).join(a.select("rec", "score"), "rec")
     return C.gate_scalars(dr, I.RIG.window)
 
@@ -451,8 +452,8 @@ SELECT rl.rec, rl.cand AS candidate, count(*) AS n, avg(degrees(acos(least(1, gr
 FROM rl JOIN up ON up.rec = rl.rec JOIN cm ON cm.rec = rl.rec AND cm.frame = rl.frame GROUP BY 1, 2"""), digits=4)
 def candidate_maps(spark, d):
     from sensorframe.operators.summary import calm_after_anchor
-    f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
-    a = W.rest_anchor(f, I.RIG)
+    f = I.stored_frames(spark, d)
+    a = cut_lineage(W.rest_anchor(f, I.RIG))
     up = N.carried_up_by_map(f, a, I.RIG).join(calm_after_anchor(f, a, I.RIG), ["rec", "frame"])
     err = V.angle_deg(V.vec("ux", "uy", "uz"), V.vec("s_x", "s_y", "s_z"))
     return up.groupBy("rec", "candidate").agg(F.count(F.lit(1)).alias("n"), F.avg(err).alias("err"))
@@ -476,7 +477,7 @@ wv AS (SELECT rec, {_WIN} AS win_idx, any_value(anchor_win) AS k0, avg({_PB[0]})
 SELECT rec, win_idx, abs(win_idx - k0) AS away, b_x, b_y, b_z,
        sqrt((b_x-vx)*(b_x-vx) + (b_y-vy)*(b_y-vy) + (b_z-vz)*(b_z-vz)) AS err FROM wv""")
 def truth_velocity(spark, d):
-    f = I.posed(spark, d)
+    f = cut_lineage(I.posed(spark, d))
     return N.truth_attitude_velocity(f, W.rest_anchor(f, I.RIG), I.RIG)
 
 

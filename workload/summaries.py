@@ -163,7 +163,7 @@ def frame_normal_equations(spark, d):
 @query("frame_fit", "rec:bigint", "r00 r11 r22 residual_before residual_after")
 def frame_fit(spark, d):
     """Rates are scaled up so that enough frames carry information."""
-    f = sensor_view(spark, d).withColumns({c: F.col(c) * 20 for c in V.GYR})
+    f = I.stored_frames(spark, d).withColumns({c: F.col(c) * 20 for c in V.GYR})
     return S.gyro_frame_fit(f, I.RIG, smooth=50, minimum=100)
 
 
@@ -191,7 +191,7 @@ _V1 = [f"{c}_{k}" for k in ("mean", "std", "rough") for c in _SIX] + _EXTRA_NAME
 @query("descriptors", "rec:bigint", " ".join(_V1), f"""{_REST1}, {_spectrum_sql(_BANDS)}, {_EXTRAS}, {_base_sql('sv', _SIX)}
 SELECT * FROM bs JOIN rx USING (rec) JOIN sh USING (rec) JOIN sp USING (rec) JOIN rt USING (rec)""", digits=5)
 def descriptors(spark, d):
-    return S.recording_descriptors(sensor_view(spark, d), I.RIG)
+    return S.recording_descriptors(I.stored_frames(spark, d), I.RIG)
 
 
 _CALM = f"""cm AS MATERIALIZED (SELECT *, CASE WHEN slow >= 200 THEN r < 0.5 ELSE rk <= greatest(200, floor(n / 20)) END AS calm FROM (
@@ -215,7 +215,7 @@ pq AS (SELECT rec, quantile_cont(a_h, 0.5) AS a_h_p50, quantile_cont(a_h, 0.9) A
        quantile_cont(abs(a_v - 9.81), 0.99) AS a_dev_p99 FROM yf GROUP BY rec)
 SELECT * FROM bs JOIN pq USING (rec) JOIN rx USING (rec) JOIN sh USING (rec) JOIN sp USING (rec) JOIN rt USING (rec)""", digits=5)
 def descriptors_v2(spark, d):
-    return S.recording_descriptors(sensor_view(spark, d), I.RIG, version=2)
+    return S.recording_descriptors(I.stored_frames(spark, d), I.RIG, version=2)
 
 
 _SUMMARY = ([f"calm_force_p{p}" for p in (5, 25, 50, 75, 95)] + [f"calm_{c}_{k}" for k in ("mean", "std") for c in ("ax", "ay", "az")]
@@ -233,7 +233,7 @@ bd AS (SELECT rec, {_band_columns(16, 'band')} FROM bp GROUP BY rec), fc AS ({_C
 SELECT cs.*, bd.* EXCLUDE (rec), fc.* EXCLUDE (rec), lag * 1000 / 50 / 100.0 AS lag, correlation
 FROM cs JOIN bd ON bd.rec = cs.rec JOIN fc ON fc.rec = cs.rec JOIN bl ON bl.rec = cs.rec""", digits=5)
 def recording_summary(spark, d):
-    return S.recording_summary(sensor_view(spark, d), I.RIG)
+    return S.recording_summary(I.stored_frames(spark, d), I.RIG)
 
 
 _PAIR = Q.quat_mul(("-p.x", "-p.y", "-p.z", "p.w"), ("o.x", "o.y", "o.z", "o.w"))
@@ -252,5 +252,5 @@ eg AS (SELECT rec, win_idx, rk, wt, degrees(acos(least(1, greatest(-1, {_PUP[0]}
 ag AS (SELECT rec, win_idx, rk, sum(e * wt) / sum(wt) AS disagreement FROM eg GROUP BY 1, 2, 3)
 SELECT rec, win_idx AS anchor_win, disagreement FROM (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY disagreement, rk) AS k FROM ag) WHERE k = 1"""), digits=4)
 def consistency_anchor(spark, d):
-    f = sensor_view(spark, d)
+    f = I.stored_frames(spark, d)
     return S.consistency_anchor(f, W.rest_scores(f, I.RIG), I.RIG)
