@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators.blocks import apply_local
+from sensorframe.operators.grouped import map_groups
 from sensorframe.params import CONTEXT_WINDOWS, INCREMENT_SQUASH
 
 WINDOW_BLOCK = 4096
@@ -213,8 +214,8 @@ def gated_recursion(chunked: DataFrame, gain: str = "gain", direct: Sequence[str
 
 
 def anchored_smoothing(chunked: DataFrame, increments: Sequence[str] = ("e_x", "e_y", "e_z"),
-                       mu: float = 5.0, keys: Sequence[str] = ("rec", "chunk_id"),
-                       chunks_per_task: int = 256) -> DataFrame:
+                       mu: float = 5.0,
+                       keys: Sequence[str] = ("rec", "chunk_id")) -> DataFrame:
     """Least-squares velocity that stays near slow anchors and follows increments.
 
     Per chunk it minimises sum w |q - p|^2 + mu sum |(q_k - q_{k-1}) - e_k|^2
@@ -231,21 +232,14 @@ def anchored_smoothing(chunked: DataFrame, increments: Sequence[str] = ("e_x", "
         return np.linalg.solve(a, p / (1.0 + np.linalg.norm(p, axis=1))[:, None]
                                + mu * d.T @ e[1:])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "off"], kind="stable").reset_index(drop=True)
-        out = pdf[[*keys, "win_idx"]].copy()
-        q = np.empty((len(pdf), 3))
-        for _, rows in pdf.groupby(list(keys), sort=False).indices.items():
-            part = pdf.iloc[rows]
-            q[rows] = solve(part[list(V.VEL)].to_numpy(float),
-                            part[list(increments)].to_numpy(float))
-        out[list(V.VEL)] = q
-        return out
-    # small groups share a task; a hot recording is spread by its chunk id
-    spread = chunked.withColumn("_task", F.floor(F.col("chunk_id") / chunks_per_task))
-    return (spread.select(*keys, "_task", "off", "win_idx", *V.VEL, *increments)
-            .groupBy("rec", "_task").applyInPandas(
-                lambda pdf: run(pdf.drop(columns="_task")), schema))
+    def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        p, e = pdf[list(V.VEL)].to_numpy(float), pdf[list(increments)].to_numpy(float)
+        q = np.concatenate([solve(p[i:j], e[i:j]) for i, j in zip(bounds[:-1], bounds[1:])])
+        out = {c: pdf[c].to_numpy() for c in (*keys, "win_idx")}
+        out.update({c: q[:, i] for i, c in enumerate(V.VEL)})
+        return pd.DataFrame(out)
+    rows = chunked.select(*keys, "off", "win_idx", *V.VEL, *increments)
+    return map_groups(rows, keys, ["off"], run, schema)
 
 
 def block_corrections(size: int = 5) -> list[tuple[int, int, int, float]]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators.blocks import BLOCK, block_of, prefix_sums
+from sensorframe.operators.grouped import map_groups, positions, running_sum, spread
 from sensorframe.operators.windows import rest_reference, with_window
 from sensorframe.params import (ADAPTIVE_GAIN, ADAPTIVE_SIGMA, DEFAULT_RIG, GYRO_AXIS_MAP,
                                 SLOW_GAIN, VELOCITY_SQUASH, Rig)
@@ -35,11 +36,16 @@ def _quat_mul(p: np.ndarray, q: np.ndarray) -> np.ndarray:
                            pw * qw - (pv * qv).sum(1, keepdims=True)], axis=1)
 
 
-def running_product(q: np.ndarray) -> np.ndarray:
-    """Inclusive running product of unit quaternions by doubling steps."""
-    out, step = q.copy(), 1
-    while step < len(out):
-        out = np.concatenate([out[:step], _quat_mul(out[:-step], out[step:])])
+def running_product(q: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Inclusive running product of unit quaternions inside each group, by doubling.
+
+    ``place`` counts rows inside their group, so a row only takes in rows of its
+    own group.
+    """
+    out, step, longest = q.copy(), 1, int(place.max()) + 1 if len(q) else 0
+    while step < longest:
+        rows = np.flatnonzero(place >= step)
+        out[rows] = _quat_mul(out[rows - step], out[rows])
         step *= 2
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
@@ -55,19 +61,15 @@ def _rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return v + 2 * (s * c + np.cross(u, c))
 
 
-def _shifted(x: np.ndarray, first: list[float]) -> np.ndarray:
-    return np.concatenate([[first], x[:-1]])
-
+NO_TURN = np.array([0.0, 0.0, 0.0, 1.0])
 
-NO_TURN = [0.0, 0.0, 0.0, 1.0]
 
-
-def _turns(pdf: pd.DataFrame, dt: float) -> np.ndarray:
+def _turns(w: np.ndarray, dt: float) -> np.ndarray:
     """Quaternion of every frame's turn from its angular rate."""
-    v = pdf[list(V.GYR)].to_numpy(float) * dt
-    half = np.linalg.norm(v, axis=1, keepdims=True) / 2
+    v = w * dt
+    half = np.linalg.norm(v, axis=-1, keepdims=True) / 2
     k = np.where(half > 1e-12, np.sin(half) / np.maximum(2 * half, 1e-300), 0.5)
-    return np.concatenate([v * k, np.cos(half)], axis=1)
+    return np.concatenate([v * k, np.cos(half)], axis=-1)
 
 
 def _table(left: pd.DataFrame, names, values: np.ndarray) -> pd.DataFrame:
@@ -76,15 +78,22 @@ def _table(left: pd.DataFrame, names, values: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(cols)
 
 
-def _block_state(pdf: pd.DataFrame, dt: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation from block start to each frame, and the force summed before each frame.
+def _before(q: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The running product before each row."""
+    out = np.tile(NO_TURN, (len(q), 1))
+    rows = np.flatnonzero(place > 0)
+    out[rows] = q[rows - 1]
+    return out
 
-    One row more than there are frames: the last row is the whole block.
-    """
-    q = np.concatenate([[NO_TURN], running_product(_turns(pdf, dt))])
-    lifted = _rotate(q[:-1], pdf[list(V.ACC)].to_numpy(float))
-    s = np.concatenate([np.zeros((1, 3)), np.cumsum(lifted, axis=0)])
-    return q, s
+
+def _states(q_step: np.ndarray, f: np.ndarray, bounds: np.ndarray):
+    """State (rotation, rotated sum) before each row, and after each row's step."""
+    place = positions(bounds)
+    after = running_product(q_step, place)
+    before = _before(after, place)
+    lifted = _rotate(before, f)
+    sums = running_sum(lifted, bounds)
+    return before, sums, after, sums + lifted
 
 
 S = ("_sx", "_sy", "_sz")
@@ -98,14 +107,17 @@ def _block_totals(frames: DataFrame, keys: list[str], dt: float) -> DataFrame:
     schema = ", ".join([f"{k} {types[k]}" for k in (*keys, BLOCK)] + [_STATE] + [
         f"{c} double" for c in A])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable")
-        q, s = _block_state(pdf, dt)
+    def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        q, s, q1, s1 = _states(_turns(pdf[list(V.GYR)].to_numpy(float), dt),
+                               pdf[list(V.ACC)].to_numpy(float), bounds)
+        last = bounds[1:] - 1
+        here = np.full((len(last), 7), np.nan)
         at = np.flatnonzero(pdf["frame"].to_numpy() == pdf["anchor_at"].to_numpy())
-        here = np.concatenate([q[at[0]], s[at[0]]]) if len(at) else np.full(7, np.nan)
-        return _table(pdf[[*keys, BLOCK]].iloc[:1], (*Q, *S, *A),
-                      np.concatenate([q[-1], s[-1], here])[None, :])
-    return frames.groupBy(*keys, BLOCK).applyInPandas(run, schema)
+        here[np.searchsorted(bounds, at, side="right") - 1] = np.concatenate(
+            [q[at], s[at]], axis=1)
+        return _table(pdf[[*keys, BLOCK]].iloc[last], (*Q, *S, *A), np.concatenate(
+            [q1[last], s1[last], here], axis=1))
+    return map_groups(frames, [*keys, BLOCK], ["frame"], run, schema)
 
 
 def _prefix_states(totals: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -113,19 +125,18 @@ def _prefix_states(totals: DataFrame, group: list[str], order: str) -> DataFrame
     types = {f.name: f.dataType.simpleString() for f in totals.schema.fields}
     before = [f"_b{c}" for c in (*Q, *S)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        q = running_product(pdf[list(Q)].to_numpy(float))
-        prior = _shifted(q, NO_TURN)
-        s = np.cumsum(_rotate(prior, pdf[list(S)].to_numpy(float)), axis=0)
-        total = np.tile(np.concatenate([q[-1], s[-1]]), (len(pdf), 1))
-        out = _table(pdf[[*group, order]], (*before, *Q, *S), np.concatenate(
-            [prior, _shifted(s, [0.0, 0.0, 0.0]), total], axis=1))
-        out["_closes"] = np.arange(len(out)) == len(out) - 1
+    def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        q, s, q1, s1 = _states(pdf[list(Q)].to_numpy(float), pdf[list(S)].to_numpy(float), bounds)
+        last = bounds[1:] - 1
+        total = spread(np.concatenate([q1[last], s1[last]], axis=1), bounds)
+        out = _table(pdf[[*group, order]], (*before, *Q, *S),
+                     np.concatenate([q, s, total], axis=1))
+        out["_closes"] = False
+        out.loc[last, "_closes"] = True
         return out
     schema = ", ".join([f"{g} {types[g]}" for g in (*group, order)]
                        + [f"{c} double" for c in before] + [_STATE, "_closes boolean"])
-    return totals.select(*group, order, *Q, *S).groupBy(*group).applyInPandas(run, schema)
+    return map_groups(totals.select(*group, order, *Q, *S), group, [order], run, schema)
 
 
 def _after(q0, s0, q1, s1):
@@ -178,15 +189,24 @@ def anchored_states(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RI
     schema = ", ".join([f"{c} {types[c]}" for c in held] + [_STATE])
     dt = rig.dt
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable")
-        q, s = _block_state(pdf, dt)
-        q0 = pdf[[f"_b{c}" for c in Q]].to_numpy(float)
-        s0 = pdf[[f"_b{c}" for c in S]].to_numpy(float)
-        return _table(pdf[held], (*Q, *S), np.concatenate(
-            [_quat_mul(q0, q[:-1]), s0 + _rotate(q0, s[:-1])], axis=1))
-    return (base.join(starts, [*keys, BLOCK]).groupBy(*keys, BLOCK)
-            .applyInPandas(replay, schema))
+    def replay(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        # the first row of a group is its start state, the frames follow
+        head = pdf[[f"_b{c}" for c in (*Q, *S)]].to_numpy(float)[bounds[:-1]]
+        rows = np.ones(len(pdf), bool)
+        rows[bounds[:-1]] = False
+        inner = bounds - np.arange(len(bounds))
+        pdf = pdf[rows].reset_index(drop=True)
+        q, s, _, _ = _states(_turns(pdf[list(V.GYR)].to_numpy(float), dt),
+                             pdf[list(V.ACC)].to_numpy(float), inner)
+        head = spread(head, inner)
+        q0, s0 = head[:, :4], head[:, 4:]
+        left = pdf[held].astype({"frame": "int32", "anchor_at": "int32"})
+        return _table(left, (*Q, *S), np.concatenate(
+            [_quat_mul(q0, q), s0 + _rotate(q0, s)], axis=1))
+    # start states travel as one header row per block, so frames are shuffled once
+    headers = starts.withColumn("frame", F.lit(-1))
+    return map_groups(base.unionByName(headers, allowMissingColumns=True), [*keys, BLOCK],
+                      ["frame"], replay, schema)
 
 
 def attitude(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
@@ -348,59 +368,45 @@ def carried_up_by_map(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_
 
 
 # ------------------------------------------------------------------ pre-integration
-def preintegrate(frames: DataFrame, rig: Rig = DEFAULT_RIG, windows_per_task: int = 64) -> DataFrame:
+def preintegrate(frames: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
     """Turn and force integrals inside each window, from its first frame.
 
     Nine values per frame: rotation vector back to the window's first frame and
     the summed force in that frame under the gyro's own axes and under the
-    exchanged axes. Windows are independent; a task gets a bounded run of them.
+    exchanged axes. Windows are independent; those of a batch step together.
     """
     t = rig.window
     names = ["g_x", "g_y", "g_z", "s_x", "s_y", "s_z", "e_x", "e_y", "e_z"]
     exchange = np.asarray(GYRO_AXIS_MAP)
 
     def products(w: np.ndarray) -> np.ndarray:
-        v = w * rig.dt
-        half = np.linalg.norm(v, axis=-1, keepdims=True) / 2
-        k = np.where(half > 1e-12, np.sin(half) / np.maximum(2 * half, 1e-30), 0.5)
-        q = np.concatenate([v * k, np.cos(half)], axis=-1)
+        q = _turns(w, rig.dt)
         out = np.empty_like(q)
-        cur = np.tile([0.0, 0.0, 0.0, 1.0], (len(q), 1))
-        for i in range(q.shape[1]):
+        cur = np.tile(NO_TURN, (len(q), 1))
+        for i in range(q.shape[1]):  # all windows of the batch step together
             out[:, i] = cur
             cur = _quat_mul(cur, q[:, i])
-        return out
-
-    def rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        u, s = q[..., :3], q[..., 3:]
-        c = np.cross(u, v)
-        return v + 2 * (s * c + np.cross(u, c))
+        return out.reshape(-1, 4)
 
     def rotvec(q: np.ndarray) -> np.ndarray:
-        q = np.where(q[..., 3:] < 0, -q, q)
-        n = np.linalg.norm(q[..., :3], axis=-1, keepdims=True)
-        ang = 2 * np.arctan2(n, q[..., 3:])
-        return q[..., :3] * np.where(n > 1e-12, ang / np.maximum(n, 1e-30), 2.0)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable")
-        size = pdf.groupby("win_idx")["frame"].transform("size")
-        pdf = pdf[size == t]
-        x = pdf[[*V.ACC, *V.GYR]].to_numpy(np.float64).reshape(-1, t, 6)
-        a, w = x[..., :3], x[..., 3:]
+        q = np.where(q[:, 3:] < 0, -q, q)
+        n = np.linalg.norm(q[:, :3], axis=1, keepdims=True)
+        ang = 2 * np.arctan2(n, q[:, 3:])
+        return q[:, :3] * np.where(n > 1e-12, ang / np.maximum(n, 1e-300), 2.0)
+
+    def run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        full = spread(np.diff(bounds) == t, bounds)
+        pdf = pdf[full].reset_index(drop=True)
+        a = pdf[list(V.ACC)].to_numpy(float)
+        w = pdf[list(V.GYR)].to_numpy(float).reshape(-1, t, 3)
         own, other = products(w), products(w @ exchange.T)
-        vals = np.concatenate([rotvec(own), np.cumsum(rotate(own, a), axis=1) * rig.dt,
-                               np.cumsum(rotate(other, a), axis=1) * rig.dt], axis=-1)
-        out = pdf[["rec", "frame", "win_idx"]].reset_index(drop=True)
-        flat = vals.reshape(-1, 9)
-        for i, n in enumerate(names):
-            out[n] = flat[:, i]
-        return out
-    packed = with_window(frames.select("rec", "frame", *V.ACC, *V.GYR), rig).withColumn(
-        BLOCK, F.floor(F.col("win_idx") / windows_per_task))
+        total = lambda q: np.cumsum(_rotate(q, a).reshape(-1, t, 3), axis=1).reshape(-1, 3) * rig.dt
+        return _table(pdf[["rec", "frame", "win_idx"]], names, np.concatenate(
+            [rotvec(own), total(own), total(other)], axis=1))
+    wins = with_window(frames.select("rec", "frame", *V.ACC, *V.GYR), rig)
     schema = f"rec {_rec_type(frames)}, frame int, win_idx int, " + ", ".join(
         f"{n} double" for n in names)
-    return packed.groupBy("rec", BLOCK).applyInPandas(run, schema)
+    return map_groups(wins, ["rec", "win_idx"], ["frame"], run, schema)
 
 
 # ---------------------------------------------------------------------- up filters
@@ -464,20 +470,17 @@ def up_filter(frames: DataFrame, gain: Column | float = SLOW_GAIN, rig: Rig = DE
               + ", ".join(f"{n} double" for n in names))
 
     def finish(pdf: pd.DataFrame, up: np.ndarray, keep: np.ndarray) -> pd.DataFrame:
-        out = pdf.loc[keep, ["rec", BLOCK, "frame"]].reset_index(drop=True)
-        for i, n in enumerate(names):
-            out[n] = up[keep, i]
-        return out
+        return _table(pdf.loc[keep, ["rec", BLOCK, "frame"]], names, up[keep])
 
-    def first_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame", kind="stable").reset_index(drop=True)
-        start = int(pdf[BLOCK].iloc[0]) * block
-        up = _filter_block(pdf[list(V.ACC)].to_numpy(float), pdf[list(V.GYR)].to_numpy(float),
-                           pdf["_gain"].to_numpy(float), dt, None)
+    def first_run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        a, w = pdf[list(V.ACC)].to_numpy(float), pdf[list(V.GYR)].to_numpy(float)
+        g = pdf["_gain"].to_numpy(float)
+        up = np.concatenate([_filter_block(a[i:j], w[i:j], g[i:j], dt, None)
+                             for i, j in zip(bounds[:-1], bounds[1:])])
         # one warm-up row is kept: it is the state the block started from
-        return finish(pdf, up, (pdf["frame"] >= start - 1).to_numpy())
+        return finish(pdf, up, (pdf["frame"] >= pdf[BLOCK] * block - 1).to_numpy())
 
-    done = seeded.groupBy("rec", BLOCK).applyInPandas(first_run, schema)
+    done = map_groups(seeded, ["rec", BLOCK], ["frame"], first_run, schema)
     if not split:
         return done.drop(BLOCK)
     done = cut_lineage(done)
@@ -495,16 +498,18 @@ def up_filter(frames: DataFrame, gain: Column | float = SLOW_GAIN, rig: Rig = DE
             F.floor(F.col("frame") / block), F.floor((F.col("frame") + 1) / block))))
         again = again.join(wrong, ["rec", BLOCK])
 
-        def rerun(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("frame", kind="stable").reset_index(drop=True)
-            state = pdf[[f"_e{n}" for n in names]].iloc[0].to_numpy(float)
-            w = pdf[list(V.GYR)].to_numpy(float)
-            ang = float(np.linalg.norm(w[0])) * dt
-            turn = ((w[0] * dt / max(ang, 1e-300)).tolist(), math.cos(ang), math.sin(ang), ang)
-            up = _filter_block(pdf[list(V.ACC)].to_numpy(float)[1:], w[1:],
-                               pdf["_gain"].to_numpy(float)[1:], dt, (tuple(state), turn))
-            return finish(pdf, np.vstack([state, up]), np.ones(len(pdf), bool))
-        fixed = again.groupBy("rec", BLOCK).applyInPandas(rerun, schema)
+        def rerun(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+            a, w = pdf[list(V.ACC)].to_numpy(float), pdf[list(V.GYR)].to_numpy(float)
+            g = pdf["_gain"].to_numpy(float)
+            state = pdf[[f"_e{n}" for n in names]].to_numpy(float)
+            parts = []
+            for i, j in zip(bounds[:-1], bounds[1:]):
+                ang = float(np.linalg.norm(w[i])) * dt
+                turn = ((w[i] * dt / max(ang, 1e-300)).tolist(), math.cos(ang), math.sin(ang), ang)
+                up = _filter_block(a[i + 1:j], w[i + 1:j], g[i + 1:j], dt, (tuple(state[i]), turn))
+                parts += [state[[i]], up]
+            return finish(pdf, np.concatenate(parts), np.ones(len(pdf), bool))
+        fixed = map_groups(again, ["rec", BLOCK], ["frame"], rerun, schema)
         kept = done.join(wrong.select("rec", BLOCK), ["rec", BLOCK], "left_anti")
         done = cut_lineage(kept.unionByName(fixed))
 
