@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK = "_block"
 FRAME_BLOCK = 8192
 FAN_OUT = 4096
+SMALL_GROUP = 200_000
 
 
 def keys_of(key: str | Sequence[str]) -> list[str]:
@@ -169,14 +170,25 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def percentiles(df: DataFrame, keys: Sequence[str],
-                wanted: dict[str, tuple[Column, Sequence[float]]]) -> DataFrame:
-    """Linearly interpolated percentiles, exact, several columns in one pass.
+                wanted: dict[str, tuple[Column, Sequence[float]]],
+                small_group: int = SMALL_GROUP) -> DataFrame:
+    """Linearly interpolated percentiles, exact, several columns at once.
 
     ``wanted`` maps a prefix to (column, fractions); the result has one row per
-    group with columns ``<prefix>_p<percent>``. Rows with a null value are left
-    out of that column only.
+    group with columns ``<prefix>_p<percent>``. Null and NaN values are left out
+    of that column only. Group sizes are counted first: if the largest group
+    fits one task easily (``small_group`` rows), the built-in aggregate is used,
+    otherwise ranks are found by histogram refinement.
     """
     keys = list(keys)
+    if small_group > 0 and _largest_group(df, keys) <= small_group:
+        aggs = []
+        for p, (c, fractions) in wanted.items():
+            value = c.cast("double")
+            found = F.percentile(F.when(~F.isnan(value), value), [float(q) for q in fractions])
+            aggs += [F.get(found, F.lit(i)).alias(percentile_name(p, q))
+                     for i, q in enumerate(fractions)]
+        return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(p).alias("_metric"), c.cast("double").alias("_value0"))
         for p, (c, _) in wanted.items()])).alias("_pair")).select(
@@ -199,6 +211,11 @@ def percentiles(df: DataFrame, keys: Sequence[str],
     return stats.groupBy(*keys).agg(*aggs) if keys else stats.agg(*aggs)
 
 
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
 def percentile_name(prefix: str, q: float) -> str:
     return f"{prefix}_p{q * 100:g}".replace(".", "_")
 

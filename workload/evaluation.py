@@ -64,8 +64,9 @@ def unmatched_predictions(spark, d):
 
 
 def _platforms(spark, d):
-    recs = E.recording_ave(I.errors(spark, d)).join(
-        I.path_errors(spark, d), ["tag", "platform", "rec"])
+    m = I.stored_matched(spark, d)
+    recs = E.recording_ave(I.errors(spark, d, m)).join(
+        I.path_errors(spark, d, m), ["tag", "platform", "rec"])
     return E.platform_scores(recs)
 
 
@@ -184,9 +185,9 @@ SELECT tag, 0.6 * avg(ave) / 0.7356 + 0.4 * avg(ate) / 3.1160 AS score, avg(ave)
        avg(ave) FILTER (cls = 'fast') AS ave_fast
 FROM pr JOIN pe USING (tag, rec) JOIN cls USING (rec) JOIN bi USING (tag) GROUP BY tag""")
 def sweep_table(spark, d):
-    err = I.errors(spark, d)
-    n = I.truth(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return E.sweep_table(err, I.path_errors(spark, d).select("tag", "rec", "ate"),
+    m = I.stored_matched(spark, d)
+    n = m.where(F.col("tag") == "alpha_s1").agg(F.count(F.lit(1)).alias("n"))
+    return E.sweep_table(I.errors(spark, d, m), I.path_errors(spark, d, m).select("tag", "rec", "ate"),
                          _classes(spark, d), n, ((2.2, 2.4), (2.4, 2.6), (2.6, 99)))
 
 
@@ -243,8 +244,9 @@ pr AS (SELECT tag, rec, avg(err) AS ave FROM er GROUP BY 1, 2)
 SELECT regr_slope(ate, ave) AS slope, regr_intercept(ate, ave) AS intercept,
        regr_r2(ate, ave) AS r2 FROM pr JOIN pe USING (tag, rec)""")
 def metric_line(spark, d):
-    recs = E.recording_ave(I.errors(spark, d), ("tag", "rec")).join(
-        I.path_errors(spark, d).select("tag", "rec", "ate"), ["tag", "rec"])
+    m = I.stored_matched(spark, d)
+    recs = E.recording_ave(I.errors(spark, d, m), ("tag", "rec")).join(
+        I.path_errors(spark, d, m).select("tag", "rec", "ate"), ["tag", "rec"])
     return E.metric_line(recs, "ave", "ate")
 
 
@@ -266,7 +268,7 @@ g AS (SELECT unnest([abs(a.vx_pred - b.vx_pred), abs(a.vy_pred - b.vy_pred),
        abs(a.vz_pred - b.vz_pred)]) AS gap FROM a JOIN b USING (rec, win_idx))
 SELECT avg(gap) AS mean_gap, max(gap) AS max_gap, quantile_cont(gap, 0.99) AS gap_p99 FROM g""")
 def prediction_difference(spark, d):
-    m = I.matched(spark, d)
+    m = I.stored_matched(spark, d)
     pick = lambda t: m.where(F.col("tag") == t).select(
         "rec", "win_idx", *[F.col(f"{c}_pred").alias(c) for c in V.VEL])
     return E.prediction_difference(pick("alpha_s1"), pick("alpha_s2"))
@@ -280,7 +282,7 @@ SELECT masked, count(*) AS n, avg(CASE WHEN ed >= ep + 0.01 THEN 1.0 ELSE 0.0 EN
        avg(ed) AS direct_err, avg(ep) AS other_err, quantile_cont(ep, 0.99) AS other_p99
 FROM r GROUP BY masked""")
 def estimator_duel(spark, d):
-    m = I.matched(spark, d)
+    m = I.stored_matched(spark, d)
     other = m.where(F.col("tag") == "beta_s2").select(
         "rec", "win_idx", *[F.col(f"v{a}_pred").alias(f"p_{a}") for a in "xyz"])
     both = m.where(F.col("tag") == "alpha_s1").join(other, ["rec", "win_idx"])

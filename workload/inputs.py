@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sensorframe.operators.windows import window_means
 from sensorframe.plans.evaluation import path_rmse, with_errors
 from sensorframe.sources.views import LINE_RIG, platforms, sensor_view, with_platform
+from sensorframe.plans.training_set import recording_table
 from sensorframe.session import cut_lineage
 from workload.sql import RUNS
 
@@ -42,19 +43,24 @@ def matched(spark: SparkSession, d: str) -> DataFrame:
         (F.col("vz") + amp * F.sin(at + 2)).alias("vz_pred"))
 
 
-def errors(spark: SparkSession, d: str) -> DataFrame:
-    return with_errors(matched(spark, d))
+def stored_matched(spark: SparkSession, d: str) -> DataFrame:
+    """Matched windows written once, for reports that read them several times."""
+    return cut_lineage(matched(spark, d))
 
 
-def path_errors(spark: SparkSession, d: str) -> DataFrame:
+def errors(spark: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
+    return with_errors(matched(spark, d) if m is None else m)
+
+
+def path_errors(spark: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
     """ate per (tag, platform, rec): the centred path error with the body as world frame."""
-    return path_rmse(steps(spark, d), ["tag", "platform", "rec"], "win_idx").withColumnRenamed(
+    return path_rmse(steps(spark, d, m), ["tag", "platform", "rec"], "win_idx").withColumnRenamed(
         "path_rmse", "ate")
 
 
-def steps(spark: SparkSession, d: str) -> DataFrame:
+def steps(spark: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
     """Predicted (m_*) and true (t_*) displacement per window."""
-    m = matched(spark, d)
+    m = matched(spark, d) if m is None else m
     return m.withColumnsRenamed({**{f"v{a}_pred": f"m_{a}" for a in "xyz"},
                                  **{f"v{a}_gt": f"t_{a}" for a in "xyz"}})
 
@@ -66,6 +72,6 @@ def posed(spark: SparkSession, d: str) -> DataFrame:
         "qw": F.lit(1.0), "px": F.col("ax"), "py": F.col("ay"), "pz": F.col("az")})
 
 
-def recordings(spark: SparkSession, d: str) -> DataFrame:
-    from sensorframe.plans.training_set import recording_table
-    return recording_table(sensor_view(spark, d), platforms(spark, d), RIG)
+def recordings(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    f = sensor_view(spark, d) if f is None else f
+    return recording_table(f, platforms(spark, d), RIG)

@@ -8,6 +8,7 @@ from sensorframe.functions import vec as V
 from sensorframe.operators import sampling as M
 from sensorframe.operators import windows as W
 from sensorframe.operators.sequence import fir_taps
+from sensorframe.session import cut_lineage
 from sensorframe.sources.views import sensor_view
 from workload import inputs as I
 from workload import sql as Q
@@ -30,14 +31,20 @@ JOIN iv ON u >= lo AND u < hi)"""
 _DRAWN = f"{_WEIGHTED}, {Q.MEANS}, {_draws_sql()}"
 
 
-def _weights(spark, d):
-    return M.recording_weights(I.recordings(spark, d), min_windows=11)
+def _weights(spark, d, f=None):
+    return M.recording_weights(I.recordings(spark, d, f), min_windows=11)
 
 
-def _draws(spark, d):
+def _draws(spark, d, recs):
     """As many draws as the tables have windows."""
-    n = I.truth(spark, d).count()
-    return M.weighted_draw(_weights(spark, d), n, SEED)
+    n = recs.agg(F.sum("n_windows")).first()[0]
+    return M.weighted_draw(M.recording_weights(recs, min_windows=11), n, SEED)
+
+
+def _stored(spark, d):
+    """Frames and recordings, written once for all the steps of a job."""
+    f = I.stored_frames(spark, d)
+    return f, cut_lineage(I.recordings(spark, d, f))
 
 
 @query("recording_weights", "rec:bigint platform:string", "weight", f"{_WEIGHTED} SELECT rec, platform, weight FROM wt")
@@ -73,7 +80,7 @@ def dropped_share(spark, d):
 
 @query("weighted_draw", "draw_id:bigint rec:bigint", "u", f"{_DRAWN} SELECT * FROM dr")
 def weighted_draw(spark, d):
-    return _draws(spark, d)
+    return _draws(spark, d, cut_lineage(I.recordings(spark, d)))
 
 
 _PLACED = f"""{_DRAWN}, pn AS (SELECT draw_id, dr.rec, n_frames, CAST(least(floor(n_frames / 50), 3) AS INTEGER) AS len,
@@ -81,8 +88,8 @@ _PLACED = f"""{_DRAWN}, pn AS (SELECT draw_id, dr.rec, n_frames, CAST(least(floo
 pl AS MATERIALIZED (SELECT draw_id, rec, len, CAST(least(floor(v * (n_frames - 50 - (len - 1) * 50 + 1)), n_frames - 50 - (len - 1) * 50) AS INTEGER) AS base FROM pn)"""
 
 
-def _placed(spark, d):
-    return M.place_segments(_draws(spark, d), I.recordings(spark, d), 3, SEED, I.RIG)
+def _placed(spark, d, recs):
+    return M.place_segments(_draws(spark, d, recs), recs, 3, SEED, I.RIG)
 
 
 @query("segment_targets", "draw_id:bigint rec:bigint step:int valid:boolean", "vx vy vz", f"""{_PLACED}
@@ -90,7 +97,8 @@ SELECT draw_id, pl.rec, step, step < len AS valid, avg(vx) AS vx, avg(vy) AS vy,
 FROM pl CROSS JOIN range(3) AS s(step) JOIN sv ON sv.rec = pl.rec AND frame >= base + least(step, len - 1) * 50
      AND frame < base + least(step, len - 1) * 50 + 50 GROUP BY 1, 2, 3, 4""")
 def segment_targets(spark, d):
-    seg = M.segment_frames(_placed(spark, d), sensor_view(spark, d), V.VEL, 3, I.RIG, pad=True)
+    f, recs = _stored(spark, d)
+    seg = M.segment_frames(_placed(spark, d, recs), f, V.VEL, 3, I.RIG, pad=True)
     return M.segment_targets(seg)
 
 
@@ -105,8 +113,8 @@ sa AS MATERIALIZED (SELECT ce.*, cell_count, cell_count < (SELECT quantile_cont(
 
 
 def _strata(spark, d):
-    w = W.window_means(sensor_view(spark, d), {"speed": V.norm(V.vec(*V.VEL)),
-                                               "rate": V.norm(V.vec(*V.GYR))}, I.RIG)
+    w = cut_lineage(W.window_means(sensor_view(spark, d), {
+        "speed": V.norm(V.vec(*V.VEL)), "rate": V.norm(V.vec(*V.GYR))}, I.RIG))
     return M.motion_strata(w)
 
 
@@ -124,7 +132,8 @@ rw AS (SELECT {_KEY} AS rec, 1.0 / (count(*) OVER (PARTITION BY cell, rec) *
 {_draws_sql('rw')}
 SELECT draw_id, sa.cell, sa.rec, sa.win_idx FROM dr JOIN sa ON dr.rec = {_KEY.replace('cell', 'sa.cell', 2).replace('"sa.cell"', '"cell"').replace('|| rec ||', '|| sa.rec ||').replace('|| win_idx ||', '|| sa.win_idx ||')}""")
 def stratified_draw(spark, d):
-    return M.stratified_draw(_strata(spark, d), I.truth(spark, d).count(), SEED)
+    strata = cut_lineage(_strata(spark, d))
+    return M.stratified_draw(strata, strata.count(), SEED)
 
 
 # -------------------------------------------------------------------- dilation
@@ -140,24 +149,22 @@ dl AS MATERIALIZED (SELECT draw_id, rec, k, s, CAST(len AS INTEGER) AS len, usab
 FROM (SELECT *, greatest(usable - ceil(len * k * 50) - 1, 0) AS sp FROM dp))"""
 
 
-def _dilated(spark, d):
-    rated = M.dilation_rates(_draws(spark, d), SEED, (0.7, 1.6), 0.8, scales=(1.0, 1.8),
+def _dilated(spark, d, recs, seg_len=3, short="keep"):
+    rated = M.dilation_rates(_draws(spark, d, recs), SEED, (0.7, 1.6), 0.8, scales=(1.0, 1.8),
                              exclusive=True)
-    return M.place_dilated(rated, I.recordings(spark, d), 3, SEED, rig=I.RIG)
+    return M.place_dilated(rated, recs, seg_len, SEED, short, I.RIG)
 
 
 @query("dilation_rates", "draw_id:bigint rec:bigint len:int base:int", "k s", f"{_RATED} SELECT * FROM dl")
 def dilation_rates(spark, d):
-    return _dilated(spark, d)
+    return _dilated(spark, d, cut_lineage(I.recordings(spark, d)))
 
 
 @query("cancelled_dilation", "draw_id:bigint len:int", "k", f"""{_RATED},
 c1 AS (SELECT draw_id, usable, CASE WHEN least(floor(usable / (k * 50)), 9) < 9 THEN 1.0 ELSE k END AS k FROM dl)
 SELECT draw_id, k, CAST(greatest(1, least(floor(usable / (k * 50)), 9)) AS INTEGER) AS len FROM c1""")
 def cancelled_dilation(spark, d):
-    rated = M.dilation_rates(_draws(spark, d), SEED, (0.7, 1.6), 0.8, scales=(1.0, 1.8),
-                             exclusive=True)
-    return M.place_dilated(rated, I.recordings(spark, d), 9, SEED, "cancel", I.RIG)
+    return _dilated(spark, d, cut_lineage(I.recordings(spark, d)), 9, "cancel")
 
 
 _SPOTS = """sp AS (SELECT dl.*, t, base + k * t AS spot FROM dl, unnest(range(len * 50)) AS r(t)),
@@ -190,7 +197,8 @@ def _per_draw_sql(source, cols=_AXES):
 @query("time_dilation", "draw_id:bigint rec:bigint n:bigint", " ".join(_AXES), f"{_RATED}, {_LERPED}, {_DIL} {_per_draw_sql('di')}")
 def time_dilation(spark, d):
     """Draws replayed at their rate and scale with consistent physics."""
-    f = M.dilated_frames(_dilated(spark, d), sensor_view(spark, d), _AXES, I.RIG)
+    f, recs = _stored(spark, d)
+    f = M.dilated_frames(_dilated(spark, d, recs), f, _AXES, I.RIG)
     return _per_draw(M.apply_dilation(_with_up(f), rig=I.RIG))
 
 
@@ -207,8 +215,9 @@ al AS (SELECT * FROM fi UNION ALL SELECT draw_id, ix.rec, t, {_LERP['ax']} AS ax
 FROM ix JOIN sv a ON a.rec = ix.rec AND a.frame = i JOIN sv b ON b.rec = ix.rec AND b.frame = i + 1 WHERE k <= 1.02)
 SELECT draw_id, rec, count(*) AS n, avg(ax) AS ax, avg(vx) AS vx, avg(ax * (t % 11)) AS ax_late FROM al GROUP BY 1, 2""", digits=5)
 def antialias_dilation(spark, d):
-    f = M.smooth_dilated_frames(_dilated(spark, d), sensor_view(spark, d), ("ax", "vx"),
-                                rig=I.RIG)
+    f, recs = _stored(spark, d)
+    placed = cut_lineage(_dilated(spark, d, recs))
+    f = M.smooth_dilated_frames(placed, f, ("ax", "vx"), rig=I.RIG)
     return f.groupBy("draw_id", "rec").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ax").alias("ax"), F.avg("vx").alias("vx"),
         F.avg(F.col("ax") * (F.col("t") % 11)).alias("ax_late"))
@@ -238,7 +247,8 @@ h6 AS (SELECT draw_id, rec, {_TA[0]} AS ax, {_TA[1]} AS ay, {_TA[2]} AS az, {_TW
        {_TV[0]} AS vx, {_TV[1]} AS vy, {_TV[2]} AS vz FROM h5)
 {_per_draw_sql('h6')}""", digits=5)
 def pitch_for_drag(spark, d):
-    f = M.dilated_frames(_dilated(spark, d), sensor_view(spark, d), _AXES, I.RIG)
+    f, recs = _stored(spark, d)
+    f = M.dilated_frames(_dilated(spark, d, recs), f, _AXES, I.RIG)
     f = M.apply_dilation(_with_up(f), rig=I.RIG).withColumn("slope", F.when(
         F.col("rec") % 4 != 0, 0.8 + (F.col("rec") % 5) * 0.1))
     return _per_draw(M.pitch_for_drag(f, rig=I.RIG))
@@ -247,7 +257,8 @@ def pitch_for_drag(spark, d):
 # ---------------------------------------------------------------- augmentation
 def _segments(spark, d, cols=_AXES):
     """Frames of placed draws with ``pos`` inside the window."""
-    seg = M.segment_frames(_placed(spark, d), sensor_view(spark, d), cols, 3, I.RIG)
+    f, recs = _stored(spark, d)
+    seg = M.segment_frames(_placed(spark, d, recs), f, cols, 3, I.RIG)
     return seg.withColumn("pos", (F.col("frame") - F.col("base") - F.col("step") * I.RIG.window)
                           .cast("int"))
 

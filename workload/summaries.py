@@ -115,6 +115,17 @@ def aggressiveness(spark, d):
     return S.aggressiveness(sensor_view(spark, d), I.RIG)
 
 
+@query("histogram_percentiles", "rec:bigint", "a_p10 a_p50 a_p99 vx_p25 wz_p75", f"""{Q.BASE} SELECT rec, quantile_cont({_A}, 0.1) AS a_p10,
+quantile_cont({_A}, 0.5) AS a_p50, quantile_cont({_A}, 0.99) AS a_p99, quantile_cont(vx, 0.25) AS vx_p25, quantile_cont(wz, 0.75) AS wz_p75
+FROM sv GROUP BY rec""")
+def histogram_percentiles(spark, d):
+    """The route for groups too large for one task, taken whatever the size."""
+    from sensorframe.operators.blocks import percentiles
+    return percentiles(sensor_view(spark, d), ["rec"], {
+        "a": (V.norm(V.vec(*V.ACC)), [0.1, 0.5, 0.99]), "vx": (F.col("vx"), [0.25]),
+        "wz": (F.col("wz"), [0.75])}, small_group=0)
+
+
 @query("drag_slope", "rec:bigint n_moving:bigint", "slope", f"""{Q.REST}, {Q.MEANS},
 up AS (SELECT rec, fx, fy, fz, fx/n AS u0, fy/n AS u1, fz/n AS u2 FROM (SELECT *, sqrt(fx*fx + fy*fy + fz*fz) AS n FROM an)),
 h AS (SELECT wm.rec, ax - (ax*u0 + ay*u1 + az*u2)*u0 - (fx - (fx*u0 + fy*u1 + fz*u2)*u0) AS hx,
