@@ -136,7 +136,7 @@ cls AS MATERIALIZED (SELECT rec, CASE WHEN gm * 5 > 1.5 THEN 'hi-rot' WHEN sp *
 
 
 def _classes(spark, d):
-    f = sensor_view(spark, d)
+    f = I.stored_frames(spark, d)
     rate = f.groupBy("rec").agg(F.avg(V.norm(V.vec(*V.GYR))).alias("gm"))
     sp = percentiles(f, ["rec"], {"sp": (V.norm(V.vec(*V.VEL)), [0.9])})
     return rate.join(sp, "rec").select(
@@ -310,7 +310,7 @@ SELECT rec, count(*) AS n, sum((tilt > 5.0)::INT) AS n_above, avg(tilt) AS tilt_
        quantile_cont(tilt, 0.5) AS tilt_p50, quantile_cont(tilt, 0.9) AS tilt_p90
 FROM tl GROUP BY rec""")
 def tilt_error(spark, d):
-    f = sensor_view(spark, d).withColumns({"ux": F.lit(0.0), "uy": F.lit(0.0), "uz": F.lit(1.0)})
+    f = I.stored_frames(spark, d).withColumns({"ux": F.lit(0.0), "uy": F.lit(0.0), "uz": F.lit(1.0)})
     return E.tilt_report(f, V.ACC, ("ux", "uy", "uz"))
 
 
@@ -319,7 +319,7 @@ def tilt_error(spark, d):
 SELECT count(*) AS n_rec, sum((t > 9.0)::INT) AS n_above, avg(t) AS mean,
        quantile_cont(t, 0.5) AS overall_p50 FROM tl""")
 def tilt_overview(spark, d):
-    f = sensor_view(spark, d).withColumns({"ux": F.lit(0.0), "uy": F.lit(0.0), "uz": F.lit(1.0)})
+    f = I.stored_frames(spark, d).withColumns({"ux": F.lit(0.0), "uy": F.lit(0.0), "uz": F.lit(1.0)})
     return E.tilt_overview(E.tilt_report(f, V.ACC, ("ux", "uy", "uz")), limit=9.0)
 
 
@@ -391,7 +391,7 @@ SELECT rec, floor(count(*) / 50) AS n_win, avg(w) AS gyro_mean, quantile_cont(w,
        stddev_pop(a) AS acc_std, quantile_cont(abs(a - 9.81), 0.9) AS acc_p90_dev
 FROM n GROUP BY rec""")
 def recording_statistics(spark, d):
-    return S.recording_statistics(sensor_view(spark, d), I.RIG)
+    return S.recording_statistics(I.stored_frames(spark, d), I.RIG)
 
 
 @query("trivial_predictors", "predictor:string", "huber", f"""{Q.EVAL}

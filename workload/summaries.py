@@ -112,7 +112,7 @@ def segment_stats(spark, d):
 @query("aggressiveness", "rec:bigint", "aggressiveness", f"""{Q.BASE} SELECT rec,
 quantile_cont(abs({_A} - 9.81), 0.9) AS aggressiveness FROM sv GROUP BY rec""")
 def aggressiveness(spark, d):
-    return S.aggressiveness(sensor_view(spark, d), I.RIG)
+    return S.aggressiveness(I.stored_frames(spark, d), I.RIG)
 
 
 @query("histogram_percentiles", "rec:bigint", "a_p10 a_p50 a_p99 vx_p25 wz_p75", f"""{Q.BASE} SELECT rec, quantile_cont({_A}, 0.1) AS a_p10,
