@@ -79,7 +79,10 @@ def vector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wall_clock(c) -> Column:
     """A timestamp without zone read as UTC, whatever the session's time zone."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.to_utc_timestamp(c.cast("timestamp"), F.current_timezone())
+    whole = (F.unix_date(F.to_date(c)).cast("bigint") * 86_400 + F.hour(c) * 3_600
+             + F.minute(c) * 60) * 1_000_000
+    part = (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(whole + part)
 
 
 def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
