@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from sensorframe.llm.common import map_rows, text_of
 
 #: Pre-tokens of up to so many characters are remembered, in two generations of so many.
-REMEMBER_CHARS, REMEMBER = 32, 400_000
+REMEMBER_CHARS, REMEMBER = 32, 150_000
 _MODELS: dict[int, "Model"] = {}
 
 
@@ -135,24 +136,26 @@ def model_of(proto: bytes) -> Model:
 
 
 def encode(docs: DataFrame, proto: bytes, pattern: str, keep=("doc_id",), text: str = "text") -> DataFrame:
-    """Add ``ids`` (array of int) and ``n_tokens`` (bigint) of every whole text.
+    """Add ``ids`` (array of int), ``n_tokens`` (bigint) and ``ids_sha256`` of every whole text.
 
-    A null text counts as empty and gives an empty array; rows stay rows,
-    repeated or not. Of other columns only those in ``keep`` are returned.
+    The digest is over the ids as little-endian unsigned 32-bit integers. A null
+    text counts as empty and gives an empty array; rows stay rows, repeated or
+    not. Of other columns only those in ``keep`` are returned.
     """
     def make():
         model, cut = model_of(proto), regex.compile(pattern).findall
 
         def run(b: pa.RecordBatch) -> list:
-            packed = [model.encode(cut(t)) for t in b.column("_text").to_pylist()]
+            packed = [model.encode(cut(t.as_py())) for t in b.column("_text")]
             n = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             values = np.frombuffer(b"".join(packed), "<i4")
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(n)]
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(n),
+                    pa.array([sha256(p).hexdigest() for p in packed])]
         return run
 
     rows = docs.select(*keep, text_of(text).alias("_text"))
-    return map_rows(rows, "ids array<int>, n_tokens bigint", keep, make)
+    return map_rows(rows, "ids array<int>, n_tokens bigint, ids_sha256 string", keep, make)
 
 
 def decode(coded: DataFrame, proto: bytes, keep=("doc_id",), ids: str = "ids") -> DataFrame:
@@ -161,23 +164,10 @@ def decode(coded: DataFrame, proto: bytes, keep=("doc_id",), ids: str = "ids") -
         model = model_of(proto)
 
         def run(b: pa.RecordBatch) -> list:
-            return [pa.array([model.decode(x) for x in b.column("_ids").to_pylist()], pa.binary())]
+            lists = b.column("_ids")
+            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            return [pa.array([model.decode(values[i:j].tolist()) for i, j in zip(at[:-1], at[1:])], pa.binary())]
         return run
 
     rows = coded.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
     return map_rows(rows, "decoded binary", keep, make)
-
-
-def ids_digest(coded: DataFrame, keep, ids: str = "ids") -> DataFrame:
-    """Add ``ids_sha256``: SHA-256 of the ids as little-endian unsigned 32-bit integers."""
-    from hashlib import sha256
-
-    def make():
-        def run(b: pa.RecordBatch) -> list:
-            lists = b.column("_ids")
-            values = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<u4")
-            at = lists.offsets.to_numpy()
-            return [pa.array([sha256(values[i:j].data).hexdigest() for i, j in zip(at[:-1], at[1:])])]
-        return run
-
-    return map_rows(coded.select(*keep, F.col(ids).alias("_ids")), "ids_sha256 string", keep, make)

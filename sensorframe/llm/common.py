@@ -12,6 +12,8 @@ from sensorframe.session import scratch_path
 
 #: Words are runs of anything but these six characters (ASCII white space).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Input bytes that a Python task works on at a time.
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +48,9 @@ def map_rows(df: DataFrame, schema: str, keep: Sequence[str],
 
     ``make`` is called once per task and returns a function from a batch to the
     new columns, in the order of ``schema`` (a DDL string); the columns in
-    ``keep`` are passed on. A batch holds at most the rows and bytes that
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch`` allow.
+    ``keep`` are passed on. Spark bounds a batch by
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``; it is
+    worked on in slices of about ``SLICE_BYTES``, so a task holds little at once.
     """
     keep = list(keep)
     fields = [df.schema[k] for k in keep]
@@ -57,7 +60,9 @@ def map_rows(df: DataFrame, schema: str, keep: Sequence[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + fn(b), names)
+            step = max(1, b.num_rows * SLICE_BYTES // max(1, b.nbytes))
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + fn(part), names)
 
     return df.mapInArrow(run, full)

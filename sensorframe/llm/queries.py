@@ -28,8 +28,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the bytes they decode to."""
     model = byte_bpe.serialise_model(byte_bpe.read_ranks(VOCABULARY))
     coded = byte_bpe.encode(table(spark, sf_dir, "documents"), model, public_tokenizers.PATTERN)
-    hashed = byte_bpe.ids_digest(coded, ["doc_id", "n_tokens", "ids"])
-    back = byte_bpe.decode(hashed, model, ["doc_id", "n_tokens", "ids_sha256"])
+    back = byte_bpe.decode(coded, model, ["doc_id", "n_tokens", "ids_sha256"])
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
