@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import bit_sliced, byte_bpe, mixing, secrets
+from sensorframe.llm import bit_sliced, byte_bpe, mixing, near_dup, secrets
 from sensorframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.listing(F.col("spans")).alias("spans"))
 
 
+# ------------------------------------------------------------------------- 7
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents of similarity 0.75 or more."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------------------- 8
 @query
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
