@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import bit_sliced, byte_bpe, mixing, near_dup, secrets
+from sensorframe.llm import bit_sliced, byte_bpe, mixing, near_dup, quality, secrets, toxicity
 from sensorframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.listing(F.col("spans")).alias("spans"))
 
 
+# ------------------------------------------------------------------------- 6
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a convolutional classifier."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # ------------------------------------------------------------------------- 7
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +95,13 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN cut ON d.sourc
 """
 
 
+# ------------------------------------------------------------------------- 9
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from good and unlabelled texts."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # ------------------------------------------------------------------------ 10
 @query
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
