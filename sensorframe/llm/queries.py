@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import bit_sliced, byte_bpe, mixing, near_dup, quality, secrets, toxicity
+from sensorframe.llm import bit_sliced, byte_bpe, licences, mixing, near_dup, quality, secrets, toxicity
 from sensorframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,17 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+# ------------------------------------------------------------------------- 3
+@query
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document by sentence and licence rules."""
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "sequence", F.array_join("licences", ",").alias("licences"), "rest")
+
+
+ORACLES["op3_licence_scan"] = licences.plain_sql()
+
+
 # ------------------------------------------------------------------------- 4
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
