@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import bit_sliced, byte_bpe, licences, mixing, near_dup, quality, secrets, toxicity
+from sensorframe.llm import bit_sliced, byte_bpe, licences, mixing, near_dup, quality, secrets, surrogates, toxicity
 from sensorframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def query(fn):
     return fn
 
 
+# ------------------------------------------------------------------------- 1
+@query
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with keyed surrogates in place of personal data."""
+    return surrogates.replace(table(spark, sf_dir, "documents"))
+
+
 # ------------------------------------------------------------------------- 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
