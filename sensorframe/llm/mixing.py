@@ -83,6 +83,8 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
     state = budgets.select("key", "budget", "wanted", zero.alias("low"), zero.alias("below"),
                            zero.alias("inside"))
     for bits in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
+        # where even all documents do not reach a budget, the threshold lies beyond every hash
+        beyond = F.lit(1 << HASH_BITS) if bits == HASH_BITS - STEP_BITS else F.col("low")
         parent = F.shiftright("h", bits + STEP_BITS)
         marks = state.select("key", F.shiftright("low", bits + STEP_BITS).alias("parent"), "budget",
                              "wanted", "low", "below")
@@ -93,14 +95,14 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
         run = Window.partitionBy("key", "parent").orderBy("bucket").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
         sums = sums.withColumn("run", F.sum("size").over(run))
-        # the first bucket whose running sum reaches what is wanted; none: all below is taken
+        # the first bucket whose running sum reaches what is wanted
         first = F.min(F.when(F.col("below") + F.col("run") >= F.col("wanted"),
                              F.struct("bucket", "run", "size")))
         found = (marks.join(sums, ["key", "parent"], "left")
                  .groupBy("key", "budget", "wanted", "low", "below").agg(first.alias("f")))
         state = stored(found.select(
             "key", "budget", "wanted",
-            F.coalesce(F.shiftleft("f.bucket", bits), F.col("low")).alias("low"),
+            F.coalesce(F.shiftleft("f.bucket", bits), beyond).alias("low"),
             (F.col("below") + F.coalesce(F.col("f.run") - F.col("f.size"), zero)).alias("below"),
             F.coalesce(F.col("f.size"), zero).alias("inside")), "thresholds")
     upper = F.col("below") + F.col("inside") - F.col("wanted") <= F.col("wanted") - F.col("below")
@@ -108,16 +110,12 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
                         .alias("threshold"))
 
 
-def mix(docs: DataFrame, keep=("doc_id",), weights=(1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
-    """How often the mix takes every document of ``docs`` (``doc_id``, ``text``, ``source``).
+def mix_plan(sized: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame:
+    """One row per source of ``sized`` (``key``, ``source``, ``size``, ``h``): how to mix it.
 
-    Returned: ``keep`` columns, ``source``, ``size`` (words; a null text has none),
-    ``source_size``, ``target``, ``copies`` (0 to ``most``), ``taken`` = copies * size.
-    Rows that share a doc_id share its hash and are taken together. A source
-    without words has target 0 and takes nothing. An empty table gives no rows.
+    ``source_size``, ``target``, ``repeats`` (of every document), ``threshold``
+    (documents with a smaller hash are taken once more).
     """
-    sized = stored(docs.select(*keep, "source", source_key().alias("key"), words_in(text_of()).alias("size"),
-                               id_hash(F.col("doc_id"), seed).alias("h")), "sizes")
     targets = weighted_sources(sized, weights, most).select(
         source_key().alias("key"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
@@ -125,7 +123,37 @@ def mix(docs: DataFrame, keep=("doc_id",), weights=(1, 2, 3), most: float = 3.0,
     targets = stored(targets, "targets")
     rest = targets.select("key", F.lit("rest").alias("budget"),
                           (F.col("target") - F.col("repeats") * F.col("source_size")).alias("wanted"))
-    plan = targets.join(thresholds(sized, rest), "key").drop("budget")
+    return targets.join(thresholds(sized, rest), "key").drop("budget")
+
+
+def sized_rows(docs: DataFrame, keep, seed: str) -> DataFrame:
+    return stored(docs.select(*keep, "source", source_key().alias("key"), words_in(text_of()).alias("size"),
+                              id_hash(F.col("doc_id"), seed).alias("h")), "sizes")
+
+
+def mix(docs: DataFrame, keep=("doc_id",), weights=(1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
+    """How often the mix takes every document of ``docs`` (``doc_id``, ``text``, ``source``).
+
+    Returned: ``keep`` columns, ``source``, ``size`` (words; a null text has none),
+    ``source_size``, ``target``, ``copies`` (0 to ``most``), ``taken`` = copies * size.
+    Rows that share a doc_id share its hash and are taken together. A source
+    without words has target 0 and takes nothing. An empty table gives no rows.
+    """
+    sized = sized_rows(docs, keep, seed)
     copies = F.col("repeats") + (F.col("h") < F.col("threshold")).cast("bigint")
-    return (sized.join(plan, "key").select(*keep, "source", "size", "source_size", "target", copies.alias("copies"))
+    return (sized.join(mix_plan(sized, weights, most), "key")
+            .select(*keep, "source", "size", "source_size", "target", copies.alias("copies"))
             .withColumn("taken", F.col("copies") * F.col("size")))
+
+
+def apply_mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Texts stay in place unless the plan (one row per source) is too large for
+    Spark to broadcast by itself.
+    """
+    plan = mix_plan(sized_rows(docs, [], seed), weights, most).select(
+        F.col("key").alias("_key"), F.col("repeats").alias("_repeats"), F.col("threshold").alias("_threshold"))
+    copies = F.col("_repeats") + (id_hash(F.col("doc_id"), seed) < F.col("_threshold")).cast("bigint")
+    return (docs.withColumn("_key", source_key()).join(plan, "_key")
+            .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns))

@@ -325,3 +325,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return rows.join(named, F.col("set_id") == F.col("_set"), "left").select(
         "doc_id", "n_shingles", own.alias("component_id"),
         F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row of each component, that of the smallest doc_id; repeated rows of an id count once.
+
+    Rows without doc_id stay.
+    """
+    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
+        docs.where("doc_id IS NULL"))

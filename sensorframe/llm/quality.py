@@ -191,3 +191,10 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every row."""
     return score(docs, fit(docs, labels)).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``cut``, with their columns."""
+    own = docs.columns
+    return score(docs.withColumn("_score_text", F.col("text")), fit(docs, labels), own, "_score_text").where(
+        F.col("score") >= cut).select(*own)
