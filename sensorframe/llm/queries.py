@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import bit_sliced, byte_bpe, licences, mixing, near_dup, quality, secrets, surrogates, toxicity
+from sensorframe.llm import bit_sliced, byte_bpe, licences, mixing, near_dup, neighbours, quality, secrets, surrogates, toxicity
 from sensorframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.listing(F.col("spans")).alias("spans"))
 
 
+# ------------------------------------------------------------------------- 5
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth one."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return neighbours.nearest(rows, queries)
+
+
 # ------------------------------------------------------------------------- 6
 @query
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
