@@ -190,22 +190,55 @@ def axis_angle_matrix(k: Vec, s: Column, c: Column) -> Mat:
             x * z * d - y * s, y * z * d + x * s, c + z * z * d)
 
 
+def let(values, *steps):
+    """Put the given Columns through ``steps`` (tuple to tuple); each value is computed once per row."""
+    state = F.array(F.struct(*[c.alias(f"v{i}") for i, c in enumerate(values)]))
+    width = len(values)
+    for step in steps:
+        sizes = []
+
+        def inner(row, step=step, n=width, sizes=sizes):
+            out = step(tuple(row[f"v{i}"] for i in range(n)))
+            sizes.append(len(out))
+            return F.struct(*[c.alias(f"v{i}") for i, c in enumerate(out)])
+        state = _map(state, inner)
+        width = sizes[0]
+    return tuple(state[0][f"v{i}"] for i in range(width))
+
+
+def _map(state: Column, inner) -> Column:
+    return F.transform(state, lambda row: inner(row))
+
+
+def _quat_steps():
+    """Steps from a rotation matrix to its unit quaternion (x, y, z, w) with w >= 0.
+
+    The squares of all four components follow from the diagonal; the largest one
+    is safe to divide by, and the others come from sums and differences across it.
+    """
+    def rows(m):
+        d, total = (m[0], m[4], m[8]), m[0] + m[4] + m[8]
+        return (*[1 + 2 * c - total for c in d], 1 + total, m[1] + m[3], m[2] + m[6], m[5] + m[7],
+                m[7] - m[5], m[2] - m[6], m[3] - m[1])
+
+    def largest(v):
+        xx, yy, zz, ww, xy, xz, yz, xw, yw, zw = v
+        products = ((xx, xy, xz, xw), (xy, yy, yz, yw), (xz, yz, zz, zw), (xw, yw, zw, ww))
+        most = F.greatest(xx, yy, zz, ww)
+        return tuple(F.coalesce(*[F.when(v[i] == most, products[i][j]) for i in range(4)]) for j in range(4))
+
+    def signed(q):
+        size = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+        return tuple(c / F.when(q[3] < 0, -size).otherwise(size) for c in q)
+    return rows, largest, signed
+
+
 def matrix_rotvec(m: Mat) -> Vec:
-    """Matrix -> rotation vector, stable near no turn and near half a turn."""
-    th = F.acos(clip((m[0] + m[4] + m[8] - 1) / 2, -1.0, 1.0))
-    anti = (m[7] - m[5], m[2] - m[6], m[3] - m[1])
-    sn = 2 * F.sin(th)
-    small = F.abs(sn) < 1e-3
-    regular = scale(divide(anti, at_least(sn, 1e-3)), th)
-    sym = (m[0] + 1, m[1], m[2], m[3], m[4] + 1, m[5], m[6], m[7], m[8] + 1)
-    weight = [F.abs(sym[j]) + F.abs(sym[3 + j]) + F.abs(sym[6 + j]) for j in range(3)]
-    first = (weight[0] >= weight[1]) & (weight[0] >= weight[2])
-    second = weight[1] >= weight[2]
-    column = [(sym[j], sym[3 + j], sym[6 + j]) for j in range(3)]
-    k = unit(choose(first, column[0], choose(second, column[1], column[2])), 1e-9)
-    sign = F.when(dot(anti, k) < 0, -1.0).otherwise(1.0)
-    half_turn = scale(k, sign * th)
-    return choose(small & (th > 1.0), half_turn, choose(small, scale(anti, 0.5), regular))
+    """Matrix -> rotation vector, through the quaternion: angle 2 * atan2(|v|, w) along v."""
+    def turned(q):
+        n = norm(q[:3])
+        return scale(q[:3], F.when(n > 1e-12, 2 * F.atan2(n, q[3]) / n).otherwise(2.0))
+    return let(m, *_quat_steps(), turned)
 
 
 def six_to_matrix(a: Vec, b: Vec, offset: bool = True) -> Mat:
@@ -246,15 +279,20 @@ def scale_horizontal(v: Vec, up: Vec, s) -> Vec:
 
 
 def canonical_up_matrix(up: Vec) -> Mat:
-    """Smallest rotation that takes ``up`` to +z; upside-down turns about x."""
-    u = unit(up, 1e-9)
-    axis = (u[1], -u[0], F.lit(0.0))
-    s = norm(axis)
-    flat = s < 1e-3
-    k = choose(flat, vec(1, 0, 0), divide(axis, at_least(s, 1e-9)))
-    angle = F.when(flat, F.when(u[2] < 0, F.lit(3.141592653589793)).otherwise(F.lit(0.0))
-                   ).otherwise(F.atan2(s, u[2]))
-    return axis_angle_matrix(k, F.sin(angle), F.cos(angle))
+    """Smallest rotation R that takes ``up`` to +z: R = I + [v]x + [v]x^2 / (1 + c), v = up x z, c = up . z.
+
+    With v = (y, -x, 0) the matrix is written out. Within 1e-3 (fixed value) of
+    the axis it is the identity, or half a turn about x when upside down.
+    """
+    def closed(v):
+        x, y, c = v
+        near = F.sqrt(x * x + y * y) < 1e-3
+        k = 1 / at_least(1 + c, 1e-12)
+        free = (1 - k * x * x, -k * x * y, -x, -k * x * y, 1 - k * y * y, -y, x, y, c)
+        flip = F.when(c < 0, -1.0).otherwise(1.0)
+        zero = F.lit(0.0)
+        return tuple(F.when(near, n).otherwise(f) for n, f in zip((F.lit(1.0), zero, zero, zero, flip, zero, zero, zero, flip), free))
+    return let(unit(up, 1e-9), closed)
 
 
 def upright_basis(up: Vec) -> Mat:
@@ -266,15 +304,26 @@ def upright_basis(up: Vec) -> Mat:
 
 
 def split_rate(w: Vec, a: Vec, eps: float = 1e-8) -> tuple[Vec, Vec]:
-    """Write an angular rate as a pair of true vectors whose cross product it is."""
-    flat = (-w[1], w[0], F.lit(0.0))
-    by_force = cross(a, w)
-    by_axis = cross(w, vec(1, 0, 0))
-    first = choose(norm(flat) > eps, flat, choose(norm(by_force) > eps, by_force, by_axis))
-    second = cross(w, first)
-    root = F.sqrt(at_least(norm(w), eps))
-    return (scale(divide(first, at_least(norm(first), eps)), root),
-            scale(divide(second, at_least(norm(second), eps)), root))
+    """Write an angular rate as a pair of true vectors whose cross product it is.
+
+    Any two perpendicular vectors of length sqrt(|w|) across w will do. The first
+    is the horizontal one, z x w; for a vertical rate it is across the force, and
+    for one along the force across x. The second completes the pair.
+    """
+    def across(v):
+        w, a = v[:3], v[3:]
+        crossed = [cross(axis, w) for axis in (vec(0, 0, 1), a, vec(-1, 0, 0))]
+        usable = [F.when(norm(c) > eps, F.struct(*[x.alias(n) for x, n in zip(c, "xyz")])) for c in crossed]
+        return (*w, F.coalesce(*usable, F.struct(*[F.lit(0.0).alias(n) for n in "xyz"])))
+
+    def one(v):
+        return (*v[:3], *unit(tuple(v[3][n] for n in "xyz"), eps))
+
+    def both(v):
+        root = F.sqrt(at_least(norm(v[:3]), eps))
+        return (*scale(v[3:], root), *scale(unit(cross(v[:3], v[3:]), eps), root))
+    out = let((*w, *a), across, one, both)
+    return out[:3], out[3:]
 
 
 def transform_axes(v: Vec, m: Mat, kind: str = "polar") -> Vec:
