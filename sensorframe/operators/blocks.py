@@ -13,6 +13,7 @@ collects a whole recording in one task. Three tools make that possible:
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BLOCK = "_block"
 FRAME_BLOCK = 8192
 FAN_OUT = 4096
-SMALL_GROUP = 200_000
 
 
 def keys_of(key: str | Sequence[str]) -> list[str]:
@@ -124,71 +124,76 @@ def number_rows(df: DataFrame, key, order: Sequence[str], coarse: Column,
     w_rows = Window.partitionBy(*keys, "_slice").orderBy(*order)
     return (tagged.withColumn("_row", F.row_number().over(w_rows) - 1)
             .join(starts, [*keys, "_slice"])
-            .withColumn(name, (F.col("_start") + F.col("_row")).cast("int"))
+            .withColumn(name, (F.col("_start") + F.col("_row")).cast("bigint"))
             .drop("_slice", "_start", "_row"))
 
 
 # ----------------------------------------------------------------- exact ranks
+#: Parts that a bucket with a wanted rank is cut into.
+PARTS = 1 << 20
+
+
 def _fine_bucket(v: Column) -> Column:
     """A whole number that never decreases with the value (1/512 octave wide)."""
-    size = F.floor(F.log2(F.abs(v)) * 512) + 600_000
+    size = F.when(F.abs(v) == float("inf"), F.lit(2_000_000)).otherwise(F.floor(F.log2(F.abs(v)) * 512) + 600_000)
     return F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * size)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where a null key equals a null key."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys]
+    return left.join(other, reduce(lambda x, y: x & y, on), how).drop(*[f"_same_{k}" for k in keys])
+
+
+def _with_wanted(counts: DataFrame, within: Sequence[str], along: str) -> DataFrame:
+    """Keep the rows of ``counts`` that hold a wanted rank; ``_begin`` moves up to their first row."""
+    run = (Window.partitionBy(*within).orderBy(along).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = counts.withColumn("_stop", F.col("_begin") + F.sum("_c").over(run)).withColumn("_begin", F.col("_stop") - F.col("_c"))
+    inside = F.filter("_wanted", lambda r: (r >= F.col("_begin")) & (r < F.col("_stop")))
+    return spans.withColumn("_wanted", inside).where(F.size("_wanted") > 0).drop("_stop")
+
+
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
                      ranks: Column) -> DataFrame:
-    """The values at given ranks, exactly, for every group.
+    """The values at given ranks, exactly, for every group (null keys are a group too).
 
     ``ranks`` is an array<bigint> of zero-based ranks that may use ``_total``,
     the group's row count. Returns keys, ``_total``, ``_rank``, ``_value``.
-    Only values in the buckets that hold a wanted rank are sorted; nulls and
-    NaN are left out.
+    Values are counted in narrow buckets; buckets with a wanted rank are cut
+    into a million parts between their least and largest value, and only the
+    distinct values of parts with a wanted rank are sorted. Nulls and NaN are
+    left out, infinite values count.
     """
+    keys = list(keys)
     v = (df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
          .select(*keys, F.col(value).cast("double").alias("_v"))
          .withColumn("_b", _fine_bucket(F.col("_v"))))
-    counts = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w_run = (Window.partitionBy(*keys).orderBy("_b")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    w_all = Window.partitionBy(*keys)
-    spans = (counts.withColumn("_end", F.sum("_c").over(w_run))
-             .withColumn("_total", F.sum("_c").over(w_all))
-             .withColumn("_ranks", ranks))
-    hit = spans.select(
-        *keys, "_b", "_total", (F.col("_end") - F.col("_c")).alias("_begin"),
-        F.filter(F.array_distinct("_ranks"), lambda r: (r >= F.col("_end") - F.col("_c"))
-                 & (r < F.col("_end"))).alias("_wanted")).where(F.size("_wanted") > 0)
-    near = (v.join(hit, [*keys, "_b"])
-            .groupBy(*keys, "_b", "_v", "_total", "_begin", "_wanted")
-            .agg(F.count(F.lit(1)).alias("_c")))
-    w_in = (Window.partitionBy(*keys, "_b").orderBy("_v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = near.withColumn("_stop", F.col("_begin") + F.sum("_c").over(w_in))
-    return (near.withColumn("_rank", F.explode(F.filter(
-        "_wanted", lambda r: (r >= F.col("_stop") - F.col("_c")) & (r < F.col("_stop")))))
-        .select(*keys, "_total", "_rank", F.col("_v").alias("_value")))
+    counts = v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    counts = counts.withColumn("_total", F.sum("_c").over(Window.partitionBy(*keys))).withColumn(
+        "_wanted", F.array_distinct(ranks)).withColumn("_begin", F.lit(0).cast("bigint"))
+    hit = _with_wanted(counts, keys, "_b").drop("_c")
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS)).otherwise(0)
+    near = join_same(v, hit, [*keys, "_b"]).withColumn("_part", part)
+    same = [*keys, "_b"]
+    held = [*same, "_total", "_begin", "_wanted"]
+    parts = _with_wanted(near.groupBy(*held, "_part").agg(F.count(F.lit(1)).alias("_c")), same, "_part").drop("_c")
+    few = join_same(near.drop("_total", "_begin", "_wanted"), parts, [*same, "_part"])
+    last = few.groupBy(*held, "_part", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return (_with_wanted(last, [*same, "_part"], "_v").withColumn("_rank", F.explode("_wanted"))
+            .select(*keys, "_total", "_rank", F.col("_v").alias("_value")))
 
 
 def percentiles(df: DataFrame, keys: Sequence[str],
-                wanted: dict[str, tuple[Column, Sequence[float]]],
-                small_group: int = SMALL_GROUP) -> DataFrame:
+                wanted: dict[str, tuple[Column, Sequence[float]]]) -> DataFrame:
     """Linearly interpolated percentiles, exact, several columns at once.
 
     ``wanted`` maps a prefix to (column, fractions); the result has one row per
     group with columns ``<prefix>_p<percent>``. Null and NaN values are left out
-    of that column only. Group sizes are counted first: if the largest group
-    fits one task easily (``small_group`` rows), the built-in aggregate is used,
-    otherwise ranks are found by histogram refinement.
+    of that column only; a group without a value, or with a null key, keeps its
+    row. Every group size takes the same way.
     """
     keys = list(keys)
-    if small_group > 0 and _largest_group(df, keys) <= small_group:
-        aggs = []
-        for p, (c, fractions) in wanted.items():
-            value = c.cast("double")
-            found = F.percentile(F.when(~F.isnan(value), value), [float(q) for q in fractions])
-            aggs += [F.get(found, F.lit(i)).alias(percentile_name(p, q))
-                     for i, q in enumerate(fractions)]
-        return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(p).alias("_metric"), c.cast("double").alias("_value0"))
         for p, (c, _) in wanted.items()])).alias("_pair")).select(
@@ -207,13 +212,10 @@ def percentiles(df: DataFrame, keys: Sequence[str],
             lo = F.max(F.when(mine & (F.col("_rank") == F.floor(spot)), F.col("_value")))
             hi = F.max(F.when(mine & (F.col("_rank") == F.ceil(spot)), F.col("_value")))
             part = F.max(F.when(mine, spot - F.floor(spot)))
-            aggs.append((lo + (hi - lo) * part).alias(percentile_name(p, q)))
-    return stats.groupBy(*keys).agg(*aggs) if keys else stats.agg(*aggs)
-
-
-def _largest_group(df: DataFrame, keys: list[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+            aggs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part).alias(percentile_name(p, q)))
+    if not keys:
+        return stats.agg(*aggs)
+    return join_same(df.select(*keys).distinct(), stats.groupBy(*keys).agg(*aggs), keys, "left")
 
 
 def percentile_name(prefix: str, q: float) -> str:

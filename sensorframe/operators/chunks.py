@@ -19,7 +19,7 @@ INCREMENT = V.mat_cols("t")
 
 def chunk_starts(n_windows: Column, k: int) -> Column:
     """Starts every k // 2 windows plus one chunk that ends on the last window."""
-    n = n_windows.cast("int")
+    n = n_windows.cast("bigint")
     last = F.greatest(n - k, F.lit(0))
     return F.array_sort(F.array_distinct(F.array_append(
         F.sequence(F.lit(0), last, F.lit(max(1, k // 2))), last)))
@@ -33,18 +33,18 @@ def chunks(windows: DataFrame, k: int = CONTEXT_WINDOWS) -> DataFrame:
     into pieces first, so no array grows with the recording.
     """
     half = max(1, k // 2)
-    n = windows.groupBy("rec").agg(F.count(F.lit(1)).cast("int").alias("n"),
+    n = windows.groupBy("rec").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
                                    F.min("win_idx").alias("first_win"))
     steps = n.withColumn("_last", F.greatest(F.col("n") - k, F.lit(0))).withColumn(
-        "_steps", F.ceil(F.col("_last") / half).cast("int") + 1)
+        "_steps", F.ceil(F.col("_last") / half).cast("bigint") + 1)
     pieces = steps.withColumn("_piece", F.explode(F.sequence(
-        F.lit(0), F.floor((F.col("_steps") - 1) / WINDOW_BLOCK).cast("int"))))
+        F.lit(0), F.floor((F.col("_steps") - 1) / WINDOW_BLOCK).cast("bigint"))))
     ids = pieces.withColumn("chunk_id", F.explode(F.sequence(
         F.col("_piece") * WINDOW_BLOCK,
         F.least(F.col("_steps") - 1, (F.col("_piece") + 1) * WINDOW_BLOCK - 1))))
     start = F.least(F.col("chunk_id") * half, F.col("_last"))
-    return ids.select("rec", "chunk_id", (start + F.col("first_win")).cast("int").alias("start"),
-                      F.least(F.lit(k), F.col("n")).cast("int").alias("len"))
+    return ids.select("rec", "chunk_id", (start + F.col("first_win")).cast("bigint").alias("start"),
+                      F.least(F.lit(k), F.col("n")).cast("bigint").alias("len"))
 
 
 def chunk_windows(chunk_table: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def score_chunks(windows: DataFrame, features: Sequence[str],
         F.struct("off", F.array(*[F.col(c).cast("double") for c in features]).alias("x"))))
         .alias("_rows")).select("rec", "start", "len", F.flatten(F.transform(
             "_rows", lambda r: r["x"])).alias("_x"))
-    schema = f"rec {rec_type}, start int, len int, off int, vx double, vy double, vz double"
+    schema = f"rec {rec_type}, start bigint, len bigint, off bigint, vx double, vy double, vz double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -116,7 +116,7 @@ def score_chunks(windows: DataFrame, features: Sequence[str],
 def window_ends(frames: DataFrame, window: int, cols: Sequence[str]) -> DataFrame:
     """The last frame of every complete window as one row per window."""
     return (frames.where((F.col("frame") + 1) % window == 0)
-            .withColumn("win_idx", F.floor(F.col("frame") / window).cast("int"))
+            .withColumn("win_idx", F.floor(F.col("frame") / window).cast("bigint"))
             .select("rec", "win_idx", *cols))
 
 
@@ -171,7 +171,7 @@ def window_increments(ends: DataFrame, mode: str = "end", turn: str = "gyro",
 
 def gate_scalars(frames: DataFrame, window: int) -> DataFrame:
     """Per window: mean time since anchor, mean rest score, log1p of the mean speed."""
-    w = frames.withColumn("win_idx", F.floor(F.col("frame") / window).cast("int"))
+    w = frames.withColumn("win_idx", F.floor(F.col("frame") / window).cast("bigint"))
     means = w.groupBy("rec", "win_idx").agg(
         F.count(F.lit(1)).alias("_n"), F.avg("since").alias("since"),
         F.avg("score").alias("rest_score"),
@@ -205,7 +205,7 @@ def gated_recursion(chunked: DataFrame, gain: str = "gain", direct: Sequence[str
         return F.array_append(acc, F.struct(
             x["win_idx"].alias("win_idx"), new[0].alias("x"), new[1].alias("y"),
             new[2].alias("z")))
-    zero = F.array(F.struct(F.lit(-1).cast("int").alias("win_idx"), F.lit(0.0).alias("x"),
+    zero = F.array(F.struct(F.lit(-1).cast("bigint").alias("win_idx"), F.lit(0.0).alias("x"),
                             F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
     folded = packed.select(*keys, F.aggregate("_rows", zero, blend).alias("_out"))
     return folded.select(*keys, F.explode(F.slice("_out", 2, F.size("_out"))).alias("_o")).select(
@@ -223,7 +223,7 @@ def anchored_smoothing(chunked: DataFrame, increments: Sequence[str] = ("e_x", "
     """
     types = {f.name: f.dataType.simpleString() for f in chunked.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + \
-        ", win_idx int, vx double, vy double, vz double"
+        ", win_idx bigint, vx double, vy double, vz double"
 
     def solve(p: np.ndarray, e: np.ndarray) -> np.ndarray:
         n = len(p)
@@ -260,7 +260,7 @@ def block_difference(chunked: DataFrame, cols: Sequence[str] = ("e_x", "e_y", "e
     """
     table = chunked.sparkSession.createDataFrame(
         block_corrections(size), "_n int, _i int, _j int, _s double")
-    own = chunked.withColumn("_blk", F.floor(F.col("off") / size).cast("int")).withColumn(
+    own = chunked.withColumn("_blk", F.floor(F.col("off") / size).cast("bigint")).withColumn(
         "_n", F.least(F.lit(size), F.col("len") - F.col("_blk") * size)).withColumn(
         "_pos", (F.col("off") % size).cast("int"))
     spread = own.select(*keys, "_blk", "_n", F.col("_pos").alias("_j"), *cols).join(
@@ -280,7 +280,7 @@ def context_split(segments: DataFrame, pick: Column, u: Column,
     zero again. ``pick`` chooses segments, ``u`` in [0, 1) places the cut.
     """
     cut = F.least(margin + F.floor(u * (F.col("len") - 2 * margin + 1)),
-                  F.col("len") - margin).cast("int")
+                  F.col("len") - margin).cast("bigint")
     chosen = pick & (F.col("len") >= 2 * margin)
     marked = segments.withColumn("_cut", F.when(chosen, cut))
     second = F.col("_cut").isNotNull() & (F.col("off") >= F.col("_cut"))
@@ -288,7 +288,7 @@ def context_split(segments: DataFrame, pick: Column, u: Column,
             .withColumn("len", F.when(F.col("_cut").isNull(), F.col("len"))
                         .when(second, F.col("len") - F.col("_cut")).otherwise(F.col("_cut")))
             .withColumn("off", F.when(second, F.col("off") - F.col("_cut"))
-                        .otherwise(F.col("off")).cast("int"))
+                        .otherwise(F.col("off")).cast("bigint"))
             .drop("_cut"))
 
 

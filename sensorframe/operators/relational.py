@@ -43,23 +43,24 @@ def seed_of(c: Column | str) -> Column:
     return F.regexp_extract(c, r"_s([0-9]+)$", 1).try_cast("int")
 
 
-def short_id(c: Column | str, n: int = 4) -> Column:
+def short_id(c: Column | str) -> Column:
+    """All digits at the end of an id."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.right(c.cast("string"), F.lit(n))
+    return F.regexp_extract(c.cast("string"), "([0-9]+)$", 1)
 
 
 def sequence_id(c: Column | str) -> Column:
     """Public sequence number of a recording: the number in its id plus one."""
-    return short_id(c).try_cast("int") + 1
+    return short_id(c).try_cast("bigint") + 1
 
 
 def in_family(c: Column | str, prefix: str, low: int, high: int) -> Column:
     """Recordings whose id starts with ``prefix`` and ends in a number in [low, high]."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.startswith(prefix) & short_id(c).try_cast("int").between(low, high)
+    return c.startswith(prefix) & short_id(c).try_cast("bigint").between(low, high)
 
 
-def has_marker(c: Column | str, markers: Sequence[str] = ("neurobem", "_ext_")) -> Column:
+def has_marker(c: Column | str, markers: Sequence[str]) -> Column:
     """Name markers of recordings that come from other collections."""
     c = F.col(c) if isinstance(c, str) else c
     out = F.lit(False)
@@ -103,15 +104,20 @@ def longer_than(recs: DataFrame, n_windows: int) -> DataFrame:
     return recs.where(F.col("n_windows") >= n_windows)
 
 
-def every_kth(recs: DataFrame, k: int, order: str = "rec") -> DataFrame:
-    """Every k-th recording in id order, numbered through hash-free slices.
+def every_kth(recs: DataFrame, k: int, order: str = "rec", slice_rows: int = 1_000_000) -> DataFrame:
+    """Every k-th recording in id order.
 
-    Ids are numbered inside coarse slices (their leading part) so that no task
-    sorts the whole list.
+    Ids are numbered inside slices between bounds taken from a hash sample, so
+    that no task sorts more than about ``slice_rows`` of them; the numbering is the
+    same for any bounds.
     """
+    slices = -(-recs.count() // slice_rows)
+    bounds = []
+    if slices > 1:
+        sample = recs.select(order).orderBy(F.xxhash64(order), order).limit(slices * 20)
+        bounds = sorted(r[0] for r in sample.where(F.col(order).isNotNull()).collect())[20::20]
     ids = recs.select(F.col(order).alias("_o"), *[F.col(c).alias(f"_c_{c}") for c in recs.columns])
-    kind = recs.schema[order].dataType.typeName()
-    coarse = F.substring("_o", 1, 8) if kind == "string" else F.floor(F.col("_o") / 100_000)
+    coarse = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_o"))) if bounds else F.lit(0)
     numbered = number_rows(ids.withColumn("_one", F.lit(1)), "_one", ["_o"], coarse, "_n")
     return numbered.where(F.col("_n") % k == 0).select(
         *[F.col(f"_c_{c}").alias(c) for c in recs.columns])
@@ -219,9 +225,9 @@ def rare_bins(df: DataFrame, cell: str) -> DataFrame:
     return counts.join(F.broadcast(middle)).where(F.col("n") < F.col("n_p50")).select(cell, "n")
 
 
-def in_row_order(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Rows in the order of the index they were built from."""
-    return df.orderBy(row_id)
+def in_row_order(df: DataFrame, *order: str) -> DataFrame:
+    """Rows in the order of the index they were built from (``row_id``, or the given columns)."""
+    return df.orderBy(*(order or ("row_id",)))
 
 
 def quantile_edges(df: DataFrame, c: str, fractions: Sequence[float]) -> DataFrame:

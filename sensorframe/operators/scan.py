@@ -200,7 +200,7 @@ def anchored_states(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RI
                              pdf[list(V.ACC)].to_numpy(float), inner)
         head = spread(head, inner)
         q0, s0 = head[:, :4], head[:, 4:]
-        left = pdf[held].astype({"frame": "int32", "anchor_at": "int32"})
+        left = pdf[held].astype({"frame": "int64", "anchor_at": "int64"})
         return _table(left, (*Q, *S), np.concatenate(
             [_quat_mul(q0, q), s0 + _rotate(q0, s)], axis=1))
     # start states travel as one header row per block, so frames are shuffled once
@@ -239,7 +239,7 @@ def attitude_small_angle(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAU
         w = V.add(w, correction)
     names = ("_tx", "_ty", "_tz")
     cells = frames.select("rec", "frame", *V.named(V.scale(w, rig.dt), names)).withColumn(
-        "_cell", F.floor(F.col("frame") / step).cast("int"))
+        "_cell", F.floor(F.col("frame") / step).cast("bigint"))
     spec = (Window.partitionBy("rec", "_cell").orderBy("frame")
             .rowsBetween(Window.unboundedPreceding, -1))
     inside = cells.select("rec", "frame", "_cell", *[
@@ -249,7 +249,7 @@ def attitude_small_angle(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAU
         *[F.lit(0.0).alias(a) for a in V.ACC])
     anchors = cut_lineage(anchors.select("rec", "anchor_at"))
     # states are anchored at the cell that holds the anchor, then at the frame itself
-    cell_anchor = anchors.select("rec", F.floor(F.col("anchor_at") / step).cast("int")
+    cell_anchor = anchors.select("rec", F.floor(F.col("anchor_at") / step).cast("bigint")
                                  .alias("anchor_at"))
     coarse = anchored_states(totals, cell_anchor, rig, block=block).select(
         "rec", F.col("frame").alias("_cell"), *Q)
@@ -404,7 +404,7 @@ def preintegrate(frames: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
         return _table(pdf[["rec", "frame", "win_idx"]], names, np.concatenate(
             [rotvec(own), total(own), total(other)], axis=1))
     wins = with_window(frames.select("rec", "frame", *V.ACC, *V.GYR), rig)
-    schema = f"rec {_rec_type(frames)}, frame int, win_idx int, " + ", ".join(
+    schema = f"rec {_rec_type(frames)}, frame bigint, win_idx bigint, " + ", ".join(
         f"{n} double" for n in names)
     return map_groups(wins, ["rec", "win_idx"], ["frame"], run, schema)
 
@@ -466,7 +466,7 @@ def up_filter(frames: DataFrame, gain: Column | float = SLOW_GAIN, rig: Rig = DE
     last = F.floor((F.col("frame") + lead) / block)
     seeded = base.withColumn(BLOCK, F.explode(F.sequence(first, last)) if split else first)
     dt = rig.dt
-    schema = (f"rec {_rec_type(frames)}, {BLOCK} bigint, frame int, "
+    schema = (f"rec {_rec_type(frames)}, {BLOCK} bigint, frame bigint, "
               + ", ".join(f"{n} double" for n in names))
 
     def finish(pdf: pd.DataFrame, up: np.ndarray, keep: np.ndarray) -> pd.DataFrame:

@@ -92,7 +92,7 @@ def neighbourhood(frames: DataFrame, cols: Sequence[str], taps: Sequence[float],
     wanted = reach if span is None else span // 2
     t, half = rig.window, len(taps) // 2
     size = (2 * reach + 1) * t
-    packed = (frames.withColumn("win_idx", F.floor(F.col("frame") / t).cast("int"))
+    packed = (frames.withColumn("win_idx", F.floor(F.col("frame") / t).cast("bigint"))
               .groupBy("rec", "win_idx")
               .agg(F.array_sort(F.collect_list(F.struct("frame", *cols))).alias("_rows"))
               .where(F.size("_rows") == t)
@@ -124,7 +124,7 @@ def neighbourhood(frames: DataFrame, cols: Sequence[str], taps: Sequence[float],
                 pdf[n] = list(view[:, ::keep_every] @ kernel[::-1])
             yield pdf[["rec", "win_idx", *names]]
     rec_type = frames.schema["rec"].dataType.simpleString()
-    schema = f"rec {rec_type}, win_idx int, " + ", ".join(f"{n} array<double>" for n in names)
+    schema = f"rec {rec_type}, win_idx bigint, " + ", ".join(f"{n} array<double>" for n in names)
     return wide.select("rec", "win_idx", *[f"_{c}_wide" for c in cols]).mapInPandas(run, schema)
 
 
@@ -136,12 +136,12 @@ def variable_shift(frames: DataFrame, shifts: DataFrame, cols: Sequence[str],
     equi-join on (rec, frame) instead of ``lead``.
     """
     n = recording_lengths(frames)
-    step = F.bround(F.col(lag_ms) * rig.fs / 1000.0).cast("int")
+    step = F.bround(F.col(lag_ms) * rig.fs / 1000.0).cast("bigint")
     table = n.join(shifts.select("rec", step.alias("_step")), "rec", "left")
     source = frames.select("rec", F.col("frame").alias("_src"),
                            *[F.col(c).alias(f"_sh_{c}") for c in cols])
     located = frames.join(table, "rec").withColumn("_src", F.greatest(F.lit(0), F.least(
-        F.col("frame") + F.coalesce("_step", F.lit(0)), (F.col("n_frames") - 1).cast("int"))))
+        F.col("frame") + F.coalesce("_step", F.lit(0)), (F.col("n_frames") - 1).cast("bigint"))))
     moved = located.join(source, ["rec", "_src"])
     return moved.drop(*cols, "_src", "_step", "n_frames").withColumnsRenamed(
         {f"_sh_{c}": c for c in cols})
@@ -160,7 +160,7 @@ def lerp_at(points: DataFrame, frames: DataFrame, cols: Sequence[str], at: str =
                          block=block)
     n = recording_lengths(frames)
     spots = points.join(n, "rec").withColumn("frame", F.least(
-        F.floor(at), F.col("n_frames") - 2).cast("int"))
+        F.floor(at), F.col("n_frames") - 2).cast("bigint"))
     hit = spots.join(paired, ["rec", "frame"])
     part = F.col(at) - F.col("frame")
     return hit.select(*points.columns, *[

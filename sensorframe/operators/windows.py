@@ -13,7 +13,7 @@ WINDOW_BLOCK = 4096
 
 def with_window(frames: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
     """Add ``win_idx``, the fixed window a frame falls in."""
-    return frames.withColumn("win_idx", F.floor(F.col("frame") / rig.window).cast("int"))
+    return frames.withColumn("win_idx", F.floor(F.col("frame") / rig.window).cast("bigint"))
 
 
 def window_means(frames: DataFrame, cols: dict[str, Column | str], rig: Rig = DEFAULT_RIG,
@@ -69,7 +69,7 @@ def rest_reference(frames: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
                     F.coalesce("score", F.lit(SHORT_RECORDING_SCORE)).alias("score"),
                     *[F.coalesce(f"f{a}", f"_m{a}").alias(f"f{a}") for a in "xyz"],
                     F.coalesce("anchor_at", F.least(F.lit(rig.window // 2), (F.col("_len") - 1)
-                                                    .cast("int"))).alias("anchor_at")))
+                                                    .cast("bigint"))).alias("anchor_at")))
 
 
 def rest_flag(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
@@ -143,7 +143,7 @@ def sub_window_samples(windows: DataFrame, frames: DataFrame, cols: tuple[str, .
     spots = windows.join(n, "rec").withColumn("part", F.explode(F.sequence(
         F.lit(0), F.lit(parts - 1)))).withColumn("frame", F.least(
             F.col("win_idx") * rig.window + F.floor((F.col("part") + 0.5) * (rig.window / parts)),
-            F.col("n_frames") - 1).cast("int"))
+            F.col("n_frames") - 1).cast("bigint"))
     return (spots.join(frames.select("rec", "frame", *cols), ["rec", "frame"])
             .select("rec", "win_idx", "part", "frame", *cols))
 

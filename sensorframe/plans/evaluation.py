@@ -241,10 +241,11 @@ def poisson_weight(seed: int, *keys: str) -> Column:
     import math
     from sensorframe.operators.sampling import hash_uniform
     u = hash_uniform(seed, *keys)
-    total, out = 0.0, F.lit(0)
-    for i in range(12):
+    total, out, i = 0.0, F.lit(0), 0
+    while 1.0 - total > 2.0 ** -52 and i < 30:  # what lies beyond is finer than the uniform's steps
         total += math.exp(-1.0) / math.factorial(i)
         out = out + (u >= total).cast("int")
+        i += 1
     return out
 
 

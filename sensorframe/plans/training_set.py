@@ -15,7 +15,7 @@ def recording_table(frames: DataFrame, platforms: DataFrame, rig: Rig = DEFAULT_
     """rec, platform, n_frames, n_windows."""
     n = frames.groupBy("rec").agg(F.count(F.lit(1)).alias("n_frames"))
     return n.join(platforms, "rec").withColumn(
-        "n_windows", F.floor(F.col("n_frames") / rig.window).cast("int"))
+        "n_windows", F.floor(F.col("n_frames") / rig.window).cast("bigint"))
 
 
 def draw_windows(frames: DataFrame, recs: DataFrame, n_draws: int, seg_len: int = 1,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 FRAMES = T.StructType(
-    [T.StructField("rec", T.StringType(), False), T.StructField("frame", T.IntegerType(), False),
+    [T.StructField("rec", T.StringType(), False), T.StructField("frame", T.LongType(), False),
      T.StructField("ts", T.DoubleType())]
     + [T.StructField(c, T.DoubleType()) for c in (
         "ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz", "qx", "qy", "qz", "qw",
@@ -13,7 +13,7 @@ FRAMES = T.StructType(
 
 WINDOW_INDEX = T.StructType([
     T.StructField("window_id", T.StringType()), T.StructField("traj_id", T.StringType()),
-    T.StructField("win_idx", T.IntegerType()), T.StructField("platform", T.StringType())])
+    T.StructField("win_idx", T.LongType()), T.StructField("platform", T.StringType())])
 
 TARGETS = T.StructType([T.StructField("window_id", T.StringType())] + [
     T.StructField(c, T.DoubleType()) for c in ("vx", "vy", "vz")])
@@ -22,7 +22,7 @@ PREDICTION = TARGETS
 
 SOLUTION = T.StructType(
     [T.StructField("window_id", T.StringType()), T.StructField("traj_id", T.StringType()),
-     T.StructField("win_idx", T.IntegerType()), T.StructField("platform", T.StringType())]
+     T.StructField("win_idx", T.LongType()), T.StructField("platform", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in (
         "qx", "qy", "qz", "qw", "gx", "gy", "gz", "dt", "vx_gt", "vy_gt", "vz_gt")])
 

@@ -42,7 +42,7 @@ def decode_recording(content: bytes) -> dict[str, np.ndarray]:
             out[c] = a[:, i]
     if "ts" not in out and fs:
         out["ts"] = np.arange(n) / fs
-    out["frame"] = np.arange(n, dtype=np.int32)
+    out["frame"] = np.arange(n, dtype=np.int64)
     return out
 
 

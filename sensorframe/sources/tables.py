@@ -10,30 +10,52 @@ from sensorframe import schema as S
 from sensorframe.operators.relational import drop_null_columns, normalise_key
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+def lines_by_header(lines: DataFrame, wanted, marker: str) -> DataFrame:
+    """CSV lines (``value``, ``_path``) as columns, each file by its own header line.
 
-
-def _read_csv(spark: SparkSession, path: str, wanted) -> DataFrame:
-    """CSV with a header, cast by column name (order and extra columns are free)."""
-    raw = spark.read.option("header", True).csv(path)
+    The header of a file is its line with the column ``marker``. Columns may come
+    in any order and number; those of ``wanted`` (a schema) are cast, others in
+    any file are kept as text, and a column that a file lacks is null there.
+    Only the distinct header lines are looked at on the driver.
+    """
+    clean = lambda c: F.regexp_replace(c, "[\r\ufeff]", "")
+    is_header = F.array_contains(F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '"', ""))), marker)
+    lines = lines.withColumn("value", clean(F.col("value")))
+    heads = lines.where(is_header).select("_path", F.col("value").alias("_head")).distinct()
+    layouts = [r[0] for r in heads.select("_head").distinct().orderBy("_head").collect()]
+    named = {h: [c.strip().strip('"') for c in h.split(",")] for h in layouts}
     types = {f.name: f.dataType for f in wanted.fields}
-    return raw.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in types
-                        else F.col(f"`{c}`") for c in raw.columns])
+    names = list(dict.fromkeys([*types, *[c for h in layouts for c in named[h]]]))
+    rows = lines.where(~is_header & (F.trim("value") != "")).join(heads, "_path")
+    parsed = {h: F.from_csv("value", ", ".join(f"`{c}` STRING" for c in named[h])) for h in layouts}
+
+    def column(c):
+        found = F.lit(None).cast("string")
+        for h in layouts:
+            if c in named[h]:
+                found = F.when(F.col("_head") == h, parsed[h][c]).otherwise(found)
+        return (found.cast(types[c]) if c in types else found).alias(c)
+    return rows.select("_path", *[column(c) for c in names])
+
+
+def _read_csv(spark: SparkSession, path, wanted, marker: str | None = None) -> DataFrame:
+    """CSV files read by column name; the first wanted column marks the header."""
+    lines = spark.read.text(path).withColumn("_path", F.input_file_name())
+    return lines_by_header(lines, wanted, marker or wanted.fields[0].name)
 
 
 def read_window_index(spark: SparkSession, path: str) -> DataFrame:
     """Window index with clean recording ids; columns without any value are left out."""
-    df = drop_null_columns(_read_csv(spark, path, S.WINDOW_INDEX))
+    df = drop_null_columns(_read_csv(spark, path, S.WINDOW_INDEX).drop("_path"))
     return df.withColumn("rec", normalise_key("traj_id")).drop("traj_id")
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, S.TARGETS)
+    return _read_csv(spark, path, S.TARGETS).drop("_path")
 
 
 def read_prediction(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, S.PREDICTION)
+    return _read_csv(spark, path, S.PREDICTION).drop("_path")
 
 
 def read_frames(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -48,8 +70,7 @@ def read_runs(spark: SparkSession, paths: Sequence[str], tag_pattern: str,
 
     Runs with another number of rows than ``expected_rows`` are left out.
     """
-    raw = (spark.read.option("header", True).schema(S.PREDICTION).csv(list(paths))
-           .withColumn("_path", F.input_file_name()))
+    raw = _read_csv(spark, list(paths), S.PREDICTION).select("_path", *S.PREDICTION.names)
     df = raw.withColumn("tag", F.regexp_extract("_path", tag_pattern, 1)).withColumn(
         "origin", F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1)).drop("_path")
     if expected_rows is None:

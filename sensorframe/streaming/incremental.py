@@ -10,6 +10,7 @@ from sensorframe import schema as S
 from sensorframe.functions import vec as V
 from sensorframe.operators.relational import fold_of_tag
 from sensorframe.params import DEFAULT_RIG, Rig
+from sensorframe.sources.tables import lines_by_header
 
 
 def collect_results(spark: SparkSession, folder: str, checkpoint: str, folds: dict[str, str],
@@ -20,11 +21,17 @@ def collect_results(spark: SparkSession, folder: str, checkpoint: str, folds: di
     The stream's checkpoint remembers seen files. Each batch carries the run
     tag (from the file name) and the fold its prefix is judged on.
     """
-    stream = (spark.readStream.schema(S.PREDICTION).option("header", True)
-              .option("maxFilesPerTrigger", files_per_trigger).csv(folder)
-              .withColumn("tag", F.regexp_extract(F.input_file_name(), tag_pattern, 1)))
-    tagged = stream.withColumn("fold", fold_of_tag("tag", folds))
-    return (tagged.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
+    lines = (spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
+             .withColumn("_path", F.input_file_name()))
+
+    def named(batch: DataFrame, batch_id: int) -> None:
+        # a batch holds whole files, so each file's header is among its lines
+        batch = batch.persist()
+        rows = lines_by_header(batch, S.PREDICTION, S.PREDICTION.names[0])
+        tagged = rows.select(*S.PREDICTION.names, F.regexp_extract("_path", tag_pattern, 1).alias("tag"))
+        evaluate(tagged.withColumn("fold", fold_of_tag("tag", folds)), batch_id)
+        batch.unpersist()
+    return (lines.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

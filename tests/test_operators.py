@@ -100,20 +100,34 @@ def test_prefix_sums_use_every_level(frames, table):
         assert np.allclose(v[:, 0], np.cumsum(table[table.rec == r]["ax"]))
 
 
-@pytest.mark.parametrize("small_group", [0, 10_000])
-def test_percentiles(spark, small_group):
+def test_percentiles(spark):
     rng = np.random.default_rng(0)
     v = np.concatenate([rng.normal(size=3000), np.full(1000, 0.5), [0.0, -0.0], -np.exp(
         rng.normal(size=50) * 5)])
     data = pd.DataFrame({"k": ["hot"] * len(v) + ["few"] * 3, "v": [*v, 1.0, 2.0, 4.0]})
     qs = [0.0, 0.05, 0.37, 0.5, 0.9, 1.0]
-    got = B.percentiles(spark.createDataFrame(data), ["k"], {"v": (F.col("v"), qs)},
-                        small_group).collect()
+    got = B.percentiles(spark.createDataFrame(data), ["k"], {"v": (F.col("v"), qs)}).collect()
     for row in got:
         want = np.percentile(data[data.k == row["k"]]["v"], np.array(qs) * 100)
         assert [row[B.percentile_name("v", q)] for q in qs] == pytest.approx(list(want))
 
 
+def test_percentiles_keep_every_group(spark):
+    """All-NaN groups, null keys, infinite values and values crowded in a narrow range."""
+    rng = np.random.default_rng(1)
+    crowd = np.concatenate([9.81 + rng.uniform(-0.002, 0.002, 4950), rng.normal(size=50)])
+    rows = [("crowd", float(x)) for x in crowd] + [("nan", float("nan")), ("nan", None), (None, 3.0), (None, 5.0)]
+    rows += [("inf", float("inf")), ("inf", float("-inf")), ("inf", 1.0), ("one", float("inf"))]
+    qs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = {r["k"]: [r[B.percentile_name("v", q)] for q in qs] for r in B.percentiles(
+        spark.createDataFrame(rows, "k string, v double"), ["k"], {"v": (F.col("v"), qs)}).collect()}
+    assert got.keys() == {"crowd", "nan", None, "inf", "one"}
+    assert got["crowd"] == pytest.approx(list(np.quantile(crowd, qs)), abs=1e-12)
+    assert got["nan"] == [None] * 5 and got[None] == [3.0, 3.5, 4.0, pytest.approx(4.98), 5.0]
+    assert got["inf"][0] == float("-inf") and got["inf"][2] == 1.0 and got["inf"][4] == float("inf")
+    assert got["one"] == [float("inf")] * 5
+
+
 def test_number_rows_and_top_k(spark):
     rng = np.random.default_rng(3)
     data = pd.DataFrame({"k": ["a"] * 300 + ["b"] * 5, "t": rng.permutation(305)})

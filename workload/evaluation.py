@@ -289,16 +289,16 @@ def estimator_duel(spark, d):
     return E.estimator_duel(both, F.col("win_idx") % 4 == 0, 0.01)
 
 
-@query("error_by_distance", "rec:bigint", "err_near err_mid err_far", f"""{Q.EVAL},
-{Q.SCORES}, {Q.ANCHOR}, aw AS (SELECT er.rec, err, abs(win_idx - anchor_win) AS away
-FROM er JOIN an ON er.rec = an.rec WHERE tag = 'alpha_s1')
-SELECT rec, avg(err) FILTER (away < 2) AS err_near, avg(err) FILTER (away >= 2 AND away < 5)
-       AS err_mid, avg(err) FILTER (away >= 5) AS err_far FROM aw GROUP BY rec""")
+@query("error_by_distance", "rec:bigint tag:string", "err_near err_mid err_far", f"""{Q.EVAL},
+{Q.SCORES}, {Q.ANCHOR}, aw AS (SELECT er.rec, tag, err, abs(win_idx - anchor_win) AS away
+FROM er JOIN an ON er.rec = an.rec)
+SELECT rec, tag, avg(err) FILTER (away < 2) AS err_near, avg(err) FILTER (away >= 2 AND away < 5)
+       AS err_mid, avg(err) FILTER (away >= 5) AS err_far FROM aw GROUP BY rec, tag""")
 def error_by_distance(spark, d):
-    e = I.errors(spark, d).where(F.col("tag") == "alpha_s1")
+    e = I.errors(spark, d)
     a = W.rest_anchor(sensor_view(spark, d), I.RIG).select("rec", "anchor_win")
     away = e.join(a, "rec").withColumn("away", F.abs(F.col("win_idx") - F.col("anchor_win")))
-    return E.error_by_distance(away, edges=(2, 5))
+    return E.error_by_distance(away, edges=(2, 5), keys=("rec", "tag"))
 
 
 _TILT = "degrees(acos(least(1, greatest(-1, az / greatest(sqrt(ax*ax + ay*ay + az*az), 1e-9)))))"

@@ -45,7 +45,7 @@ def feature_channels(spark, d):
 
 
 def _index(spark, d):
-    return I.truth(spark, d).where(F.col("rec") % 2 == 0).select(
+    return I.truth(spark, d).select(
         F.format_string("w%d_%d", "rec", "win_idx").alias("window_id"), "rec", "win_idx")
 
 
@@ -54,7 +54,7 @@ cm AS (SELECT cw.rec, start, avg(ax) AS m FROM cw JOIN wm USING (rec, win_idx) G
 cs AS (SELECT cw.*, 1 - abs(off - (len - 1) / 2.0) / (len / 2.0 + 1) AS g, ax - m AS vx, ay + m AS vy, wz * off AS vz
 FROM cw JOIN wm USING (rec, win_idx) JOIN cm USING (rec, start))
 SELECT 'w' || rec || '_' || win_idx AS window_id, sum(g*vx)/sum(g) AS vx, sum(g*vy)/sum(g) AS vy, sum(g*vz)/sum(g) AS vz
-FROM cs WHERE rec % 2 = 0 GROUP BY rec, win_idx""")
+FROM cs GROUP BY rec, win_idx""")
 def batch_inference(spark, d):
     """Index to predictions: features, chunks, a model, stitching by weighted mean."""
     def model(x, lengths):
@@ -93,7 +93,7 @@ def baseline_fit(spark, d):
 
 
 @query("materialised_targets", "window_id:string", "vx vy vz",
-       f"{Q.WINDOWS} SELECT 'w' || rec || '_' || win_idx AS window_id, vx, vy, vz FROM wm WHERE rec % 2 = 0")
+       f"{Q.WINDOWS} SELECT 'w' || rec || '_' || win_idx AS window_id, vx, vy, vz FROM wm")
 def materialised_targets(spark, d):
     """A feature table keyed by its index: written by the first call, found by the second."""
     index, root = _index(spark, d), scratch_path(spark, "features")
@@ -191,11 +191,11 @@ def stream_rest_scores(spark, d):
 
 
 @query("content_md5", "text:string n:bigint", "",
-       "SELECT md5(url) AS text, count(*) AS n FROM pages GROUP BY 1")
+       "SELECT md5(coalesce(url, '') || chr(10) || coalesce(html, '')) AS text, count(*) AS n FROM pages GROUP BY 1")
 def content_md5(spark, d):
     """Content fingerprints, counted to find repeats."""
     from sensorframe.sources.views import load
-    return load(spark, d, "pages").groupBy(F.md5(F.col("url").cast("binary")).alias("text")).agg(
+    return load(spark, d, "pages").groupBy(F.md5(F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))).cast("binary")).alias("text")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from sensorframe.session import cut_lineage
 from sensorframe.functions import vec as V
 from sensorframe.operators import relational as R
 from sensorframe.operators import summary as S
@@ -25,16 +26,13 @@ def platform_ids(spark, d):
     return platforms(spark, d).withColumn("platform_id", R.platform_id("platform", ids))
 
 
-@query("key_normalise", "vec_id:bigint rec:string short:string sequence:int variant:string", "",
-       """SELECT vec_id, replace('a_' || lpad(CAST(vec_id AS VARCHAR), 4, '0') || '.npz', '.npz', '')
-       AS rec, right('a_' || lpad(CAST(vec_id AS VARCHAR), 4, '0'), 4) AS short,
-       CAST(right('a_' || lpad(CAST(vec_id AS VARCHAR), 4, '0'), 4) AS INTEGER) + 1 AS sequence,
+@query("key_normalise", "vec_id:bigint rec:string short:string sequence:bigint variant:string", "",
+       """SELECT vec_id, 'a_' || CAST(vec_id AS VARCHAR) AS rec, CAST(vec_id AS VARCHAR) AS short, vec_id + 1 AS sequence,
        'run' || CAST(label AS VARCHAR) || 'w_s' || CAST(vec_id AS VARCHAR) AS variant
 FROM embeddings""")
 def key_normalise(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", "label")
-    named = e.withColumn("file", F.concat(F.lit("a_"), F.lpad(F.col("vec_id").cast("string"), 4, "0"),
-                                          F.lit(".npz")))
+    named = e.withColumn("file", F.concat(F.lit("a_"), F.col("vec_id").cast("string"), F.lit(".npz")))
     rec = R.normalise_key("file")
     tag = F.concat(F.lit("run"), F.col("label").cast("string"), F.lit("_s"),
                    F.col("vec_id").cast("string"))
@@ -43,17 +41,16 @@ def key_normalise(spark, d):
                         .alias("variant"))
 
 
-@query("sequence_join", "rec:bigint sequence:int tag:string", "ave", f"""{Q.EVAL}
-SELECT rec, CAST(rec AS INTEGER) + 1 AS sequence, tag, avg(err) AS ave FROM er
-WHERE tag = 'alpha_s1' GROUP BY 1, 2, 3""")
+@query("sequence_join", "rec:bigint sequence:bigint tag:string", "ave", f"""{Q.EVAL}
+SELECT rec, rec + 1 AS sequence, tag, avg(err) AS ave FROM er GROUP BY 1, 2, 3""")
 def sequence_join(spark, d):
     """Published per-sequence errors joined back to recordings by id = index + 1."""
-    e = I.errors(spark, d).where(F.col("tag") == "alpha_s1")
-    published = e.groupBy("tag", (F.col("rec").cast("int") + 1).alias("sequence")).agg(
+    e = I.errors(spark, d)
+    published = e.groupBy("tag", (F.col("rec") + 1).alias("sequence")).agg(
         F.avg("err").alias("ave"))
     recs = I.truth(spark, d).select("rec").distinct().withColumn(
-        "name", F.format_string("seq_%06d", "rec")).withColumn(
-        "sequence", R.short_id("name", 6).try_cast("int") + 1)
+        "name", F.concat(F.lit("seq_"), F.col("rec").cast("string"))).withColumn(
+        "sequence", R.sequence_id("name"))
     return recs.join(published, "sequence").select("rec", "sequence", "tag", "ave")
 
 
@@ -230,15 +227,14 @@ def variable_shift_query(spark, d):
 
 
 @query("window_slices", "rec:bigint win_idx:int n:bigint", "first_ax last_ax", f"""{Q.BASE}, {Q.MEANS},
-wk AS (SELECT rec, win_idx FROM wm WHERE win_idx % 2 = 0)
+wk AS (SELECT rec, win_idx FROM wm)
 SELECT wk.rec, wk.win_idx, count(*) AS n, max(ax) FILTER (frame % 50 = 0) AS first_ax,
        max(ax) FILTER (frame % 50 = 49) AS last_ax
 FROM wk JOIN sv ON sv.rec = wk.rec AND frame >= win_idx * 50 AND frame < win_idx * 50 + 50
 GROUP BY 1, 2""")
 def window_slices(spark, d):
     f = sensor_view(spark, d).select("rec", "frame", "ax")
-    wins = W.with_window(f, I.RIG).select("rec", "win_idx").distinct().where(
-        F.col("win_idx") % 2 == 0)
+    wins = I.truth(spark, d).select("rec", "win_idx")
     s = W.window_slices(wins, f, I.RIG)
     at = F.col("frame") % I.RIG.window
     return s.groupBy("rec", "win_idx").agg(
@@ -298,10 +294,16 @@ def best_run(spark, d):
 
 
 @query("row_order", "row_id:bigint rec:bigint win_idx:int", "vx", f"""{Q.WINDOWS}
-SELECT rec * 100000 + win_idx AS row_id, rec, win_idx, vx FROM wm""")
+SELECT row_number() OVER (ORDER BY rec, win_idx) - 1 AS row_id, rec, win_idx, vx FROM wm""")
 def row_order(spark, d):
-    return R.in_row_order(I.truth(spark, d).withColumn(
-        "row_id", F.col("rec") * 100000 + F.col("win_idx")))
+    """The place of every row in the ordered table, read off its partitions."""
+    placed = R.in_row_order(I.truth(spark, d), "rec", "win_idx").withColumn("_at", F.monotonically_increasing_id())
+    placed = cut_lineage(placed.withColumn("_part", F.shiftright("_at", 33)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").count().select(
+        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, "_part").withColumn(
+        "row_id", F.col("_start") + F.col("_at") - F.shiftleft("_part", 33))
 
 
 @query("union_splits", "split:string n:bigint n_distinct:bigint", "", f"""{Q.WINDOWS},

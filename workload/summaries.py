@@ -123,7 +123,7 @@ def histogram_percentiles(spark, d):
     from sensorframe.operators.blocks import percentiles
     return percentiles(sensor_view(spark, d), ["rec"], {
         "a": (V.norm(V.vec(*V.ACC)), [0.1, 0.5, 0.99]), "vx": (F.col("vx"), [0.25]),
-        "wz": (F.col("wz"), [0.75])}, small_group=0)
+        "wz": (F.col("wz"), [0.75])})
 
 
 @query("drag_slope", "rec:bigint n_moving:bigint", "slope", f"""{Q.REST}, {Q.MEANS},
@@ -142,8 +142,7 @@ def drag_slope(spark, d):
 
 
 @query("channel_scales", "channel:string", "mean std", f"""{Q.WINDOWS},
-pk AS (SELECT rec, win_idx FROM wm ORDER BY {Q.uniform('0', 'rec', 'win_idx')}, rec, win_idx LIMIT 20000),
-u AS (SELECT sv.* FROM sv JOIN pk ON sv.rec = pk.rec AND CAST(floor(frame / 50) AS INTEGER) = pk.win_idx)
+u AS (SELECT sv.* FROM sv JOIN wm ON sv.rec = wm.rec AND CAST(floor(frame / 50) AS INTEGER) = wm.win_idx)
 SELECT 'ax' AS channel, avg(ax) AS mean, greatest(stddev_samp(ax), 1e-6) AS std FROM u
 UNION ALL SELECT 'wz', avg(wz), greatest(stddev_samp(wz), 1e-6) FROM u UNION ALL SELECT 'vx', 0.0, 5.0""")
 def channel_scales(spark, d):
