@@ -205,22 +205,24 @@ def time_dilation(spark, d):
 _KERNEL = ", ".join(f"({i}, CAST({h!r} AS DOUBLE))" for i, h in enumerate(fir_taps(63, 0.125)))
 
 
-@query("antialias_dilation", "draw_id:bigint rec:bigint n:bigint", "ax vx ax_late", f"""{_RATED}, {_SPOTS},
+@query("antialias_dilation", "draw_id:bigint rec:bigint n:bigint", "ax vx ax_late vx_late", f"""{_RATED}, {_SPOTS},
 tp AS (SELECT * FROM (VALUES {_KERNEL}) AS t(m, h)),
 gr AS (SELECT draw_id, dl.rec, k, t, h, least(greatest(base + k * (4*t + m - 31) / 4.0, 0), usable - 1) AS p, usable FROM dl, unnest(range(len * 50)) AS r(t), tp WHERE k > 1.02),
 gi AS (SELECT *, least(CAST(floor(p) AS INTEGER), CAST(usable AS INTEGER) - 2) AS i FROM gr),
-fi AS (SELECT draw_id, gi.rec, t, sum(h * (a.ax * (1 - (p - i)) + b.ax * (p - i))) AS ax, sum(h * (a.vx * (1 - (p - i)) + b.vx * (p - i))) AS vx
+fi AS (SELECT draw_id, gi.rec, t, sum(h * (a.ax * (1 - (p - i)) + b.ax * (p - i))) AS ax
 FROM gi JOIN sv a ON a.rec = gi.rec AND a.frame = i JOIN sv b ON b.rec = gi.rec AND b.frame = i + 1 GROUP BY 1, 2, 3),
-al AS (SELECT * FROM fi UNION ALL SELECT draw_id, ix.rec, t, {_LERP['ax']} AS ax, {_LERP['vx']} AS vx
-FROM ix JOIN sv a ON a.rec = ix.rec AND a.frame = i JOIN sv b ON b.rec = ix.rec AND b.frame = i + 1 WHERE k <= 1.02)
-SELECT draw_id, rec, count(*) AS n, avg(ax) AS ax, avg(vx) AS vx, avg(ax * (t % 11)) AS ax_late FROM al GROUP BY 1, 2""", digits=5)
+lp AS (SELECT draw_id, ix.rec, t, k, {_LERP['ax']} AS ax, {_LERP['vx']} AS vx
+FROM ix JOIN sv a ON a.rec = ix.rec AND a.frame = i JOIN sv b ON b.rec = ix.rec AND b.frame = i + 1),
+al AS (SELECT lp.draw_id, lp.rec, lp.t, CASE WHEN k <= 1.02 THEN lp.ax ELSE fi.ax END AS ax, vx
+FROM lp LEFT JOIN fi ON fi.draw_id = lp.draw_id AND fi.rec = lp.rec AND fi.t = lp.t)
+SELECT draw_id, rec, count(*) AS n, avg(ax) AS ax, avg(vx) AS vx, avg(ax * (t % 11)) AS ax_late, avg(vx * (t % 11)) AS vx_late FROM al GROUP BY 1, 2""", digits=5)
 def antialias_dilation(spark, d):
     f, recs = _stored(spark, d)
     placed = cut_lineage(_dilated(spark, d, recs))
     f = M.smooth_dilated_frames(placed, f, ("ax", "vx"), rig=I.RIG)
     return f.groupBy("draw_id", "rec").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ax").alias("ax"), F.avg("vx").alias("vx"),
-        F.avg(F.col("ax") * (F.col("t") % 11)).alias("ax_late"))
+        F.avg(F.col("ax") * (F.col("t") % 11)).alias("ax_late"), F.avg(F.col("vx") * (F.col("t") % 11)).alias("vx_late"))
 
 
 _K3 = ("kx", "ky", "kz")
