@@ -3,17 +3,18 @@
 Rotations and rotated force sums form one associative state: every block is
 reduced to one row, the block rows are combined in levels, and each block is
 replayed from its start state, so a recording of any length is spread over
-tasks. The up-direction filters are true recursions; they run block by block
-with a warm-up, every hand-over between blocks is checked, and blocks whose
-start state was off are run again from the right state until all agree.
+tasks. The up-direction filters are true recursions; their blocks run from
+guessed starts with the derivative of the end by the start, and the true starts
+are solved over all blocks at once until they stand still.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorframe.functions import vec as V
@@ -22,7 +23,7 @@ from sensorframe.operators.grouped import map_groups, positions, running_sum, sp
 from sensorframe.operators.windows import rest_reference, with_window
 from sensorframe.params import (ADAPTIVE_GAIN, ADAPTIVE_SIGMA, DEFAULT_RIG, GYRO_AXIS_MAP,
                                 SLOW_GAIN, VELOCITY_SQUASH, Rig)
-from sensorframe.session import cut_lineage
+from sensorframe.session import cut_lineage, scratch_path
 
 ROTATION = V.mat_cols("r")
 SCAN_BLOCK = 4096
@@ -410,108 +411,202 @@ def preintegrate(frames: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
 
 
 # ---------------------------------------------------------------------- up filters
-def _filter_block(a: np.ndarray, w: np.ndarray, gain: np.ndarray, dt: float, state):
-    """Run the up recursion over one block; ``state`` is (up, last rate) or None."""
-    out = np.empty((len(a), 3))
-    n = np.sqrt((a * a).sum(1))
-    ang = np.sqrt((w * w).sum(1)) * dt
-    safe = np.maximum(ang, 1e-300)
-    axis, cos, sin = w * dt / safe[:, None], np.cos(ang), np.sin(ang)
-    if state is None:
-        x, y, z = a[0] / n[0] if n[0] > 1e-6 else (0.0, 0.0, 1.0)
-        turn = None
-    else:
-        (x, y, z), turn = state
-    al, nl, gl = a.tolist(), n.tolist(), gain.tolist()
-    axl, cl, sl, anl = axis.tolist(), cos.tolist(), sin.tolist(), ang.tolist()
-    for k in range(len(al)):
-        if turn is not None:
-            (p, q, r), c, s, t = turn
-            if t > 1e-9:
-                d = (p * x + q * y + r * z) * (1 - c)
-                x, y, z = (x * c - (q * z - r * y) * s + p * d,
-                           y * c - (r * x - p * z) * s + q * d,
-                           z * c - (p * y - q * x) * s + r * d)
-        if nl[k] > 1e-6:
-            g = gl[k]
-            h = g / nl[k]
-            f = al[k]
-            x, y, z = (1 - g) * x + h * f[0], (1 - g) * y + h * f[1], (1 - g) * z + h * f[2]
-            m = math.sqrt(x * x + y * y + z * z)
-            x, y, z = x / m, y / m, z / m
-        out[k] = x, y, z
-        turn = (axl[k], cl[k], sl[k], anl[k])
-    return out
+# One step of the filter is u' = unit((1 - g) R u + g f), with R the turn of the
+# frame before, f the force direction and g the gain: a map of u that depends on
+# the frame alone. A block of frames is thus a map from its start state to its
+# end. Blocks are run from guessed starts, together with the derivative of the
+# end by the start; the true starts then solve a linear chain of blocks, which is
+# composed like any running state. That is Newton's method on the starts: the
+# number of rounds depends on how far the guesses are off, not on how many blocks
+# there are.
+UP_BLOCK, UP_CHAIN = 1024, 1024
+
+
+def _step_maps(values: np.ndarray, lead: np.ndarray, dt: float):
+    """M, c and a flag per frame: a step is u' = M u + c, made unit where the flag is set.
+
+    ``values``: force, rate, gain (blocks x frames x 7), NaN beyond a block's end;
+    ``lead``: the rate of the frame before the block, NaN for a recording's first.
+    """
+    f, w, g = values[..., :3], values[..., 3:6], values[..., 6]
+    size = np.linalg.norm(f, axis=-1)
+    forced = size > 1e-6
+    gain = np.where(forced, g, 0.0)
+    c = gain[..., None] * f / np.where(forced, size, 1.0)[..., None]
+    rate = np.concatenate([lead[:, None], w[:, :-1]], axis=1) * dt
+    angle = np.linalg.norm(rate, axis=-1)
+    turned = angle > 1e-9
+    k = rate / np.where(turned, angle, 1.0)[..., None]
+    cross = np.zeros((*angle.shape, 3, 3))
+    for i, j, part, sign in ((0, 1, 2, -1), (0, 2, 1, 1), (1, 2, 0, -1)):
+        cross[..., i, j], cross[..., j, i] = sign * k[..., part], -sign * k[..., part]
+    # the body turned by the rate, so the direction turns back
+    turn = np.eye(3) - np.sin(angle)[..., None, None] * cross + (1 - np.cos(angle))[..., None, None] * (cross @ cross)
+    turn = np.where((turned & ~np.isnan(angle))[..., None, None], turn, np.eye(3))
+    m = (1 - gain)[..., None, None] * turn
+    gone = np.isnan(g)  # padding: the state stays
+    m[gone], c[gone] = np.eye(3), 0.0
+    return m, c, forced & ~gone
+
+
+def _run_blocks(m: np.ndarray, c: np.ndarray, forced: np.ndarray, start: np.ndarray, states: bool):
+    """All blocks step by step, side by side: every state, or the end and its derivative by the start."""
+    u, slope = start.copy(), np.broadcast_to(np.eye(3), (len(start), 3, 3)).copy()
+    out = np.empty((*c.shape[:2], 3)) if states else None
+    for t in range(c.shape[1]):
+        y = (m[:, t] @ u[..., None])[..., 0] + c[:, t]
+        size = np.where(forced[:, t], np.linalg.norm(y, axis=1), 1.0)[:, None]
+        u = y / size
+        if states:
+            out[:, t] = u
+        else:
+            slope = (m[:, t] @ slope) / size[..., None]
+            along = (u[:, None] @ slope)[:, 0]
+            slope -= np.where(forced[:, t], 1.0, 0.0)[:, None, None] * u[..., None] * along[:, None]
+    return out if states else (u, slope)
+
+
+def _packed_blocks(frames: DataFrame, gain: Column, block: int) -> DataFrame:
+    """One row per recording and block: its frames in order, and the rate of the frame before."""
+    at = F.col("frame")
+    row = frames.select("rec", "frame", *V.ACC, *V.GYR, gain.cast("double").alias("g"),
+                        F.explode(F.sequence(F.floor(at / block), F.floor((at + 1) / block))).alias(BLOCK))
+    own = F.floor(at / block) == F.col(BLOCK)
+    one = F.struct("frame", *[F.col(c).cast("double").alias(c) for c in (*V.ACC, *V.GYR)], "g")
+    lead = F.max(F.when(~own, F.array(*[F.col(c).cast("double") for c in V.GYR])))
+    packs = row.groupBy("rec", BLOCK).agg(F.array_sort(F.collect_list(F.when(own, one))).alias("rows"), lead.alias("lead"))
+    packs = packs.where(F.size("rows") > 0)
+    path = scratch_path(frames.sparkSession, "blocks")
+    packs.write.parquet(path)
+    return frames.sparkSession.read.schema(packs.schema).parquet(path)
+
+
+def _opened_blocks(b: pa.RecordBatch, dt: float):
+    """Step maps of a batch of blocks, their lengths and frame numbers."""
+    rows = b.column("rows")
+    n = rows.value_lengths().to_numpy()
+    flat = rows.flatten()
+    values = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in (*V.ACC, *V.GYR, "g")], axis=1)
+    block = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.full((len(n), int(n.max()), 7), np.nan)
+    wide[block, place] = values
+    lead = np.array([[np.nan] * 3 if x is None else x for x in b.column("lead").to_pylist()], float)
+    return _step_maps(wide, lead, dt), block, place, flat.field("frame")
+
+
+def _guesses(rows: Column) -> Column:
+    """A block's guessed start: the force direction of its first frame."""
+    f = V.vec(*[rows[0][c] for c in V.ACC])
+    n = V.norm(f)
+    return F.when(n > 1e-6, F.array(*[x / n for x in f])).otherwise(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+
+
+def _chain(ends: DataFrame, rec_type: str, chain: int) -> DataFrame:
+    """Starts that fit the linearised blocks: ``rec``, block, ``start``, and how far each moved (``gap``).
+
+    ``ends``: start, end and slope of every block. Runs of ``chain`` blocks shrink
+    to one affine map each, the maps are walked per recording, and every run is
+    walked again from its true start.
+    """
+    def affine(pdf):
+        s, e = (np.stack(pdf[c].to_numpy()) for c in ("start", "end"))
+        j = np.stack(pdf["slope"].to_numpy()).reshape(-1, 3, 3)
+        return s, j, e - (j @ s[..., None])[..., 0]
+
+    def shrink(pdf, bounds):
+        _, j, c = affine(pdf)
+        out = []
+        for p, q in zip(bounds[:-1], bounds[1:]):
+            m, v = np.eye(3), np.zeros(3)
+            for i in range(p, q):
+                m, v = j[i] @ m, j[i] @ v + c[i]
+            out.append((pdf["rec"].iat[p], pdf["run"].iat[p], m.ravel(), v, pdf["start"].iat[p]))
+        return pd.DataFrame(out, columns=["rec", "run", "m", "v", "start"])
+
+    def walk(pdf, bounds):
+        out = []
+        for p, q in zip(bounds[:-1], bounds[1:]):
+            x = np.array(pdf["start"].iat[p])  # the first block of a recording starts as it must
+            for i in range(p, q):
+                out.append((pdf["rec"].iat[i], pdf["run"].iat[i], x))
+                x = pdf["m"].iat[i].reshape(3, 3) @ x + pdf["v"].iat[i]
+        return pd.DataFrame(out, columns=["rec", "run", "begin"])
+
+    def replay(pdf, bounds):
+        s, j, c = affine(pdf)
+        new = np.empty_like(s)
+        for p, q in zip(bounds[:-1], bounds[1:]):
+            x = np.array(pdf["begin"].iat[p])
+            for i in range(p, q):
+                new[i] = x
+                x = j[i] @ x + c[i]
+        size = np.linalg.norm(new, axis=1, keepdims=True)
+        new = new / np.where(size > 1e-12, size, 1.0)
+        return pd.DataFrame({"rec": pdf["rec"], BLOCK: pdf[BLOCK], "start": list(new), "gap": np.abs(new - s).max(axis=1)})
+
+    runs = ends.withColumn("run", F.floor(F.col(BLOCK) / chain))
+    maps = map_groups(runs, ["rec", "run"], [BLOCK], shrink,
+                      f"rec {rec_type}, run bigint, m array<double>, v array<double>, start array<double>")
+    begins = map_groups(maps, ["rec"], ["run"], walk, f"rec {rec_type}, run bigint, begin array<double>")
+    return map_groups(runs.join(begins, ["rec", "run"]), ["rec", "run"], [BLOCK], replay,
+                      f"rec {rec_type}, {BLOCK} bigint, start array<double>, gap double")
+
+
+def up_starts(packs: DataFrame, rig: Rig, tolerance: float,
+              chain: int = UP_CHAIN) -> tuple[DataFrame, int]:
+    """The true start state of every block, and how many rounds it took.
+
+    A few rounds usually do. As each round hands one more exact start along the
+    chain, there can never be more of them than blocks.
+    """
+    rec_type = packs.schema["rec"].dataType.simpleString()
+    dt = rig.dt
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                (m, c, forced), *_ = _opened_blocks(b, dt)
+                start = np.array(b.column("start").to_pylist(), float)
+                end, slope = _run_blocks(m, c, forced, start, False)
+                yield pa.RecordBatch.from_arrays([b.column("rec"), b.column(BLOCK), b.column("start"), *[
+                    pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.float64())) for x in (end, slope)]],
+                    ["rec", BLOCK, "start", "end", "slope"])
+
+    starts = packs.select("rec", BLOCK, _guesses(F.col("rows")).alias("start"))
+    for n in count(1):
+        ends = packs.join(starts.select("rec", BLOCK, "start"), ["rec", BLOCK]).mapInArrow(
+            run, f"rec {rec_type}, {BLOCK} bigint, start array<double>, end array<double>, slope array<double>")
+        starts = cut_lineage(_chain(cut_lineage(ends), rec_type, chain))
+        if (starts.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+            return starts, n
 
 
 def up_filter(frames: DataFrame, gain: Column | float = SLOW_GAIN, rig: Rig = DEFAULT_RIG,
-              block: int = 65536, warm_up: int = 8192, tolerance: float = 1e-9,
-              name: str = "u") -> DataFrame:
+              block: int = UP_BLOCK, tolerance: float = 1e-9, name: str = "u") -> DataFrame:
     """Filtered up direction <name>x, <name>y, <name>z for every frame.
 
-    Each step turns the direction by the last gyro reading, moves it toward the
-    measured force by ``gain`` and renormalises. That order matters, so a block
-    starts ``warm_up`` frames early from the force direction. Then every block's
-    start is compared with the end of the block before; blocks that differ by
-    more than ``tolerance`` are run again from the true state, until none differ.
-    Recordings that fit one block need no check at all.
+    Each step turns the direction by the gyro reading before, moves it toward the
+    measured force by ``gain`` and makes it unit. Frames are packed into blocks
+    once; the blocks' start states are solved (``up_starts``) to ``tolerance``, and
+    a last pass writes all states. Every recording takes the same way.
     """
     gain = gain if isinstance(gain, Column) else F.lit(float(gain))
     names = [f"{name}{c}" for c in "xyz"]
-    base = frames.select("rec", "frame", *V.ACC, *V.GYR, gain.alias("_gain"))
-    longest = base.agg(F.max("frame")).first()[0]
-    split = longest is not None and longest >= block
-    lead = warm_up if split else 0
-    first = F.floor(F.col("frame") / block)
-    last = F.floor((F.col("frame") + lead) / block)
-    seeded = base.withColumn(BLOCK, F.explode(F.sequence(first, last)) if split else first)
+    packs = _packed_blocks(frames, gain, block)
+    starts, _ = up_starts(packs, rig, tolerance)
     dt = rig.dt
-    schema = (f"rec {_rec_type(frames)}, {BLOCK} bigint, frame bigint, "
-              + ", ".join(f"{n} double" for n in names))
-
-    def finish(pdf: pd.DataFrame, up: np.ndarray, keep: np.ndarray) -> pd.DataFrame:
-        return _table(pdf.loc[keep, ["rec", BLOCK, "frame"]], names, up[keep])
-
-    def first_run(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        a, w = pdf[list(V.ACC)].to_numpy(float), pdf[list(V.GYR)].to_numpy(float)
-        g = pdf["_gain"].to_numpy(float)
-        up = np.concatenate([_filter_block(a[i:j], w[i:j], g[i:j], dt, None)
-                             for i, j in zip(bounds[:-1], bounds[1:])])
-        # one warm-up row is kept: it is the state the block started from
-        return finish(pdf, up, (pdf["frame"] >= pdf[BLOCK] * block - 1).to_numpy())
-
-    done = map_groups(seeded, ["rec", BLOCK], ["frame"], first_run, schema)
-    if not split:
-        return done.drop(BLOCK)
-    done = cut_lineage(done)
-    while True:
-        own = F.floor(F.col("frame") / block) == F.col(BLOCK)
-        ends = done.where(own & ((F.col("frame") + 1) % block == 0)).select(
-            "rec", (F.col(BLOCK) + 1).alias(BLOCK), *[F.col(n).alias(f"_e{n}") for n in names])
-        starts = done.where(~own).select("rec", BLOCK, *names)
-        gap = V.norm(V.sub(V.vec(*names), V.vec(*[f"_e{n}" for n in names])))
-        wrong = starts.join(ends, ["rec", BLOCK]).where(gap > tolerance).drop(*names)
-        wrong = cut_lineage(wrong)
-        if wrong.isEmpty():
-            return done.where(own).drop(BLOCK)
-        again = base.withColumn(BLOCK, F.explode(F.sequence(
-            F.floor(F.col("frame") / block), F.floor((F.col("frame") + 1) / block))))
-        again = again.join(wrong, ["rec", BLOCK])
-
-        def rerun(pdf: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-            a, w = pdf[list(V.ACC)].to_numpy(float), pdf[list(V.GYR)].to_numpy(float)
-            g = pdf["_gain"].to_numpy(float)
-            state = pdf[[f"_e{n}" for n in names]].to_numpy(float)
-            parts = []
-            for i, j in zip(bounds[:-1], bounds[1:]):
-                ang = float(np.linalg.norm(w[i])) * dt
-                turn = ((w[i] * dt / max(ang, 1e-300)).tolist(), math.cos(ang), math.sin(ang), ang)
-                up = _filter_block(a[i + 1:j], w[i + 1:j], g[i + 1:j], dt, (tuple(state[i]), turn))
-                parts += [state[[i]], up]
-            return finish(pdf, np.concatenate(parts), np.ones(len(pdf), bool))
-        fixed = map_groups(again, ["rec", BLOCK], ["frame"], rerun, schema)
-        kept = done.join(wrong.select("rec", BLOCK), ["rec", BLOCK], "left_anti")
-        done = cut_lineage(kept.unionByName(fixed))
+
+    def write(batches):
+        for b in batches:
+            if b.num_rows:
+                (m, c, forced), at, place, frame = _opened_blocks(b, dt)
+                up = _run_blocks(m, c, forced, np.array(b.column("start").to_pylist(), float), True)[at, place]
+                yield pa.RecordBatch.from_arrays([b.column("rec").take(pa.array(at)), frame,
+                                                  *[pa.array(up[:, i]) for i in range(3)]], ["rec", "frame", *names])
+    frame_type = frames.schema["frame"].dataType.simpleString()
+    return packs.join(starts.select("rec", BLOCK, "start"), ["rec", BLOCK]).mapInArrow(
+        write, f"rec {_rec_type(frames)}, frame {frame_type}, " + ", ".join(f"{n} double" for n in names))
 
 
 def adaptive_gain(alpha: float = ADAPTIVE_GAIN, sigma: float = ADAPTIVE_SIGMA,

@@ -192,9 +192,21 @@ def up_loop(a, w, gain, dt):
     return np.array(out)
 
 
-@pytest.mark.parametrize("block,warm_up", [(65536, 8192), (64, 16)])
-def test_up_filter(frames, table, block, warm_up):
-    got = per_rec(N.up_filter(frames, 0.05, RIG, block, warm_up), ["ux", "uy", "uz"])
+@pytest.mark.parametrize("n_blocks", [4, 16, 64])
+def test_up_filter_rounds_do_not_grow_with_blocks(spark, n_blocks):
+    """A gain that fades under a sustained force of twice gravity: nothing is forgotten."""
+    rng = np.random.default_rng(n_blocks)
+    n = n_blocks * 50
+    pdf = pd.DataFrame({"rec": "a", "frame": np.arange(n), **{c: rng.normal(0, 0.5, n) for c in AXES[:6]}})
+    pdf["az"] += np.where(np.arange(n) < 40, 9.81, 2 * 9.81)
+    packs = N._packed_blocks(spark.createDataFrame(pdf), N.adaptive_gain(), 50)
+    _, rounds = N.up_starts(packs, RIG, 1e-9)
+    assert rounds <= 6
+
+
+@pytest.mark.parametrize("block", [1024, 64])
+def test_up_filter(frames, table, block):
+    got = per_rec(N.up_filter(frames, 0.05, RIG, block), ["ux", "uy", "uz"])
     for r, g in table.groupby("rec"):
         want = up_loop(g[AXES[:3]].to_numpy(), g[AXES[3:6]].to_numpy(), 0.05, 1 / 20)
         assert np.allclose(got[r], want, atol=1e-7)

@@ -509,9 +509,9 @@ def up_filter(spark, d):
 
 @query("up_filter_blocked", KEYS, "ux uy uz", Q.recursive(f"{Q.BASE}, {_filter_sql('CAST(0.05 AS DOUBLE)')} " + _avg_sql(("ux", "uy", "uz"), "uf")), digits=5)
 def up_filter_blocked(spark, d):
-    """Short blocks with a short warm-up: hand-overs fail at first and are run again."""
+    """Short blocks, so that most starts have to be solved."""
     f = sensor_view(spark, d)
-    return _window_avg(N.up_filter(f, 0.05, I.RIG, block=200, warm_up=40), ("ux", "uy", "uz"))
+    return _window_avg(N.up_filter(f, 0.05, I.RIG, block=60), ("ux", "uy", "uz"))
 
 
 @query("adaptive_up", KEYS, "ux uy uz", Q.recursive(
@@ -522,6 +522,15 @@ def adaptive_up(spark, d):
     return _window_avg(N.up_filter(f, N.adaptive_gain(), I.RIG), ("ux", "uy", "uz"))
 
 
+@query("adaptive_up_blocked", KEYS, "ux uy uz", Q.recursive(
+    f"{Q.BASE}, {_filter_sql('0.005 * exp(-((sqrt(ax*ax + ay*ay + az*az) - 9.81) * (sqrt(ax*ax + ay*ay + az*az) - 9.81)))')} "
+    + _avg_sql(("ux", "uy", "uz"), "uf")), digits=5)
+def adaptive_up_blocked(spark, d):
+    """A filter that forgets slowly, in short blocks."""
+    f = sensor_view(spark, d)
+    return _window_avg(N.up_filter(f, N.adaptive_gain(), I.RIG, block=60), ("ux", "uy", "uz"))
+
+
 _PREINT_Q = Q.quat_mul(("r.x", "r.y", "r.z", "r.w"), ("d.x", "d.y", "d.z", "d.w"))
 
 
