@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,38 @@ def build_session(app: str = "sensorframe", master: str | None = None,
     return spark
 
 
+def ship_packages(spark: SparkSession, packages: tuple[str, ...] = ("sensorframe", "workload")) -> None:
+    """Send the source of these packages to the executors, once per Spark context.
+
+    Python workers import the functions that jobs run. A local session started
+    where the packages can be imported anyway is left as it is.
+    """
+    root, sc = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext
+    known = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if getattr(sc, "_packages_shipped", False) or sc.master.startswith("local") and root in [*known, os.getcwd()]:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "packages.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for package in packages:
+            for folder, _, names in os.walk(os.path.join(root, package)):
+                for name in names:
+                    if name.endswith(".py"):
+                        file = os.path.join(folder, name)
+                        z.write(file, os.path.relpath(file, root))
+    sc.addPyFile(path)
+    sc._packages_shipped = True
+
+
+def check_skew_splitting(spark: SparkSession) -> bool:
+    """Whether adaptive execution may split hot keys in joins; warns if it may not."""
+    on = all(spark.conf.get(k, "false") == "true" for k in (
+        "spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin"))
+    if not on:
+        warnings.warn("joins on hot recordings are split only with spark.sql.adaptive.enabled, skewJoin.enabled "
+                      "and forceOptimizeSkewedJoin set to true", stacklevel=2)
+    return on
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names; make a scratch one only locally."""
     sc = spark.sparkContext

@@ -100,7 +100,11 @@ def read_results(spark: SparkSession, paths: str | Sequence[str], kind: str) ->
     Percent texts become numbers; the tag is the file name without its kind.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("header", True).csv(paths).withColumn("_path", F.input_file_name())
+    return tidy_results(spark.read.option("header", True).csv(paths).withColumn("_path", F.input_file_name()), kind)
+
+
+def tidy_results(raw: DataFrame, kind: str) -> DataFrame:
+    """Result rows as text, with the file name in ``_path``, under plain names and types."""
     cols = [F.regexp_extract("_path", rf"([^/]+)_{kind}[^/]*\.csv$", 1).alias("tag")]
     for c in raw.columns:
         if c == "_path":

@@ -212,3 +212,66 @@ def index_keys(spark, d):
     if "note" in df.columns:
         raise ValueError("an all-null column was kept")
     return df.withColumn("rec", normalise_key("rec"))
+
+
+# ---------------------------------------------------- files written and read back
+@query("targets_file", "window_id:string", "vx vy vz", f"{Q.WINDOWS} SELECT 'w' || rec || '_' || win_idx AS window_id, vx, vy, vz FROM wm")
+def targets_file(spark, d):
+    """Targets as two CSV files with different column orders, read by name."""
+    path = scratch_path(spark, "targets")
+    t = I.truth(spark, d).select(F.format_string("w%d_%d", "rec", "win_idx").alias("window_id"), *V.VEL, "win_idx")
+    even = F.col("win_idx") % 2 == 0
+    t.where(even).select("window_id", "vx", "vy", "vz").write.option("header", True).csv(f"{path}/a")
+    t.where(~even).select("vz", "win_idx", "window_id", "vy", "vx").write.option("header", True).csv(f"{path}/b")
+    return tables.read_targets(spark, f"{path}/*")
+
+
+@query("frames_by_split", "rec:bigint n:bigint", "ax vz", f"""{Q.BASE} SELECT rec, count(*) AS n, avg(ax) AS ax, avg(vz) AS vz
+FROM sv WHERE rec % 3 = 1 GROUP BY rec""")
+def frames_by_split(spark, d):
+    """The frame table written by split; only the asked split's folder is read."""
+    path = scratch_path(spark, "frames")
+    named = F.concat(F.lit("s"), (F.col("rec") % 3).cast("string"))
+    tables.write_frames(sensor_view(spark, d).select("rec", "frame", "ax", "vz", named.alias("split")), path)
+    return tables.read_frames(spark, path, "s1").groupBy("rec").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("ax").alias("ax"), F.avg("vz").alias("vz"))
+
+
+@query("fold_document", "rec:string", "", "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS rec FROM lineitem WHERE l_suppkey % 4 = 0")
+def fold_document(spark, d):
+    """A fold document written as JSON; its held recordings are read back."""
+    path = scratch_path(spark, "fold")
+    held = I.truth(spark, d).where(F.col("rec") % 4 == 0).select(F.col("rec").cast("string").alias("rec")).distinct()
+    held.agg(F.collect_set("rec").alias("held")).withColumn("note", F.lit("every fourth")).write.json(path)
+    return tables.held_recordings(tables.read_fold(spark, path))
+
+
+@query("result_tables", "tag:string platform:string n_rec:int", "ave share", f"""{Q.EVAL},
+p AS (SELECT tag, platform, count(DISTINCT rec) AS n_rec, avg(err) AS ave FROM er GROUP BY 1, 2)
+SELECT tag, platform, n_rec, ave, round(100 * ave / sum(ave) OVER (PARTITION BY tag), 1) AS share FROM p""", digits=4)
+def result_tables(spark, d):
+    """Published platform tables of all runs: one CSV per run, percent texts, read back with the run's tag."""
+    from pyspark.sql import Window
+    path = scratch_path(spark, "results")
+    p = I.errors(spark, d).groupBy("tag", "platform").agg(F.countDistinct("rec").alias("n_traj"), F.avg("err").alias("ave"))
+    share = F.round(100 * F.col("ave") / F.sum("ave").over(Window.partitionBy("tag")), 1)
+    p = p.withColumn("share", share).select(F.concat("tag", F.lit("_platform.csv")).alias("file"), F.col("platform").alias("Platform"),
+                                            F.col("ave").alias("AVE (m/s)"), "n_traj", F.concat(F.col("share").cast("string"), F.lit("%")).alias("share of score"))
+    p.write.partitionBy("file").option("header", True).csv(path)
+    found = spark.read.option("header", True).csv(path)
+    # one folder per file name: the reader takes the tag from the path's name
+    return tables.tidy_results(found.withColumnRenamed("file", "_path"), "platform")
+
+
+@query("solution_file", "window_id:string", "qx gz vx_gt", Q.recursive(f"""{Q.WINDOWS}
+SELECT 'w' || rec || '_' || win_idx AS window_id, wx AS qx, az AS gz, vx AS vx_gt FROM wm"""))
+def solution_file(spark, d):
+    """A solution table written as CSV and read back with its schema."""
+    from sensorframe import schema
+    path = scratch_path(spark, "solution")
+    t = I.means(spark, d).select(F.format_string("w%d_%d", "rec", "win_idx").alias("window_id"), F.col("rec").cast("string").alias("traj_id"),
+                                 "win_idx", F.lit("p").alias("platform"), *[F.col(a).alias(b) for a, b in (
+                                     ("wx", "qx"), ("wy", "qy"), ("wz", "qz"), ("ax", "qw"), ("ax", "gx"), ("ay", "gy"), ("az", "gz"))],
+                                 F.lit(1.0).alias("dt"), *[F.col(f"v{a}").alias(f"v{a}_gt") for a in "xyz"])
+    tables.write_solution(t, path)
+    return spark.read.schema(schema.SOLUTION).option("header", True).csv(path)

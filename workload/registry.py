@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sensorframe.session import ship_packages
+
 TIE = 3.1e-10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +32,7 @@ def query(name: str, keys: str, doubles: str = "", sql: str | None = None, digit
 
     def wrap(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_packages(spark)
             df = fn(spark, sf_dir)
             return df.select(*[F.col(k).cast(t).alias(k) for k, t in key_cols], *[
                 (F.round(F.col(v) + F.lit(TIE), digits) + F.lit(0.0)).alias(v)

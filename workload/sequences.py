@@ -305,10 +305,11 @@ def linear_readout(spark, d):
 
 # ------------------------------------------------------------------------- scans
 @query("reanchored_cumsum", "rec:bigint frame:int", "c_ax c_wz", f"""{Q.REST},
-c AS (SELECT rec, frame, coalesce(sum(ax) OVER w, 0) AS a, coalesce(sum(wz) OVER w, 0) AS b
-FROM sv WINDOW w AS (PARTITION BY rec ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT c.rec, c.frame, (c.a - z.a) * 0.02 AS c_ax, (c.b - z.b) * 0.02 AS c_wz
-FROM c JOIN an ON an.rec = c.rec JOIN c z ON z.rec = an.rec AND z.frame = an.anchor_at""")
+c AS (SELECT sv.rec, frame, coalesce(sum(ax) OVER w, 0) AS a, coalesce(sum(wz) OVER w, 0) AS b,
+coalesce(sum(ax) FILTER (frame < anchor_at) OVER r, 0) AS za, coalesce(sum(wz) FILTER (frame < anchor_at) OVER r, 0) AS zb
+FROM sv JOIN an ON an.rec = sv.rec WINDOW w AS (PARTITION BY sv.rec ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+r AS (PARTITION BY sv.rec))
+SELECT rec, frame, (a - za) * 0.02 AS c_ax, (b - zb) * 0.02 AS c_wz FROM c""")
 def reanchored_cumsum(spark, d):
     f = sensor_view(spark, d).select("rec", "frame", *V.ACC, *V.GYR)
     return N.integrate_from_anchor(f, {"c_ax": F.col("ax"), "c_wz": F.col("wz")},
