@@ -23,17 +23,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def day_slices(table: DataFrame, c: str, days_covered: int = 2500,
-               rows_per_slice: int = 10_000_000) -> Column:
-    """Slices of whole days, thin enough that a third of all rows in one key fits.
+def day_slices(table: DataFrame, c: str, then: str, rows_per_slice: int = 10_000_000) -> Column:
+    """Slices along a time and a whole number, thin enough that a third of all rows in one key fits.
 
-    The row count comes from the file footers. Narrow slices cost more bookkeeping,
-    so a small table gets slices of four weeks and a huge one single days. The
-    numbering itself is the same for any width.
+    Row count and extents come from one pass over two columns (mostly file
+    footers). Slices are of whole days, four weeks at most; where single days are
+    still too thick, each instant is cut further along ``then``, the next sort
+    column. The numbering is the same for any slices.
     """
-    hot = max(1, table.count() // 3)
-    width = max(1, min(28, days_covered * rows_per_slice // hot))
-    return F.floor(F.unix_date(F.to_date(c)) / width)
+    day = F.unix_date(F.to_date(c))
+    n, first, last, top = table.agg(F.count(F.lit(1)), F.min(day), F.max(day), F.max(F.abs(F.col(then)))).first()
+    days = (last - first + 1) if n and last is not None else 1
+    wanted = max(1, -(-(n or 0) // 3 // rows_per_slice))  # slices that a third of all rows needs
+    width = max(1, min(28, days // wanted))
+    if wanted <= days or not top:
+        return F.floor(day / width)
+    parts = -(-wanted // days)
+    return F.struct(F.col(c).alias("at"), F.floor(F.col(then) / max(1, -(-(top + 1) // parts))).alias("part"))
 
 
 def sensor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +47,7 @@ def sensor_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = load(spark, sf_dir, "lineitem")
     lines = table.withColumn(
         "l_discount", F.col("l_discount") + 0.0).withColumn("l_tax", F.col("l_tax") + 0.0)
-    frames = number_rows(lines, "l_suppkey", _LINE_ORDER, day_slices(table, "l_shipdate"))
+    frames = number_rows(lines, "l_suppkey", _LINE_ORDER, day_slices(table, "l_shipdate", "l_orderkey"))
     q, d, t = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     return frames.select(
         F.col("l_suppkey").alias("rec"), "frame",
@@ -66,12 +72,18 @@ def with_platform(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(platforms(spark, sf_dir), "rec")
 
 
+def _every_ninth(i: int) -> Column:
+    """Sum of the embedding's components i, i + 9, i + 18, ..."""
+    picked = F.filter("embedding", lambda x, k: k % 9 == i)
+    return F.aggregate(picked, F.lit(0.0), lambda s, x: s + x)
+
+
 def vector_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec, frame, six axes and a truth velocity from ``embeddings``."""
+    """rec, frame, six axes and a truth velocity from ``embeddings``: component k adds to channel k mod 9."""
     e = load(spark, sf_dir, "embeddings")
     frames = number_rows(e.select("label", "vec_id", *[
-        F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(
-            ("ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz"))]),
+        _every_ninth(i).alias(n)
+        for i, n in enumerate(("ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz"))]),
         "label", ["vec_id"], F.floor(F.col("vec_id") / 4096))
     return frames.withColumnRenamed("label", "rec").drop("vec_id")
 
@@ -91,4 +103,4 @@ def event_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table.select(
         F.col("user_id").alias("rec"), "ts", "event_id", "event_type",
         (F.col("value") + 0.0).alias("value"))
-    return number_rows(e, "rec", ["ts", "event_id"], day_slices(table, "ts", 30))
+    return number_rows(e, "rec", ["ts", "event_id"], day_slices(table, "ts", "event_id"))

@@ -128,6 +128,17 @@ def test_percentiles_keep_every_group(spark):
     assert got["one"] == [float("inf")] * 5
 
 
+@pytest.mark.parametrize("rows_per_slice", [1, 40, 10 ** 7])
+def test_numbering_is_the_same_for_any_slices(spark, rows_per_slice):
+    from sensorframe.sources.views import day_slices
+    rng = np.random.default_rng(5)
+    data = pd.DataFrame({"k": "a", "t": pd.to_datetime(rng.integers(0, 3, 300) * 86400, unit="s"), "o": rng.permutation(300)})
+    table = spark.createDataFrame(data)
+    got = B.number_rows(table, "k", ["t", "o"], day_slices(table, "t", "o", rows_per_slice), "i").toPandas().sort_values("i")
+    want = data.sort_values(["t", "o"])
+    assert list(got.o) == list(want.o) and list(got.i) == list(range(300))
+
+
 def test_number_rows_and_top_k(spark):
     rng = np.random.default_rng(3)
     data = pd.DataFrame({"k": ["a"] * 300 + ["b"] * 5, "t": rng.permutation(305)})

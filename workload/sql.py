@@ -20,11 +20,11 @@ JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionke
 VECTOR = """vv AS MATERIALIZED (
 SELECT label AS rec, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER)
        AS frame,
-       CAST(embedding[1] AS DOUBLE) AS ax, CAST(embedding[2] AS DOUBLE) AS ay,
-       CAST(embedding[3] AS DOUBLE) AS az, CAST(embedding[4] AS DOUBLE) AS wx,
-       CAST(embedding[5] AS DOUBLE) AS wy, CAST(embedding[6] AS DOUBLE) AS wz,
-       CAST(embedding[7] AS DOUBLE) AS vx, CAST(embedding[8] AS DOUBLE) AS vy,
-       CAST(embedding[9] AS DOUBLE) AS vz
+       list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(1, 65, 9)]) AS ax, list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(2, 65, 9)]) AS ay,
+       list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(3, 65, 9)]) AS az, list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(4, 65, 9)]) AS wx,
+       list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(5, 65, 9)]) AS wy, list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(6, 65, 9)]) AS wz,
+       list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(7, 65, 9)]) AS vx, list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(8, 65, 9)]) AS vy,
+       list_sum([CAST(embedding[i] AS DOUBLE) FOR i IN range(9, 65, 9)]) AS vz
 FROM embeddings)"""
 
 EVENTS = """ev AS MATERIALIZED (
