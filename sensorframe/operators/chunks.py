@@ -184,14 +184,19 @@ def gate_scalars(frames: DataFrame, window: int) -> DataFrame:
 def gated_recursion(chunked: DataFrame, gain: str = "gain", direct: Sequence[str] = V.VEL,
                     change: Sequence[str] = ("c_x", "c_y", "c_z"),
                     turn: Sequence[str] | None = INCREMENT,
-                    keys: Sequence[str] = ("rec", "chunk_id")) -> DataFrame:
+                    keys: Sequence[str] = ("rec", "chunk_id"),
+                    logits: Sequence[str] | None = None,
+                    innovation: Sequence[float] = (0.0, 0.0, 0.0)) -> DataFrame:
     """v_k = p_k + gain_k (direct_k - p_k) with p_k = turn_k v_{k-1} + change_k.
 
     Runs along a chunk (at most K windows) as an ordered fold on an array, in
-    the JVM. The first window keeps its direct value.
+    the JVM. The first window keeps its direct value. With ``logits`` (a column
+    per axis, see ``gain_logits``) the gain of an axis is the logistic of its
+    logit plus ``innovation`` times log1p |direct - p|, which only the fold knows.
     """
-    turn = turn or []
-    row = F.struct("off", "win_idx", *direct, *change, *turn, F.col(gain).alias("_gain"))
+    turn, logits = turn or [], list(logits or [])
+    fixed = [] if logits else [F.col(gain).alias("_gain")]
+    row = F.struct("off", "win_idx", *direct, *change, *turn, *logits, *fixed)
     packed = chunked.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
 
     def blend(acc, x):
@@ -200,8 +205,11 @@ def gated_recursion(chunked: DataFrame, gain: str = "gain", direct: Sequence[str
         if turn:
             v = V.matvec(tuple(x[t] for t in turn), v)
         prop = tuple(a + x[c] for a, c in zip(v, change))
-        new = tuple(F.when(x["off"] == 0, x[d]).otherwise(p + x["_gain"] * (x[d] - p))
-                    for p, d in zip(prop, direct))
+        miss = tuple(x[d] - p for p, d in zip(prop, direct))
+        gains = ([V.logistic(x[c] + float(w) * F.log1p(V.norm(miss))) for c, w in zip(logits, innovation)]
+                 if logits else [x["_gain"]] * 3)
+        new = tuple(F.when(x["off"] == 0, x[d]).otherwise(p + g * m)
+                    for p, d, g, m in zip(prop, direct, gains, miss))
         return F.array_append(acc, F.struct(
             x["win_idx"].alias("win_idx"), new[0].alias("x"), new[1].alias("y"),
             new[2].alias("z")))
@@ -213,6 +221,18 @@ def gated_recursion(chunked: DataFrame, gain: str = "gain", direct: Sequence[str
         F.col("_o.y").alias("vy"), F.col("_o.z").alias("vz"))
 
 
+def gain_logits(base: Sequence[Column], mask: Column, confidence: Column,
+                weights: Sequence[Sequence[float]], bias: Sequence[float],
+                trust_direct: bool = False) -> list[Column]:
+    """Per axis: base + w0 * mask + w2 * confidence + bias, for ``gated_recursion``.
+
+    ``weights`` holds (mask, innovation, confidence) per axis. With
+    ``trust_direct`` a masked-out window leans to its direct value (+6, fixed).
+    """
+    out = [b + mask * float(w[0]) + confidence * float(w[2]) + float(k) for b, w, k in zip(base, weights, bias)]
+    return [c + 6.0 * (1.0 - mask) for c in out] if trust_direct else out
+
+
 def anchored_smoothing(chunked: DataFrame, increments: Sequence[str] = ("e_x", "e_y", "e_z"),
                        mu: float = 5.0,
                        keys: Sequence[str] = ("rec", "chunk_id")) -> DataFrame:

@@ -257,6 +257,33 @@ def gated_recursion(spark, d):
     return C.gated_recursion(c, keys=("rec", "start"))
 
 
+_IW = ((0.5, -0.8, 0.3), (-0.2, 0.6, 0.1), (0.4, 1.1, -0.7))
+_IB = (0.1, -0.3, 0.2)
+_PROP = ("(-p.vy + c.ax / 10)", "(p.vx + c.ay / 10)", "(p.vz + c.az / 10)")
+_MISS = [f"(c.v{a} - {p})" for a, p in zip("xyz", _PROP)]
+_BOTH = " + ".join(f"{m} * {m}" for m in _MISS)
+_FOLD = ", ".join(f"{p} + {m} / (1 + exp(-(c.l{a} + CAST({w[1]} AS DOUBLE) * ln(1 + sqrt({_BOTH})))))"
+                  for a, p, m, w in zip("xyz", _PROP, _MISS, _IW))
+_LOGITS = ", ".join(f"w{a} * 10 + m * CAST({w[0]} AS DOUBLE) + f * CAST({w[2]} AS DOUBLE) + CAST({b} AS DOUBLE) + 6 * (1 - m) AS l{a}"
+                    for a, w, b in zip("xyz", _IW, _IB))
+
+
+@query("gated_recursion_innovation", "rec:bigint start:int win_idx:int", "vx vy vz", Q.recursive(f"""{Q.WINDOWS}, {_CHUNKS},
+cb AS (SELECT cw.*, wm.ax, wm.ay, wm.az, wm.vx, wm.vy, wm.vz, wm.wx, wm.wy, wm.wz, CAST(win_idx % 3 <> 0 AS DOUBLE) AS m, (win_idx % 5) / 10.0 AS f
+FROM cw JOIN wm USING (rec, win_idx)), cc AS MATERIALIZED (SELECT *, {_LOGITS} FROM cb),
+p AS (SELECT rec, start, off, win_idx, vx, vy, vz FROM cc WHERE off = 0 UNION ALL
+SELECT c.rec, c.start, c.off, c.win_idx, {_FOLD} FROM p JOIN cc c ON c.rec = p.rec AND c.start = p.start AND c.off = p.off + 1)
+SELECT rec, start, win_idx, vx, vy, vz FROM p"""))
+def gated_recursion_innovation(spark, d):
+    """The gain follows the innovation, the mask and the confidence of each window."""
+    c = _chunked(spark, d).withColumns({f"c_{a}": F.col(f"a{a}") / 10 for a in "xyz"})
+    c = c.withColumns(V.as_columns(V.mat(((0, -1, 0), (1, 0, 0), (0, 0, 1))), C.INCREMENT))
+    made = C.gain_logits([F.col(f"w{a}") * 10 for a in "xyz"], (F.col("win_idx") % 3 != 0).cast("double"),
+                         (F.col("win_idx") % 5) / 10.0, _IW, _IB, trust_direct=True)
+    c = c.withColumns(dict(zip(("lx", "ly", "lz"), made)))
+    return C.gated_recursion(c, keys=("rec", "start"), logits=("lx", "ly", "lz"), innovation=[w[1] for w in _IW])
+
+
 @query("anchored_smoothing", "rec:bigint start:int win_idx:int", "residual", f"""{Q.WINDOWS}, {_CHUNKS}
 SELECT rec, start, win_idx, 0.0 AS residual FROM cw""", digits=5)
 def anchored_smoothing(spark, d):
