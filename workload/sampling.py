@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sensorframe.operators.blocks import number_rows
 from sensorframe.functions import vec as V
 from sensorframe.operators import sampling as M
 from sensorframe.operators import windows as W
@@ -167,6 +168,23 @@ def cancelled_dilation(spark, d):
     return _dilated(spark, d, cut_lineage(I.recordings(spark, d)), 9, "cancel")
 
 
+@query("stratified_segments", "draw_id:bigint rec:bigint len:int base:bigint", "k", f"""{_RATED},
+pk AS (SELECT row_number() OVER (ORDER BY rec, win_idx) - 1 AS draw_id, rec AS prec, win_idx AS pwin FROM wm WHERE (rec * 7 + win_idx) % 4 = 0),
+mv AS (SELECT dl.*, prec, pwin, rec % 2 = 0 AND {_u('strat')} < 0.6 AND prec IS NOT NULL AS moved FROM dl LEFT JOIN pk USING (draw_id)),
+nu AS (SELECT mv.*, floor(rc.n_frames / 50) * 50 AS us2 FROM mv LEFT JOIN rc ON rc.rec = mv.prec),
+nl AS (SELECT *, greatest(least(floor(us2 / (k * 50)), 3), 1) AS len2 FROM nu),
+ns AS (SELECT *, greatest(us2 - ceil(len2 * k * 50) - 1, 0) AS sp2, floor({_u('inside')} * (len2 - 1) * k * 50) AS off FROM nl)
+SELECT draw_id, CASE WHEN moved THEN prec ELSE rec END AS rec, CASE WHEN moved THEN len2 ELSE len END AS len,
+       CASE WHEN moved THEN least(greatest(pwin * 50 - off, 0), sp2) ELSE base END AS base, k FROM ns""")
+def stratified_segments(spark, d):
+    """A share of the draws of even recordings moved onto picked windows."""
+    recs = cut_lineage(I.recordings(spark, d))
+    rare = I.truth(spark, d).where((F.col("rec") * 7 + F.col("win_idx")) % 4 == 0).select("rec", "win_idx")
+    picks = number_rows(rare.withColumn("_one", F.lit(1)), "_one", ["rec", "win_idx"], F.floor(F.col("rec") / 1000), "draw_id")
+    return M.place_stratified(_dilated(spark, d, recs), picks.select("draw_id", "rec", "win_idx"), recs, 0.6, 3, SEED,
+                              F.col("rec") % 2 == 0, I.RIG)
+
+
 _SPOTS = """sp AS (SELECT dl.*, t, base + k * t AS spot FROM dl, unnest(range(len * 50)) AS r(t)),
 ix AS (SELECT sp.*, least(CAST(floor(spot) AS INTEGER), n_frames - 2) AS i FROM sp JOIN rc ON rc.rec = sp.rec)"""
 _LERP = {c: f"a.{c} * (1 - (spot - i)) + b.{c} * (spot - i)" for c in ("ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz")}
