@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorframe.functions import vec as V
@@ -95,30 +97,38 @@ def recording_lengths(frames: DataFrame) -> DataFrame:
     return frames.groupBy("rec").agg(F.count(F.lit(1)).alias("n_frames"))
 
 
+def _frames_at(windows: DataFrame, frames: DataFrame, places: dict[str, int], cols: Sequence[str],
+               rig: Rig) -> DataFrame:
+    """Rows of ``frames`` at fixed places of each window, as structs (frame and ``cols``).
+
+    One aggregate per window combines before the shuffle, so only the wanted rows
+    travel. A place past the end of the recording reads its last row. Windows of
+    recordings without frames are left out.
+    """
+    row = F.struct("frame", *[c for c in cols if c != "frame"])
+    inside = F.col("frame") % rig.window
+    found = with_window(frames, rig).groupBy("rec", "win_idx").agg(
+        *[F.max(F.when(inside == at, row)).alias(n) for n, at in places.items()], F.max_by(row, "frame").alias("_end"))
+    tail = found.groupBy("rec").agg(F.max_by("_end", "win_idx").alias("_tail"))
+    return windows.join(found, ["rec", "win_idx"], "left").join(tail, "rec").withColumns(
+        {n: F.coalesce(n, "_end", "_tail") for n in places})
+
+
 def pose_lookup(windows: DataFrame, frames: DataFrame, rig: Rig = DEFAULT_RIG,
                 ts: str = "ts", middle: tuple[str, ...] = V.QUAT,
                 last: tuple[str, ...] = ("px", "py", "pz")) -> DataFrame:
     """Pose of a window: attitude at its middle frame, position at its last one.
 
     Frames past the end of a recording are clamped to its last row. ``dt`` is
-    the time from first to last frame plus one sample.
+    the time from first to last frame plus one sample; null past the end.
     """
-    n = recording_lengths(frames)
-    spots = windows.join(n, "rec").withColumns({
-        "_start": F.col("win_idx") * rig.window,
-        "_mid": F.least(F.col("win_idx") * rig.window + rig.window // 2, F.col("n_frames") - 1),
-        "_end": F.least((F.col("win_idx") + 1) * rig.window - 1, F.col("n_frames") - 1)})
-    at = spots.select("rec", "win_idx", "_start", "_mid", "_end",
-                      F.explode(F.array_distinct(F.array("_start", "_mid", "_end"))).alias("frame"))
-    cols = sorted(set(middle) | set(last) | {ts})
-    hit = at.join(frames.select("rec", "frame", *cols), ["rec", "frame"])
-    pose = hit.groupBy("rec", "win_idx").agg(
-        *[F.max(F.when(F.col("frame") == F.col("_mid"), F.col(c))).alias(c) for c in middle],
-        *[F.max(F.when(F.col("frame") == F.col("_end"), F.col(c))).alias(
-            f"g{c[-1]}" if c in ("px", "py", "pz") else f"{c}_last") for c in last],
-        (F.max(F.when(F.col("frame") == F.col("_end"), F.col(ts)))
-         - F.max(F.when(F.col("frame") == F.col("_start"), F.col(ts))) + rig.dt).alias("dt"))
-    return windows.join(pose, ["rec", "win_idx"])
+    at = _frames_at(windows, frames, {"_first": 0, "_mid": rig.window // 2, "_last": rig.window - 1},
+                    sorted(set(middle) | set(last) | {ts}), rig)
+    started = F.when(F.col("_first.frame") == F.col("win_idx") * rig.window, F.col(f"_first.{ts}"))
+    return at.select(
+        *windows.columns, *[F.col(f"_mid.{c}").alias(c) for c in middle],
+        *[F.col(f"_last.{c}").alias(f"g{c[-1]}" if c in ("px", "py", "pz") else f"{c}_last") for c in last],
+        (F.col(f"_last.{ts}") - started + rig.dt).alias("dt"))
 
 
 def sub_window_means(frames: DataFrame, cols: tuple[str, ...], parts: int,
@@ -139,13 +149,10 @@ def sub_window_means(frames: DataFrame, cols: tuple[str, ...], parts: int,
 def sub_window_samples(windows: DataFrame, frames: DataFrame, cols: tuple[str, ...], parts: int,
                        rig: Rig = DEFAULT_RIG) -> DataFrame:
     """Frames at the centres of equal window pieces, clamped to the last row."""
-    n = recording_lengths(frames)
-    spots = windows.join(n, "rec").withColumn("part", F.explode(F.sequence(
-        F.lit(0), F.lit(parts - 1)))).withColumn("frame", F.least(
-            F.col("win_idx") * rig.window + F.floor((F.col("part") + 0.5) * (rig.window / parts)),
-            F.col("n_frames") - 1).cast("bigint"))
-    return (spots.join(frames.select("rec", "frame", *cols), ["rec", "frame"])
-            .select("rec", "win_idx", "part", "frame", *cols))
+    places = {f"_p{i}": int((i + 0.5) * (rig.window / parts)) for i in range(parts)}
+    at = _frames_at(windows.select("rec", "win_idx"), frames, places, cols, rig)
+    each = at.select("rec", "win_idx", F.posexplode(F.array(*places)).alias("part", "_row"))
+    return each.select("rec", "win_idx", "part", "_row.frame", *[F.col(f"_row.{c}").alias(c) for c in cols])
 
 
 def neighbour_windows(windows: DataFrame, cols: tuple[str, ...], reach: int = 2) -> DataFrame:

@@ -223,6 +223,18 @@ def test_up_filter(frames, table, block):
         assert np.allclose(got[r], want, atol=1e-7)
 
 
+def test_lookups_clamp_to_the_last_row(spark):
+    n = 50 * 2 + 10
+    f = spark.createDataFrame(pd.DataFrame({"rec": "a", "frame": range(n), "ts": np.arange(n) / 50.0, "qx": np.arange(n) * 1.0,
+                                            "px": np.arange(n) * 2.0}))
+    rig = Rig(window=50, fs=50.0)
+    wins = spark.createDataFrame([("a", 0), ("a", 2), ("a", 9), ("b", 0)], "rec string, win_idx bigint")
+    got = {r.win_idx: (r.qx, r.gx, r.dt) for r in W.pose_lookup(wins, f, rig, middle=("qx",), last=("px",)).collect()}
+    assert got == {0: (25.0, 98.0, pytest.approx(1.0)), 2: (109.0, 218.0, pytest.approx(0.2)), 9: (109.0, 218.0, None)}
+    parts = {(r.win_idx, r.part): r.frame for r in W.sub_window_samples(wins, f, ("qx",), 2, rig).collect()}
+    assert parts == {(0, 0): 12, (0, 1): 37, (2, 0): 109, (2, 1): 109, (9, 0): 109, (9, 1): 109}
+
+
 @pytest.mark.parametrize("n,k", [(3, 8), (8, 8), (9, 8), (21, 8), (50, 7)])
 def test_chunks(spark, n, k):
     wins = spark.range(n).select(F.lit("a").alias("rec"), F.col("id").cast("int").alias("win_idx"))
