@@ -138,15 +138,36 @@ def upright_basis(spark, d):
     return W.window_means(sensor_view(spark, d), V.as_columns(b, names), I.RIG)
 
 
-@query("split_rate", KEYS, "px py pz", _by_window(("wx", "wy", "wz"), ("px", "py", "pz")))
+_FORCED = ("(ay*wz - az*wy)", "(az*wx - ax*wz)", "(ax*wy - ay*wx)")
+_ROOT = "sqrt(greatest(sqrt(wx*wx + wy*wy + wz*wz), 1e-8))"
+
+
+def _unit_case(i):
+    """Component i of the first vector: across z, else across the force, else across x."""
+    out = "0"
+    for v in (("0", "wz", "(-wy)"), _FORCED, ("(-wy)", "wx", "0")):
+        size = f"sqrt({' + '.join(f'{c}*{c}' for c in v)})"
+        out = f"CASE WHEN {size} > 1e-8 THEN {v[i]} / {size} ELSE {out} END"
+    return out
+
+
+_FIRST = [_unit_case(i) for i in range(3)]
+_ACROSS = [f"(w{p}*({_FIRST[b]}) - w{q}*({_FIRST[a]}))" for p, q, a, b in (("y", "z", 1, 2), ("z", "x", 2, 0), ("x", "y", 0, 1))]
+_SIZE = f"greatest(sqrt({' + '.join(f'{c}*{c}' for c in _ACROSS)}), 1e-8)"
+
+
+@query("split_rate", KEYS, "a0 a1 a2 b0 b1 b2 px py pz", _by_window(
+    (*[f"({c}) * {_ROOT}" for c in _FIRST], *[f"{c} / {_SIZE} * {_ROOT}" for c in _ACROSS], "wx", "wy", "wz"),
+    ("a0", "a1", "a2", "b0", "b1", "b2", "px", "py", "pz")))
 def split_rate(spark, d):
-    """The cross product of the two vectors is the rate again."""
+    """Both vectors, and that their cross product is the rate again."""
     a, b = V.split_rate(V.vec(*V.GYR), V.vec(*V.ACC))
     f = sensor_view(spark, d).withColumns({
         **V.as_columns(a, ("a0", "a1", "a2")), **V.as_columns(b, ("b0", "b1", "b2"))})
     back = V.cross(V.vec("a0", "a1", "a2"), V.vec("b0", "b1", "b2"))
     # a still frame has no rate to split; both sides give (almost) nothing there
-    return W.window_means(f, V.as_columns(back, ("px", "py", "pz")), I.RIG)
+    return W.window_means(f, {**{c: F.col(c) for c in ("a0", "a1", "a2", "b0", "b1", "b2")},
+                              **V.as_columns(back, ("px", "py", "pz"))}, I.RIG)
 
 
 @query("mirror_axes", KEYS, "ax ay az wx wy wz lx ly lz", _by_window(

@@ -275,3 +275,13 @@ def solution_file(spark, d):
                                  F.lit(1.0).alias("dt"), *[F.col(f"v{a}").alias(f"v{a}_gt") for a in "xyz"])
     tables.write_solution(t, path)
     return spark.read.schema(schema.SOLUTION).option("header", True).csv(path)
+
+
+@query("index_with_targets", "window_id:string rec:bigint win_idx:bigint", "vx vz", f"""{Q.WINDOWS}
+SELECT 'w' || rec || '_' || win_idx AS window_id, rec, win_idx, vx, vz FROM wm WHERE win_idx % 4 <> 3""")
+def index_with_targets(spark, d):
+    """The index joined to a target table that lacks some windows."""
+    from sensorframe.operators.relational import with_targets
+    targets = I.truth(spark, d).where(F.col("win_idx") % 4 != 3).select(
+        F.format_string("w%d_%d", "rec", "win_idx").alias("window_id"), *V.VEL)
+    return with_targets(_index(spark, d), targets)

@@ -220,6 +220,18 @@ def time_dilation(spark, d):
     return _per_draw(M.apply_dilation(_with_up(f), rig=I.RIG))
 
 
+@query("dilated_derived", "draw_id:bigint rec:bigint n:bigint", "d_x i_z since", f"""{_RATED}, {_LERPED}
+SELECT draw_id, rec, count(*) AS n, avg(k * s * 2 * vx) AS d_x, avg(k * s * (vz - vy)) AS i_z, avg((wz + 5) / k) AS since FROM lp GROUP BY 1, 2""")
+def dilated_derived(spark, d):
+    """Derived velocities grow with rate and scale, the time since the anchor shrinks with the rate."""
+    f, recs = _stored(spark, d)
+    more = {"d_x": F.col("vx") * 2, "d_y": F.col("vy"), "d_z": F.col("vz"), "i_x": F.col("vx"), "i_y": F.col("vy"),
+            "i_z": F.col("vz") - F.col("vy"), "since": F.col("wz") + 5}
+    drawn = M.dilated_frames(_dilated(spark, d, recs), f.withColumns(more), (*_AXES, *more), I.RIG)
+    return M.apply_dilation(_with_up(drawn), rig=I.RIG).groupBy("draw_id", "rec").agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("d_x", "i_z", "since")])
+
+
 _KERNEL = ", ".join(f"({i}, CAST({h!r} AS DOUBLE))" for i, h in enumerate(fir_taps(63, 0.125)))
 
 
