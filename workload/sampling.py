@@ -385,18 +385,34 @@ def span_mask(spark, d):
                                            F.count_if("masked").alias("n_masked"))
 
 
-@query("band_gain", "draw_id:bigint step:int n:bigint", "ax_mean wz_mean ax_low", f"""{_SEG}
+def _line(c, hz):
+    """Strength of one frequency line of a 50-frame window."""
+    return f"sqrt(pow(sum({c} * cos(2 * pi() * {hz} * pos / 50)), 2) + pow(sum({c} * sin(2 * pi() * {hz} * pos / 50)), 2))"
+
+
+def _knot(c, hz):
+    """Gain at a line: the eight hashed knots lie evenly over the 26 lines."""
+    at = hz * 7 / 25
+    i = int(at)
+    one, two = (f"(1 + 0.5 * (2 * any_value({Q.uniform(f'{SEED}:{c}:{k}', 'draw_id')}) - 1))" for k in (i, i + 1))
+    return f"({1 - (at - i)!r} * {one} + {at - i!r} * {two})"
+
+
+@query("band_gain", "draw_id:bigint step:int n:bigint", "ax_mean wz_mean ax_low ax_high wz_high", f"""{_SEG}
 SELECT draw_id, step, count(*) AS n, avg(ax) AS ax_mean, avg(wz) AS wz_mean,
-       sqrt(pow(sum(ax * cos(2 * pi() * 4 * pos / 50)), 2) + pow(sum(ax * sin(2 * pi() * 4 * pos / 50)), 2)) AS ax_low
+       sqrt(pow(sum(ax * cos(2 * pi() * 4 * pos / 50)), 2) + pow(sum(ax * sin(2 * pi() * 4 * pos / 50)), 2)) AS ax_low,
+       {_line('ax', 15)} * {_knot('ax', 15)} AS ax_high, {_line('wz', 22)} * {_knot('wz', 22)} AS wz_high
 FROM sg GROUP BY 1, 2""", digits=5)
 def band_gain(spark, d):
-    """Only content above the limit changes: the mean and the 4 Hz line stay."""
+    """Content above the limit changes by the hashed gain; the mean and the 4 Hz line stay."""
     s = M.band_gain(_segments(spark, d), SEED, ("ax", "wz"), 0.5, rig=I.RIG)
-    at = 2 * 3.141592653589793 * 4 * F.col("pos") / 50
-    re, im = F.sum(F.col("ax") * F.cos(at)), F.sum(F.col("ax") * F.sin(at))
+    def line(c, hz):
+        at = 2 * 3.141592653589793 * hz * F.col("pos") / 50
+        re, im = F.sum(F.col(c) * F.cos(at)), F.sum(F.col(c) * F.sin(at))
+        return F.sqrt(re * re + im * im)
     return s.groupBy("draw_id", "step").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ax").alias("ax_mean"), F.avg("wz").alias("wz_mean"),
-        F.sqrt(re * re + im * im).alias("ax_low"))
+        line("ax", 4).alias("ax_low"), line("ax", 15).alias("ax_high"), line("wz", 22).alias("wz_high"))
 
 
 @query("anchored_crop", "rec:bigint crop_start:int crop_len:int", "", f"""{Q.RECS}, {Q.SCORES}, {Q.ANCHOR},
