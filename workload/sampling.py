@@ -334,14 +334,22 @@ def sensor_noise(spark, d):
     return _per_draw(s, (*V.ACC, *V.GYR))
 
 
-@query("frame_noise", "rec:bigint n:bigint", "mean std")
+def _noise(c, *keys):
+    one, two = (Q.uniform(str(SEED + M.hash_code(c) + more), *keys) for more in (0, 7919))
+    return f"sqrt(-2 * ln(1 - {one})) * cos(2 * pi() * {two})"
+
+
+@query("frame_noise", "rec:bigint n:bigint", "mean std late", f"""{_SEG},
+no AS (SELECT rec, pos, 0.5 * {_noise('ax', 'draw_id', 'step', 'pos')} AS gap FROM sg)
+SELECT rec, count(*) AS n, avg(gap) AS mean, stddev_samp(gap) AS std, avg(gap * (pos % 7)) AS late FROM no GROUP BY rec""")
 def frame_noise(spark, d):
     """Gaussian noise per frame of every drawn segment."""
     s = _segments(spark, d).withColumn("clean", F.col("ax"))
-    s = M.sensor_noise(s, SEED, noise={"ax": 0.5}, frame_key=("draw_id", "step", "pos"))
+    s = M.sensor_noise(s, SEED, noise={"ax": 0.5}, frame_key=("draw_id", "step", "pos"),
+                       uniform=M.hash_uniform)
     gap = F.col("ax") - F.col("clean")
     return s.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mean"),
-                                F.stddev_samp(gap).alias("std"))
+                                F.stddev_samp(gap).alias("std"), F.avg(gap * (F.col("pos") % 7)).alias("late"))
 
 
 def _gauss(i):
