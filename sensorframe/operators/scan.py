@@ -23,7 +23,7 @@ from sensorframe.operators.grouped import map_groups, positions, running_sum, sp
 from sensorframe.operators.windows import rest_reference, with_window
 from sensorframe.params import (ADAPTIVE_GAIN, ADAPTIVE_SIGMA, DEFAULT_RIG, GYRO_AXIS_MAP,
                                 SLOW_GAIN, VELOCITY_SQUASH, Rig)
-from sensorframe.session import cut_lineage, scratch_path
+from sensorframe.session import cut_lineage, write_once
 
 ROTATION = V.mat_cols("r")
 SCAN_BLOCK = 4096
@@ -476,9 +476,7 @@ def _packed_blocks(frames: DataFrame, gain: Column, block: int) -> DataFrame:
     lead = F.max(F.when(~own, F.array(*[F.col(c).cast("double") for c in V.GYR])))
     packs = row.groupBy("rec", BLOCK).agg(F.array_sort(F.collect_list(F.when(own, one))).alias("rows"), lead.alias("lead"))
     packs = packs.where(F.size("rows") > 0)
-    path = scratch_path(frames.sparkSession, "blocks")
-    packs.write.parquet(path)
-    return frames.sparkSession.read.schema(packs.schema).parquet(path)
+    return write_once(packs, "blocks")
 
 
 def _opened_blocks(b: pa.RecordBatch, dt: float):

@@ -90,3 +90,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder for written tables."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def write_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and go on from the written table.
+
+    Unlike a checkpoint, later reads take only the columns and row groups they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from sensorframe.operators.windows import window_means
 from sensorframe.plans.evaluation import path_rmse, with_errors
 from sensorframe.sources.views import LINE_RIG, platforms, sensor_view, with_platform
 from sensorframe.plans.training_set import recording_table
-from sensorframe.session import cut_lineage
+from sensorframe.session import write_once
 from workload.sql import RUNS
 
 RIG = LINE_RIG
@@ -17,7 +17,7 @@ AXES = ("ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz")
 
 def stored_frames(spark: SparkSession, d: str) -> DataFrame:
     """The frame table written once, for jobs that read it several times."""
-    return cut_lineage(sensor_view(spark, d))
+    return write_once(sensor_view(spark, d), "frames")
 
 
 def means(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def matched(spark: SparkSession, d: str) -> DataFrame:
 
 def stored_matched(spark: SparkSession, d: str) -> DataFrame:
     """Matched windows written once, for reports that read them several times."""
-    return cut_lineage(matched(spark, d))
+    return write_once(matched(spark, d), "matched")
 
 
 def errors(spark: SparkSession, d: str, m: DataFrame | None = None) -> DataFrame:
