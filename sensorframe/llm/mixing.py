@@ -123,7 +123,7 @@ def mix_plan(sized: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFram
     targets = stored(targets, "targets")
     rest = targets.select("key", F.lit("rest").alias("budget"),
                           (F.col("target") - F.col("repeats") * F.col("source_size")).alias("wanted"))
-    return targets.join(thresholds(sized, rest), "key").drop("budget")
+    return stored(targets.join(thresholds(sized, rest), "key").drop("budget"), "plan")
 
 
 def sized_rows(docs: DataFrame, keep, seed: str) -> DataFrame:
@@ -149,8 +149,8 @@ def mix(docs: DataFrame, keep=("doc_id",), weights=(1, 2, 3), most: float = 3.0,
 def apply_mix(docs: DataFrame, weights=(1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it.
 
-    Texts stay in place unless the plan (one row per source) is too large for
-    Spark to broadcast by itself.
+    The plan is a written table with a row per source, so Spark knows its size
+    and sends it to the texts; only a plan too large to broadcast moves them.
     """
     plan = mix_plan(sized_rows(docs, [], seed), weights, most).select(
         F.col("key").alias("_key"), F.col("repeats").alias("_repeats"), F.col("threshold").alias("_threshold"))
