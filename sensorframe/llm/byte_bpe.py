@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from sensorframe.llm.common import map_rows, text_of
 
 #: Pre-tokens of up to so many characters are remembered, in two generations of so many.
-REMEMBER_CHARS, REMEMBER = 32, 150_000
+REMEMBER_CHARS, REMEMBER = 32, 60_000
 _MODELS: dict[int, "Model"] = {}
 
 

@@ -36,7 +36,7 @@ LOOSE = 0.586
 #: Members of a bucket, and members or shingles of a cluster, that one task compares.
 BUCKET_BLOCK, CLUSTER_BLOCK, CLUSTER_SHINGLES = 2048, 2048, 4_000_000
 #: Words remembered per worker.
-REMEMBER = 400_000
+REMEMBER = 100_000
 
 _draw = np.random.Generator(np.random.PCG64(7))
 _MULTIPLY = _draw.integers(1 << 32, size=HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
