@@ -44,6 +44,11 @@ SURNAME = {"latin": (("Ash", "Bren", "Cal", "Dor", "Els", "Fair", "Gar", "Hal",
 FEMALE_ENDINGS = (("ский", "ская"), ("ев", "ева"), ("инов", "инова"), ("ов", "ова"))
 
 TITLE = "|".join(t for group in TITLES.values() for t in group)
+#: Titles in front of a name, a capitalised part, and further parts (initials only before another part).
+TITLED = rf"(?:(?:{TITLE})\.?\x20)"
+PART = r"\p{Lu}[\p{L}'’-]++"
+PARTS = rf"(?:(?:\x20\p{{Lu}}\.)*\x20{PART})"
+KNOWN = rf"(?=\p{{Lu}})(?iu:{'|'.join(n for group in GIVEN.values() for n in group)})(?![\p{{L}}'’])(?:-{PART})?"
 #: Fixed formats of the entities, tried in this order at every place of a text.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}+",
@@ -53,7 +58,8 @@ KINDS = {
              r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ipv4": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)",
-    "person": rf"(?<![\p{{L}}])(?:(?:{TITLE})\.?\x20)?\p{{Lu}}[\p{{L}}'’-]++\x20\p{{Lu}}[\p{{L}}'’-]++|(?<![\p{{L}}])(?:{TITLE})\.?\x20\p{{Lu}}[\p{{L}}'’-]++",
+    # starts at a title or a known given name, whatever stands before, and takes all capitalised parts that follow
+    "person": rf"(?<![\p{{L}}])(?:{TITLED}+(?:{PART}|(?:\p{{Lu}}\.\x20)+{PART}){PARTS}*|{KNOWN}{PARTS}+)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: Draws until the space of surrogates is widened.
@@ -74,12 +80,11 @@ def luhn_sum(digits: Column) -> Column:
 
 def gender_of(name: Column) -> Column:
     """f, m, or n: by the title, else by the given name; null where neither is known."""
-    title = F.regexp_extract(name, rf"^({TITLE})\.?\x20", 1)
-    first = F.initcap(F.split(F.regexp_replace(name, rf"^(?:{TITLE})\.?\x20", ""), " ")[0])
+    first = F.initcap(F.split(F.regexp_replace(name, rf"^{TITLED}+", ""), "[ -]")[0])
     by_title = F.lit(None).cast("string")
     by_name = F.lit(None).cast("string")
-    for g, names in TITLES.items():
-        by_title = F.when(title.isin(*names), F.lit(g)).otherwise(by_title)
+    for g in ("n", "m", "f"):  # of several titles a gendered one decides
+        by_title = F.when(name.rlike(rf"^{TITLED}*(?:{'|'.join(TITLES[g])})\.?\x20"), F.lit(g)).otherwise(by_title)
     for g in ("f", "m"):
         names = [n for (gg, _), group in GIVEN.items() if gg == g for n in group]
         by_name = F.when(first.isin(*names), F.lit(g)).otherwise(by_name)
@@ -102,7 +107,7 @@ def normal_of(kind: Column, raw: Column) -> Column:
     """What makes two mentions one entity: digits alone, lower case, a name without its title."""
     return (F.when(kind.isin("card", "number", "ssn", "phone"), _digits(raw))
             .when(kind == "iban", F.regexp_replace(raw, " ", ""))
-            .when(kind == "person", F.lower(F.regexp_replace(raw, rf"^(?:{TITLE})\.?\x20", "")))
+            .when(kind == "person", F.lower(F.regexp_replace(raw, rf"^{TITLED}+", "")))
             .otherwise(F.lower(raw)))
 
 
@@ -187,7 +192,9 @@ def _name(norm: Column, gender: Column, hexes: Column, draw: Column) -> Column:
     more = F.when(draw >= NARROW, F.concat(F.lit("-"), surname(7))).otherwise(F.lit(""))
     more = F.concat(more, F.when(draw >= 2 * NARROW, F.concat(F.lit("-"), surname(11))).otherwise(F.lit("")))
     last = F.concat(surname(3), more)
-    return F.lower(F.when(norm.contains(" "), F.concat_ws(" ", given, last)).otherwise(last))
+    parts = F.size(F.split(norm, " "))
+    middle = F.when(parts > 2, F.transform(F.sequence(F.lit(1), parts - 2), lambda i: surname(15 + 4 * i)))
+    return F.lower(F.when(norm.contains(" "), F.concat_ws(" ", given, middle, last)).otherwise(last))
 
 
 def draw_surrogate(key: str, kind: Column, norm: Column, gender: Column, draw: Column) -> Column:
@@ -243,7 +250,7 @@ def dressed(kind: Column, raw: Column, surrogate: Column) -> Column:
         F.concat(acc["out"], F.when(is_place(c), F.get(digits, acc["n"])).otherwise(c)).alias("out"),
         (acc["n"] + is_place(c).cast("int")).alias("n")), lambda acc: F.concat(
             acc["out"], F.substr(surrogate, acc["n"] + 1)))
-    bare = F.regexp_replace(raw, rf"^(?:{TITLE})\.?\x20", "")
+    bare = F.regexp_replace(raw, rf"^{TITLED}+", "")
     title = F.substr(raw, F.lit(1), (F.length(raw) - F.length(bare)).cast("int"))
     cap = F.array_join(F.transform(F.split(surrogate, "(?<=[ -])"), F.initcap), "")
     name = F.concat(title, F.when(bare == F.upper(bare), F.upper(surrogate)).otherwise(cap))

@@ -117,3 +117,14 @@ def test_awkward_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = surrogates.replace(documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan.split("== Physical Plan ==")[-1])
+
+
+def test_names_after_capitalised_words(spark):
+    texts = ["Contact Jane Doe today", "Dear John Smith,", "CEO John Smith", "Dear Mr. Smith", "Yesterday Frau Dr. Anna Weber left",
+             "Hello John Paul Smith!", "Sincerely Anna-Maria F. Jones", "Уважаемый Иван Петров"]
+    got = replaced(spark, *texts)
+    for text, new, name in zip(texts, got, ("Jane Doe", "John Smith", "John Smith", "Smith", "Anna Weber", "John Paul Smith",
+                                            "Anna-Maria F. Jones", "Иван Петров")):
+        before, after = text.split(name)
+        assert new.startswith(before) and new.endswith(after) and not set(name.split()[-1:]) & set(re.findall(r"\w+", new))
+    assert got[1][5:-1] == got[2][4:] and len(got[5].split()) == 4
