@@ -59,15 +59,14 @@ def describe(text: bytes) -> list[float]:
     pairs = len(set(zip(words, words[1:]))) if n > 1 else 1
     lines = [x for x in text.split(b"\n") if x.strip()]
     sizes = np.fromiter(map(len, words), np.int64, n)
-    first = words[:: max(1, n // 64)][:64]
-    ends = [w[-3:] for w in first]
+    ends = Counter([w[-3:] for w in words])
     return [np.log1p(n), np.log1p(len(text)), sizes.mean(), sizes.std(), np.log1p(sizes.max()),
             count[_UPPER].sum() / letters, count[_DIGIT].sum() / solid, count[_SIGN].sum() / solid,
             odd / solid, np.sqrt(odd / n), count[_PROSE].sum() / solid, count[128:].sum() / solid,
             distinct / n, np.log(distinct + 1) / np.log(n + 1), pairs / max(1, n - 1), np.log(pairs + 1) / np.log(n + 1),
             len(set(lines)) / len(lines), np.log1p(n / len(lines)), sum(map(eq, words, words[1:])) / n,
             max(Counter(lines).values()) / len(lines) if len(lines) > 1 else 0.0, (sizes <= 3).mean(),
-            sum(x == 1 for x in map(len, map(set, ends))) / len(ends), sum(w[:1].isupper() for w in first) / len(first)]
+            sum(c for w, c in ends.items() if len(set(w)) == 1) / n, sum(w[:1].isupper() for w in words) / n]
 
 
 def described(docs: DataFrame, keep=("doc_id",), text: str = "text") -> DataFrame:

@@ -88,3 +88,9 @@ def test_short_texts_reach_wide_filters():
     net = toxicity.Filters()
     for n in range(4):
         assert np.isfinite(net.logit(np.ones((n, toxicity.SIZE), np.float32)))
+
+
+def test_every_word_of_a_text_counts():
+    plain, odd = b"word " * 5000, b"Waaa " * 5000
+    for text, share in ((plain + odd, 0.5), (odd + plain, 0.5), (b"word " * 64 + b"Waaa " * 36, 0.36)):
+        assert quality.describe(text)[-2:] == pytest.approx([share, share])
