@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.llm.common import text_of
 
-#: A text without any of these has no licence sentence.
-CLUES = ("licen", "permission", "redistribut", "public domain", "warrant", "cc by", "cc0", "all rights reserved")
-#: Further words of known sentences in texts that have a clue.
-MORE_CLUES = ("endorse", "copyright notice", "later version")
+#: Every known sentence has one of these words, which no line break or comment mark cuts, or ``CC``.
+CLUES = ("licen", "permission", "redistribut", "domain", "warrant", "reserved", "endorse", "later", "bsd")
+CC = r"cc[0\s]"
+#: The quotes that sentences lose.
+QUOTES = "\"'`\u201c\u201d\u2018\u2019"
 NUMBER = r"([0-9]+(?:\.[0-9]+)*)"
 #: Fixed values: (identifier, pattern of the normalised sentence, does group 1 hold a version).
 SENTENCES = (
@@ -108,13 +109,13 @@ def identifier(sentence: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """The sequence of a text's identifiers, as one string."""
-    low = F.lower(text)
-    clue = F.lit(False)
-    for c in CLUES:
-        clue = clue | low.contains(c)
-    has_clue = lambda s: F.exists(F.array(*map(F.lit, CLUES + MORE_CLUES)), lambda c: F.contains(s, c))
+    def has_clue(s):
+        clue = F.lit(False)
+        for c in CLUES:
+            clue = clue | s.contains(c)
+        return clue | s.rlike(CC)
     found = F.transform(F.filter(sentences(text), has_clue), identifier)
-    return F.when(clue, F.array_join(found, "")).otherwise(F.lit(""))
+    return F.when(has_clue(F.translate(F.lower(text), QUOTES, "")), F.array_join(found, "")).otherwise(F.lit(""))
 
 
 def read_rules(sequence: Column) -> Column:

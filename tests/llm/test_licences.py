@@ -66,3 +66,12 @@ def test_queries_match_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     good, note = compare(spark, connect(sf), name, queries.QUERIES[name], queries.ORACLES[name], sf)
     assert good, note
+
+
+def test_clues_survive_wrapping_comments_and_quotes(spark):
+    texts = ["This is free and unencumbered software released into the public\n# domain", "All rights\nreserved", "all  rights \"reserved\"",
+             "CC\n// BY 4.0", "CC  BY-SA 4.0", "cc0\n1.0", "under any later\nversion", "released under the BSD\n3-clause",
+             "Neither the name of X may be used to\n* endorse or promote products"]
+    got = [r.sequence for r in licences.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert got == ["<Unlicense>", "<AllRights>", "<AllRights>", "<CC-BY:4.0>", "<CC-BY-SA:4.0>", "<CC0:1.0>", "<OrLater>",
+                   "<BSDname:3>", "<BSDendorse>"]
