@@ -50,12 +50,13 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", base=True),  # whole runs of 24 characters or more
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*-----END [A-Z ]{0,40}PRIVATE KEY-----)?",
-         clues=("private key-----",)),
+    # up to its END line, whatever lies between but the begin of another key
+    Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN [A-Z0-9 ]*PRIVATE KEY)[\s\S])*?"
+         r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?", version=2, clues=("private key",)),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", clues=("eyj",)),
     Rule("prefixed", r"(?:gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})",
          clues=("gho_", "ghp_", "ghs_", "ghu_", "xox", "sk_live_")),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:([^\s/@]{3,128})@", clues=("://",)),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*+:([^\s/@]{3,}+)@", version=2, clues=("://",)),
 )
 RULES = BASE_RULES + MORE_RULES
 FINDING = "array<struct<kind:string,start:bigint,end:bigint>>"

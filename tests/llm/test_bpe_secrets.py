@@ -135,3 +135,13 @@ def test_redaction_replaces_spans_and_nothing_else(spark):
     assert got == {1: "é [SECRET]; [SECRET] end", 2: None, 3: "clean", 4: "[SECRET]\" x"}
     assert secrets.redact(docs).columns == docs.columns
     assert secrets.redact(docs).where(F.col("size") == "z").count() == 4
+
+
+def test_long_logins_and_key_blocks_are_taken_whole():
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\nab-c\n-----END RSA PRIVATE KEY-----"
+    pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x-1\n\nabc\n-----END PGP PRIVATE KEY BLOCK-----"
+    for kind, text in (("private_key", key), ("private_key", pgp), ("url_login", f"https://{'u' * 200}:{'p.q' * 300}@"),
+                       ("url_login", "redis://:hunter22@")):
+        assert (kind, 2, 2 + len(text)) in secrets.find(secrets.MORE_RULES, f"> {text}host/x")
+    cut = "-----BEGIN PRIVATE KEY-----"
+    assert [f[1:] for f in secrets.find(secrets.MORE_RULES[:1], f"{cut} prose {key}")] == [(0, len(cut)), (len(cut) + 7, len(cut) + 7 + len(key))]
