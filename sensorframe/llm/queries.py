@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sensorframe.llm import (bit_sliced, byte_bpe, licences, line_dedup, mixing, near_dup, neighbours, quality, secrets,
+from sensorframe.llm import (bit_sliced, byte_bpe, licences, line_dedup, mixing, near_dup, neighbours, phrases, quality, secrets,
                              surrogates, toxicity, whitening)
 from sensorframe.llm.common import table
 from sensorframe.session import ship_packages
@@ -180,3 +180,39 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY row, doc_id
 """
+
+
+# ------------------------------------------------------------------------ 13
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=10, top=2000)
+
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+s AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM s),
+g AS (SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+      UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM p
+      UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM p),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.*, unnest(range(1, k)) AS place FROM c),
+half AS (SELECT *, array_to_string(w[1:place], ' ') AS head, array_to_string(w[place + 1:], ' ') AS tail FROM cut),
+scored AS (SELECT half.lang, half.k, half.phrase, a, place, x.f AS l, y.f AS r,
+                  ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM half JOIN f x ON x.lang = half.lang AND x.phrase = head AND x.k = place
+                     JOIN f y ON y.lang = half.lang AND y.phrase = tail AND y.k = half.k - place),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) = 1),
+inner_part AS (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3
+               UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_part GROUP BY ALL),
+ranked AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank,
+                  b.phrase, a, l, r, score
+           FROM least_cut b LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase
+           WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
