@@ -29,10 +29,12 @@ from pyspark.sql.types import StructType
 from sensorframe.llm.common import stored
 
 SCALE, SHIFT = 64, 1_000_000
-#: Eigenvalues an interval may hold before it is cut, and quadrature points on the half circle.
-SPAN, POINTS = 8, 8
+#: Eigenvalues and factor an interval may reach over before it is cut, and quadrature points on the half circle.
+SPAN, REACH, POINTS = 8, 1.25, 8
 #: Eigenvalues below this share of the largest one count as zero: there is nothing to divide by.
 ZERO = 1e-12
+#: Eigenvalues nearer than this share of their size are one cluster, which no interval cuts.
+EQUAL = 1e-10
 _LIMB = 40
 
 
@@ -177,70 +179,88 @@ def count_above(v: np.ndarray, s: float) -> int:
     return int(above)
 
 
-def _cut(v: np.ndarray, low: float, high: float, k: int, known: dict) -> float | None:
-    """A point inside (low, high) with exactly ``k`` eigenvalues above, amid its gap; None if there is none to find."""
-    def above(s: float) -> int:
-        if s not in known:
-            known[s] = count_above(v, s)
-        return known[s]
-
-    a, b = low, high  # above(a) >= k >= above(b)
-    point = None
-    for _ in range(60):
-        s = (a + b) / 2
-        if not a < s < b:
-            break
-        c = above(s)
-        if c == k:
-            point = s
-            break
-        a, b = (s, b) if c > k else (a, s)
-    if point is None:
+class _Counts:
+    """Inertia counts of V at many shifts, each computed once."""
+
+    def __init__(self, v: np.ndarray):
+        self.v, self.known = v, {}
+
+    def above(self, s: float) -> int:
+        if s not in self.known:
+            self.known[s] = count_above(self.v, s)
+        return self.known[s]
+
+    def gap(self, s: float, low: float, high: float) -> tuple[float, float]:
+        """The gap between eigenvalues that ``s`` lies in, looked at inside (low, high)."""
+        k, edges = self.above(s), []
+        for far in (low, high):
+            near = s
+            for _ in range(6):
+                middle = (near + far) / 2
+                near, far = (middle, far) if self.above(middle) == k else (near, middle)
+            edges.append(near)
+        return edges[0], edges[1]
+
+    def cut(self, low: float, high: float, k: int) -> float | None:
+        """A point amid a gap of (low, high) with exactly ``k`` eigenvalues above; None if (nearly) equal ones leave none."""
+        a, b = low, high
+        least = EQUAL * max(abs(low), abs(high))
+        for _ in range(60):
+            s = (a + b) / 2
+            if b - a < least:
+                return None
+            c = self.above(s)
+            if c == k:
+                a, b = self.gap(s, a, b)
+                return (a + b) / 2 if b - a >= least else None
+            a, b = (s, b) if c > k else (a, s)
         return None
-    edges = []
-    for out, more in ((a, True), (b, False)):  # walk towards both ends of the gap
-        near, far = point, out
-        for _ in range(6):
-            s = (near + far) / 2
-            near, far = (s, far) if above(s) == k else (near, s)
-        edges.append(near)
-    return sum(edges) / 2
 
 
 def intervals(v: np.ndarray, wanted: int) -> list[tuple[float, float, int]]:
-    """(low, high, eigenvalues inside), from the top down, together holding at least the ``wanted`` largest positive ones."""
-    known: dict[float, int] = {}
+    """(low, high, eigenvalues inside), from the top down, together holding at least the ``wanted`` largest positive ones.
+
+    An interval reaches over at most a factor of ``REACH``, so that its contour is
+    not wide beside the gaps between eigenvalues, and holds at most ``SPAN`` of
+    them (more only where they are equal).
+    """
+    counts = _Counts(v)
     top = float(np.abs(v).sum(1).max()) * 1.05  # no eigenvalue is larger than a row's sum
     if not top > 0:
         return []
     largest = top  # the largest eigenvalue, to a tenth: zero is told by it
-    while count_above(v, largest * 0.9) == 0:
+    while counts.above(largest * 0.9) == 0:
         largest *= 0.9
     floor = largest * ZERO
-    positive = count_above(v, floor)
+    positive = counts.above(floor)
     wanted = min(wanted, positive)
     if not wanted:
         return []
     low = floor
     for k in range(wanted, positive):  # the nearest gap below, should some be equal
-        found = _cut(v, floor, top, k, known)
+        found = counts.cut(floor, top, k)
         if found is not None:
             low = found
             break
     out, open_ = [], [(low, top)]
     while open_:
         a, b = open_.pop()
-        above_b = count_above(v, b)
-        inside = count_above(v, a) - above_b
+        most, least = counts.above(a), counts.above(b)
+        if most == least:
+            continue
+        if b > REACH * a:
+            s = sum(counts.gap(float(np.sqrt(a * b)), a, b)) / 2
+            k = counts.above(s)
+            open_ += [(s, b)] if k == most else [(a, s)] if k == least else [(a, s), (s, b)]
+            continue
         cut = None
-        if inside > SPAN:
-            for k in sorted(range(1, inside), key=lambda k: abs(2 * k - inside)):
-                cut = _cut(v, a, b, above_b + k, known)
+        if most - least > SPAN:
+            for k in sorted(range(least + 1, most), key=lambda k: abs(2 * k - most - least)):
+                cut = counts.cut(a, b, k)
                 if cut is not None:
                     break
         if cut is None:
-            if inside:
-                out.append((a, b, inside))
+            out.append((a, b, most - least))
         else:
             open_ += [(a, cut), (cut, b)]
     return sorted(out, reverse=True)
@@ -279,7 +299,7 @@ def principal(spark: SparkSession, v: np.ndarray, wanted: int, seed: int = 7) ->
     if not spans:
         return np.zeros(0), np.zeros((len(v), 0))
     g, dim = np.random.default_rng(seed), len(v)
-    size = [min(dim, 2 * c + 4) for *_, c in spans]
+    size = [min(dim, 2 * c + 8) for *_, c in spans]
     blocks = [np.linalg.qr(g.normal(size=(dim, m)))[0] for m in size]
     last, done = [np.inf] * len(spans), [None] * len(spans)
     scale = np.abs(v).sum(1).max()
