@@ -147,7 +147,7 @@ class Task:
     """The trie of one task and the numbers of its words."""
 
     def __init__(self, known: dict[str, dict[bytes, int]], complete: bool, seed: int, burst: int, entries: int, vocabulary: int):
-        self.known, self.complete, self.seed, self.base = known, complete, seed, vocabulary
+        self.known, self.complete, self.seed, self.base, self.most = known, complete, seed, vocabulary, _LOW
         self.trie, self.by_lang, self.others = HatTrie(burst, entries), {}, []
 
     def other(self, lang: str, word: bytes, numbers: Numbers) -> int:
@@ -161,12 +161,12 @@ class Task:
         places: list[int] = []
         for lang, text in texts:
             words = marked_words(text)
-            if len(self.others) + len(words) + self.base >= _LOW:  # numbers run out: all counted so far leaves
+            if len(self.others) + len(words) + self.base >= self.most:  # numbers run out: all counted so far leaves
                 self._take(places)
                 places = []
                 yield from self.runs(0)
                 self.others, self.by_lang = [], {}
-                if len(words) + self.base >= _LOW and not self.complete:
+                if len(words) + self.base >= self.most and not self.complete:
                     yield from self._long(lang, words)
                     continue
             numbers = self.by_lang.get(lang)
@@ -180,7 +180,7 @@ class Task:
 
     def _long(self, lang: str, words: list[bytes]) -> Iterator[pa.RecordBatch]:
         """A text that might use up all numbers by itself, in overlapping parts."""
-        part = (_LOW - self.base) // 2
+        part = (self.most - self.base) // 2
         for at in range(0, len(words), part):
             numbers = Numbers(lang, self.known.get(lang, {}), self)
             here = list(map(numbers.__getitem__, words[at:at + part + 2]))
