@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -270,13 +271,14 @@ def gram_counts(source: DataFrame, top: DataFrame, complete: bool, seed: int, mi
 
     runs = stored(source.mapInArrow(run, "w1 bigint, w2 bigint, w3 bigint, n bigint"), "runs")
     hot = (F.col("w1") <= HOT) & (F.col("w2") <= HOT)
-    found = []
+    parts = []
     for rows in (runs.where(~hot).repartition("w1", "w2"), runs.where(hot)):
         triples = rows.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a"))
         pairs = triples.groupBy("w1", "w2").agg(F.sum("a").alias("a"))
-        found += [triples.where("w3 > 0"), pairs.select("w1", "w2", F.lit(0).cast("bigint").alias("w3"), "a")]
-    a, b, c, d = [t.where(F.col("a") >= min_count) for t in found]
-    return a.unionByName(b).unionByName(c).unionByName(d)
+        # said of the sum, so that the filter stays above it and both read one shuffle
+        parts += [triples.where(F.when(F.col("w3") > 0, F.col("a")).otherwise(0) >= min_count),
+                  pairs.where(F.col("a") >= min_count).select("w1", "w2", F.lit(0).cast("bigint").alias("w3"), "a")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def score_of(a: str, left: str, right: str) -> Column:
