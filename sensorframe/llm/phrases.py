@@ -37,6 +37,8 @@ VOCABULARY = 1 << 20
 HOT = 256
 #: Distinct words a task counts, entries a container holds, and entries a trie holds before it gives some up.
 COUNTED, BURST, ENTRIES = 300_000, 4096, 1_500_000
+#: Shards of a language that are ranked side by side.
+SHARDS = 32
 _BITS = 21
 _LOW, _TWO = (1 << _BITS) - 1, (1 << 2 * _BITS) - 1
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
@@ -333,6 +335,25 @@ def _ranked(grams: DataFrame, named: DataFrame, totals: DataFrame, top: int) ->
              .select("lang", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a",
                      F.expr("if(s1 <= s2, f1, a12)").alias("l"), F.expr("if(s1 <= s2, a23, f3)").alias("r"),
                      F.least("s1", "s2").alias("score")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = _first(stored(two.unionByName(three), "scored"), top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def _first(scored: DataFrame, top: int) -> DataFrame:
+    """The ``top`` rows of every language with their ``rank``, though one language may hold most rows.
+
+    Counts of coarse score levels tell the level that the last place falls into;
+    rows below it go. The best of each hashed shard are ranked then, so that a
+    level with very many rows is cut in parallel too.
+    """
+    level = F.floor(F.log2(F.col("score") + F.lit(1.0)) * 16).alias("level")
+    higher = Window.partitionBy("lang").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+    lowest = (scored.groupBy("lang", level).count()
+              .withColumn("higher", F.coalesce(F.sum("count").over(higher), F.lit(0))).where(F.col("higher") < top)
+              .groupBy("lang").agg(F.min("level").alias("lowest")))
+    rows = scored.join(lowest, "lang").where(F.floor(F.log2(F.col("score") + F.lit(1.0)) * 16) >= F.col("lowest"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(SHARDS)))
+    for keys in (["lang", "shard"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return rows.drop("shard", "lowest")
