@@ -1,7 +1,8 @@
 r"""Licences recognised by the sentences they are made of.
 
-A text is cut into sentences (at sentence ends, blank lines, and line breaks
-before a capitalised word), each sentence is normalised (comment marks and
+A text is cut into sentences (at sentence ends, blank lines, around one-line
+tags, and at line breaks before a word that begins a licence sentence, but not at
+a semicolon or between "v." and its number), each sentence is normalised (comment marks and
 quotes dropped, white space squeezed, lower case) and looked up in the sentence
 rules, in order; the first that matches gives an identifier, with the version it
 names: ``<Apache:2.0>``. The identifiers of a text form one sequence, which the
@@ -18,36 +19,60 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sensorframe.llm.common import text_of
 
 #: Every known sentence has one of these words, which no line break or comment mark cuts, or ``CC``.
-CLUES = ("licen", "permission", "redistribut", "domain", "warrant", "reserved", "endorse", "later", "bsd")
+CLUES = ("licen", "permission", "redistribut", "domain", "warrant", "reserved", "endorse", "later", "bsd", "gpl",
+         "misrepresented", "altered", "apache", "attribution")
 CC = r"cc[0\s]"
 #: The quotes that sentences lose.
 QUOTES = "\"'`\u201c\u201d\u2018\u2019"
 NUMBER = r"([0-9]+(?:\.[0-9]+)*)"
+#: How a version is announced after a name: "version 2", "v2", "v 2.0", "2.0".
+VERSION = r"(?:[ ,-]*)(?:version|v\.?)? ?" + NUMBER
+
+
+def _gnu(name: str, words: str, short: str) -> tuple:
+    """A GNU licence by its full and its short name: with a version or any later one, with a version, and by name alone."""
+    full, word = rf"gnu {words} licen[sc]e", rf"(?:^|[^a-z]){short}"
+    return ((f"{name}orLater", full + r".*?version " + NUMBER + r".*any later version", True),
+            (f"{name}orLater", word + VERSION + r"(?:\+|[- ]or[- ]later|.*any later version)", True),
+            (name, full + r".*?(?:version|v\.?) ?" + NUMBER, True),
+            (name, word + VERSION, True),
+            (f"{name}name", full, False))
+
+
 #: Fixed values: (identifier, pattern of the normalised sentence, does group 1 hold a version).
 SENTENCES = (
-    ("SPDX", r"spdx-licen[sc]e-identifier: *([a-z0-9.+-]*[a-z0-9+])", True),
-    ("AGPL", r"gnu affero general public licen[sc]e.*?(?:version|v\.?) ?" + NUMBER, True),
-    ("LGPL", r"gnu (?:lesser|library) general public licen[sc]e.*?(?:version|v\.?) ?" + NUMBER, True),
-    ("GPLorLater", r"gnu general public licen[sc]e.*?version " + NUMBER + r".*any later version", True),
-    ("GPL", r"gnu general public licen[sc]e.*?(?:version|v\.?) ?" + NUMBER, True),
+    ("SPDX", r"spdx-licen[sc]e-identifier: *(\(*[a-z0-9.+:-]*[a-z0-9+]\)*(?: (?:and|or|with) \(*[a-z0-9.+:-]*[a-z0-9+]\)*)*)", True),
+    *_gnu("AGPL", "affero general public", "agpl"),
+    *_gnu("LGPL", "(?:lesser|library) general public", "lgpl"),
+    *_gnu("GPL", "general public", "gpl"),
+    ("VersionOrLater", r"version " + NUMBER + r" of the licen[sc]e.*any later version", True),
+    ("Version", r"version " + NUMBER + r" of the licen[sc]e", True),
     ("OrLater", r"any later version", False),
-    ("Apache", r"apache licen[sc]e,? (?:version|v\.?) ?" + NUMBER, True),
-    ("MPL", r"mozilla public licen[sc]e,? (?:version|v\.?) ?" + NUMBER, True),
-    ("EPL", r"eclipse public licen[sc]e,?(?: -)? (?:version|v\.?) ?" + NUMBER, True),
-    ("CC-BY-NC-SA", r"cc by-nc-sa " + NUMBER, True),
-    ("CC-BY-NC-ND", r"cc by-nc-nd " + NUMBER, True),
-    ("CC-BY-NC", r"cc by-nc " + NUMBER, True),
-    ("CC-BY-SA", r"cc by-sa " + NUMBER, True),
-    ("CC-BY-ND", r"cc by-nd " + NUMBER, True),
-    ("CC-BY", r"cc by " + NUMBER, True),
+    ("Apache", r"apache(?: software)?(?: licen[sc]e)?" + VERSION, True),
+    ("MPL", r"mozilla public licen[sc]e" + VERSION, True),
+    ("EPL", r"eclipse public licen[sc]e" + VERSION, True),
+    ("BSL", r"boost software licen[sc]e" + VERSION, True),
+    ("Artistic", r"artistic licen[sc]e" + VERSION, True),
+    ("CC-BY-NC-SA", r"(?:cc by-nc-sa|creative commons attribution-noncommercial-sharealike) " + NUMBER, True),
+    ("CC-BY-NC-ND", r"(?:cc by-nc-nd|creative commons attribution-noncommercial-noderiv(?:ative)?s) " + NUMBER, True),
+    ("CC-BY-NC", r"(?:cc by-nc|creative commons attribution-noncommercial) " + NUMBER, True),
+    ("CC-BY-SA", r"(?:cc by-sa|creative commons attribution-sharealike) " + NUMBER, True),
+    ("CC-BY-ND", r"(?:cc by-nd|creative commons attribution-noderiv(?:ative)?s) " + NUMBER, True),
+    ("CC-BY", r"(?:cc by|creative commons attribution) " + NUMBER, True),
     ("CC0", r"cc0 " + NUMBER, True),
     ("MITname", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?(?:mit|expat) licen[sc]e", False),
     ("BSDname", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?bsd ([23])-clause", True),
     ("MITpermission", r"permission is hereby granted, free of charge, to any person obtaining a copy", False),
     ("MITnotice", r"the above copyright notice and this permission notice shall be included in all copies", False),
     ("MITwarranty", r"the software is provided as is, without warranty of any kind", False),
-    ("ISCpermission", r"permission to use, copy, modify, and/or distribute this software for any purpose", False),
+    ("ISCpermission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", False),
     ("ISCwarranty", r"the software is provided as is and the author disclaims all warranties", False),
+    ("ZlibWarranty", r"this software is provided as-is, without any express or implied warranty", False),
+    ("ZlibPermission", r"permission is granted to anyone to use this software for any purpose", False),
+    ("ZlibOrigin", r"the origin of this software must not be misrepresented", False),
+    ("ZlibAltered", r"altered source versions must be plainly marked as such", False),
+    ("ZlibNotice", r"this notice may not be removed or altered from any source distribution", False),
+    ("BSLpermission", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy", False),
     ("BSDuse", r"redistribution and use in source and binary forms, with or without modification, are permitted", False),
     ("BSDsource", r"redistributions of source code must retain the above copyright notice", False),
     ("BSDbinary", r"redistributions in binary form must reproduce the above copyright notice", False),
@@ -56,31 +81,47 @@ SENTENCES = (
     ("Unlicense", r"this is free and unencumbered software released into the public domain", False),
     ("AllRights", r"all rights reserved", False),
 )
+
+
+def _gnu_rules(name: str) -> tuple:
+    """Version and "or later" may follow in sentences of their own; further mentions by name belong to the notice."""
+    named = f"(?:<{name}name>)*"
+    return ((f"{named}<{name}orLater:([^>]*)>{named}", f"{name}-$1-or-later"),
+            (f"{named}<{name}:([^>]*)><OrLater>{named}", f"{name}-$1-or-later"),
+            (f"{named}<{name}:([^>]*)>{named}", f"{name}-$1"),
+            (f"<{name}name><VersionOrLater:([^>]*)>{named}", f"{name}-$1-or-later"),
+            (f"<{name}name><Version:([^>]*)><OrLater>{named}", f"{name}-$1-or-later"),
+            (f"<{name}name><Version:([^>]*)>{named}", f"{name}-$1"))
+
+
 #: Fixed values: (pattern of the identifier sequence, licence).
 RULES = (
     (r"<SPDX:([^>]*)>", "SPDX-$1"),
-    (r"<AGPL:([^>]*)><OrLater>", "AGPL-$1-or-later"),
-    (r"<AGPL:([^>]*)>", "AGPL-$1"),
-    (r"<LGPL:([^>]*)><OrLater>", "LGPL-$1-or-later"),
-    (r"<LGPL:([^>]*)>", "LGPL-$1"),
-    (r"<GPLorLater:([^>]*)>", "GPL-$1-or-later"),
-    (r"<GPL:([^>]*)><OrLater>", "GPL-$1-or-later"),
-    (r"<GPL:([^>]*)>", "GPL-$1"),
+    *_gnu_rules("AGPL"), *_gnu_rules("LGPL"), *_gnu_rules("GPL"),
     (r"<Apache:([^>]*)>", "Apache-$1"),
     (r"<MPL:([^>]*)>", "MPL-$1"),
     (r"<EPL:([^>]*)>", "EPL-$1"),
+    (r"(?:<BSL:([^>]*)>)(?:<BSLpermission>)?(?:<MITwarranty>)?", "BSL-$1"),
+    (r"<BSLpermission>(?:<MITwarranty>)?", "BSL"),
+    (r"<Artistic:([^>]*)>", "Artistic-$1"),
     (r"<(CC[A-Z0-9-]*):([^>]*)>", "$1-$2"),
     (r"<BSDname:([^>]*)>", "BSD-$1-Clause"),
     (r"(?:<MITname>)?<MITpermission><MITnotice><MITwarranty>", "MIT"),
     (r"<MITname>", "MIT"),
     (r"<ISCpermission><ISCwarranty>", "ISC"),
+    (r"<ZlibWarranty><ZlibPermission><ZlibOrigin><ZlibAltered><ZlibNotice>", "Zlib"),
     (r"(?:<AllRights>)?<BSDuse><BSDsource><BSDbinary><BSDendorse><BSDwarranty>", "BSD-3-Clause"),
     (r"(?:<AllRights>)?<BSDuse><BSDsource><BSDbinary><BSDwarranty>", "BSD-2-Clause"),
     (r"<Unlicense>", "Unlicense"),
 )
-#: Sentence ends, blank lines, and line breaks before a capitalised word: replaced by a break mark.
-BREAKS = ((r"([.!?;])[ \t\r\n]+", r"$1" + "\x01"), (r"\n[ \t\r]*\n", "\x01"),
-          (r"\n[ \t]*([A-Z][a-z])", "\x01$1"), (r"\n[ \t]*[*#/-]+[ \t]*([A-Z][a-z])", "\x01$1"))
+#: Words that begin a sentence of a licence on a new line, though the line before has no full stop.
+STARTS = ("Permission|Redistributions?|Neither|The|THE|This|THIS|Licensed|Released|Distributed|All|Copyright|Unless|You|Altered|"
+          "Creative|CC|Boost")
+#: A full stop after "v" goes; tags of one line, sentence ends, blank lines, and line breaks before such words: replaced by a break mark.
+BREAKS = ((r"([\s(,][Vv](?:er)?|[\s(,][Nn]o)\.[ \t\r\n]*([0-9])", "$1 $2"),
+          (r"((?:SPDX|spdx)-[Ll]icen[sc]e-[Ii]dentifier:[^\r\n]*)", "\x01$1\x01"),
+          (r"([.!?])[ \t\r\n]+", "$1\x01"), (r"\n[ \t]*(?:[*#/;-]+)?[ \t\r]*\n", "\x01"),
+          (rf"\n[ \t]*(?:[*#/;-]+[ \t]*)?((?:{STARTS})[ :])", "\x01$1"))
 #: Comment marks at line starts, quotes, and runs of white space.
 CLEANED = ((r"(?:^|\n)[ \t]*(?:[*#/;-]+|<!--)", " "), ("[\"'`\u201c\u201d\u2018\u2019]", ""), (r"[ \t\r\n]+", " "))
 
