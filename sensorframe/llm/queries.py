@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sensorframe.llm import (bit_sliced, byte_bpe, licences, line_dedup, mixing, near_dup, neighbours, phrases, quality, secrets,
                              surrogates, toxicity, whitening)
 from sensorframe.llm.common import table
-from sensorframe.session import ship_packages
+from sensorframe.session import scratch_path, ship_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +60,13 @@ ORACLES["op3_licence_scan"] = licences.plain_sql()
 # ------------------------------------------------------------------------- 4
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document, scanned by distinct text."""
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    """Secrets of every document, scanned by distinct text.
+
+    The ledger is kept in the folder that ``sensorframe.secrets.ledger`` names in the
+    session, so that a later run scans only what is new; unset, it is a fresh one.
+    """
+    ledger = spark.conf.get("sensorframe.secrets.ledger", None) or scratch_path(spark, "secrets")
+    found = secrets.scan(table(spark, sf_dir, "documents"), path=ledger)
     def of(*kinds: str):
         return F.filter("spans", lambda s: s["kind"].isin(*kinds))
 

@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sensorframe.llm.common import map_rows, stored, text_of
 
@@ -53,13 +54,15 @@ MORE_RULES = (
     # up to its END line, whatever lies between but the begin of another key
     Rule("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN [A-Z0-9 ]*PRIVATE KEY)[\s\S])*?"
          r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----)?", version=2, clues=("private key",)),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", clues=("eyj",)),
+    # only where a run of its characters begins, so that a long run is read once
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", version=2, clues=("eyj",)),
     Rule("prefixed", r"(?:gh[opsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})",
          clues=("gho_", "ghp_", "ghs_", "ghu_", "xox", "sk_live_")),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*+:([^\s/@]{3,}+)@", version=2, clues=("://",)),
 )
 RULES = BASE_RULES + MORE_RULES
 FINDING = "array<struct<kind:string,start:bigint,end:bigint>>"
+LEDGER = f"blob string, found {FINDING}, rule string"
 
 
 def blob_id(text: Column) -> Column:
@@ -105,26 +108,45 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return done.select("blob", F.explode("scans").alias("_s")).select("blob", "_s.rule", "_s.found")
 
 
+def kept_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger kept in a folder, one partition per rule version; empty if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
 def update_ledger(versions: DataFrame, rules: Sequence[Rule] = RULES,
-                  ledger: DataFrame | None = None) -> DataFrame:
+                  ledger: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """The ledger after a scan of ``versions`` (with a column ``text``): ``blob``, ``rule``, ``found``.
 
     Copies of a text meet in a partial aggregate before the shuffle, so at most
-    one row per blob and task travels. With a ledger, pairs that it has are not
-    scanned again; its rows are kept.
+    one row per blob and task travels. Pairs that the ledger has are not scanned
+    again. A ledger given as a table is left as it is and its rows are kept in the
+    result; the one in the folder ``path`` is read and gets the new pairs appended,
+    in the partitions of their rule versions, without being rewritten. Two runs
+    that append at once may both list a pair, which does no harm.
     """
-    named = versions.select(blob_id(F.col("text")).alias("blob"), text_of().alias("text"))
+    spark = versions.sparkSession
+    named = versions.select(blob_id(F.col("text")).alias("blob"), text_of().alias("text")).dropDuplicates(["blob"])
     ids = F.array(*[F.lit(i) for i in rule_ids(rules)])
+    if path is not None:
+        ledger = kept_ledger(spark, path)
     if ledger is None:
-        blobs = named.dropDuplicates(["blob"]).select("blob", "text", ids.alias("todo"))
-        return stored(scan_blobs(blobs, rules), "ledger")
-    known = ledger.groupBy("blob").agg(F.collect_set("rule").alias("_known"))
-    blobs = (named.dropDuplicates(["blob"]).join(known, "blob", "left")
-             .select("blob", "text", F.array_except(
-                 ids, F.coalesce("_known", F.array().cast("array<string>"))).alias("todo"))
-             .where(F.size("todo") > 0))
+        blobs = named.select("blob", "text", ids.alias("todo"))
+    else:
+        known = (ledger.where(F.col("rule").isin(rule_ids(rules)))
+                 .groupBy("blob").agg(F.collect_set("rule").alias("_known")))
+        blobs = (named.join(known, "blob", "left").select("blob", "text", F.array_except(
+                     ids, F.coalesce("_known", F.array().cast("array<string>"))).alias("todo"))
+                 .where(F.size("todo") > 0))
     fresh = scan_blobs(blobs, rules)
-    return stored(ledger.select("blob", "rule", "found").unionByName(fresh), "ledger")
+    if path is not None:
+        fresh.write.mode("append").partitionBy("rule").parquet(path)
+        return kept_ledger(spark, path)
+    return stored(fresh if ledger is None else ledger.select("blob", "rule", "found").unionByName(fresh), "ledger")
 
 
 def findings(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -135,19 +157,19 @@ def findings(ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     place = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     rows = (ledger.where(F.col("rule").isin(rule_ids(rules)) & (F.size("found") > 0))
             .select("blob", F.explode("found").alias("_f")))
-    return rows.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct(
+    return rows.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct(
         F.col("_f.start").alias("start"), place[F.col("_f.kind")].alias("place"),
         F.col("_f.end").alias("end"), F.col("_f.kind").alias("kind")))).alias("spans"))
 
 
 def scan(versions: DataFrame, keep=("doc_id",), rules: Sequence[Rule] = RULES,
-         ledger: DataFrame | None = None) -> DataFrame:
+         ledger: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """Every version (row) with its ``spans`` (array of start, place, end, kind; empty if clean).
 
     All rows come back, repeated ones and null texts included; of the other
     columns those in ``keep``.
     """
-    found = findings(update_ledger(versions, rules, ledger), rules)
+    found = findings(update_ledger(versions, rules, ledger, path), rules)
     paths = versions.select(*keep, blob_id(F.col("text")).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
     return (paths.join(found, "blob", "left")
@@ -160,25 +182,33 @@ def listing(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def redacted(text: str, spans: Sequence[dict], mark: str) -> str:
+    """The text with its spans (ordered by start; overlapping ones as one) replaced, in one walk."""
+    pieces, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            pieces += (text[at:s["start"]], mark)
+        at = max(at, s["end"])
+    return "".join([*pieces, text[at:]])
+
+
 def redact(versions: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SECRET]",
-           ledger: DataFrame | None = None) -> DataFrame:
+           ledger: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """The rows with every found span (overlapping ones as one) replaced in ``text``.
 
     Clean texts, null ones included, are left as they are. Other columns stay.
     """
-    dirty = findings(update_ledger(versions, rules, ledger), rules)
+    dirty = findings(update_ledger(versions, rules, ledger, path), rules)
     marked = versions.withColumn("_blob", blob_id(F.col("text"))).join(
         dirty.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    # walk along the spans: (text so far, code points used)
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    text = F.col("text")
-
-    def step(acc, s):
-        fresh = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"),
-                                              (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"),
-                        F.greatest(acc["at"], s["end"]).alias("at"))
-    whole = F.aggregate("_spans", begin, step, lambda acc: F.concat(
-        acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    return marked.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(whole)).drop(
-        "_blob", "_spans")
+
+    def make():
+        def run(b: pa.RecordBatch) -> list:
+            spans = b.column("_spans").to_pylist()
+            text = b.column("text")
+            return [pa.array([None if s is None else redacted(text[i].as_py(), s, mark) for i, s in enumerate(spans)], pa.string())]
+        return run
+
+    clean = map_rows(marked, "_clean string", [*versions.columns, "_spans"], make)
+    return clean.select(*[F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.col("_clean")).alias(c) if c == "text" else F.col(c)
+                          for c in versions.columns])

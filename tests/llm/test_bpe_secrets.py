@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -145,3 +146,33 @@ def test_long_logins_and_key_blocks_are_taken_whole():
         assert (kind, 2, 2 + len(text)) in secrets.find(secrets.MORE_RULES, f"> {text}host/x")
     cut = "-----BEGIN PRIVATE KEY-----"
     assert [f[1:] for f in secrets.find(secrets.MORE_RULES[:1], f"{cut} prose {key}")] == [(0, len(cut)), (len(cut) + 7, len(cut) + 7 + len(key))]
+
+
+def test_kept_ledger_grows_by_new_pairs_alone(spark, tmp_path, monkeypatch):
+    seen = []
+    real = secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs, rules: (seen.append(
+        sorted((r.text, i) for r in blobs.collect() for i in r.todo)), real(blobs, rules))[1])
+    path, texts = f"{tmp_path}/ledger", ["token = abcdef", "clean", "AKIA" + "C" * 16, None]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    for step, rows in enumerate((docs.where("doc_id < 2"), docs, docs)):
+        got = {r.doc_id: len(r.spans) for r in secrets.scan(rows, rules=secrets.BASE_RULES, path=path).collect()}
+        assert got == ({0: 1, 1: 0} if step == 0 else {0: 1, 1: 0, 2: 1, 3: 0})
+    assert [len(s) for s in seen] == [6, 6, 0] and {t for t, _ in seen[1]} == {texts[2], ""}
+    old = {r.rule for r in secrets.kept_ledger(spark, path).select("rule").distinct().collect()}
+    assert old == set(secrets.rule_ids(secrets.BASE_RULES))
+    files = spark.read.parquet(path).inputFiles()
+    secrets.scan(docs, rules=[secrets.Rule("assign", "token", 9)], path=path).count()
+    assert set(files) < set(spark.read.parquet(path).inputFiles()) and [len(s) for s in seen][3:] == [4]
+
+
+def test_long_runs_of_token_starts_are_read_once():
+    text = "eyJ" * 400_000
+    start = time.time()
+    assert secrets.find(secrets.MORE_RULES, text) == []
+    token = "eyJ" + "a" * 10 + ".eyJ" + "b" * 10 + "." + "c" * 9
+    assert secrets.find(secrets.MORE_RULES, f"x {token} {text}.") == [("web_token", 2, 2 + len(token))]
+    many = "token = abcdef " * 20_000
+    spans = [{"start": a, "end": b} for _, a, b in secrets.find(secrets.BASE_RULES, many)]
+    assert secrets.redacted(many, spans, "#") == "# " * 20_000
+    assert time.time() - start < 10
