@@ -31,6 +31,8 @@ from sensorframe.llm.labelled import held_out, some_ids, texts_of
 #: At most so many trusted positives and unlabelled rows are used to fit.
 POSITIVES, UNLABELLED = 8000, 16000
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 512, 0.01
+#: With fewer positives or unlabelled rows the class prior is not estimated but taken as this.
+FEW, USUAL_PRIOR = 20, 0.5
 
 _UPPER, _LOWER, _DIGIT = (np.zeros(256, bool) for _ in range(3))
 _UPPER[65:91], _LOWER[97:123], _DIGIT[48:58] = True, True, True
@@ -117,7 +119,11 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 11) -> float:
 
     Half of each sample trains a network that tells the two apart; on the other
     half, the least ratio of tail shares (plus a standard error) is the estimate.
+    With fewer than ``FEW`` positives or unlabelled rows a half says too little:
+    the prior is taken as ``USUAL_PRIOR``.
     """
+    if min(len(pos), len(unl)) < FEW:
+        return USUAL_PRIOR
     g, net = np.random.default_rng(seed), Net(pos.shape[1], seed)
     p, u = g.permutation(len(pos)), g.permutation(len(unl))
     p1, p2, u1, u2 = pos[p[::2]], pos[p[1::2]], unl[u[::2]], unl[u[1::2]]
@@ -155,12 +161,13 @@ def fit_risk(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 3) -> N
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
     """A model from trusted positives (``labels.quality`` = 1) and texts whose labels are not looked at.
 
-    Only learnable rows are used, at most ``positives`` and ``unlabelled`` of them.
+    Only learnable rows are used, at most ``positives`` and ``unlabelled`` of them;
+    of rows that share an id the one with the smallest numbers is.
     Without positives or texts the model calls everything good (score 1).
     """
     good = some_ids(labels.where("quality = 1").select("doc_id").distinct(), positives, "positive")
     some = some_ids(docs, unlabelled, "unlabelled").distinct()
-    pos, unl = (np.array([r.x for r in described(texts_of(docs, ids)).select("doc_id", "x").orderBy("doc_id", "x").collect()], float)
+    pos, unl = (np.array([r.x for r in described(texts_of(docs, ids)).groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").collect()], float)
                 for ids in (good, some))
     if not len(pos) or not len(unl):
         return {"prior": None}

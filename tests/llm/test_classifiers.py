@@ -94,3 +94,34 @@ def test_every_word_of_a_text_counts():
     plain, odd = b"word " * 5000, b"Waaa " * 5000
     for text, share in ((plain + odd, 0.5), (odd + plain, 0.5), (b"word " * 64 + b"Waaa " * 36, 0.36)):
         assert quality.describe(text)[-2:] == pytest.approx([share, share])
+
+
+@pytest.mark.parametrize("unlabelled", [0, 1, 2])
+@pytest.mark.parametrize("positives", [0, 1, 2, 3])
+def test_any_number_of_labels(spark, positives, unlabelled):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = documents(spark, [(i, f"some words of text number {i}", "en", "s") for i in ids[:max(positives, unlabelled)]])
+    labels = spark.createDataFrame([(i, 1) for i in ids[:positives]], "doc_id bigint, quality int")
+    model = quality.fit(docs, labels, unlabelled=unlabelled)
+    assert model["prior"] == (quality.USUAL_PRIOR if positives and unlabelled else None)
+    assert all(0 <= r.score <= 1 for r in quality.score(docs, model).collect())
+
+
+def test_prior_needs_enough_rows():
+    g = np.random.default_rng(1)
+    for n, m in ((1, 1), (quality.FEW - 1, 500), (500, quality.FEW - 1)):
+        assert quality.estimate_prior(g.normal(size=(n, 3)), g.normal(size=(m, 3))) == quality.USUAL_PRIOR
+    assert np.isfinite(quality.estimate_prior(g.normal(size=(quality.FEW, 3)), g.normal(size=(quality.FEW, 3))))
+
+
+def test_one_row_per_id(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {k} of {i} " + "bad" * (i % 2), "en", "s") for i in ids for k in (2, 1)]
+    labels = [(i, 1, i % 2) for i in ids] + [(ids[0], 1, 1 - ids[0] % 2)]
+    for seed in (1, 5):
+        docs = documents(spark, rows).repartition(seed)
+        known = spark.createDataFrame(labels[::-1 if seed == 5 else 1], "doc_id bigint, quality int, toxic int")
+        found = [sorted((r.doc_id, r.score) for r in op.score(docs, op.fit(docs, known)).collect()) for op in (quality, toxicity)]
+        if seed == 5:
+            assert found == first
+        first = found
