@@ -76,7 +76,7 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
     Returned: ``key``, ``budget``, ``threshold``; documents with h < threshold are
     taken, so budgets of one source nest. Of the two sides of the document at the
     boundary the nearer one is chosen, the upper on ties. Rows of one hash
-    (repeated ids) stay together.
+    (repeated ids) stay together. A budget that wants nothing has threshold 0.
     """
     zero = F.lit(0).cast("bigint")
     # low: first hash of the bucket at the boundary; below, inside: sizes before and in it
@@ -106,8 +106,8 @@ def thresholds(hashed: DataFrame, budgets: DataFrame) -> DataFrame:
             (F.col("below") + F.coalesce(F.col("f.run") - F.col("f.size"), zero)).alias("below"),
             F.coalesce(F.col("f.size"), zero).alias("inside")), "thresholds")
     upper = F.col("below") + F.col("inside") - F.col("wanted") <= F.col("wanted") - F.col("below")
-    return state.select("key", "budget", F.when(upper, F.col("low") + 1).otherwise(F.col("low"))
-                        .alias("threshold"))
+    return state.select("key", "budget", F.when(F.col("wanted") <= 0, F.lit(0)).when(upper, F.col("low") + 1)
+                        .otherwise(F.col("low")).cast("bigint").alias("threshold"))
 
 
 def mix_plan(sized: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame:

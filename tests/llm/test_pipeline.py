@@ -46,7 +46,7 @@ def plain_mix(rows: list[tuple], seed="mix") -> list[int]:
         for value in sorted({h[k] for k in mine}):
             group = [k for k in mine if h[k] == value]
             here = sum(size[k] for k in group)
-            take = (below < wanted or below == 0) if here == 0 else (
+            take = wanted > 0 and (below < wanted or below == 0) if here == 0 else (
                 below + here <= wanted or (below < wanted and below + here - wanted <= wanted - below))
             for k in group:
                 out[k] = repeats + take
@@ -83,6 +83,18 @@ def test_mix_awkward_rows(spark):
     assert mixing.apply_mix(documents(spark, [])).count() == 0
 
 
+def test_rows_without_words_are_never_taken_beyond_the_mix(spark):
+    rows = [(i, "", "en", "empty") for i in range(40)] + [(100 + i, None, "en", "none") for i in range(3)]
+    rows += [(200 + i, "a b c" if i % 3 else " ", "en", "tiny") for i in range(60)]  # at its cap of three times its size
+    rows += [(1000 + i, "w " * 500, "en", s) for i in range(20) for s in ("p", "q")]
+    docs = documents(spark, rows)
+    got = mixing.mix(docs).collect()
+    by = {s: {r.copies for r in got if r.source == s} for s in ("empty", "none", "tiny")}
+    assert by == {"empty": {0}, "none": {0}, "tiny": {3}}
+    out = Counter(r.source for r in mixing.apply_mix(docs).collect())
+    assert (out["empty"], out["none"], out["tiny"]) == (0, 0, 180)
+
+
 def test_pipeline_equals_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
