@@ -330,8 +330,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row of each component, that of the smallest doc_id; repeated rows of an id count once.
 
-    Rows without doc_id stay.
+    Of several texts of an id the one with the smallest SHA-256 stays. Rows without doc_id stay.
     """
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(
-        docs.where("doc_id IS NULL"))
+    order = F.struct(F.sha2(utf8_of(), 256), F.xxhash64(*docs.columns))
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row"))
+    return one.select("_row.*").unionByName(docs.where("doc_id IS NULL"))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -94,6 +95,20 @@ def test_doc_id_with_two_texts_is_one_node(spark):
     assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def test_of_several_texts_of_an_id_the_smallest_digest_stays(spark):
+    texts = [f"text {i} of this document, {i} times over and over" for i in range(6)]
+    want = min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    for parts in (1, 4):
+        docs = documents(spark, [(1, t, "en", "s") for t in texts]).repartition(parts)
+        assert [r.text for r in near_dup.keep_one(docs).collect()] == [want]
+
+
+def test_hot_root(spark):
+    edges = spark.range(1, 5000).selectExpr("0 AS a", "id AS b").union(spark.range(5000, 5010).selectExpr("id AS a", "id - 1 AS b"))
+    got = graph.components(edges)
+    assert got.count() == 5010 and got.where("component <> 0").isEmpty()
+
+
 def test_estimate_is_corrected_for_chance():
     rng = np.random.default_rng(1)
     error = []
