@@ -352,8 +352,9 @@ def _first(scored: DataFrame, top: int) -> DataFrame:
               .withColumn("higher", F.coalesce(F.sum("count").over(higher), F.lit(0))).where(F.col("higher") < top)
               .groupBy("lang").agg(F.min("level").alias("lowest")))
     rows = scored.join(lowest, "lang").where(F.floor(F.log2(F.col("score") + F.lit(1.0)) * 16) >= F.col("lowest"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("phrase"), F.lit(SHARDS)))
-    for keys in (["lang", "shard"], ["lang"]):
+    shard = F.pmod(F.xxhash64("phrase"), F.lit(SHARDS))
+    rows = rows.withColumn("shard", shard).withColumn("few", shard % 4)
+    for keys in (["lang", "shard"], ["lang", "few"], ["lang"]):
         order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase")
         rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return rows.drop("shard", "lowest")
+    return rows.drop("shard", "few", "lowest")
