@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators.blocks import FRAME_BLOCK, apply_local, double_field
-from sensorframe.operators.windows import recording_lengths
+from sensorframe.operators.packed import pack_windows, resample_packed, shift_packed
 from sensorframe.params import DEFAULT_RIG, Rig
 
 
@@ -132,52 +132,18 @@ def variable_shift(frames: DataFrame, shifts: DataFrame, cols: Sequence[str],
                    lag_ms: str = "lag_ms", rig: Rig = DEFAULT_RIG) -> DataFrame:
     """Advance columns by each recording's own delay, repeating the edge rows.
 
-    The offset differs per recording, so the shifted row is found by an
-    equi-join on (rec, frame) instead of ``lead``.
+    The offset differs per recording, so windows meet the windows that their
+    shifted frames lie in; inside them values are read by index.
     """
-    n = recording_lengths(frames)
     step = F.bround(F.col(lag_ms) * rig.fs / 1000.0).cast("bigint")
-    table = n.join(shifts.select("rec", step.alias("_step")), "rec", "left")
-    source = frames.select("rec", F.col("frame").alias("_src"),
-                           *[F.col(c).alias(f"_sh_{c}") for c in cols])
-    located = frames.join(table, "rec").withColumn("_src", F.greatest(F.lit(0), F.least(
-        F.col("frame") + F.coalesce("_step", F.lit(0)), (F.col("n_frames") - 1).cast("bigint"))))
-    moved = located.join(source, ["rec", "_src"])
-    return moved.drop(*cols, "_src", "_step", "n_frames").withColumnsRenamed(
-        {f"_sh_{c}": c for c in cols})
-
-
-def lerp_at(points: DataFrame, frames: DataFrame, cols: Sequence[str], at: str = "at",
-            block: int = FRAME_BLOCK) -> DataFrame:
-    """Linear interpolation at fractional frame positions (points: rec, ``at``).
-
-    The next frame's values are attached once; every point then needs a single
-    equi-join on the whole part of its position. The floor is kept at n - 2 so
-    a position on the last frame still has a right neighbour.
-    """
-    paired = apply_local(frames.select("rec", "frame", *cols),
-                         [lambda w: {f"_n_{c}": F.lead(c).over(w) for c in cols}], 0, 1,
-                         block=block)
-    n = recording_lengths(frames)
-    spots = points.join(n, "rec").withColumn("frame", F.least(
-        F.floor(at), F.col("n_frames") - 2).cast("bigint"))
-    hit = spots.join(paired, ["rec", "frame"])
-    part = F.col(at) - F.col("frame")
-    return hit.select(*points.columns, *[
-        (F.col(c) * (1 - part) + F.col(f"_n_{c}") * part).alias(c) for c in cols])
-
-
-def resample(frames: DataFrame, cols: Sequence[str], rate: float,
-             block: int = FRAME_BLOCK) -> DataFrame:
+    keep = [c for c in frames.columns if c not in ("rec", "frame", *cols)]
+    packed = pack_windows(frames, cols, rig, keep=["frame", *keep])
+    return shift_packed(packed, shifts.select("rec", step.alias("step")), cols, keep, rig=rig)
+
+
+def resample(frames: DataFrame, cols: Sequence[str], rate: float, rig: Rig = DEFAULT_RIG) -> DataFrame:
     """Play each recording ``rate`` times faster by linear interpolation."""
-    n = recording_lengths(frames)
-    last = F.floor((F.col("n_frames") - 1) / rate)
-    points = n.where(F.col("n_frames") >= 2).select("rec", "n_frames", F.explode(
-        F.sequence(F.lit(0), F.floor(last / block))).alias("_chunk"), last.alias("_last")).select(
-        "rec", F.explode(F.sequence(F.col("_chunk") * block, F.least(
-            F.col("_last"), (F.col("_chunk") + 1) * block - 1))).alias("out_frame"))
-    points = points.withColumn("at", F.col("out_frame") * rate)
-    return lerp_at(points, frames, cols, block=block).drop("at")
+    return resample_packed(pack_windows(frames, cols, rig), cols, rate, rig)
 
 
 def jerk_norm(w, cols=V.ACC) -> Column:

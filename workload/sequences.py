@@ -11,6 +11,7 @@ from sensorframe.operators import scan as N
 from sensorframe.operators import sequence as X
 from sensorframe.operators import windows as W
 from sensorframe.operators.blocks import prefix_sums
+from sensorframe.operators.packed import pack_windows
 from sensorframe.session import cut_lineage
 from sensorframe.sources.views import event_view, sensor_view
 from workload import inputs as I
@@ -102,7 +103,20 @@ SELECT sp.rec, k AS out_frame, a.ax * (1 - (spot - i)) + b.ax * (spot - i) AS ax
        a.vx * (1 - (spot - i)) + b.vx * (spot - i) AS vx
 FROM sp JOIN sv a ON a.rec = sp.rec AND a.frame = i JOIN sv b ON b.rec = sp.rec AND b.frame = i + 1""")
 def lerp_resample(spark, d):
-    return X.resample(sensor_view(spark, d), ["ax", "vx"], 1.7)
+    return X.resample(sensor_view(spark, d), ["ax", "vx"], 1.7, I.RIG)
+
+
+@query("packed_windows", "rec:bigint win_idx:int n:int", "own beyond", f"""{Q.BASE},
+ww AS (SELECT rec, CAST(floor(frame / 50) AS INTEGER) AS win_idx, count(*) AS n, sum(ax * (frame % 50 + 1)) AS own FROM sv GROUP BY 1, 2),
+hh AS (SELECT rec, CAST(floor(frame / 50) AS INTEGER) - 1 AS win_idx, sum(ax * (frame % 50 + 1)) AS beyond FROM sv WHERE frame % 50 < 2 AND frame >= 50 GROUP BY 1, 2)
+SELECT ww.rec, ww.win_idx, n, own, coalesce(beyond, 0) AS beyond FROM ww LEFT JOIN hh ON hh.rec = ww.rec AND hh.win_idx = ww.win_idx""")
+def packed_windows(spark, d):
+    """Windows as arrays: weighted sums of the own frames and of the halo from the next window."""
+    p = pack_windows(sensor_view(spark, d), ["ax"], I.RIG)
+    weighed = lambda x: F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    n = F.col("n")
+    return p.select("rec", "win_idx", "n", weighed(F.slice("ax", 1, n)).alias("own"),
+                    weighed(F.slice("ax", n + 1, F.lit(2))).alias("beyond"))
 
 
 # ------------------------------------------------------------------ window tables
