@@ -7,8 +7,9 @@ collects a whole recording in one task. Three tools make that possible:
   of a recording with a small halo of repeated rows at the block edges;
 * ``prefix_sums``  - running sums built in three levels (inside a block, over
   blocks, over groups of blocks);
-* ``order_statistics`` - exact ranks and percentiles by histogram refinement,
-  so only the few values around a wanted rank are ever sorted.
+* ``order_statistics`` - exact ranks by histogram refinement, and
+  ``percentiles`` of many columns by mergeable sketches: only the few values
+  around a wanted rank are ever sorted.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sensorframe.session import write_once
+
 BLOCK = "_block"
 FRAME_BLOCK = 8192
 FAN_OUT = 4096
@@ -131,6 +134,8 @@ def number_rows(df: DataFrame, key, order: Sequence[str], coarse: Column,
 # ----------------------------------------------------------------- exact ranks
 #: Parts that a bucket with a wanted rank is cut into.
 PARTS = 1 << 20
+#: Percentiles: places of a sketch's grid, its accuracy, and values of one group that are gathered around a rank.
+GRID, SKETCH, GATHERED = 256, 10_000, 1_000_000
 
 
 def _fine_bucket(v: Column) -> Column:
@@ -191,31 +196,85 @@ def percentiles(df: DataFrame, keys: Sequence[str],
     ``wanted`` maps a prefix to (column, fractions); the result has one row per
     group with columns ``<prefix>_p<percent>``. Null and NaN values are left out
     of that column only; a group without a value, or with a null key, keeps its
-    row. Every group size takes the same way.
+    row.
+
+    One wide aggregate makes a mergeable sketch of every column. Its grid of
+    values brackets each wanted rank, and a group's brackets go back to its rows,
+    where values below are counted and only those inside are gathered and
+    sorted. While some group would gather more than ``GATHERED`` values, another
+    sketch of the values inside narrows the brackets. A sketch can only cost time:
+    a rank outside its bracket raises an error.
     """
     keys = list(keys)
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(p).alias("_metric"), c.cast("double").alias("_value0"))
-        for p, (c, _) in wanted.items()])).alias("_pair")).select(
-            *keys, F.col("_pair._metric").alias("_metric"), F.col("_pair._value0").alias("_value0"))
-    ranks = F.lit(None).cast("array<bigint>")
-    for p, (_, fractions) in wanted.items():
-        spots = [F.lit(float(q)) * (F.col("_total") - 1) for q in fractions]
-        both = F.array(*[f(s).cast("bigint") for s in spots for f in (F.floor, F.ceil)])
-        ranks = F.when(F.col("_metric") == p, both).otherwise(ranks)
-    stats = order_statistics(long, [*keys, "_metric"], "_value0", ranks)
-    aggs = []
-    for p, (_, fractions) in wanted.items():
+    by, values, spots = keys or ["_all"], [], []
+    for i, (c, fractions) in enumerate(wanted.values()):
+        v = c.cast("double")
+        values.append(F.when(~F.isnan(v), v).alias(f"_m{i}"))
+        spots += [(i, f"{i}_{j}", float(q)) for j, q in enumerate(fractions)]
+    rows = df.select(*keys, *([] if keys else [F.lit(1).alias("_all")]), *values)
+    grid = F.array(*[F.lit(g / GRID) for g in range(GRID + 1)])
+    sketch = rows.groupBy(*by).agg(*[F.count(f"_m{i}").alias(f"_n{i}") for i in range(len(wanted))],
+                                   *[F.percentile_approx(f"_m{i}", grid, SKETCH).alias(f"_g{i}") for i in range(len(wanted))])
+
+    def ranks(i: int, q: float) -> tuple[Column, Column]:
+        spot = F.lit(q) * (F.col(f"_n{i}") - 1)
+        return F.floor(spot), F.ceil(spot)
+
+    def bracket(values: Column, first: Column, last: Column, n: Column) -> tuple[Column, Column, Column]:
+        """Grid values around the ranks ``first`` to ``last`` of ``n``, and how many values lie between, about."""
+        n = F.nullif(n, F.lit(0))
+        margin = F.greatest(F.lit(2), F.ceil(2.0 * GRID / n))
+        lo = F.greatest(F.lit(0), F.floor(first / n * GRID) - margin).cast("int")
+        hi = F.least(F.lit(GRID), F.ceil((last + 1) / n * GRID) + margin).cast("int")
+        return F.get(values, lo), F.get(values, hi), F.ceil((hi - lo) / GRID * n)
+
+    state, more = sketch, []
+    for i, at, q in spots:
+        lo, hi, inside = bracket(F.col(f"_g{i}"), *ranks(i, q), F.col(f"_n{i}"))
+        more += [lo.alias(f"_lo{at}"), hi.alias(f"_hi{at}"), inside.alias(f"_in{at}")]
+    state = state.select(*by, *[f"_n{i}" for i in range(len(wanted))], *more)
+    before = None
+    while True:
+        state = write_once(state, "brackets")
+        largest = state.agg(F.max(F.greatest(*[F.coalesce(f"_in{at}", F.lit(0)) for _, at, _ in spots], F.lit(0)))).first()[0]
+        met = join_same(rows, state, by)
+        below = lambda i, at: F.count_if(F.col(f"_m{i}") < F.col(f"_lo{at}")).alias(f"_b{at}")
+        between = lambda i, at: F.when(F.col(f"_m{i}").between(F.col(f"_lo{at}"), F.col(f"_hi{at}")), F.col(f"_m{i}"))
+        counts = [F.first(f"_n{i}").alias(f"_n{i}") for i in range(len(wanted))]
+        if (largest or 0) <= GATHERED or before is not None and largest > before / 2:  # as narrow as ties let it be
+            break
+        before = largest
+        finer = met.groupBy(*by).agg(*counts, *[x for i, at, _ in spots for x in (
+            below(i, at), F.count(between(i, at)).alias(f"_c{at}"),
+            F.percentile_approx(between(i, at), grid, SKETCH).alias(f"_g{at}"))])
+        more = []
+        for i, at, q in spots:
+            first, last = (r - F.col(f"_b{at}") for r in ranks(i, q))
+            lo, hi, inside = bracket(F.col(f"_g{at}"), first, last, F.col(f"_c{at}"))
+            same = F.col(f"_g{at}")[0] == F.col(f"_g{at}")[GRID]  # one value, however often: nothing to gather
+            more += [lo.alias(f"_lo{at}"), hi.alias(f"_hi{at}"), F.when(same, 0).otherwise(inside).alias(f"_in{at}")]
+        state = finer.select(*by, *[f"_n{i}" for i in range(len(wanted))], *more)
+
+    # a bracket of one value needs no list
+    gathered = met.groupBy(*by).agg(*counts, *[x for i, at, _ in spots for x in (
+        below(i, at), F.count(between(i, at)).alias(f"_c{at}"), F.first(f"_lo{at}").alias(f"_lo{at}"), F.sort_array(F.collect_list(F.when(
+            F.col(f"_lo{at}") < F.col(f"_hi{at}"), between(i, at)))).alias(f"_v{at}"))])
+    out = []
+    for prefix, (_, fractions) in wanted.items():
         for q in fractions:
-            spot = F.lit(float(q)) * (F.col("_total") - 1)
-            mine = F.col("_metric") == p
-            lo = F.max(F.when(mine & (F.col("_rank") == F.floor(spot)), F.col("_value")))
-            hi = F.max(F.when(mine & (F.col("_rank") == F.ceil(spot)), F.col("_value")))
-            part = F.max(F.when(mine, spot - F.floor(spot)))
-            aggs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part).alias(percentile_name(p, q)))
-    if not keys:
-        return stats.agg(*aggs)
-    return join_same(df.select(*keys).distinct(), stats.groupBy(*keys).agg(*aggs), keys, "left")
+            i, at, q = spots[len(out)]
+            first, last = ranks(i, q)
+
+            def pick(r: Column) -> Column:
+                place = (r - F.col(f"_b{at}")).cast("int")
+                held = F.when(F.size(f"_v{at}") > 0, F.get(f"_v{at}", place)).otherwise(F.col(f"_lo{at}"))
+                return F.when((place >= 0) & (place < F.col(f"_c{at}")), held).otherwise(
+                    F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+            lo, hi = pick(first), pick(last)
+            part = F.lit(q) * (F.col(f"_n{i}") - 1) - first
+            value = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part)
+            out.append(F.when(F.col(f"_n{i}") > 0, value).alias(percentile_name(prefix, q)))
+    return gathered.select(*keys, *out)
 
 
 def percentile_name(prefix: str, q: float) -> str:

@@ -9,13 +9,24 @@ one batch and one unfinished group; callers keep groups bounded.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays alive between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library offers it
+        pass
+
+
 def group_bounds(pdf: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     """Row numbers where a new group starts, plus the end (rows sorted by group)."""
     change = np.zeros(len(pdf), bool)
@@ -56,7 +67,10 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 yield fn(pdf.iloc[:cut].reset_index(drop=True), bounds[:-1])
         if held:
             pdf = pd.concat(held, ignore_index=True)
+            held = []
             yield fn(pdf, group_bounds(pdf, keys))
+            del pdf
+        give_back()
     rows = df.withColumn("_place", F.xxhash64(*keys)).repartition("_place")
     return rows.sortWithinPartitions(*keys, *order).drop("_place").mapInPandas(run, schema)
 

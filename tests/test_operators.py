@@ -112,6 +112,24 @@ def test_percentiles(spark):
         assert [row[B.percentile_name("v", q)] for q in qs] == pytest.approx(list(want))
 
 
+@pytest.mark.parametrize("gathered", [5, 60, 1_000_000])
+def test_percentiles_narrow_their_brackets(spark, monkeypatch, gathered):
+    monkeypatch.setattr(B, "GATHERED", gathered)
+    g = np.random.default_rng(3)
+    data = pd.DataFrame({"k": np.repeat([0, 1, 2, 3], [3000, 7, 900, 1]), "v": g.lognormal(0, 3, 3908), "w": g.integers(0, 4, 3908) * 1.0})
+    data.loc[data.k == 2, "v"] = 5.5  # ties alone cannot be narrowed and need not be
+    data.loc[:400, "v"] = 1e-3
+    qs = [0.0, 0.01, 0.5, 0.9, 1.0]
+    rows = B.percentiles(spark.createDataFrame(data).repartition(5), ["k"], {"v": (F.col("v"), qs), "w": (F.col("w"), [0.5])}).collect()
+    assert len(rows) == 4
+    for row in rows:
+        mine = data[data.k == row["k"]]
+        assert [row[B.percentile_name("v", q)] for q in qs] == pytest.approx(list(np.percentile(mine["v"], np.array(qs) * 100)))
+        assert row["w_p50"] == np.percentile(mine["w"], 50)
+    whole = B.percentiles(spark.createDataFrame(data), [], {"v": (F.col("v"), [0.3])}).collect()
+    assert whole[0]["v_p30"] == pytest.approx(np.percentile(data["v"], 30))
+
+
 def test_percentiles_keep_every_group(spark):
     """All-NaN groups, null keys, infinite values and values crowded in a narrow range."""
     rng = np.random.default_rng(1)
