@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from sensorframe.operators.grouped import give_back
 from sensorframe.session import scratch_path
 
 #: Words are runs of anything but these six characters (ASCII white space).
@@ -58,11 +59,13 @@ def map_rows(df: DataFrame, schema: str, keep: Sequence[str],
     names = [f.name for f in full.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
+        fn, part = make(), None
         for b in batches:
             step = max(1, b.num_rows * SLICE_BYTES // max(1, b.nbytes))
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + fn(part), names)
+        del fn, part
+        give_back()
 
     return df.mapInArrow(run, full)

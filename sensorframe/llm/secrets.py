@@ -18,6 +18,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -182,13 +183,13 @@ def listing(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: str, spans: Sequence[dict], mark: str) -> str:
+def redacted(text: str, starts: Sequence[int], ends: Sequence[int], mark: str) -> str:
     """The text with its spans (ordered by start; overlapping ones as one) replaced, in one walk."""
     pieces, at = [], 0
-    for s in spans:
-        if s["start"] >= at:
-            pieces += (text[at:s["start"]], mark)
-        at = max(at, s["end"])
+    for start, end in zip(starts, ends):
+        if start >= at:
+            pieces += (text[at:start], mark)
+        at = max(at, end)
     return "".join([*pieces, text[at:]])
 
 
@@ -196,19 +197,17 @@ def redact(versions: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[SEC
            ledger: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """The rows with every found span (overlapping ones as one) replaced in ``text``.
 
-    Clean texts, null ones included, are left as they are. Other columns stay.
+    Clean texts, null ones included, are left as they are and do not leave the JVM. Other columns stay.
     """
     dirty = findings(update_ledger(versions, rules, ledger, path), rules)
     marked = versions.withColumn("_blob", blob_id(F.col("text"))).join(
         dirty.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
 
-    def make():
-        def run(b: pa.RecordBatch) -> list:
-            spans = b.column("_spans").to_pylist()
-            text = b.column("text")
-            return [pa.array([None if s is None else redacted(text[i].as_py(), s, mark) for i, s in enumerate(spans)], pa.string())]
-        return run
+    @F.pandas_udf("string")
+    def clean(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else redacted(t, s, e, mark) for t, s, e in zip(text, starts, ends)], dtype=object)
 
-    clean = map_rows(marked, "_clean string", [*versions.columns, "_spans"], make)
-    return clean.select(*[F.when(F.col("_spans").isNull(), F.col(c)).otherwise(F.col("_clean")).alias(c) if c == "text" else F.col(c)
-                          for c in versions.columns])
+    found = F.col("_spans").isNotNull()
+    text = clean(F.when(found, F.col("text")), F.transform("_spans", lambda s: s["start"]), F.transform("_spans", lambda s: s["end"]))
+    return marked.withColumn("_clean", text).select(*[
+        F.when(found, F.col("_clean")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(c) for c in versions.columns])
