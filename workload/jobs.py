@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators import windows as W
+from sensorframe.operators.grouped import map_groups
 from sensorframe.operators.relational import normalise_key
 from sensorframe.operators.sampling import sample_weights
 from sensorframe.plans import baseline, evaluation, features, inference
 from sensorframe.session import scratch_path
 from sensorframe.sources import tables
+from sensorframe.sources.archives import follow_archives, read_archives, write_archive
 from sensorframe.sources.recordings import materialise
 from sensorframe.sources.views import sensor_view, wall_clock, with_platform
 from sensorframe.streaming import incremental
@@ -226,6 +229,72 @@ def targets_file(spark, d):
     return tables.read_targets(spark, f"{path}/*")
 
 
+def _archive(spark, d, root, block=4096):
+    """Frames written as archives, one per recording and ``block`` frames, so that a task holds a bounded part."""
+    cols = ("ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz")
+
+    def write(pdf, bounds):
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            g = pdf.iloc[i:j]
+            rec, part = int(g["rec"].iloc[0]), int(g["part"].iloc[0])
+            write_archive(root, f"s{rec % 3}", f"{rec}_{part}", {
+                "imu": g[list(cols[:6])].to_numpy(), "vel_body": g[list(cols[6:])].to_numpy(), "fs": np.array(I.RIG.fs)})
+        return pdf.iloc[bounds[:-1]][["rec", "part"]]
+    parts = sensor_view(spark, d).select("rec", F.floor(F.col("frame") / block).alias("part"), "frame", *cols)
+    return map_groups(parts, ["rec", "part"], ["frame"], write, "rec bigint, part bigint").count()
+
+
+@query("recordings_by_split", "rec:bigint n:bigint", "ax vz ts", f"""{Q.BASE} SELECT rec, count(*) AS n, avg(ax) AS ax, avg(vz) AS vz,
+avg((frame % 4096) / 50.0) AS ts FROM sv WHERE rec % 3 = 1 GROUP BY rec""")
+def recordings_by_split(spark, d):
+    """Archives written from the frames and read back by the data source; other splits are not opened."""
+    root = scratch_path(spark, "archives")
+    _archive(spark, d, root)
+    frames = read_archives(spark, root, split="s1")
+    return frames.groupBy(F.split("rec", "_")[0].cast("bigint").alias("rec")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in ("ax", "vz", "ts")])
+
+
+@query("recordings_stream", "split:string n:bigint", "wz", f"""{Q.BASE} SELECT 's' || rec % 3 AS split, count(*) AS n, avg(wz) AS wz
+FROM sv GROUP BY 1""")
+def recordings_stream(spark, d):
+    """All archives read once by a stream of the data source."""
+    root = scratch_path(spark, "archives")
+    _archive(spark, d, root)
+    frames = follow_archives(spark, root).select("split", "wz")
+    return _run_stream(spark, frames).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("wz").alias("wz"))
+
+
+@query("exactly_once_scores", "tag:string fold:string n:bigint", "ave", f"""{Q.EVAL} SELECT tag,
+CASE WHEN tag LIKE 'alpha%' THEN 'fold_one' ELSE 'fold_two' END AS fold, count(*) AS n, avg(err) AS ave
+FROM er WHERE tag <> 'beta_s2' OR win_idx % 2 = 0 GROUP BY 1, 2""")
+def exactly_once_scores(spark, d):
+    """The stream breaks down between evaluation and commit, is started again, and counts every file once."""
+    truth = I.truth(spark, d).select(F.format_string("w%d_%d", "rec", "win_idx").alias("window_id"),
+                                     *[F.col(c).alias(f"{c}_gt") for c in V.VEL])
+    files, out, seen = _run_files(spark, d) + "/*", scratch_path(spark, "scores"), scratch_path(spark, "seen")
+
+    def evaluate(batch):
+        m = batch.withColumnsRenamed({c: f"{c}_pred" for c in V.VEL}).join(truth, "window_id")
+        return evaluation.with_errors(m).groupBy("tag", "fold").agg(F.count("err").alias("n"), F.sum("err").alias("total"))
+
+    def run(before_commit=None):
+        q = incremental.collect_once(spark, files, seen, out, {"alpha": "fold_one", "beta": "fold_two"}, evaluate,
+                                     r"tag=([^/]+)/", before_commit=before_commit)
+        q.awaitTermination()
+
+    def breakdown(batch_id):
+        raise RuntimeError("broken off between evaluation and commit")
+    try:
+        run(breakdown)
+    except StreamingQueryException:
+        pass
+    run()
+    run()  # nothing new
+    return incremental.committed(spark, out).groupBy("tag", "fold").agg(
+        F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("ave"))
+
+
 @query("frames_by_split", "rec:bigint n:bigint", "ax vz", f"""{Q.BASE} SELECT rec, count(*) AS n, avg(ax) AS ax, avg(vz) AS vz
 FROM sv WHERE rec % 3 = 1 GROUP BY rec""")
 def frames_by_split(spark, d):
