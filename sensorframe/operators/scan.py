@@ -620,17 +620,58 @@ def two_speed_up(frames: DataFrame, fast: float, slow: float, rig: Rig = DEFAULT
         up_filter(frames, slow, rig, name="slow_"), ["rec", "frame"])
 
 
-def derived_channels(frames: DataFrame, rig: Rig = DEFAULT_RIG,
-                     deviation: DataFrame | None = None, horizon: float = 0.0) -> DataFrame:
+def dead_reckon_given(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
+                      bound: float = VELOCITY_SQUASH, horizon: float = 0.0, keep: tuple[str, ...] = (),
+                      block: int = 8192) -> DataFrame:
+    """Velocity from the rest anchor on an attitude that is given: frames hold r00..r22, the rotation to the anchor frame.
+
+    ``anchors``: rec, anchor_at and the anchor's up direction (fx, fy, fz, of any
+    length). The columns are those of ``dead_reckon``. The force turned by the
+    given attitude, less gravity, is one running sum, so nothing is replayed.
+    """
+    up0 = V.vec("_u0", "_u1", "_u2")
+    spot = cut_lineage(anchors.select("rec", "anchor_at", "fx", "fy", "fz"))
+    lifted = V.sub(V.matvec(V.mat(ROTATION), V.vec(*V.ACC)), V.scale(up0, F.lit(rig.g)))
+    based = frames.select("rec", "frame", *V.ACC, *ROTATION, *keep).join(_rest_up(spot), "rec")
+    summed = integrate_from_anchor(based, dict(zip(("i_x", "i_y", "i_z"), lifted)), spot, rig, block)
+    away = F.col("frame") - F.col("anchor_at")
+    body = V.mat_t_vec(V.mat(ROTATION), V.vec("i_x", "i_y", "i_z"))
+    up = V.mat_t_vec(V.mat(ROTATION), up0)
+    near = F.abs(away) <= horizon * rig.fs if horizon > 0 else F.lit(True)
+    return summed.join(spot.select("rec", "anchor_at"), "rec").select(
+        "rec", "frame", *keep,
+        *[F.when(near, V.squash(c, bound)).otherwise(0.0).alias(n) for c, n in zip(body, ("d_x", "d_y", "d_z"))],
+        (away / rig.fs / 10.0).alias("since"), "i_x", "i_y", "i_z", *V.named(up, ("ux", "uy", "uz")), *ROTATION)
+
+
+def calibrate_frames(frames: DataFrame, calibration: DataFrame) -> DataFrame:
+    """Calibrated axes and ``deviation`` per frame; recordings without a row stay as they are, with deviation 0.
+
+    ``calibration``: rec, gain_x..z, bias_x..z, logit (of the exchanged gyro axes), flip.
+    """
+    gain, bias = V.vec("gain_x", "gain_y", "gain_z"), V.vec("bias_x", "bias_y", "bias_z")
+    both = frames.join(calibration.withColumn("_known", F.lit(True)), "rec", "left")
+    known = F.col("_known").isNotNull()
+    force = V.choose(known, V.calibrate_force(V.vec(*V.ACC), gain, bias), V.vec(*V.ACC))
+    rate = V.flip_gyro(V.vec(*V.GYR), known & F.col("flip"))
+    worth = F.when(known, V.calibration_deviation(gain, bias, F.col("logit"))).otherwise(0.0)
+    return both.withColumns({**V.as_columns(force, V.ACC), **V.as_columns(rate, V.GYR), "deviation": worth}).select(
+        *frames.columns, "deviation")
+
+
+def derived_channels(frames: DataFrame, rig: Rig = DEFAULT_RIG, calibration: DataFrame | None = None,
+                     anchors: DataFrame | None = None, horizon: float = 0.0) -> DataFrame:
     """All anchor-based channels of a frame in one table.
 
     Carried up, bounded velocity, time since anchor, first two rotation columns,
     unbounded anchor-frame velocity and the recording's calibration deviation.
+    Frames that hold an attitude (r00..r22) are integrated on it, others on their
+    own rates. A ``calibration`` (see ``calibrate_frames``) is applied first;
+    ``anchors`` default to the calmest window of the calibrated frames.
     """
-    dr = dead_reckon(frames, rest_reference(frames, rig), rig, horizon=horizon)
-    out = dr.select("rec", "frame", "ux", "uy", "uz", "d_x", "d_y", "d_z", "since",
-                    "r00", "r10", "r20", "r01", "r11", "r21", "i_x", "i_y", "i_z")
-    if deviation is None:
-        return out.withColumn("deviation", F.lit(0.0))
-    return out.join(deviation.select("rec", "deviation"), "rec", "left").withColumn(
-        "deviation", F.coalesce("deviation", F.lit(0.0)))
+    made = calibrate_frames(frames, calibration) if calibration is not None else frames.withColumn("deviation", F.lit(0.0))
+    anchors = rest_reference(made, rig) if anchors is None else anchors
+    run = dead_reckon_given if set(ROTATION) <= set(frames.columns) else dead_reckon
+    dr = run(made, anchors, rig, horizon=horizon, keep=("deviation",))
+    return dr.select("rec", "frame", "ux", "uy", "uz", "d_x", "d_y", "d_z", "since",
+                     "r00", "r10", "r20", "r01", "r11", "r21", "i_x", "i_y", "i_z", "deviation")

@@ -440,6 +440,57 @@ def dead_reckon(spark, d):
                        ("d_x", "d_y", "d_z", "i_x", "since"))
 
 
+def _given_sql(force, more=""):
+    """Dead reckoning on the attitude th about the third axis, with the calibrated force given as SQL."""
+    ax, ay, az = force
+    sums = ", ".join(f"coalesce(sum(p{c}) OVER w, 0) AS c{c}" for c in "xyz")
+    return f"""un AS (SELECT rec, anchor_at, fx / n AS u0, fy / n AS u1, fz / n AS u2 FROM (SELECT *, sqrt(fx*fx + fy*fy + fz*fz) AS n FROM an)),
+ga AS (SELECT sv.rec, frame, cos(0.3 * wz + 0.01 * frame) AS co, sin(0.3 * wz + 0.01 * frame) AS si, {ax} AS ax, {ay} AS ay, {az} AS az{more} FROM sv),
+gl AS (SELECT ga.*, anchor_at, u0, u1, u2, co * ax - si * ay - 9.81 * u0 AS px, si * ax + co * ay - 9.81 * u1 AS py, az - 9.81 * u2 AS pz FROM ga JOIN un ON un.rec = ga.rec),
+gc AS MATERIALIZED (SELECT *, {sums} FROM gl WINDOW w AS (PARTITION BY rec ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+gi AS (SELECT gc.*, (gc.cx - z.cx) / 50 AS ix, (gc.cy - z.cy) / 50 AS iy, (gc.cz - z.cz) / 50 AS iz FROM gc JOIN gc z ON z.rec = gc.rec AND z.frame = gc.anchor_at),
+gd AS (SELECT *, 8 * tanh((co * ix + si * iy) / 8) AS dx, 8 * tanh((co * iy - si * ix) / 8) AS dy, 8 * tanh(iz / 8) AS dz,
+       co * u0 + si * u1 AS ux, co * u1 - si * u0 AS uy, u2 AS uz, (frame - anchor_at) / 500 AS since FROM gi)"""
+
+
+def _with_attitude(f):
+    th = 0.3 * F.col("wz") + 0.01 * F.col("frame")
+    co, si, zero = F.cos(th), F.sin(th), F.lit(0.0)
+    return f.withColumns(dict(zip(N.ROTATION, (co, -si, zero, si, co, zero, zero, zero, F.lit(1.0)))))
+
+
+@query("dead_reckon_given_attitude", KEYS, "d_x d_y d_z i_x i_z ux uy since", f"""{Q.REST}, {_given_sql(("ax", "ay", "az"))}
+SELECT rec, {_WIN} AS win_idx, avg(dx) AS d_x, avg(dy) AS d_y, avg(dz) AS d_z, avg(ix) AS i_x, avg(iz) AS i_z, avg(ux) AS ux, avg(uy) AS uy,
+avg(since) AS since FROM gd GROUP BY 1, 2 HAVING count(*) = 50""", digits=4)
+def dead_reckon_given_attitude(spark, d):
+    """Velocity integrated on an attitude from outside: here a turn about the third axis."""
+    f = I.stored_frames(spark, d)
+    return _window_avg(N.dead_reckon_given(_with_attitude(f), W.rest_anchor(f, I.RIG), I.RIG),
+                       ("d_x", "d_y", "d_z", "i_x", "i_z", "ux", "uy", "since"))
+
+
+_GAIN = {c: f"(1 + 0.01 * (rec % {n}))" for c, n in zip("xyz", (5, 3, 7))}
+_BIAS = {c: f"(0.02 * (rec % {n}))" for c, n in zip("xyz", (3, 5, 2))}
+
+
+@query("derived_channels", KEYS, "d_x d_z i_y ux r11 deviation since", f"""{Q.REST}, {_given_sql(
+    [f"CASE WHEN rec % 4 = 0 THEN a{c} ELSE (a{c} - {_BIAS[c]}) / {_GAIN[c]} END" for c in "xyz"],
+    f", CASE WHEN rec % 4 = 0 THEN 0 ELSE greatest({', '.join(f'abs({g} - 1)' for g in _GAIN.values())}) / 0.05 + sqrt("
+    + " + ".join(f"{b} * {b}" for b in _BIAS.values()) + ") / 0.5 + 1 - abs(tanh((rec % 9 - 4) / 2.0)) END AS dev")}
+SELECT rec, {_WIN} AS win_idx, avg(CASE WHEN abs(frame - anchor_at) <= 200 THEN dx ELSE 0 END) AS d_x,
+avg(CASE WHEN abs(frame - anchor_at) <= 200 THEN dz ELSE 0 END) AS d_z, avg(iy) AS i_y, avg(ux) AS ux, avg(co) AS r11, avg(dev) AS deviation,
+avg(since) AS since FROM gd GROUP BY 1, 2 HAVING count(*) = 50""", digits=4)
+def derived_channels(spark, d):
+    """Calibrated axes on a given attitude, with a horizon; every fourth recording has no calibration."""
+    f = I.stored_frames(spark, d)
+    calibration = f.select("rec").distinct().where("rec % 4 <> 0").select(
+        "rec", *[F.expr(g).cast("double").alias(f"gain_{c}") for c, g in _GAIN.items()],
+        *[F.expr(b).cast("double").alias(f"bias_{c}") for c, b in _BIAS.items()],
+        (F.col("rec") % 9 - 4).cast("double").alias("logit"), (F.col("rec") % 2 == 0).alias("flip"))
+    made = N.derived_channels(_with_attitude(f), I.RIG, calibration, W.rest_anchor(f, I.RIG), horizon=4.0)
+    return _window_avg(made, ("d_x", "d_z", "i_y", "ux", "r11", "deviation", "since"))
+
+
 _TURNQ = Q.quat_mul(("-e.x", "-e.y", "-e.z", "e.w"), ("p.x", "p.y", "p.z", "p.w"))
 _T = Q.quat_matrix("tx", "ty", "tz", "tw")
 _TV = Q.matvec(_T, ("pdx", "pdy", "pdz"))
