@@ -15,6 +15,7 @@ from sensorframe.functions import vec as V
 from sensorframe.operators.blocks import apply_local, percentiles, prefix_sums, top_k
 from sensorframe.operators.relational import digitise, recipe_of, share_of
 from sensorframe.params import (ATE_REFERENCE, ATE_WEIGHT, AVE_REFERENCE, AVE_WEIGHT, SPEED_EDGES)
+from sensorframe.session import cut_lineage
 
 TRUE = ("vx_gt", "vy_gt", "vz_gt")
 PRED = ("vx_pred", "vy_pred", "vz_pred")
@@ -256,6 +257,41 @@ def bootstrap_interval(replicated: DataFrame) -> DataFrame:
         (F.col("change") < 0).cast("double")).alias("improved_share")).join(F.broadcast(q))
 
 
+def run_decision(recs: DataFrame, before: str, after: str, replicates: int = 200, seed: int = 0,
+                 factor: float = 2.0) -> DataFrame:
+    """Whether recipe ``after`` replaces ``before``: one row with the change, its spread and ``decision``.
+
+    ``recs`` has tag, platform, rec, ave of the runs of all recipes. A recording's
+    error is averaged over a recipe's seeds; the macro change (platforms alike) is
+    bootstrapped by recording inside platforms. The threshold is ``factor`` times
+    the spread that recordings and seeds make together, where the variance of
+    seeds is pooled over all recipes: sqrt(sd_boot^2 + sd_seed^2 (1 / n_before +
+    1 / n_after)). ``accept``: better by more than the threshold and the whole
+    central 95 % of replicates better; ``reject``: worse by more than it;
+    otherwise ``more seeds``.
+    """
+    named = recs.withColumn("recipe", recipe_of("tag"))
+    mean = named.groupBy(F.col("recipe").alias("tag"), "platform", "rec").agg(F.avg("ave").alias("ave"))
+    drawn = cut_lineage(paired_bootstrap(mean, before, after, replicates, seed))
+    spread = drawn.agg(F.stddev_samp("change").alias("sd_boot"))
+    part = mean.groupBy("platform", "rec").agg(*[F.max(F.when(F.col("tag") == t, F.col("ave"))).alias(c)
+                                                 for t, c in ((before, "_b"), (after, "_a"))])
+    change = part.groupBy("platform").agg(F.avg(F.col("_a") - F.col("_b")).alias("_d")).agg(F.avg("_d").alias("change"))
+    runs = (named.groupBy("recipe", "tag", "platform").agg(F.avg("ave").alias("_p"))
+            .groupBy("recipe", "tag").agg(F.avg("_p").alias("_m")))
+    seeds = runs.groupBy("recipe").agg(F.count(F.lit(1)).alias("_n"), F.var_samp("_m").alias("_v"))
+    several = F.col("_n") > 1
+    pooled = seeds.agg(
+        F.sqrt(F.sum(F.when(several, (F.col("_n") - 1) * F.col("_v"))) / F.sum(F.when(several, F.col("_n") - 1))).alias("sd_seed"),
+        *[F.max(F.when(F.col("recipe") == t, F.col("_n"))).alias(c) for t, c in ((before, "n_before"), (after, "n_after"))])
+    row = bootstrap_interval(drawn).join(F.broadcast(spread)).join(F.broadcast(change)).join(F.broadcast(pooled))
+    noise = F.pow("sd_boot", F.lit(2.0)) + F.pow("sd_seed", F.lit(2.0)) * (1 / F.col("n_before") + 1 / F.col("n_after"))
+    row = row.withColumn("threshold", factor * F.sqrt(noise))
+    verdict = (F.when((F.col("change") < -F.col("threshold")) & (F.col("change_p97_5") < 0), "accept")
+               .when(F.col("change") > F.col("threshold"), "reject").otherwise("more seeds"))
+    return row.withColumn("decision", verdict)
+
+
 def metric_line(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """Straight line between two metrics with its fit."""
     return pairs.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),

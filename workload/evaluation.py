@@ -10,6 +10,7 @@ from sensorframe.operators import summary as S
 from sensorframe.operators import windows as W
 from sensorframe.operators.blocks import percentiles
 from sensorframe.plans import evaluation as E
+from sensorframe.plans import sweep
 from sensorframe.sources.views import sensor_view, with_platform
 from workload import inputs as I
 from workload import sql as Q
@@ -239,6 +240,52 @@ def paired_bootstrap(spark, d):
     return E.paired_bootstrap(recs, "beta_s1", "beta_s2", 50)
 
 
+@query("run_decision", "decision:string n_replicates:bigint n_before:bigint n_after:bigint",
+       "change sd_boot sd_seed threshold improved_share change_p2_5 change_p97_5", f"""{Q.EVAL},
+mr AS (SELECT regexp_replace(tag, '_s[0-9]+$', '') AS recipe, platform, rec, avg(a) AS a
+       FROM (SELECT tag, platform, rec, avg(err) AS a FROM er GROUP BY 1, 2, 3) GROUP BY 1, 2, 3),
+pr AS MATERIALIZED (SELECT platform, rec, max(a) FILTER (recipe = 'beta') - max(a) FILTER (recipe = 'alpha') AS c FROM mr GROUP BY 1, 2),
+dr AS (SELECT replicate, platform, c, {Q.uniform('0', 'replicate', 'platform', 'rec')} AS u FROM pr CROSS JOIN range(40) AS t(replicate)),
+wt AS (SELECT replicate, platform, sum({_POISSON}) AS n, sum(({_POISSON}) * c) AS s FROM dr GROUP BY 1, 2),
+bo AS MATERIALIZED (SELECT replicate, avg(s / n) AS change FROM wt WHERE n > 0 GROUP BY replicate),
+ru AS (SELECT tag, avg(p) AS m FROM (SELECT tag, platform, avg(a) AS p FROM (SELECT tag, platform, rec, avg(err) AS a FROM er GROUP BY 1, 2, 3)
+       GROUP BY 1, 2) GROUP BY tag),
+se AS (SELECT regexp_replace(tag, '_s[0-9]+$', '') AS recipe, count(*) AS n, var_samp(m) AS v FROM ru GROUP BY 1),
+al AS (SELECT (SELECT avg(d) FROM (SELECT avg(c) AS d FROM pr GROUP BY platform)) AS change,
+       (SELECT stddev_samp(change) FROM bo) AS sd_boot, (SELECT count(*) FROM bo) AS n_replicates,
+       (SELECT avg((change < 0)::INT) FROM bo) AS improved_share, (SELECT quantile_cont(change, 0.025) FROM bo) AS change_p2_5,
+       (SELECT quantile_cont(change, 0.975) FROM bo) AS change_p97_5, (SELECT sqrt(sum((n - 1) * v) / sum(n - 1)) FROM se WHERE n > 1) AS sd_seed,
+       (SELECT n FROM se WHERE recipe = 'alpha') AS n_before, (SELECT n FROM se WHERE recipe = 'beta') AS n_after),
+th AS (SELECT *, 2 * sqrt(sd_boot * sd_boot + sd_seed * sd_seed * (1.0::DOUBLE / n_before + 1.0::DOUBLE / n_after)) AS threshold FROM al)
+SELECT CASE WHEN change < -threshold AND change_p97_5 < 0 THEN 'accept' WHEN change > threshold THEN 'reject' ELSE 'more seeds' END AS decision,
+       n_replicates, n_before, n_after, change, sd_boot, sd_seed, threshold, improved_share, change_p2_5, change_p97_5 FROM th""")
+def run_decision(spark, d):
+    """Recipe beta against alpha, two seeds each."""
+    recs = E.recording_ave(I.errors(spark, d, I.stored_matched(spark, d)), ("tag", "platform", "rec"))
+    return E.run_decision(recs, "alpha", "beta", 40)
+
+
+_JUDGED = "(tag LIKE 'alpha%' AND rec % 2 = 0 OR tag = 'beta_s1' AND rec % 2 = 1)"
+
+
+@query("sweep_from_files", "tag:string fold:string", "score ave ate ratio_2_2 ratio_2_4 ratio_2_6 ave_hi_rot ave_fast",
+       f"""{Q.EVAL}, {Q.PATHS}, {_CLASSES},
+pr AS (SELECT tag, rec, avg(err) AS ave FROM er WHERE {_JUDGED} GROUP BY 1, 2),
+bi AS (SELECT tag, {', '.join(f"avg(pred_speed) FILTER (true_speed >= {a} AND true_speed < {b}) / avg(true_speed) FILTER (true_speed >= {a} AND true_speed < {b}) AS r{i}"
+                              for i, (a, b) in enumerate(((2.2, 2.4), (2.4, 2.6), (2.6, 99))))} FROM er WHERE {_JUDGED} GROUP BY tag)
+SELECT tag, CASE WHEN tag LIKE 'alpha%' THEN 'fold_one' ELSE 'fold_two' END AS fold,
+       0.6 * avg(ave) / 0.7356 + 0.4 * avg(ate) / 3.1160 AS score, avg(ave) AS ave, avg(ate) AS ate, any_value(r0) AS ratio_2_2,
+       any_value(r1) AS ratio_2_4, any_value(r2) AS ratio_2_6, avg(ave) FILTER (cls = 'hi-rot') AS ave_hi_rot, avg(ave) FILTER (cls = 'fast') AS ave_fast
+FROM pr JOIN pe USING (tag, rec) JOIN cls USING (rec) JOIN bi USING (tag) GROUP BY tag""")
+def sweep_from_files(spark, d):
+    """Files of four runs to one table; the run that lacks windows is left out, each is judged on its own fold."""
+    from workload.jobs import _run_files
+    truth = with_platform(I.truth(spark, d), spark, d).withColumn("window_id", F.format_string("w%d_%d", "rec", "win_idx"))
+    held = truth.select(F.when(F.col("rec") % 2 == 0, "fold_one").otherwise("fold_two").alias("fold"), "rec").distinct()
+    return sweep.sweep_from_files(spark, [_run_files(spark, d) + "/*"], r"tag=([^/]+)/", truth.withColumnsRenamed(
+        {c: f"{c}_gt" for c in V.VEL}), {"alpha": "fold_one", "beta": "fold_two"}, held, _classes(spark, d), ((2.2, 2.4), (2.4, 2.6), (2.6, 99)))
+
+
 @query("metric_line", "", "slope intercept r2", f"""{Q.EVAL}, {Q.PATHS},
 pr AS (SELECT tag, rec, avg(err) AS ave FROM er GROUP BY 1, 2)
 SELECT regr_slope(ate, ave) AS slope, regr_intercept(ate, ave) AS intercept,
