@@ -171,3 +171,26 @@ def decode(coded: DataFrame, proto: bytes, keep=("doc_id",), ids: str = "ids") -
 
     rows = coded.select(*keep, F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_ids"))
     return map_rows(rows, "decoded binary", keep, make)
+
+
+def round_trip(docs: DataFrame, proto: bytes, pattern: str, keep=("doc_id",), text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one visit: ``ids``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every text.
+
+    The ids are decoded again by the inverse mapping where they are made, so one
+    Python worker a task holds the model and the decoded bytes do not travel.
+    """
+    def make():
+        model, cut = model_of(proto), regex.compile(pattern).findall
+
+        def run(b: pa.RecordBatch) -> list:
+            packed = [model.encode(cut(t.as_py())) for t in b.column("_text")]
+            n = np.fromiter((len(p) // 4 for p in packed), np.int64, len(packed))
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            values = np.frombuffer(b"".join(packed), "<i4")
+            back = [sha256(model.decode(values[i:j].tolist())).hexdigest() for i, j in zip(offsets[:-1], offsets[1:])]
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(n),
+                    pa.array([sha256(p).hexdigest() for p in packed]), pa.array(back, pa.string())]
+        return run
+
+    rows = docs.select(*keep, text_of(text).alias("_text"))
+    return map_rows(rows, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", keep, make)

@@ -65,6 +65,17 @@ def test_bpe_rejects_gaps_and_missing_bytes():
         byte_bpe.serialise_model({bytes([b]): b + 1 for b in range(256)})
 
 
+def test_round_trip_equals_encode_and_decode(spark, ranks):
+    model = byte_bpe.serialise_model(ranks)
+    docs = documents(spark)
+    coded = byte_bpe.encode(docs, model, public_tokenizers.PATTERN)
+    both = byte_bpe.decode(coded, model, ["doc_id", "ids", "n_tokens", "ids_sha256"])
+    want = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, hashlib.sha256(r.decoded).hexdigest()) for r in both.collect())
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256)
+                 for r in byte_bpe.round_trip(docs, model, public_tokenizers.PATTERN).collect())
+    assert got == want and len(got) == 9
+
+
 def test_bpe_empty_table(spark, ranks):
     assert byte_bpe.encode(documents(spark, []), byte_bpe.serialise_model(ranks), public_tokenizers.PATTERN).count() == 0
 
