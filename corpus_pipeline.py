@@ -42,10 +42,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = byte_bpe.serialise_model(byte_bpe.read_ranks(VOCABULARY))
     kept = ["doc_id", "source", "_digest"]
     rows = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    coded = byte_bpe.encode(rows, model, public_tokenizers.PATTERN, kept)
-    back = byte_bpe.decode(coded, model, [*kept, "n_tokens", "ids"])
-    return back.select("doc_id", "source", "n_tokens", "ids",
-                       (F.sha2("decoded", 256) == F.col("_digest")).alias("round_trip"))
+    coded = byte_bpe.round_trip(rows, model, public_tokenizers.PATTERN, kept)
+    return coded.select("doc_id", "source", "n_tokens", "ids",
+                        (F.col("decoded_sha256") == F.col("_digest")).alias("round_trip"))
 
 
 STAGES = [("quality classifier", good_documents), ("near duplicates", distinct_documents),
