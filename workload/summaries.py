@@ -177,6 +177,25 @@ def frame_fit(spark, d):
     return S.gyro_frame_fit(f, I.RIG, smooth=50, minimum=100)
 
 
+@query("frame_fit_checks", "rec:bigint fitted:boolean", "residual_before off_identity determinant", f"""{Q.BASE}, {_slope_sql(50)},
+fw AS (SELECT *, 20 * wx AS sx, 20 * wy AS sy, 20 * wz AS sz, exp(-((n - 9.81) / 3.0) * ((n - 9.81) / 3.0)) AS wt,
+       sqrt(wx*wx + wy*wy + wz*wz) * 20 AS turn FROM ds),
+fu AS (SELECT * FROM fw WHERE turn > 0.3 AND turn < 6.0 AND wt > 0.05),
+fr AS (SELECT rec, sum(wt * sqrt((dx + sy * uz - sz * uy) ** 2 + (dy + sz * ux - sx * uz) ** 2 + (dz + sx * uy - sy * ux) ** 2))
+       / (sum(wt * sqrt(dx*dx + dy*dy + dz*dz)) + 1e-9) AS residual_before FROM fu GROUP BY rec HAVING count(*) >= 100)
+SELECT rec, residual_before IS NOT NULL AS fitted, residual_before, 0.0::DOUBLE AS off_identity, 1.0::DOUBLE AS determinant
+FROM (SELECT DISTINCT rec FROM sv) LEFT JOIN fr USING (rec)""", digits=5)
+def frame_fit_checks(spark, d):
+    """What every fit must satisfy: the residual it starts from, and an orthogonal map without reflection."""
+    m = V.mat(V.mat_cols("r"))
+    rows = [V.vec(*[f"r{i}{j}" for j in range(3)]) for i in range(3)]
+    off = F.greatest(*[F.abs(V.dot(rows[i], rows[j]) - (1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)])
+    f = I.stored_frames(spark, d).withColumns({c: F.col(c) * 20 for c in V.GYR})
+    return S.gyro_frame_fit(f, I.RIG, smooth=50, minimum=100).select(
+        "rec", F.col("residual_before").isNotNull().alias("fitted"), "residual_before", off.alias("off_identity"),
+        V.det(m).alias("determinant"))
+
+
 _REST1 = Q.REST.replace("stddev_pop", "stddev_samp")
 _EXTRAS = f"""sh AS (SELECT rec, sqrt(avg(v)) AS vibration_rms FROM (SELECT rec, var_pop({_A}) AS v FROM sv
 GROUP BY rec, CAST(floor(frame / 50) AS INTEGER) HAVING count(*) = 50) GROUP BY rec),
