@@ -17,14 +17,6 @@ WINDOW_BLOCK = 4096
 INCREMENT = V.mat_cols("t")
 
 
-def chunk_starts(n_windows: Column, k: int) -> Column:
-    """Starts every k // 2 windows plus one chunk that ends on the last window."""
-    n = n_windows.cast("bigint")
-    last = F.greatest(n - k, F.lit(0))
-    return F.array_sort(F.array_distinct(F.array_append(
-        F.sequence(F.lit(0), last, F.lit(max(1, k // 2))), last)))
-
-
 def chunks(windows: DataFrame, k: int = CONTEXT_WINDOWS) -> DataFrame:
     """One row per chunk: first window and valid length.
 

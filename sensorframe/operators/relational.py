@@ -81,13 +81,6 @@ def missing_recordings(windows: DataFrame, files: DataFrame) -> DataFrame:
     return windows.join(files.select("rec"), "rec", "left_anti")
 
 
-def require_recordings(windows: DataFrame, files: DataFrame) -> DataFrame:
-    missing = missing_recordings(windows, files).count()
-    if missing:
-        raise ValueError(f"{missing} windows have no recording file")
-    return windows
-
-
 def fold_split(windows: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(held-out, remaining) windows by a list of recordings."""
     held = held.select("rec").distinct()

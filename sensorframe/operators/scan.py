@@ -614,12 +614,6 @@ def adaptive_gain(alpha: float = ADAPTIVE_GAIN, sigma: float = ADAPTIVE_SIGMA,
     return alpha * F.exp(-(d * d))
 
 
-def two_speed_up(frames: DataFrame, fast: float, slow: float, rig: Rig = DEFAULT_RIG) -> DataFrame:
-    """Fast and slow up directions side by side."""
-    return up_filter(frames, fast, rig, name="fast_").join(
-        up_filter(frames, slow, rig, name="slow_"), ["rec", "frame"])
-
-
 def dead_reckon_given(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
                       bound: float = VELOCITY_SQUASH, horizon: float = 0.0, keep: tuple[str, ...] = (),
                       block: int = 8192) -> DataFrame:

@@ -93,10 +93,6 @@ def window_slices(windows: DataFrame, frames: DataFrame, rig: Rig = DEFAULT_RIG,
     return joined.join(full, ["rec", "win_idx"], "left_semi")
 
 
-def recording_lengths(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("rec").agg(F.count(F.lit(1)).alias("n_frames"))
-
-
 def _frames_at(windows: DataFrame, frames: DataFrame, places: dict[str, int], cols: Sequence[str],
                rig: Rig) -> DataFrame:
     """Rows of ``frames`` at fixed places of each window, as structs (frame and ``cols``).

@@ -393,7 +393,3 @@ def masked_huber(table: DataFrame, valid: Column, beta: float = 0.25) -> DataFra
     return table.agg((F.coalesce(F.sum(F.when(valid, loss)), F.lit(0.0))
                       / F.greatest(F.count_if(valid), F.lit(1))).alias("huber"),
                      F.count_if(valid).alias("n_valid"))
-
-
-def digitised_speed(c: Column) -> Column:
-    return digitise(c, SPEED_EDGES[1:])

@@ -286,6 +286,27 @@ def sweep_from_files(spark, d):
         {c: f"{c}_gt" for c in V.VEL}), {"alpha": "fold_one", "beta": "fold_two"}, held, _classes(spark, d), ((2.2, 2.4), (2.4, 2.6), (2.6, 99)))
 
 
+def _turned_sql(angle, name, out):
+    return (f"(cos({angle}) * vx_{name} - sin({angle}) * vy_{name}) * 0.5 AS {out}x, "
+            f"(sin({angle}) * vx_{name} + cos({angle}) * vy_{name}) * 0.5 AS {out}y, vz_{name} * 0.5 AS {out}z")
+
+
+@query("world_path_rmse", "tag:string rec:bigint n_steps:bigint", "path_rmse", f"""{Q.EVAL},
+wd AS (SELECT tag, rec, win_idx, {_turned_sql('0.1 * win_idx + 0.04', 'pred', 'm')}, {_turned_sql('0.1 * win_idx', 'gt', 't')} FROM mt),
+ws AS (SELECT tag, rec, {', '.join(f"sum(m{c}) OVER w - sum(t{c}) OVER w AS e{c}" for c in 'xyz')}
+       FROM wd WINDOW w AS (PARTITION BY tag, rec ORDER BY win_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT tag, rec, count(*) AS n_steps, sqrt(var_pop(ex) + var_pop(ey) + var_pop(ez) + 1e-8) AS path_rmse FROM ws GROUP BY 1, 2""")
+def world_path_rmse(spark, d):
+    """Path error in the world: windows of half a second under a turning attitude whose estimate is off by a constant angle."""
+    half, zero = F.col("win_idx") * 0.05, F.lit(0.0)
+    quats = {f"{p}{c}": e for p, h in (("e", half + 0.02), ("g", half))
+             for c, e in zip(("qx", "qy", "qz", "qw"), (zero, zero, F.sin(h), F.cos(h)))}
+    m = I.stored_matched(spark, d).withColumns({**quats, "dt": F.lit(0.5)})
+    names = lambda p: [f"{p}{c}" for c in ("qx", "qy", "qz", "qw")]
+    true = E.world_steps(m, [f"{c}_gt" for c in V.VEL], names("g")).withColumnsRenamed({f"m_{a}": f"t_{a}" for a in "xyz"})
+    return E.path_rmse(E.world_steps(true, [f"{c}_pred" for c in V.VEL], names("e")), ["tag", "rec"], "win_idx")
+
+
 @query("metric_line", "", "slope intercept r2", f"""{Q.EVAL}, {Q.PATHS},
 pr AS (SELECT tag, rec, avg(err) AS ave FROM er GROUP BY 1, 2)
 SELECT regr_slope(ate, ave) AS slope, regr_intercept(ate, ave) AS intercept,
