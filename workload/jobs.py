@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 import numpy as np
 from pyspark.errors import StreamingQueryException
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators import windows as W
@@ -18,10 +21,11 @@ from sensorframe.sources.archives import follow_archives, read_archives, write_a
 from sensorframe.sources.recordings import materialise
 from sensorframe.sources.views import sensor_view, wall_clock, with_platform
 from sensorframe.streaming import incremental
+from sensorframe.streaming.carried import stream_up_filter as stream_up
 from workload import inputs as I
 from workload import sql as Q
 from workload.registry import query
-from workload.sequences import _CHUNKS, _DR, _UP, _WIN, _filter_sql
+from workload.sequences import _CHUNKS, _DR, _UP, _WIN, _avg_sql, _filter_sql
 
 _NAMES = features.MODES["slowdr"]
 _SU = ("su0", "su1", "su2")
@@ -47,6 +51,59 @@ def feature_channels(spark, d):
     return W.window_means(f, {c: c for c in _NAMES}, I.RIG)
 
 
+def _up_sql(name, gain):
+    """The up recursion under CTE names of its own."""
+    return re.sub(r"\buf\b", f"uf_{name}", re.sub(r"\bnx\b", f"nx_{name}", _filter_sql(gain)))
+
+
+_GAINS = {"slow": "CAST(0.005 AS DOUBLE)", "fast": "CAST(0.05 AS DOUBLE)",
+          "adapt": "0.005 * exp(-((sqrt(ax*ax + ay*ay + az*az) - 9.81) * (sqrt(ax*ax + ay*ay + az*az) - 9.81)))"}
+_PARTS = ("a_up", "a_hx", "a_hy", "a_hz", "w_up", "w_hx", "w_hy", "w_hz")
+
+
+def _mode_sql(mode, names, up):
+    """Per window, the means of a mode's parts about up to two directions, in long form."""
+    out = []
+    for prefix in up:
+        u = [f"{prefix}_{i}" for i in range(3)]
+        for kind, v in (("a", V.ACC), ("w", V.GYR)):
+            along = Q.dot(v, u)
+            parts = [along] + [f"({c} - {along} * {x})" for c, x in zip(v, u)]
+            out += [f"avg({e}) AS {prefix}_{kind}_{n}" for e, n in zip(parts, ("up", "hx", "hy", "hz"))]
+    cols = ", ".join(out + [f"avg({e}) AS {n}" for n, e in names.items()])
+    every = [f"{p}_{x}" for p in up for x in _PARTS] + list(names)
+    rows = " UNION ALL ".join(f"SELECT '{mode}' AS mode, rec, win_idx, '{c}' AS channel, {c} AS value FROM mode_{mode}" for c in every)
+    return f"mode_{mode} AS MATERIALIZED (SELECT rec, {_WIN} AS win_idx, {cols} FROM al GROUP BY 1, 2 HAVING count(*) = 50)", rows
+
+
+_RAWS = {c: c for c in (*V.ACC, *V.GYR)}
+_RESTS = {"rest_dx": "ax - fx", "rest_dy": "ay - fy", "rest_dz": "az - fz", "rest_score": "score"}
+_RUN_MODES = {"none": (_RAWS, ()), "slow": (_RAWS, ("slow",)), "fast": (_RAWS, ("fast",)), "both": (_RAWS, ("slow", "fast")),
+              "adapt": (_RAWS, ("adapt",)), "slowrest": (_RAWS | _RESTS, ("slow",)),
+              "slowrest2": (_RAWS | _RESTS | dict(zip(("ux", "uy", "uz"), _UP)), ("slow",))}
+_MODE_SQL = {m: _mode_sql(m, *x) for m, x in _RUN_MODES.items()}
+
+
+@query("feature_modes", "mode:string rec:bigint win_idx:int channel:string", "value", Q.recursive(f"""{Q.REST}, {_DR},
+{', '.join(_up_sql(n, g) for n, g in _GAINS.items())},
+al AS MATERIALIZED (SELECT sv.*, {', '.join(f'uf_{n}.u{c} AS {n}_{i}' for n in _GAINS for i, c in enumerate('xyz'))},
+       rk.x, rk.y, rk.z, rk.w, fx, fy, fz, score, u0, u1, u2
+FROM sv {' '.join(f'JOIN uf_{n} ON uf_{n}.rec = sv.rec AND uf_{n}.frame = sv.frame' for n in _GAINS)}
+JOIN rk ON rk.rec = sv.rec AND rk.frame = sv.frame JOIN an ON an.rec = sv.rec JOIN up ON up.rec = sv.rec),
+{', '.join(cte for cte, _ in _MODE_SQL.values())}
+{' UNION ALL '.join(rows for _, rows in _MODE_SQL.values())}"""), digits=4)
+def feature_modes(spark, d):
+    """The channels of every narrower mode, averaged per window, in long form."""
+    f = I.stored_frames(spark, d)
+
+    def one(mode):
+        cols = features.MODES[mode]
+        made = W.window_means(features.features(f, mode, I.RIG), {c: c for c in cols}, I.RIG)
+        long = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value")) for c in cols]))
+        return made.select(F.lit(mode).alias("mode"), "rec", "win_idx", long.alias("_x")).select("mode", "rec", "win_idx", "_x.*")
+    return reduce(DataFrame.unionByName, map(one, _RUN_MODES))
+
+
 def _index(spark, d):
     return I.truth(spark, d).select(
         F.format_string("w%d_%d", "rec", "win_idx").alias("window_id"), "rec", "win_idx")
@@ -193,6 +250,19 @@ def stream_rest_scores(spark, d):
     return _run_stream(spark, out).withColumn("start_s", F.unix_seconds("start"))
 
 
+@query("stream_up_filter", "rec:bigint win_idx:int", "ux uy uz", Q.recursive(
+    f"{Q.BASE}, {_filter_sql('CAST(0.05 AS DOUBLE)')} " + _avg_sql(("ux", "uy", "uz"), "uf")), digits=5)
+def stream_up_filter(spark, d):
+    """The up filter over frames that arrive in several batches, a third of the runs of twenty too late for its batch."""
+    f, path = I.stored_frames(spark, d), scratch_path(spark, "live")
+    late = F.floor(F.col("frame") / 20) % 3 == 1
+    for part in (~late, late):
+        f.where(part).write.mode("append").parquet(path)
+    live = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 8).parquet(path)
+    up = _run_stream(spark, stream_up(live, 0.05, I.RIG))
+    return W.window_means(up, {c: c for c in ("ux", "uy", "uz")}, I.RIG)
+
+
 @query("content_md5", "text:string n:bigint", "",
        "SELECT md5(coalesce(url, '') || chr(10) || coalesce(html, '')) AS text, count(*) AS n FROM pages GROUP BY 1")
 def content_md5(spark, d):

@@ -103,14 +103,14 @@ def segment_targets(spark, d):
     return M.segment_targets(seg)
 
 
-_STRATA = f"""{Q.WINDOWS},
-sr AS (SELECT rec, CAST(floor(frame / 50) AS INTEGER) AS win_idx, avg(sqrt(vx*vx + vy*vy + vz*vz)) AS speed,
+_CELLS = """sr AS (SELECT rec, CAST(floor(frame / 50) AS INTEGER) AS win_idx, avg(sqrt(vx*vx + vy*vy + vz*vz)) AS speed,
        avg(sqrt(wx*wx + wy*wy + wz*wz)) AS rate FROM sv GROUP BY 1, 2 HAVING count(*) = 50),
 qe AS (SELECT quantile_cont(speed, [0.2, 0.4, 0.6, 0.8]) AS s, quantile_cont(rate, [1.0/3, 2.0/3]) AS g FROM sr),
 ce AS MATERIALIZED (SELECT rec, win_idx, ((speed >= s[1])::INT + (speed >= s[2])::INT + (speed >= s[3])::INT + (speed >= s[4])::INT) * 3
        + (rate >= g[1])::INT + (rate >= g[2])::INT AS cell FROM sr, qe),
 cn AS MATERIALIZED (SELECT cell, count(*) AS cell_count FROM ce GROUP BY 1),
 sa AS MATERIALIZED (SELECT ce.*, cell_count, cell_count < (SELECT quantile_cont(cell_count, 0.5) FROM cn) AS rare FROM ce JOIN cn USING (cell))"""
+_STRATA = f"{Q.WINDOWS}, {_CELLS}"
 
 
 def _strata(spark, d):
@@ -137,6 +137,22 @@ def stratified_draw(spark, d):
     return M.stratified_draw(strata, strata.count(), SEED)
 
 
+_PICKS = f"""ri AS MATERIALIZED (SELECT cell, rec, count(*) AS w, row_number() OVER (PARTITION BY cell ORDER BY rec) - 1 AS rec_no FROM sa WHERE rare GROUP BY cell, rec),
+ci AS MATERIALIZED (SELECT cell, count(*) AS r, row_number() OVER (ORDER BY cell) - 1 AS cell_no FROM ri GROUP BY cell),
+wi AS MATERIALIZED (SELECT cell, rec, win_idx, row_number() OVER (PARTITION BY cell, rec ORDER BY win_idx) - 1 AS win_no FROM sa WHERE rare),
+un AS (SELECT draw_id, {Q.uniform(f'{SEED}:cell', 'draw_id')} AS a, {Q.uniform(f'{SEED}:recording', 'draw_id')} AS b, {Q.uniform(f'{SEED}:window', 'draw_id')} AS c
+FROM (SELECT unnest(range((SELECT count(*) FROM sa))) AS draw_id)),
+pi AS MATERIALIZED (SELECT draw_id, ri.cell, ri.rec, wi.win_idx FROM un JOIN ci ON ci.cell_no = floor(a * (SELECT count(*) FROM ci))
+JOIN ri ON ri.cell = ci.cell AND ri.rec_no = floor(b * ci.r) JOIN wi ON wi.cell = ri.cell AND wi.rec = ri.rec AND wi.win_no = floor(c * ri.w))"""
+
+
+@query("stratified_picks", "draw_id:bigint cell:int rec:bigint win_idx:int", "", f"{_STRATA}, {_PICKS} SELECT * FROM pi")
+def stratified_picks(spark, d):
+    """Even picks on three levels, by counted places."""
+    strata = cut_lineage(_strata(spark, d))
+    return M.stratified_picks(strata, strata.count(), SEED)
+
+
 # -------------------------------------------------------------------- dilation
 def _u(name):
     return Q.uniform(f"{SEED}:{name}", "draw_id")
@@ -168,14 +184,17 @@ def cancelled_dilation(spark, d):
     return _dilated(spark, d, cut_lineage(I.recordings(spark, d)), 9, "cancel")
 
 
-@query("stratified_segments", "draw_id:bigint rec:bigint len:int base:bigint", "k", f"""{_RATED},
-pk AS (SELECT row_number() OVER (ORDER BY rec, win_idx) - 1 AS draw_id, rec AS prec, win_idx AS pwin FROM wm WHERE (rec * 7 + win_idx) % 4 = 0),
-mv AS (SELECT dl.*, prec, pwin, rec % 2 = 0 AND {_u('strat')} < 0.6 AND prec IS NOT NULL AS moved FROM dl LEFT JOIN pk USING (draw_id)),
+_MOVED = f"""mv AS (SELECT dl.*, prec, pwin, rec % 2 = 0 AND {_u('strat')} < 0.6 AND prec IS NOT NULL AS moved FROM dl LEFT JOIN pk USING (draw_id)),
 nu AS (SELECT mv.*, floor(rc.n_frames / 50) * 50 AS us2 FROM mv LEFT JOIN rc ON rc.rec = mv.prec),
 nl AS (SELECT *, greatest(least(floor(us2 / (k * 50)), 3), 1) AS len2 FROM nu),
 ns AS (SELECT *, greatest(us2 - ceil(len2 * k * 50) - 1, 0) AS sp2, floor({_u('inside')} * (len2 - 1) * k * 50) AS off FROM nl)
 SELECT draw_id, CASE WHEN moved THEN prec ELSE rec END AS rec, CASE WHEN moved THEN len2 ELSE len END AS len,
-       CASE WHEN moved THEN least(greatest(pwin * 50 - off, 0), sp2) ELSE base END AS base, k FROM ns""")
+       CASE WHEN moved THEN least(greatest(pwin * 50 - off, 0), sp2) ELSE base END AS base, k FROM ns"""
+
+
+@query("stratified_segments", "draw_id:bigint rec:bigint len:int base:bigint", "k", f"""{_RATED},
+pk AS (SELECT row_number() OVER (ORDER BY rec, win_idx) - 1 AS draw_id, rec AS prec, win_idx AS pwin FROM wm WHERE (rec * 7 + win_idx) % 4 = 0),
+{_MOVED}""")
 def stratified_segments(spark, d):
     """A share of the draws of even recordings moved onto picked windows."""
     recs = cut_lineage(I.recordings(spark, d))
@@ -185,6 +204,16 @@ def stratified_segments(spark, d):
                               F.col("rec") % 2 == 0, I.RIG)
 
 
+@query("rare_window_segments", "draw_id:bigint rec:bigint len:int base:bigint", "k",
+       f"{_RATED}, {_CELLS}, {_PICKS}, pk AS (SELECT draw_id, rec AS prec, win_idx AS pwin FROM pi), {_MOVED}")
+def rare_window_segments(spark, d):
+    """A share of the draws of even recordings moved onto picked windows of the rare strata."""
+    recs, strata = cut_lineage(I.recordings(spark, d)), cut_lineage(_strata(spark, d))
+    placed = _dilated(spark, d, recs)
+    picks = M.stratified_picks(strata, strata.count(), SEED)
+    return M.place_stratified(placed, picks, recs, 0.6, 3, SEED, F.col("rec") % 2 == 0, I.RIG)
+
+
 _SPOTS = """sp AS (SELECT dl.*, t, base + k * t AS spot FROM dl, unnest(range(len * 50)) AS r(t)),
 ix AS (SELECT sp.*, least(CAST(floor(spot) AS INTEGER), n_frames - 2) AS i FROM sp JOIN rc ON rc.rec = sp.rec)"""
 _LERP = {c: f"a.{c} * (1 - (spot - i)) + b.{c} * (spot - i)" for c in ("ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz")}

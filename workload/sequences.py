@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators import chunks as C
@@ -12,6 +14,8 @@ from sensorframe.operators import sequence as X
 from sensorframe.operators import windows as W
 from sensorframe.operators.blocks import prefix_sums
 from sensorframe.operators.packed import pack_windows
+from sensorframe.operators.sampling import hash_uniform
+from sensorframe.operators.turns import heading_turn, turn_channels
 from sensorframe.session import cut_lineage
 from sensorframe.sources.views import event_view, sensor_view
 from workload import inputs as I
@@ -515,6 +519,78 @@ def window_increments(spark, d):
     return C.window_increments(ends, "end", horizon=8.0)
 
 
+_INCR = Q.recursive(f"""{Q.REST}, {_DR},
+en AS MATERIALIZED (SELECT *, {_WIN} AS win_idx, (rec % 5) * 0.25 AS deviation FROM rk WHERE (frame + 1) % 50 = 0),
+tr AS MATERIALIZED (SELECT e.rec, e.win_idx, e.x, e.y, e.z, e.w, e.dx, e.dy, e.dz, e.ix - p.ix AS jx, e.iy - p.iy AS jy, e.iz - p.iz AS jz,
+       e.since, e.deviation, p.dx AS pdx, p.dy AS pdy, p.dz AS pdz,
+       {_TURNQ[0]} AS tx, {_TURNQ[1]} AS ty, {_TURNQ[2]} AS tz, {_TURNQ[3]} AS tw
+FROM en e LEFT JOIN en p ON p.rec = e.rec AND p.win_idx = e.win_idx - 1)""")
+_JUMP = [f"15 * tanh({c} / 15)" for c in Q.matvec(Q.quat_matrix("-x", "-y", "-z", "w"), ("jx", "jy", "jz"))]
+
+
+def _ends(spark, d):
+    f = I.stored_frames(spark, d)
+    dr = N.dead_reckon(f, W.rest_anchor(f, I.RIG), I.RIG).withColumn("deviation", (F.col("rec") % 5) * 0.25)
+    return C.window_ends(dr, I.RIG.window, [c for c in dr.columns if c not in ("rec", "frame")])
+
+
+def _increment_sql(mode, change, turn, usable):
+    live = f"pdx IS NOT NULL AND {usable}"
+    return (f"SELECT '{mode}' AS mode, rec, win_idx, " + ", ".join(f"CASE WHEN {live} THEN {c} ELSE 0 END AS c_{a}" for a, c in zip("xyz", change))
+            + ", " + ", ".join(f"CASE WHEN {live} AND {turn} THEN {_T[i]} ELSE {e} END AS {n}" for n, i, e in (("t00", 0, 1), ("t01", 1, 0), ("t12", 5, 0)))
+            + f", CASE WHEN {usable} THEN 1 ELSE 0 END AS mask, deviation / 10 AS confidence FROM tr")
+
+
+@query("increment_modes", "mode:string " + KEYS, "c_x c_y c_z t00 t01 t12 mask confidence", " UNION ALL ".join([
+    _INCR + " " + _increment_sql("int", _JUMP, "TRUE", "deviation < 0.6"),
+    _increment_sql("zero", ("0", "0", "0"), "TRUE", "deviation < 0.9 AND abs(since)*10 < 6"),
+    _increment_sql("end without turn", [f"{v} - {m}" for v, m in zip(("dx", "dy", "dz"), _TV)], "FALSE", "TRUE")]), digits=4)
+def increment_modes(spark, d):
+    """Integrated and absent velocity changes, no turn, and both limits."""
+    ends = cut_lineage(_ends(spark, d))
+    made = {"int": C.window_increments(ends, "int", deviation_limit=0.6),
+            "zero": C.window_increments(ends, "zero", deviation_limit=0.9, horizon=6.0),
+            "end without turn": C.window_increments(ends, "end", "none")}
+    return reduce(DataFrame.unionByName, [df.withColumn("mode", F.lit(m)) for m, df in made.items()])
+
+
+# turned frames: the attitude is q conj(h), vectors in sensor axes are turned by h
+_HEAD = f"2 * pi() * {Q.uniform('11:turn', 'rec')}"
+_TURNED = Q.quat_mul(("x", "y", "z", "w"), ("0", "0", "-sn", "cs"))
+_MOUNT = ((1.0, 0.0, 0.0), (0.0, 0.8, -0.6), (0.0, 0.6, 0.8))
+
+
+def _about_z(v):
+    return (f"(co * {v[0]} - si * {v[1]})", f"(si * {v[0]} + co * {v[1]})", f"({v[2]})")
+
+
+_ENDV = _about_z(("dx", "dy", "dz"))
+_LABEL = [f"avg({c})" for c in Q.matvec([str(x) for r in _MOUNT for x in r], _about_z(
+    Q.matvec([str(_MOUNT[j][i]) for i in range(3) for j in range(3)], ("vx", "vy", "vz"))))]
+
+
+@query("turned_increments", KEYS, "c_x c_y c_z t00 t01 t12 l_x l_y l_z mask", Q.recursive(f"""{Q.REST}, {_DR},
+hd AS MATERIALIZED (SELECT rec, cos(a) AS co, sin(a) AS si, cos(a / 2) AS cs, sin(a / 2) AS sn FROM (SELECT rec, {_HEAD} AS a FROM (SELECT DISTINCT rec FROM sv))),
+lw AS MATERIALIZED (SELECT sv.rec, {_WIN} AS win_idx, {', '.join(f'{e} AS l_{a}' for e, a in zip(_LABEL, 'xyz'))} FROM sv JOIN hd USING (rec) GROUP BY 1, 2),
+en AS MATERIALIZED (SELECT rk.rec, {_WIN} AS win_idx, since, {', '.join(f'{e} AS {n}' for e, n in zip(_TURNED, 'xyzw'))},
+       {', '.join(f'{e} AS d{n}' for e, n in zip(_ENDV, 'xyz'))} FROM rk JOIN hd USING (rec) WHERE (frame + 1) % 50 = 0),
+tr AS MATERIALIZED (SELECT e.rec, e.win_idx, e.dx, e.dy, e.dz, e.since, p.dx AS pdx, p.dy AS pdy, p.dz AS pdz,
+       {_TURNQ[0]} AS tx, {_TURNQ[1]} AS ty, {_TURNQ[2]} AS tz, {_TURNQ[3]} AS tw
+FROM en e LEFT JOIN en p ON p.rec = e.rec AND p.win_idx = e.win_idx - 1),
+ti AS ({_increment_sql("end", [f"{v} - {m}" for v, m in zip(("dx", "dy", "dz"), _TV)], "TRUE", "abs(since)*10 < 8").replace("deviation / 10", "0")})
+SELECT ti.*, l_x, l_y, l_z FROM ti JOIN lw USING (rec, win_idx)"""), digits=4)
+def turned_increments(spark, d):
+    """Increments and labels turned as typed groups; the SQL turns the frames and then takes the increments."""
+    f = I.stored_frames(spark, d)
+    labels = W.window_means(f, {f"l_{a}": f"v{a}" for a in "xyz"}, I.RIG)
+    made = C.window_increments(_ends(spark, d), "end", horizon=8.0).join(labels, ["rec", "win_idx"])
+    angle = 2 * np.pi * hash_uniform("11:turn", "rec")
+    mount = tuple(F.lit(x) for row in _MOUNT for x in row)
+    return turn_channels(made, heading_turn(angle), [
+        ("polar", ("c_x", "c_y", "c_z")), ("increment", C.INCREMENT), ("label", ("l_x", "l_y", "l_z")),
+        ("fixed", ("mask", "confidence"))], mount)
+
+
 @query("gate_scalars", KEYS, "since rest_score log_speed", Q.recursive(f"""{Q.REST}, {_DR}
 SELECT rk.rec, {_WIN} AS win_idx, avg(since) AS since, avg(score) AS rest_score,
        ln(1 + sqrt(avg(dx)*avg(dx) + avg(dy)*avg(dy) + avg(dz)*avg(dz))) AS log_speed
