@@ -19,11 +19,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sensorframe.functions import vec as V
 from sensorframe.operators.blocks import BLOCK, block_of, prefix_sums
-from sensorframe.operators.grouped import map_groups, positions, running_sum, spread
+from sensorframe.operators.grouped import give_back, map_groups, positions, running_sum, spread
 from sensorframe.operators.windows import rest_reference, with_window
 from sensorframe.params import (ADAPTIVE_GAIN, ADAPTIVE_SIGMA, DEFAULT_RIG, GYRO_AXIS_MAP,
                                 SLOW_GAIN, VELOCITY_SQUASH, Rig)
-from sensorframe.session import cut_lineage, write_once
+from sensorframe.session import cut_lineage, write_bucketed
 
 ROTATION = V.mat_cols("r")
 SCAN_BLOCK = 4096
@@ -466,31 +466,58 @@ def _run_blocks(m: np.ndarray, c: np.ndarray, forced: np.ndarray, start: np.ndar
     return out if states else (u, slope)
 
 
-def _packed_blocks(frames: DataFrame, gain: Column, block: int) -> DataFrame:
-    """One row per recording and block: its frames in order, and the rate of the frame before."""
+#: Frames (with padding) whose step maps are held at once, some 500 bytes each.
+UP_CELLS = 1 << 17
+
+
+def _packed_blocks(frames: DataFrame, gain: Column | dict[str, Column], block: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per recording and block: its frames in order, and the rate of the frame before.
+
+    The rows are written in buckets, so the rounds meet them where they lie.
+    """
+    gains = gain if isinstance(gain, dict) else {"g": gain}
     at = F.col("frame")
-    row = frames.select("rec", "frame", *V.ACC, *V.GYR, gain.cast("double").alias("g"),
-                        F.explode(F.sequence(F.floor(at / block), F.floor((at + 1) / block))).alias(BLOCK))
+    row = frames.where("rec IS NOT NULL").select(
+        "rec", "frame", *V.ACC, *V.GYR, *keep, *[g.cast("double").alias(n) for n, g in gains.items()],
+        F.explode(F.sequence(F.floor(at / block), F.floor((at + 1) / block))).alias(BLOCK))
     own = F.floor(at / block) == F.col(BLOCK)
-    one = F.struct("frame", *[F.col(c).cast("double").alias(c) for c in (*V.ACC, *V.GYR)], "g")
+    one = F.struct("frame", *[F.col(c).cast("double").alias(c) for c in (*V.ACC, *V.GYR)], *gains, *keep)
     lead = F.max(F.when(~own, F.array(*[F.col(c).cast("double") for c in V.GYR])))
-    packs = row.groupBy("rec", BLOCK).agg(F.array_sort(F.collect_list(F.when(own, one))).alias("rows"), lead.alias("lead"))
-    packs = packs.where(F.size("rows") > 0)
-    return write_once(packs, "blocks")
+    packs = row.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec", BLOCK).groupBy("rec", BLOCK).agg(
+        F.array_sort(F.collect_list(F.when(own, one))).alias("rows"), lead.alias("lead"))
+    return write_bucketed(packs.where(F.size("rows") > 0), ["rec", BLOCK], "blocks")
+
+
+def _meet(packs: DataFrame, starts: DataFrame) -> DataFrame:
+    """Packed blocks with their start states; only the states move."""
+    return packs.join(starts.hint("shuffle_hash"), ["rec", BLOCK])
+
+
+def _pieces(batches):
+    """Arrow batches cut so that the padded blocks of each stay below ``UP_CELLS`` frames."""
+    for b in batches:
+        if b.num_rows:
+            n = max(1, UP_CELLS // int(b.column("rows").value_lengths().to_numpy().max()))
+            for i in range(0, b.num_rows, n):
+                yield b.slice(i, n)
+    give_back()
 
 
-def _opened_blocks(b: pa.RecordBatch, dt: float):
-    """Step maps of a batch of blocks, their lengths and frame numbers."""
+def _opened_blocks(b: pa.RecordBatch, dt: float, gains: tuple[str, ...] = ("g",)):
+    """Step maps of a batch of blocks for each gain, where their frames lie, and the frames."""
     rows = b.column("rows")
     n = rows.value_lengths().to_numpy()
     flat = rows.flatten()
-    values = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in (*V.ACC, *V.GYR, "g")], axis=1)
     block = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
-    wide = np.full((len(n), int(n.max()), 7), np.nan)
-    wide[block, place] = values
     lead = np.array([[np.nan] * 3 if x is None else x for x in b.column("lead").to_pylist()], float)
-    return _step_maps(wide, lead, dt), block, place, flat.field("frame")
+
+    def maps(gain: str):
+        values = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in (*V.ACC, *V.GYR, gain)], axis=1)
+        wide = np.full((len(n), int(n.max()), 7), np.nan)
+        wide[block, place] = values
+        return _step_maps(wide, lead, dt)
+    return (maps(g) for g in gains), block, place, flat
 
 
 def _guesses(rows: Column) -> Column:
@@ -552,7 +579,7 @@ def _chain(ends: DataFrame, rec_type: str, chain: int) -> DataFrame:
 
 
 def up_starts(packs: DataFrame, rig: Rig, tolerance: float,
-              chain: int = UP_CHAIN) -> tuple[DataFrame, int]:
+              chain: int = UP_CHAIN, gain: str = "g") -> tuple[DataFrame, int]:
     """The true start state of every block, and how many rounds it took.
 
     A few rounds usually do. As each round hands one more exact start along the
@@ -562,22 +589,22 @@ def up_starts(packs: DataFrame, rig: Rig, tolerance: float,
     dt = rig.dt
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                (m, c, forced), *_ = _opened_blocks(b, dt)
-                start = np.array(b.column("start").to_pylist(), float)
-                end, slope = _run_blocks(m, c, forced, start, False)
-                yield pa.RecordBatch.from_arrays([b.column("rec"), b.column(BLOCK), b.column("start"), *[
-                    pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.float64())) for x in (end, slope)]],
-                    ["rec", BLOCK, "start", "end", "slope"])
-
-    starts = packs.select("rec", BLOCK, _guesses(F.col("rows")).alias("start"))
+        for b in _pieces(batches):
+            ((m, c, forced),), *_ = _opened_blocks(b, dt, (gain,))
+            start = np.array(b.column("start").to_pylist(), float)
+            end, slope = _run_blocks(m, c, forced, start, False)
+            yield pa.RecordBatch.from_arrays([b.column("rec"), b.column(BLOCK), b.column("start"), *[
+                pa.array(list(x.reshape(len(x), -1)), pa.list_(pa.float64())) for x in (end, slope)]],
+                ["rec", BLOCK, "start", "end", "slope"])
+
+    met = packs.withColumn("start", _guesses(F.col("rows")))
     for n in count(1):
-        ends = packs.join(starts.select("rec", BLOCK, "start"), ["rec", BLOCK]).mapInArrow(
+        ends = met.mapInArrow(
             run, f"rec {rec_type}, {BLOCK} bigint, start array<double>, end array<double>, slope array<double>")
         starts = cut_lineage(_chain(cut_lineage(ends), rec_type, chain))
         if (starts.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             return starts, n
+        met = _meet(packs, starts.select("rec", BLOCK, "start"))
 
 
 def up_filter(frames: DataFrame, gain: Column | float = SLOW_GAIN, rig: Rig = DEFAULT_RIG,
@@ -589,22 +616,35 @@ def up_filter(frames: DataFrame, gain: Column | float = SLOW_GAIN, rig: Rig = DE
     once; the blocks' start states are solved (``up_starts``) to ``tolerance``, and
     a last pass writes all states. Every recording takes the same way.
     """
-    gain = gain if isinstance(gain, Column) else F.lit(float(gain))
-    names = [f"{name}{c}" for c in "xyz"]
-    packs = _packed_blocks(frames, gain, block)
-    starts, _ = up_starts(packs, rig, tolerance)
-    dt = rig.dt
+    return up_filters(frames, {name: gain}, rig, block, tolerance).select("rec", "frame", *[f"{name}{c}" for c in "xyz"])
+
+
+def up_filters(frames: DataFrame, gains: dict[str, Column | float], rig: Rig = DEFAULT_RIG, block: int = UP_BLOCK,
+               tolerance: float = 1e-9, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Frames (rec, frame, the six axes and ``keep``) with the direction of ``up_filter`` for each gain, by its name.
+
+    All filters share the packed blocks; the frames pass through the last pass, so
+    nothing is joined to them.
+    """
+    columns = {f"_g{i}": g if isinstance(g, Column) else F.lit(float(g)) for i, g in enumerate(gains.values())}
+    packs = met = _packed_blocks(frames, columns, block, keep)
+    for g in columns:
+        starts, _ = up_starts(packs, rig, tolerance, gain=g)
+        met = _meet(met, starts.select("rec", BLOCK, F.col("start").alias(f"start{g}")))
+    dt, axes, wanted = rig.dt, [*V.ACC, *V.GYR], tuple(columns)
+    names = [f"{n}{c}" for n in gains for c in "xyz"]
 
     def write(batches):
-        for b in batches:
-            if b.num_rows:
-                (m, c, forced), at, place, frame = _opened_blocks(b, dt)
-                up = _run_blocks(m, c, forced, np.array(b.column("start").to_pylist(), float), True)[at, place]
-                yield pa.RecordBatch.from_arrays([b.column("rec").take(pa.array(at)), frame,
-                                                  *[pa.array(up[:, i]) for i in range(3)]], ["rec", "frame", *names])
-    frame_type = frames.schema["frame"].dataType.simpleString()
-    return packs.join(starts.select("rec", BLOCK, "start"), ["rec", BLOCK]).mapInArrow(
-        write, f"rec {_rec_type(frames)}, frame {frame_type}, " + ", ".join(f"{n} double" for n in names))
+        for b in _pieces(batches):
+            opened, at, place, flat = _opened_blocks(b, dt, wanted)
+            ups = [_run_blocks(*maps, np.array(b.column(f"start{g}").to_pylist(), float), True)[at, place]
+                   for g, maps in zip(wanted, opened)]
+            yield pa.RecordBatch.from_arrays([b.column("rec").take(pa.array(at)), *[flat.field(c) for c in ("frame", *axes, *keep)],
+                                              *[pa.array(up[:, i]) for up in ups for i in range(3)]], ["rec", "frame", *axes, *keep, *names])
+    types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    held = [f"{c} {types[c]}" for c in ("rec", "frame")] + [f"{c} double" for c in axes] + [f"`{c}` {types[c]}" for c in keep]
+    out = met.mapInArrow(write, ", ".join(held + [f"{n} double" for n in names]))
+    return out.withColumns({c: F.col(c).cast(types[c]) for c in axes if types[c] != "double"})
 
 
 def adaptive_gain(alpha: float = ADAPTIVE_GAIN, sigma: float = ADAPTIVE_SIGMA,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from sensorframe.functions import vec as V
-from sensorframe.operators.scan import adaptive_gain, dead_reckon, up_filter
+from sensorframe.operators.scan import adaptive_gain, dead_reckon, up_filters
 from sensorframe.operators.windows import rest_reference
 from sensorframe.params import DEFAULT_RIG, FAST_GAIN, SLOW_GAIN, Rig
 from sensorframe.session import cut_lineage
@@ -39,16 +41,24 @@ def _decomposed(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}_{n}": c for n, c in parts.items()})
 
 
+def with_directions(frames: DataFrame, modes: Sequence[str], rig: Rig = DEFAULT_RIG, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Frames with the filtered directions (<filter>_x, _y, _z) that any of ``modes`` needs and the frames lack."""
+    gains = {"slow": SLOW_GAIN, "fast": FAST_GAIN, "adapt": adaptive_gain(g=rig.g)}
+    needed = {f"{p}_": g for p, g in gains.items() if f"{p}_x" not in frames.columns
+              and any(c.startswith(f"{p}_") for m in modes for c in MODES[m])}
+    there = [f"{p}_{c}" for p in gains if f"{p}_x" in frames.columns for c in "xyz"]
+    rows = frames.select("rec", "frame", *RAW, *keep, *there)
+    return up_filters(rows, needed, rig, keep=(*keep, *there)) if needed else rows
+
+
 def features(frames: DataFrame, mode: str = "slowdr", rig: Rig = DEFAULT_RIG,
              keep: tuple[str, ...] = ()) -> DataFrame:
-    """Frames with the channels of ``mode``; each wider mode contains the raw axes."""
+    """Frames with the channels of ``mode``; each wider mode contains the raw axes.
+
+    Directions that the frames hold (see ``with_directions``) are not filtered again.
+    """
     wanted = MODES[mode]
-    out = frames.select("rec", "frame", *keep, *RAW)
-    gains = {"slow": SLOW_GAIN, "fast": FAST_GAIN, "adapt": adaptive_gain(g=rig.g)}
-    for prefix, gain in gains.items():
-        if any(c.startswith(f"{prefix}_") for c in wanted):
-            up = up_filter(frames, gain, rig, name=f"{prefix}_")
-            out = _decomposed(out.join(up, ["rec", "frame"]), prefix)
+    out = with_directions(frames, [mode], rig, keep)
     if "rest_score" in wanted:
         anchors = cut_lineage(rest_reference(frames, rig))
         ref = anchors.select("rec", F.col("score").alias("rest_score"),
@@ -58,6 +68,9 @@ def features(frames: DataFrame, mode: str = "slowdr", rig: Rig = DEFAULT_RIG,
         if "ux" in wanted:
             dr = dead_reckon(frames, anchors, rig)
             out = out.join(dr.select("rec", "frame", *CARRIED, *RECKONED), ["rec", "frame"])
+    for prefix in ("slow", "fast", "adapt"):
+        if any(c.startswith(f"{prefix}_") for c in wanted):
+            out = _decomposed(out, prefix)
     return out.select("rec", "frame", *keep, *wanted)
 
 
