@@ -15,7 +15,7 @@ from sensorframe.operators.grouped import map_groups
 from sensorframe.operators.relational import normalise_key
 from sensorframe.operators.sampling import sample_weights
 from sensorframe.plans import baseline, evaluation, features, inference
-from sensorframe.session import scratch_path
+from sensorframe.session import scratch_path, write_once
 from sensorframe.sources import tables
 from sensorframe.sources.archives import follow_archives, read_archives, write_archive
 from sensorframe.sources.recordings import materialise
@@ -94,7 +94,7 @@ JOIN rk ON rk.rec = sv.rec AND rk.frame = sv.frame JOIN an ON an.rec = sv.rec JO
 {' UNION ALL '.join(rows for _, rows in _MODE_SQL.values())}"""), digits=4)
 def feature_modes(spark, d):
     """The channels of every narrower mode, averaged per window, in long form."""
-    f = I.stored_frames(spark, d)
+    f = write_once(features.with_directions(I.stored_frames(spark, d), list(_RUN_MODES), I.RIG), "directions")
 
     def one(mode):
         cols = features.MODES[mode]
@@ -148,7 +148,8 @@ fit AS (SELECT {', '.join(f'{e} AS s_{c}, sum(wt*{c}) / sum(wt) AS m_{c}' for c,
 SELECT rec, win_idx, {', '.join(f'm_{c} + s_{c} * (az - m) AS {c}' for c in _WLS)} FROM ww, fit""", digits=5)
 def baseline_fit(spark, d):
     """Weighted least squares fitted on the cluster, one model per axis."""
-    w = sample_weights(with_platform(I.means(spark, d), spark, d))
+    w = with_platform(write_once(I.means(spark, d), "means"), spark, d)
+    w = write_once(sample_weights(w), "weighted")  # three fits and the prediction read it
     return baseline.predict_baseline(w, baseline.fit_baseline(w, ["az"], ridge=0.0), ["az"])
 
 
@@ -162,10 +163,10 @@ def materialised_targets(spark, d):
     return materialise(index, "targets", 1, root, lambda: index.sparkSession.range(0))
 
 
-def _run_files(spark, d):
+def _run_files(spark, d, w=None):
     """Prediction files of the four runs, one folder per run, one run cut short."""
     path = scratch_path(spark, "runs")
-    m = I.matched(spark, d).where((F.col("tag") != "beta_s2") | (F.col("win_idx") % 2 == 0))
+    m = I.matched(spark, d, w).where((F.col("tag") != "beta_s2") | (F.col("win_idx") % 2 == 0))
     m.select("tag", F.format_string("w%d_%d", "rec", "win_idx").alias("window_id"),
              *[F.col(f"{c}_pred").alias(c) for c in V.VEL]).write.partitionBy("tag").option(
         "header", True).csv(path)
