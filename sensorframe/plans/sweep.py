@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sensorframe.functions import vec as V
 from sensorframe.operators.relational import fold_of_tag
 from sensorframe.plans.evaluation import path_rmse, sweep_table, with_errors
+from sensorframe.session import write_once
 from sensorframe.sources.tables import read_runs
 
 
@@ -22,8 +23,9 @@ def sweep_from_files(spark: SparkSession, paths: Sequence[str], tag_pattern: str
     (``folds``). ``classes``: rec, cls.
     """
     runs = read_runs(spark, paths, tag_pattern, truth.count())
-    pairs = (runs.withColumnsRenamed({c: f"{c}_pred" for c in V.VEL}).join(truth, "window_id")
-             .withColumn("fold", fold_of_tag("tag", folds)).join(held, ["fold", "rec"], "left_semi"))
+    # the errors and the paths read the pairs, so they are written once
+    pairs = write_once(runs.withColumnsRenamed({c: f"{c}_pred" for c in V.VEL}).join(truth, "window_id")
+             .withColumn("fold", fold_of_tag("tag", folds)).join(held, ["fold", "rec"], "left_semi"), "pairs")
     steps = pairs.withColumnsRenamed({**{f"v{a}_pred": f"m_{a}" for a in "xyz"}, **{f"v{a}_gt": f"t_{a}" for a in "xyz"}})
     ates = path_rmse(steps, ["tag", "rec"], "win_idx").withColumnRenamed("path_rmse", "ate")
     table = sweep_table(with_errors(pairs), ates.select("tag", "rec", "ate"), classes, None, bins)

@@ -11,6 +11,7 @@ from sensorframe.operators import windows as W
 from sensorframe.operators.blocks import percentiles
 from sensorframe.plans import evaluation as E
 from sensorframe.plans import sweep
+from sensorframe.session import write_once
 from sensorframe.sources.views import sensor_view, with_platform
 from workload import inputs as I
 from workload import sql as Q
@@ -136,8 +137,8 @@ cls AS MATERIALIZED (SELECT rec, CASE WHEN gm * 5 > 1.5 THEN 'hi-rot' WHEN sp *
        ELSE 'rest' END AS cls FROM cl)"""
 
 
-def _classes(spark, d):
-    f = I.stored_frames(spark, d)
+def _classes(spark, d, f=None):
+    f = I.stored_frames(spark, d) if f is None else f
     rate = f.groupBy("rec").agg(F.avg(V.norm(V.vec(*V.GYR))).alias("gm"))
     sp = percentiles(f, ["rec"], {"sp": (V.norm(V.vec(*V.VEL)), [0.9])})
     return rate.join(sp, "rec").select(
@@ -280,10 +281,12 @@ FROM pr JOIN pe USING (tag, rec) JOIN cls USING (rec) JOIN bi USING (tag) GROUP
 def sweep_from_files(spark, d):
     """Files of four runs to one table; the run that lacks windows is left out, each is judged on its own fold."""
     from workload.jobs import _run_files
-    truth = with_platform(I.truth(spark, d), spark, d).withColumn("window_id", F.format_string("w%d_%d", "rec", "win_idx"))
+    f = I.stored_frames(spark, d)
+    windows = write_once(with_platform(I.truth(spark, d, f), spark, d), "windows")
+    truth = windows.withColumn("window_id", F.format_string("w%d_%d", "rec", "win_idx"))
     held = truth.select(F.when(F.col("rec") % 2 == 0, "fold_one").otherwise("fold_two").alias("fold"), "rec").distinct()
-    return sweep.sweep_from_files(spark, [_run_files(spark, d) + "/*"], r"tag=([^/]+)/", truth.withColumnsRenamed(
-        {c: f"{c}_gt" for c in V.VEL}), {"alpha": "fold_one", "beta": "fold_two"}, held, _classes(spark, d), ((2.2, 2.4), (2.4, 2.6), (2.6, 99)))
+    return sweep.sweep_from_files(spark, [_run_files(spark, d, windows) + "/*"], r"tag=([^/]+)/", truth.withColumnsRenamed(
+        {c: f"{c}_gt" for c in V.VEL}), {"alpha": "fold_one", "beta": "fold_two"}, held, _classes(spark, d, f), ((2.2, 2.4), (2.4, 2.6), (2.6, 99)))
 
 
 def _turned_sql(angle, name, out):
@@ -413,7 +416,7 @@ hz AS (SELECT rec, CAST(floor(frame / 50) AS INTEGER) AS win_idx, s AS scale,
 
 
 def _scaled_windows(spark, d):
-    f = sensor_view(spark, d)
+    f = I.stored_frames(spark, d)
     up = W.rest_anchor(f, I.RIG).select("rec", *V.named(V.unit(V.vec("fx", "fy", "fz")),
                                                         ("u0", "u1", "u2")))
     wide = f.join(up, "rec").withColumn("scale", F.explode(F.array(
