@@ -1,4 +1,4 @@
-"""Which rows a classifier may learn from, and bounded samples of them."""
+"""Which rows a classifier may learn from, all of them or bounded samples."""
 
 from __future__ import annotations
 
@@ -20,3 +20,22 @@ def some_ids(rows: DataFrame, n: int, seed: str, *more: str) -> DataFrame:
 def texts_of(docs: DataFrame, ids: DataFrame, *keep: str) -> DataFrame:
     """The rows of ``docs`` with one of at most a few thousand ids: the ids are broadcast, texts stay in place."""
     return docs.select("doc_id", "text", *keep).join(F.broadcast(ids), "doc_id")
+
+
+#: Bits that mark wanted ids, by hash: 16 MB when all are used.
+MARKS, _PART = 1 << 27, 1 << 15
+
+
+def texts_of_many(docs: DataFrame, ids: DataFrame, *keep: str) -> DataFrame:
+    """The rows of ``docs`` whose id is marked as one of ``ids``, any number of them: all wanted rows and few others.
+
+    A bitmap of hashed ids, of bounded size, is broadcast, so texts stay in place;
+    rows let through by chance are left to the join or group that follows.
+    """
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    part, place = F.floor(at / _PART).alias("_part"), (at % _PART).alias("_place")
+    marks = ids.select(part, place).groupBy("_part").agg(F.bitmap_construct_agg("_place").alias("_marks"))
+    byte = F.conv(F.hex(F.substring("_marks", F.floor(F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.floor(byte / F.pow(F.lit(2), F.col("_place") % 8)) % 2 == 1
+    return docs.select("doc_id", "text", *keep, part, place).join(F.broadcast(marks), "_part").where(hit).select(
+        "doc_id", "text", *keep)

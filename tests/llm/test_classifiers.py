@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sensorframe.llm import labelled, quality, queries, toxicity
 from tests.llm.cases import documents
@@ -125,3 +126,43 @@ def test_one_row_per_id(spark):
         if seed == 5:
             assert found == first
         first = found
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    ids = [i for i in range(9600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = documents(spark, [(i, f"word{i % 7} " + ("vile thing" if i % 4 == 0 else "fine day"), "en", "s") for i in ids])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id bigint, toxic int")
+    few = labelled.some_ids(labels, 6000, "toxic").withColumn("few", F.lit(True))
+    other = labels.join(few, "doc_id", "left").selectExpr("doc_id", "if(few, toxic, 1 - toxic) AS toxic")
+    assert other.join(labels, ["doc_id", "toxic"]).count() == 6000 < len(ids)
+    one, two = (toxicity.fit(docs, x)["net"] for x in (labels, other))
+    assert not np.array_equal(one.table, two.table) and one.platt != two.platt
+
+
+def test_toxicity_shards_learn_together(spark):
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"word{i % 7} " + ("vile thing" if i % 4 == 0 else "fine day"), ("en", "de")[i % 2], "s") for i in ids]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id bigint, toxic int")
+    found = []
+    for parts in (1, 5):
+        docs = documents(spark, rows).repartition(parts)
+        model = toxicity.fit(docs, labels.repartition(6 - parts), shard_rows=250)
+        found.append(sorted((r.doc_id, r.score) for r in toxicity.score(docs, model).collect()))
+        assert set(model["thresholds"]) == {"en", "de"}
+    assert found[0] == found[1]
+    assert all((score >= 0.7) == (i % 4 == 0) for i, score in found[0])
+
+
+def test_best_thresholds_are_those_of_a_plain_search(spark):
+    g = np.random.default_rng(5)
+    rows = [(lang, float(np.round(x, 2)), float(x + g.normal(0, 0.2) > 0.6)) for lang in ("a", "b") for x in g.random(400)]
+    rows += [("c", 0.2, 0.0), ("", 0.4, 1.0)]
+    want = {"c": 0.7}
+    for lang in ("a", "b"):
+        s, t = (np.array(x) for x in zip(*[r[1:] for r in rows if r[0] == lang]))
+        known = np.unique(s)
+        cuts = [*((known[1:] + known[:-1]) / 2), 0.7]
+        f1 = np.array([2 * t[s >= c].sum() / ((s >= c).sum() + t.sum()) for c in cuts])
+        want[lang] = min((abs(c - 0.7), c) for c, f in zip(cuts, f1) if f >= f1.max() - 1e-12)[1]
+    found = toxicity.best_thresholds(spark.createDataFrame(rows, "lang string, s double, t double"), 0.7)
+    assert found == pytest.approx(want)
