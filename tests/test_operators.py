@@ -19,6 +19,7 @@ from sensorframe.operators import scan as N
 from sensorframe.operators import sequence as X
 from sensorframe.operators import summary as S
 from sensorframe.operators import windows as W
+from sensorframe.operators.grouped import positions
 
 RIG = Rig(window=20, fs=20.0)
 AXES = ["ax", "ay", "az", "wx", "wy", "wz", "vx", "vy", "vz"]
@@ -334,3 +335,13 @@ def test_rotation_log_near_half_a_turn(spark):
         assert np.allclose(rot(np.array(r[:3])), rot(np.array(r[3:])), atol=2e-3)
     with pytest.raises(ValueError):
         V.transform_axes(V.vec(0, 0, 1), V.identity(), "other")
+
+
+def test_noise_of_draws_is_hashed_before_their_frames_are_read(spark):
+    draws = spark.createDataFrame([(i,) for i in range(4)], "draw_id bigint")
+    frames = lambda d: d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns(
+        {c: F.col("t") + i + 0.5 for i, c in enumerate(("ax", "ay", "az", "wx", "wy", "wz"))})
+    late = M.sensor_noise(frames(draws), 5, 0.1, 0.3, 0.02)
+    early = M.sensor_noise(frames(M.noise_factors(draws, 5, 0.1, 0.3, 0.02)), 5, 0.1, 0.3, 0.02)
+    assert late.columns == early.columns and sorted(late.collect()) == sorted(early.collect())
+    assert len({r.ax for r in early.where("t = 0").collect()}) == 4
