@@ -31,23 +31,51 @@ SCAN_FAN_OUT = 4096
 Q = ("_qx", "_qy", "_qz", "_qw")
 
 
-def _quat_mul(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    pv, pw, qv, qw = p[:, :3], p[:, 3:], q[:, :3], q[:, 3:]
-    return np.concatenate([pw * qv + qw * pv + np.cross(pv, qv),
-                           pw * qw - (pv * qv).sum(1, keepdims=True)], axis=1)
+def _crossed(a, b):
+    """Cross product of two triples of arrays."""
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
 
 
-def running_product(q: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Inclusive running product of unit quaternions inside each group, by doubling.
+def _quat_mul(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    *pv, pw = p.T
+    *qv, qw = q.T
+    out = np.empty((len(p), 4))
+    for i, turned in enumerate(_crossed(pv, qv)):
+        out[:, i] = pw * qv[i] + qw * pv[i] + turned
+    out[:, 3] = pw * qw - (pv[0] * qv[0] + pv[1] * qv[1] + pv[2] * qv[2])
+    return out
 
-    ``place`` counts rows inside their group, so a row only takes in rows of its
-    own group.
-    """
+
+def _doubled(q: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Inclusive running product inside each group: some log2(longest) products for every row."""
     out, step, longest = q.copy(), 1, int(place.max()) + 1 if len(q) else 0
     while step < longest:
         rows = np.flatnonzero(place >= step)
         out[rows] = _quat_mul(out[rows - step], out[rows])
         step *= 2
+    return out
+
+
+def running_product(q: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Inclusive running product of unit quaternions inside each group.
+
+    ``place`` counts rows inside their group, so a row only takes in rows of its
+    own group. Groups are cut into short runs that are multiplied side by side;
+    the runs' products are combined by doubling, so a row costs about two products.
+    """
+    groups = np.count_nonzero(place == 0)
+    run = int(np.sqrt(len(q) / groups)) if groups else 0
+    if run < 4:
+        out = _doubled(q, place)
+    else:
+        out, starts = q.copy(), np.flatnonzero(place % run == 0)
+        sizes = np.diff(np.append(starts, len(q)))
+        for i in range(1, run):
+            rows = starts[sizes > i] + i
+            out[rows] = _quat_mul(out[rows - 1], out[rows])
+        whole = _doubled(out[starts + sizes - 1], place[starts] // run)
+        rows = np.flatnonzero(place >= run)
+        out[rows] = _quat_mul(whole[np.repeat(np.arange(len(starts)), sizes)[rows] - 1], out[rows])
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
@@ -57,9 +85,12 @@ def _rec_type(df: DataFrame) -> str:
 
 def _rotate(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Turn vectors by unit quaternions, row by row."""
-    u, s = q[:, :3], q[:, 3:]
-    c = np.cross(u, v)
-    return v + 2 * (s * c + np.cross(u, c))
+    *u, s = q.T
+    c = _crossed(u, v.T)
+    out = np.empty((len(v), 3))
+    for i, turned in enumerate(_crossed(u, c)):
+        out[:, i] = v[:, i] + 2 * (s * c[i] + turned)
+    return out
 
 
 NO_TURN = np.array([0.0, 0.0, 0.0, 1.0])

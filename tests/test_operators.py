@@ -337,6 +337,25 @@ def test_rotation_log_near_half_a_turn(spark):
         V.transform_axes(V.vec(0, 0, 1), V.identity(), "other")
 
 
+def test_running_products_of_groups_of_any_length():
+    g = np.random.default_rng(2)
+    for sizes in ([1, 1, 1], [300], [1, 700, 2, 64, 65, 3], [40] * 30, [5000, 1]):
+        bounds = np.append(0, np.cumsum(sizes))
+        q = N._turns(g.normal(size=(bounds[-1], 3)), 0.02)
+        want = q.copy()
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            for i in range(a + 1, b):
+                want[i] = N._quat_mul(want[i - 1:i], q[i:i + 1])[0]
+        assert np.allclose(N.running_product(q, positions(bounds)), want, atol=1e-11)
+
+
+def test_running_products_take_about_two_products_a_row(monkeypatch):
+    rows, real = [], N._quat_mul
+    monkeypatch.setattr(N, "_quat_mul", lambda p, q: rows.append(len(p)) or real(p, q))
+    N.running_product(N._turns(np.ones((4096, 3)), 0.02), np.arange(4096))
+    assert sum(rows) < 2.5 * 4096
+
+
 def test_noise_of_draws_is_hashed_before_their_frames_are_read(spark):
     draws = spark.createDataFrame([(i,) for i in range(4)], "draw_id bigint")
     frames = lambda d: d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns(
