@@ -10,6 +10,7 @@ are solved over all blocks at once until they stand still.
 
 from __future__ import annotations
 
+import math
 from itertools import count
 
 import numpy as np
@@ -497,6 +498,23 @@ def _run_blocks(m: np.ndarray, c: np.ndarray, forced: np.ndarray, start: np.ndar
     return out if states else (u, slope)
 
 
+def run_one(m: np.ndarray, c: np.ndarray, forced: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Every state of a single block, in plain numbers: arrays of one row cost more than the sums in them."""
+    x, y, z = start.tolist()
+    out = np.empty((len(c), 3))
+    for at in range(0, len(c), 4096):
+        part, states = slice(at, at + 4096), []
+        for (a0, a1, a2, b0, b1, b2, d0, d1, d2), (p, q, r), on in zip(
+                m[part].reshape(-1, 9).tolist(), c[part].tolist(), forced[part].tolist()):
+            x, y, z = a0 * x + a1 * y + a2 * z + p, b0 * x + b1 * y + b2 * z + q, d0 * x + d1 * y + d2 * z + r
+            if on:
+                size = math.sqrt(x * x + y * y + z * z) or math.nan
+                x, y, z = x / size, y / size, z / size
+            states.append((x, y, z))
+        out[part] = states
+    return out
+
+
 #: Frames (with padding) whose step maps are held at once, some 500 bytes each.
 UP_CELLS = 1 << 17
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sensorframe.functions import vec as V
-from sensorframe.operators.scan import _run_blocks, _step_maps
+from sensorframe.operators.scan import _step_maps, run_one
 from sensorframe.params import DEFAULT_RIG, SLOW_GAIN, Rig
 
 #: What is kept of a recording: direction, rate of the last frame, the next frame, and frames that came too early.
@@ -67,8 +67,7 @@ def stream_up_filter(stream: DataFrame, gain: Column | float = SLOW_GAIN, rig: R
         if n:
             go = held[:n]
             start = _first_direction(go[0]) if np.isnan(up).any() else up
-            maps = _step_maps(go[None, :, 1:], rate[None], dt)
-            states = _run_blocks(*maps, start[None], True)[0]
+            states = run_one(*(x[0] for x in _step_maps(go[None, :, 1:], rate[None], dt)), start)
             up, rate, after, held = states[-1], go[-1, 4:7], int(go[-1, 0]) + 1, held[n:]
             yield pd.DataFrame({"rec": key[0], "frame": go[:, 0].astype("int64"), **dict(zip(names, states.T))})
         state.update((*up.tolist(), *rate.tolist(), after, held.tobytes()))

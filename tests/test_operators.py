@@ -356,6 +356,17 @@ def test_running_products_take_about_two_products_a_row(monkeypatch):
     assert sum(rows) < 2.5 * 4096
 
 
+def test_one_block_in_plain_numbers_is_the_same():
+    g = np.random.default_rng(3)
+    values = g.normal(size=(1, 5000, 7))
+    values[0, :, 6] = 0.05
+    values[0, 7, :3] = 0.0
+    m, c, forced = N._step_maps(values, np.full((1, 3), np.nan), 0.02)
+    start = np.array([0.6, 0.0, 0.8])
+    assert np.allclose(N.run_one(m[0], c[0], forced[0], start), N._run_blocks(m, c, forced, start[None], True)[0], atol=1e-12)
+    assert np.isnan(N.run_one(np.zeros((1, 3, 3)), np.zeros((1, 3)), np.array([True]), start)).all()
+
+
 def test_noise_of_draws_is_hashed_before_their_frames_are_read(spark):
     draws = spark.createDataFrame([(i,) for i in range(4)], "draw_id bigint")
     frames = lambda d: d.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumns(
