@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import copy
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -38,14 +39,25 @@ STEPS, LEAST, PASSES, BATCH, RATE = 1200, 3, 20, 32, 0.3
 DROPPED = 0.4
 #: Words remembered per worker.
 REMEMBER = 200_000
-_WORDS = re.compile(r"[^\W_]+").findall
+_WORDS = re.compile(r"\w+").findall
+#: Everything of ASCII that is no part of a word, as a blank.
+_BLANKS = {c: " " for c in range(128) if not chr(c).isalnum()}
 POOLED = len(WIDTHS) * FILTERS
+#: Kernel rows in the order of the kernels: the pooled value they serve and their place within the filter.
+_SERVED = np.concatenate([np.tile(np.arange(j * FILTERS, (j + 1) * FILTERS), w) for j, w in enumerate(WIDTHS)])
+_PLACE = np.concatenate([np.repeat(np.arange(w), FILTERS) for w in WIDTHS])
+#: The same rows by place, then by width (widths ascend, so a place concerns the last pooled values).
+_BY_PLACE = np.argsort(_PLACE, kind="stable")
 
 
 def pieces(word: str) -> list[int]:
     """Rows of the embedding table for a word: itself and its beginnings."""
-    return [xxhash.xxh32_intdigest(part.encode(), kind) % ROWS
-            for kind, part in enumerate((word, word[:3], word[:4], word[:5]))]
+    if word.isascii():
+        word = word.encode()  # letters are bytes
+        parts = (word, word[:3], word[:4], word[:5])
+    else:
+        parts = (word.encode(), word[:3].encode(), word[:4].encode(), word[:5].encode())
+    return [xxhash.xxh32_intdigest(part, kind) % ROWS for kind, part in enumerate(parts)]
 
 
 class Vocabulary(dict):
@@ -53,17 +65,27 @@ class Vocabulary(dict):
 
     def __init__(self):
         super().__init__()
-        self.rows: list[list[int]] = []
+        self.pieces = array("i")
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.rows)
-        self.rows.append(pieces(word))
+        n = self[word] = len(self)
+        self.pieces.extend(pieces(word))
         return n
 
+    def rows(self, start: int = 0) -> np.ndarray:
+        """Table rows of the words from number ``start`` on."""
+        return np.array(self.pieces, np.int32).reshape(-1, 4)[start:]
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits, lower-cased."""
+    text = text.lower()
+    return text.translate(_BLANKS).split() if text.isascii() else _WORDS(text.replace("_", " "))
+
 
 def numbered(text: str, seen: Vocabulary) -> np.ndarray:
     """Word numbers of a text."""
-    words = _WORDS(text.lower())
+    words = words_of(text)
     return np.fromiter(map(seen.__getitem__, words), np.int32, len(words))
 
 
@@ -81,23 +103,33 @@ class Filters:
     def word_vectors(self, rows: np.ndarray) -> np.ndarray:
         return self.table[rows].sum(axis=1)
 
-    def responses(self, x: np.ndarray) -> list[np.ndarray]:
-        """Responses of each width along a text (words x vector), at least one place each."""
-        out = []
-        for w, k in zip(WIDTHS, self.kernels):
-            padded = np.concatenate([x, np.zeros((max(w - 1, w - len(x)), SIZE), np.float32)])
-            n = len(padded) - w + 1
-            r = padded[:n] @ k[0]
-            for i in range(1, w):
-                r += padded[i:n + i] @ k[i]
-            out.append(r)
+    def stacked(self) -> np.ndarray:
+        """All kernel rows (place in the filter and filter, by width) x vector."""
+        return np.concatenate([k.transpose(0, 2, 1).reshape(-1, SIZE) for k in self.kernels])
+
+    def responses(self, x: np.ndarray, stacked: np.ndarray | None = None) -> np.ndarray:
+        """Responses of all filters (pooled value x place) along a text (words x vector), at least one place each."""
+        if not len(x):
+            return np.zeros((POOLED, 1), np.float32)
+        each = (self.stacked() if stacked is None else stacked)[_BY_PLACE] @ x.T
+        out, at = each[:POOLED], POOLED
+        for i in range(1, WIDTHS[-1]):
+            n = FILTERS * sum(w > i for w in WIDTHS)
+            if i < len(x):  # words beyond the end count as zero
+                out[-n:, :-i] += each[at:at + n, i:]
+            at += n
         return out
 
-    def pooled(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([r.max(axis=0) for r in self.responses(x)])
+    def pooled(self, x: np.ndarray, stacked: np.ndarray | None = None) -> np.ndarray:
+        return self.responses(x, stacked).max(axis=1)
+
+    def logit(self, x: np.ndarray, stacked: np.ndarray | None = None) -> float:
+        return float(np.maximum(self.pooled(x, stacked), 0) @ self.out + self.bias[0])
 
-    def logit(self, x: np.ndarray) -> float:
-        return float(np.maximum(self.pooled(x), 0) @ self.out + self.bias[0])
+    def logits(self, texts: list[np.ndarray], vectors: np.ndarray) -> list[float]:
+        """Logits of numbered texts; ``vectors`` are those of every word number."""
+        stacked = self.stacked()
+        return [self.logit(vectors.take(ids, axis=0), stacked) for ids in texts]
 
 
 def _sigmoid(z):
@@ -146,44 +178,47 @@ def train(flat: Flat, texts: list[np.ndarray], labels: np.ndarray, rows: np.ndar
     net, g = flat.net(), np.random.default_rng(seed)
     squares = dict(zip(("table", "kernels", "out", "bias"), flat.parts(flat.squares)))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
+    first, *others = np.ascontiguousarray(rows.T)
+    every = np.arange(POOLED)
     for rate in rates:
         order = g.permutation(len(texts))
         for batch in np.array_split(order, max(1, len(order) // BATCH)):
-            g_out, g_bias = np.zeros(POOLED), 0.0
-            g_kernels = [np.zeros(k.shape) for k in net.kernels]
+            stacked = net.stacked()
+            g_out, g_bias, g_stacked = np.zeros(POOLED), 0.0, np.zeros(stacked.shape)
             touched, grads = [], []
             for t in batch:
                 ids = texts[t]
                 ids = ids[g.random(len(ids)) >= DROPPED]
-                x = net.word_vectors(rows[ids]) if len(ids) else np.zeros((0, SIZE), np.float32)
-                res = net.responses(x)
-                at = [r.argmax(axis=0) for r in res]
-                best = np.concatenate([r[a, np.arange(FILTERS)] for r, a in zip(res, at)])
+                x = net.table.take(first.take(ids), axis=0)
+                for other in others:
+                    x += net.table.take(other.take(ids), axis=0)
+                res = net.responses(x, stacked)
+                at = res.argmax(axis=1)
+                best = res[every, at]
                 hid = np.maximum(best, 0)
                 d = float((_sigmoid(hid @ net.out + net.bias[0]) - labels[t]) * weight[t]) / len(batch)
                 g_out += d * hid
                 g_bias += d
-                back = d * net.out * (best > 0)
-                for j, (w, k, a) in enumerate(zip(WIDTHS, net.kernels, at)):
-                    b = back[j * FILTERS:(j + 1) * FILTERS]
-                    for i in range(w):
-                        place = a + i
-                        ok = place < len(ids)
-                        if ok.any():
-                            v = x[place[ok]]
-                            g_kernels[j][i][:, ok] += (v * b[ok, None]).T
-                            touched.append(rows[ids[place[ok]]])
-                            grads.append(k[i][:, ok].T * b[ok, None])
+                back = (d * net.out * (best > 0))[_SERVED, None]
+                place = at[_SERVED] + _PLACE
+                ok = np.flatnonzero(place < len(ids))
+                place, back = place[ok], back[ok]
+                g_stacked[ok] += x[place] * back
+                touched.append(rows[ids[place]])
+                grads.append(stacked[ok] * back)
             if touched:
                 hit, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                total = np.zeros((len(hit), SIZE))
-                np.add.at(total, inverse.reshape(-1), np.repeat(np.concatenate(grads), 4, axis=0))
+                parts = np.repeat(np.concatenate(grads), rows.shape[1], axis=0)
+                total = np.stack([np.bincount(inverse.reshape(-1), part, len(hit)) for part in parts.T], axis=1)
                 sq = squares["table"][hit]
                 value = net.table[hit]
                 _accumulate(value, sq, total, rate)
                 net.table[hit], squares["table"][hit] = value, sq
-            for k, sq, gr in zip(net.kernels, squares["kernels"], g_kernels):
-                _accumulate(k, sq, gr, rate)
+            done = 0
+            for k, sq in zip(net.kernels, squares["kernels"]):
+                mine = g_stacked[done:done + len(k) * FILTERS].reshape(len(k), FILTERS, SIZE)
+                _accumulate(k, sq, mine.transpose(0, 2, 1), rate)
+                done += len(k) * FILTERS
             _accumulate(net.out, squares["out"], g_out, rate)
             _accumulate(net.bias, squares["bias"], np.array([g_bias]), rate)
 
@@ -209,7 +244,7 @@ def packed_shards(docs: DataFrame, known: DataFrame, shards: int) -> DataFrame:
         apart = np.array([xxhash.xxh32_intdigest(str(i)) % 5 == 0 for i in pdf["doc_id"].tolist()], bool)
         y = pdf["toxic"].to_numpy(float)
         out = {"shard": pdf["shard"].iat[0], "y": y.tobytes(), "apart": apart.tobytes(), "lang": list(pdf["lang"].fillna("")),
-               "table": np.array(seen.rows, np.int32).tobytes(), "ids": np.concatenate(texts).astype(np.int32).tobytes(),
+               "table": seen.rows().tobytes(), "ids": np.concatenate(texts).astype(np.int32).tobytes(),
                "sizes": np.array([len(t) for t in texts], np.int64).tobytes(), "n": int((~apart).sum()),
                "toxic": int(y[~apart].sum()), "n_apart": int(apart.sum()), "toxic_apart": int(y[apart].sum())}
         return pd.DataFrame([out])
@@ -241,10 +276,13 @@ def train_round(packed: DataFrame, flat: Flat, share: float, rates: list[float],
             for shard, y, apart, _, table, texts in _opened(b):
                 mine = copy.deepcopy(flat)
                 train(mine, [t for t, a in zip(texts, apart) if not a], y[~apart], table, share, rates, seed + shard)
-                moved = np.concatenate([mine.values.astype(float) - flat.values, mine.squares.astype(float) - flat.squares], axis=1)
+                at = np.flatnonzero((mine.values != flat.values).any(axis=1) | (mine.squares != flat.squares).any(axis=1))
+                moved = np.concatenate([now[at].astype(float) - was[at] for now, was in
+                                        ((mine.values, flat.values), (mine.squares, flat.squares))], axis=1)
                 moved = np.rint(moved / UNIT).astype(np.int64)
-                total = moved if total is None else total + moved
-                count += moved.any(axis=1)
+                total = np.zeros((len(count), 2 * SIZE), np.int64) if total is None else total
+                total[at] += moved
+                count[at] += moved.any(axis=1)
         if total is not None:
             hit = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(count[hit]), *[pa.array(x) for x in total[hit].T]],
@@ -268,7 +306,7 @@ def logits(packed: DataFrame, net: Filters, every: bool) -> DataFrame:
                 on = np.flatnonzero(apart | every)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang[i] for i in on], pa.string()),
-                     pa.array([net.logit(vectors[texts[i]]) for i in on], pa.float64()), pa.array(y[on])], ["lang", "z", "t"])
+                     pa.array(net.logits([texts[i] for i in on], vectors), pa.float64()), pa.array(y[on])], ["lang", "z", "t"])
         give_back()
     return cut_lineage(packed.mapInArrow(run, "lang string, z double, t double"))
 
@@ -376,14 +414,10 @@ def score(docs: DataFrame, model: dict, keep=("doc_id",), text: str = "text") ->
                 return [pa.array(np.zeros(b.num_rows))]
             if len(seen) > REMEMBER:
                 seen, vectors = Vocabulary(), vectors[:0]
-            out = []
-            for t in b.column("_text"):
-                ids = numbered(t.as_py(), seen)
-                if len(seen.rows) > len(vectors):
-                    new = np.array(seen.rows[len(vectors):], np.int32).reshape(-1, 4)
-                    vectors = np.concatenate([vectors, net.word_vectors(new)])
-                out.append(net.logit(vectors[ids]))
-            return [pa.array(_sigmoid(net.platt[0] * np.array(out) + net.platt[1]))]
+            texts = [numbered(t.as_py(), seen) for t in b.column("_text")]
+            if len(seen) > len(vectors):  # once for all texts, as this copies the vectors
+                vectors = np.concatenate([vectors, net.word_vectors(seen.rows(len(vectors)))])
+            return [pa.array(_sigmoid(net.platt[0] * np.array(net.logits(texts, vectors)) + net.platt[1]))]
         return run
 
     return map_rows(docs.select(*keep, text_of(text).alias("_text")), "score double", keep, make)

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,73 @@ def test_best_thresholds_are_those_of_a_plain_search(spark):
         want[lang] = min((abs(c - 0.7), c) for c, f in zip(cuts, f1) if f >= f1.max() - 1e-12)[1]
     found = toxicity.best_thresholds(spark.createDataFrame(rows, "lang string, s double, t double"), 0.7)
     assert found == pytest.approx(want)
+
+
+def test_toxicity_extends_word_vectors_once_per_batch(spark, monkeypatch):
+    """Every text brings a new word; the vectors are copied once for all of them, not once per text."""
+    class Counted(toxicity.Filters):
+        calls = 0
+
+        def word_vectors(self, rows):
+            self.calls += 1
+            return super().word_vectors(rows)
+
+    net, made = Counted(), []
+    monkeypatch.setattr(toxicity, "map_rows", lambda df, schema, keep, make: made.append(make))
+    toxicity.score(documents(spark), {"net": net})
+    run, seen = made[0](), toxicity.Vocabulary()
+    for start in (0, 200):
+        texts = [*(f"common w\xf6rd new{i} " * (i % 9) + f"new{i}" for i in range(start, start + 200)), "", "...", "a"]
+        found = run(pa.record_batch({"_text": texts}))[0].to_numpy()
+        assert net.calls == 1 + start // 200
+        ids = [toxicity.numbered(t, seen) for t in texts]
+        plain = toxicity.Filters()
+        vectors = plain.word_vectors(seen.rows())
+        assert found == pytest.approx([toxicity._sigmoid(plain.logit(vectors[i])) for i in ids])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 40])
+def test_toxicity_responses_are_those_of_plain_loops(n):
+    net, x = toxicity.Filters(), np.random.default_rng(n).normal(size=(n, toxicity.SIZE)).astype(np.float32)
+    want = []
+    for w, kernel in zip(toxicity.WIDTHS, net.kernels):
+        for f in range(toxicity.FILTERS):
+            want.append([sum(float(x[p + i] @ kernel[i, :, f]) for i in range(w) if p + i < n) for p in range(max(n, 1))])
+    assert net.responses(x) == pytest.approx(np.array(want), abs=1e-5)
+
+
+def test_toxicity_training_follows_the_gradient(monkeypatch):
+    """Squares of the first step against finite differences of the loss, texts without words included."""
+    monkeypatch.setattr(toxicity, "DROPPED", 0.0)
+    g, flat = np.random.default_rng(2), toxicity.Flat()
+    flat.values[:toxicity.ROWS] *= 10
+    start = flat.values.copy()
+    rows = g.integers(0, toxicity.ROWS, (30, 4)).astype(np.int32)
+    texts, y = [g.integers(0, 30, n).astype(np.int32) for n in (0, 1, 2, 9, 30)], np.array([0.0, 1, 0, 1, 0])
+
+    def loss(at, by):
+        flat.values[:] = start
+        flat.values[at] += by
+        net = flat.net()
+        z = np.array([net.logit(net.word_vectors(rows[t])) for t in texts])
+        return float(np.mean(np.where(y == 1, 0.5 / 0.4, 0.5 / 0.6) * (np.logaddexp(0, z) - y * z)))
+
+    before = flat.squares.copy()
+    toxicity.train(flat, texts, y, rows, 0.4, [0.1])
+    squares = flat.squares - before
+    spots = [(int(r), c) for r in rows[texts[3]][:3].ravel() for c in (0, 5)]
+    spots += [(toxicity.ROWS + i, c) for i in range(0, (sum(toxicity.WIDTHS) * toxicity.SIZE * toxicity.FILTERS + toxicity.POOLED) // toxicity.SIZE, 3)
+              for c in (1, 6)]
+    want = [((loss(s, 1e-3) - loss(s, -1e-3)) / 2e-3) ** 2 for s in spots]
+    assert max(want) > 1e-4
+    assert [squares[s] for s in spots] == pytest.approx(want, rel=0.05, abs=2e-5)
+
+
+def test_toxicity_words_are_runs_of_letters_and_digits():
+    plain = re.compile(r"[^\W_]+").findall
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for text in ("".join(every), " ".join(every), "a".join(every), "".join(every[:128]), "a".join(every[:128]), "Snake_case, \u039f\u0394\u039f\u03a3!", "A_b"):
+        assert toxicity.words_of(text) == plain(text.lower())
+    for word in ("word", "a", "\xfcberall", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d"):
+        assert toxicity.pieces(word) == [toxicity.xxhash.xxh32_intdigest(part.encode(), kind) % toxicity.ROWS
+                                         for kind, part in enumerate((word, word[:3], word[:4], word[:5]))]
