@@ -11,6 +11,7 @@ are solved over all blocks at once until they stand still.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -192,6 +193,26 @@ def _block_starts(totals: DataFrame, keys: list[str], fan_out: int) -> DataFrame
     return middle.join(top, [*keys, "_super"]).select(*keys, BLOCK, *V.named(state, names))
 
 
+_STARTS = [f"_b{c}" for c in (*Q, *S)]
+
+
+def _start() -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+    return V.vec4(_STARTS[:4]), V.vec(*_STARTS[4:])
+
+
+def _at_anchor(totals: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """State (``_z*``) at the anchor frame."""
+    return totals.where(F.col(A[0]).isNotNull() & ~F.isnan(A[0])).join(starts, [*keys, BLOCK]).select(*keys, *V.named(
+        _after(*_start(), V.vec4(A[:4]), V.vec(*A[4:])), [f"_z{c}" for c in (*Q, *S)]))
+
+
+def _moved_starts() -> list[Column]:
+    """Start states as seen from the state at the anchor."""
+    (bq, bs), zq, zs = _start(), V.vec4([f"_z{c}" for c in Q]), V.vec(*[f"_z{c}" for c in S])
+    return V.named((*V.quat_multiply(V.quat_conjugate(zq), bq),
+                    *V.mat_t_vec(V.unit_quat_matrix(zq), V.sub(bs, zs))), _STARTS)
+
+
 def anchored_states(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
                     group: tuple[str, ...] = (), keep: tuple[str, ...] = (),
                     block: int = SCAN_BLOCK, fan_out: int = SCAN_FAN_OUT) -> DataFrame:
@@ -209,14 +230,7 @@ def anchored_states(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RI
         BLOCK, block_of("frame", block)).join(spot, "rec")
     totals = cut_lineage(_block_totals(base, keys, rig.dt))
     starts = _block_starts(totals, keys, fan_out)
-    bq, bs = V.vec4([f"_b{c}" for c in Q]), V.vec(*[f"_b{c}" for c in S])
-    anchored = totals.where(F.col(A[0]).isNotNull() & ~F.isnan(A[0])).join(starts, [*keys, BLOCK]).select(*keys, *V.named(
-        _after(bq, bs, V.vec4(A[:4]), V.vec(*A[4:])), [f"_z{c}" for c in (*Q, *S)]))
-    zq, zs = V.vec4([f"_z{c}" for c in Q]), V.vec(*[f"_z{c}" for c in S])
-    moved = (*V.quat_multiply(V.quat_conjugate(zq), bq),
-             *V.mat_t_vec(V.unit_quat_matrix(zq), V.sub(bs, zs)))
-    starts = starts.join(anchored, keys).select(*keys, BLOCK, *V.named(
-        moved, [f"_b{c}" for c in (*Q, *S)]))
+    starts = starts.join(_at_anchor(totals, starts, keys), keys).select(*keys, BLOCK, *_moved_starts())
     types = {f.name: f.dataType.simpleString() for f in base.schema.fields}
     held = [*keys, "frame", "anchor_at", *keep]
     schema = ", ".join([f"{c} {types[c]}" for c in held] + [_STATE])
@@ -295,15 +309,22 @@ def attitude_small_angle(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAU
         "rec", "frame", *V.named(V.unit_quat_matrix(V.vec4(Q)), ROTATION))
 
 
+def _rest_direction() -> list[Column]:
+    return V.named(V.unit(V.vec("fx", "fy", "fz")), ("_u0", "_u1", "_u2"))
+
+
 def _rest_up(anchors: DataFrame) -> DataFrame:
-    return anchors.select("rec", *V.named(V.unit(V.vec("fx", "fy", "fz")), ("_u0", "_u1", "_u2")))
+    return anchors.select("rec", *_rest_direction())
 
 
 def carried_up(rotations: DataFrame, anchors: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
     """The rest anchor's up direction carried to every frame by the attitude."""
-    up = V.mat_t_vec(V.mat(ROTATION), V.vec("_u0", "_u1", "_u2"))
-    return rotations.join(_rest_up(anchors), "rec").select("rec", *group, "frame",
-                                                           *V.named(up, ("ux", "uy", "uz")))
+    return rotations.join(_rest_up(anchors), "rec").select("rec", *group, "frame", *_turned_up())
+
+
+def _turned_up() -> list[Column]:
+    """The anchor's up direction in the frame's own axes."""
+    return V.named(V.mat_t_vec(V.mat(ROTATION), V.vec("_u0", "_u1", "_u2")), ("ux", "uy", "uz"))
 
 
 def integrate_from_anchor(frames: DataFrame, accel: dict[str, Column], anchors: DataFrame,
@@ -326,7 +347,7 @@ def integrate_from_anchor(frames: DataFrame, accel: dict[str, Column], anchors:
         *[f"_c_{n}" for n in accel], *[f"_z_{n}" for n in accel])
 
 
-def dead_reckon(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
+def dead_reckon(frames: DataFrame | PackedFrames, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
                 bound: float = VELOCITY_SQUASH, horizon: float = 0.0,
                 keep: tuple[str, ...] = (), block: int = SCAN_BLOCK,
                 fan_out: int = SCAN_FAN_OUT) -> DataFrame:
@@ -335,14 +356,20 @@ def dead_reckon(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG,
     Returns per frame the bounded body velocity d_x..d_z, the unbounded
     anchor-frame velocity i_x..i_z, the time since the anchor (seconds / 10),
     the carried up direction u* and the rotation. Beyond ``horizon`` seconds the
-    bounded velocity is zero.
+    bounded velocity is zero. Of packed frames, ``keep`` may also name their
+    directions and columns of ``anchors``; no frame is moved.
     """
-    anchors = cut_lineage(anchors.select("rec", "anchor_at", "fx", "fy", "fz"))
-    states = anchored_states(frames, anchors, rig, (), keep, block, fan_out)
+    if isinstance(frames, PackedFrames):
+        held = [c for c in keep if c in anchors.columns]
+        spot = cut_lineage(anchors.select("rec", "anchor_at", *held, *_rest_direction()))
+        both = frames.rows([n for n in frames.starts if f"{n}x" in keep], frames.anchored(spot, fan_out=fan_out))
+    else:
+        anchors = cut_lineage(anchors.select("rec", "anchor_at", "fx", "fy", "fz"))
+        both = anchored_states(frames, anchors, rig, (), keep, block, fan_out).join(_rest_up(anchors), "rec")
     away = F.col("frame") - F.col("anchor_at")
     up0 = V.vec("_u0", "_u1", "_u2")
     drift = V.scale(V.sub(V.vec(*S), V.scale(up0, away * rig.g)), rig.dt)
-    both = states.join(_rest_up(anchors), "rec").withColumns({
+    both = both.withColumns({
         **V.as_columns(V.unit_quat_matrix(V.vec4(Q)), ROTATION),
         **V.as_columns(drift, ("i_x", "i_y", "i_z"))})
     body = V.mat_t_vec(V.mat(ROTATION), V.vec("i_x", "i_y", "i_z"))
@@ -389,15 +416,17 @@ def candidate_maps(spark) -> DataFrame:
         f"c{i}{j} double" for i in range(3) for j in range(3)))
 
 
-def carried_up_by_map(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG) -> DataFrame:
-    """Carried up direction under each candidate gyro axis map (three per frame)."""
-    maps = F.broadcast(candidate_maps(frames.sparkSession))
-    anchors = cut_lineage(anchors.select("rec", "anchor_at", "fx", "fy", "fz"))
-    wide = frames.select("rec", "frame", *V.ACC, *V.GYR).join(maps)
-    turned = wide.select("rec", "candidate", "frame", *V.ACC, *V.named(
-        V.matvec(V.mat(V.mat_cols("c")), V.vec(*V.GYR)), V.GYR))
-    rot = attitude(turned, anchors, rig, group=("candidate",))
-    return carried_up(rot, anchors, group=("candidate",))
+def carried_up_by_map(frames: DataFrame, anchors: DataFrame, rig: Rig = DEFAULT_RIG, at: DataFrame | None = None) -> DataFrame:
+    """Carried up direction under each candidate gyro axis map (three per frame).
+
+    With ``at`` (rec, frame and more columns) only its rows are returned, with
+    their columns; they are packed with the frames, so nothing is joined to these.
+    """
+    maps = candidate_maps(frames.sparkSession)
+    spot = cut_lineage(anchors.select("rec", "anchor_at", *_rest_direction()))
+    packed = pack_frames(frames.select("rec", "frame", *V.ACC, *V.GYR), {}, rig, at=at)
+    rot = packed.rows((), packed.anchored(spot, maps)).withColumns(V.as_columns(V.unit_quat_matrix(V.vec4(Q)), ROTATION))
+    return rot.select("rec", "candidate", "frame", *packed.at, *_turned_up())
 
 
 # ------------------------------------------------------------------ pre-integration
@@ -519,21 +548,28 @@ def run_one(m: np.ndarray, c: np.ndarray, forced: np.ndarray, start: np.ndarray)
 UP_CELLS = 1 << 17
 
 
-def _packed_blocks(frames: DataFrame, gain: Column | dict[str, Column], block: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def _packed_blocks(frames: DataFrame, gain: Column | dict[str, Column], block: int, keep: tuple[str, ...] = (),
+                   at: DataFrame | None = None) -> DataFrame:
     """One row per recording and block: its frames in order, and the rate of the frame before.
 
+    Rows of ``at`` (rec, frame and more) come to the blocks of their frames, as ``at``.
     The rows are written in buckets, so the rounds meet them where they lie.
     """
     gains = gain if isinstance(gain, dict) else {"g": gain}
-    at = F.col("frame")
+    spot = F.col("frame")
     row = frames.where("rec IS NOT NULL").select(
         "rec", "frame", *V.ACC, *V.GYR, *keep, *[g.cast("double").alias(n) for n, g in gains.items()],
-        F.explode(F.sequence(F.floor(at / block), F.floor((at + 1) / block))).alias(BLOCK))
-    own = F.floor(at / block) == F.col(BLOCK)
+        F.explode(F.sequence(F.floor(spot / block), F.floor((spot + 1) / block))).alias(BLOCK))
+    more, true_frame = [], F.lit(True)
+    if at is not None:
+        each = at.select("rec", F.floor(spot / block).alias(BLOCK), F.struct("frame", *[c for c in at.columns if c not in ("rec", "frame")]).alias("_at"))
+        row = row.unionByName(each, allowMissingColumns=True)
+        more, true_frame = [F.collect_list("_at").alias("at")], F.col("_at").isNull()
+    own = true_frame & (F.floor(spot / block) == F.col(BLOCK))
     one = F.struct("frame", *[F.col(c).cast("double").alias(c) for c in (*V.ACC, *V.GYR)], *gains, *keep)
-    lead = F.max(F.when(~own, F.array(*[F.col(c).cast("double") for c in V.GYR])))
+    lead = F.max(F.when(true_frame & ~own, F.array(*[F.col(c).cast("double") for c in V.GYR])))
     packs = row.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rec", BLOCK).groupBy("rec", BLOCK).agg(
-        F.array_sort(F.collect_list(F.when(own, one))).alias("rows"), lead.alias("lead"))
+        F.array_sort(F.collect_list(F.when(own, one))).alias("rows"), lead.alias("lead"), *more)
     return write_bucketed(packs.where(F.size("rows") > 0), ["rec", BLOCK], "blocks")
 
 
@@ -675,25 +711,144 @@ def up_filters(frames: DataFrame, gains: dict[str, Column | float], rig: Rig = D
     All filters share the packed blocks; the frames pass through the last pass, so
     nothing is joined to them.
     """
+    return pack_frames(frames, gains, rig, block, tolerance, keep).rows(list(gains))
+
+
+@dataclass(frozen=True)
+class PackedFrames:
+    """Frames packed in blocks and written in buckets, with solved starts: a pass over them moves no frame.
+
+    ``starts`` has the gain column and the blocks' start states of each direction;
+    ``types`` those of the frames' columns, ``at`` the columns of the rows that came
+    with the frames.
+    """
+
+    packs: DataFrame
+    rig: Rig
+    block: int
+    types: dict[str, str]
+    keep: tuple[str, ...]
+    starts: dict[str, tuple[str, DataFrame]]
+    at: tuple[str, ...] = ()
+
+    def per_block(self, table: DataFrame) -> DataFrame:
+        """A table with one row per recording, for every block of its frames."""
+        return cut_lineage(self.packs.select("rec", BLOCK).join(table, "rec"))
+
+    def anchored(self, spot: DataFrame, maps: DataFrame | None = None, fan_out: int = SCAN_FAN_OUT) -> DataFrame:
+        """The blocks' start states (``_b*``) of ``anchored_states``, with the columns of ``spot``; one without a state at the anchor is ``_lost``.
+
+        ``spot``: rec, anchor_at and more, one row per recording; ``maps``: axis maps
+        (candidate, c00..c22) that turn the rates and get states of their own.
+        """
+        keys, dt = ["rec", *(["candidate"] if maps is not None else [])], self.rig.dt
+        here = spot.select("rec", "anchor_at", F.floor(F.col("anchor_at") / self.block).alias(BLOCK))
+        met = self.packs.join(here.hint("shuffle_hash"), ["rec", BLOCK], "left")
+        met = met if maps is None else met.join(F.broadcast(maps))
+        names = [*keys, BLOCK, *Q, *S, *A]
+
+        def totals(batches):
+            for b in _pieces(batches):
+                bounds, w, f, flat = _block_axes(b)
+                q, s, q1, s1 = _states(_turns(w, dt), f, bounds)
+                last = bounds[1:] - 1
+                anchor = np.full((len(last), 7), np.nan)
+                wanted = spread(b.column("anchor_at").to_numpy(zero_copy_only=False), bounds)
+                at = np.flatnonzero(flat.field("frame").to_numpy() == wanted)
+                anchor[np.searchsorted(bounds, at, side="right") - 1] = np.concatenate([q[at], s[at]], axis=1)
+                values = np.concatenate([q1[last], s1[last], anchor], axis=1)
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in (*keys, BLOCK)], *[pa.array(x) for x in values.T]], names)
+
+        kinds = {"rec": self.types["rec"], "candidate": "string", BLOCK: "bigint"}
+        whole = cut_lineage(met.mapInArrow(totals, ", ".join(f"{n} {kinds.get(n, 'double')}" for n in names)))
+        starts = _block_starts(whole, keys, fan_out)
+        starts = starts.join(spot, "rec").join(_at_anchor(whole, starts, keys), keys, "left")
+        if maps is not None:
+            starts = starts.join(F.broadcast(maps), "candidate")
+        more = [c for c in (*spot.columns, *(maps.columns if maps is not None else ())) if c not in keys]
+        return cut_lineage(starts.select(*keys, BLOCK, *more, *_moved_starts(), F.col(f"_z{Q[0]}").isNull().alias("_lost")))
+
+    def rows(self, names: list[str] | tuple[str, ...] = (), heads: DataFrame | None = None) -> DataFrame:
+        """Frames with the directions ``names`` and the columns of their block's row in ``heads``.
+
+        Heads of ``anchored`` give the running state (``_q*``, ``_s*``) as well. Rows that came
+        with the frames (``at``) take their place.
+        """
+        met, dt, state = self.packs, self.rig.dt, heads is not None and _STARTS[0] in heads.columns
+        for n in names:
+            met = _meet(met, self.starts[n][1].select("rec", BLOCK, F.col("start").alias(f"start{self.starts[n][0]}")))
+        met = met if heads is None else _meet(met, heads)
+        head = {} if heads is None else {f.name: f.dataType.simpleString() for f in heads.schema.fields if f.name not in ("rec", BLOCK, "_lost", *_STARTS, *V.mat_cols("c"))}
+        wanted, size = tuple(self.starts[n][0] for n in names), self.block
+        inside = ["frame", *([] if self.at else [*V.ACC, *V.GYR, *self.keep])]
+        made = [f"{n}{c}" for n in names for c in "xyz"] + [*Q, *S] * state
+        columns = ["rec", *head, *inside, *self.at, *made]
+        if not wanted and not state and not self.at:
+            out = met.select("rec", *head, F.inline("rows")).select(*columns)
+            return out.withColumns(self._as_given())
+
+        def write(batches):
+            for b in _pieces(batches):
+                opened, block, place, flat = _opened_blocks(b, dt, wanted)
+                ups = [_run_blocks(*maps, np.array(b.column(f"start{g}").to_pylist(), float), True)[block, place]
+                       for g, maps in zip(wanted, opened)]
+                row, held, states = np.arange(len(block)), [], []
+                if state:
+                    bounds, w, f, _ = _block_axes(b)
+                    start = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in _STARTS], axis=1)
+                    q, s, _, _ = _states(_turns(w, dt), f, bounds)
+                    start = spread(start, bounds)
+                    states = [_quat_mul(start[:, :4], q), start[:, 4:] + _rotate(start[:, :4], s)]
+                    # as anchored_states does where the state at the anchor is unknown
+                    lost = b.column("_lost").to_numpy(zero_copy_only=False) & (b.column(BLOCK).to_numpy() * size % SCAN_BLOCK == 0)
+                    row = row[~(spread(lost, bounds) & (place == 0))]
+                if "at" in b.schema.names:
+                    row, other, asked = _rows_asked(b.column("at"), block, flat.field("frame").to_numpy(), row)
+                    held = [asked.field(c).take(pa.array(other)) for c in columns[len(head) + 2:len(columns) - len(made)]]
+                yield pa.RecordBatch.from_arrays([
+                    *[b.column(c).take(pa.array(block[row])) for c in ("rec", *head)], *[flat.field(c).take(pa.array(row)) for c in inside], *held,
+                    *[pa.array(x) for v in ups for x in v[row].T],
+                    *[pa.array(x, from_pandas=True) for v in states for x in v[row].T]], columns)  # an unknown state is null
+        kinds = {**{c: "double" for c in (*V.ACC, *V.GYR, *made)}, **{c: self.types[c] for c in ("rec", "frame", *self.keep, *self.at)}, **head}
+        return met.mapInArrow(write, ", ".join(f"`{c}` {kinds[c]}" for c in columns)).withColumns({} if self.at else self._as_given())
+
+    def _as_given(self) -> dict[str, Column]:
+        return {c: F.col(c).cast(self.types[c]) for c in (*V.ACC, *V.GYR) if self.types[c] != "double"}
+
+
+def pack_frames(frames: DataFrame, gains: dict[str, Column | float], rig: Rig = DEFAULT_RIG, block: int = UP_BLOCK,
+                tolerance: float = 1e-9, keep: tuple[str, ...] = (), at: DataFrame | None = None) -> PackedFrames:
+    """Pack frames once and solve the starts of the directions in ``gains`` (see ``up_filters``).
+
+    With ``at`` (rec, frame and more columns) its rows are packed with their frames.
+    """
     columns = {f"_g{i}": g if isinstance(g, Column) else F.lit(float(g)) for i, g in enumerate(gains.values())}
-    packs = met = _packed_blocks(frames, columns, block, keep)
-    for g in columns:
-        starts, _ = up_starts(packs, rig, tolerance, gain=g)
-        met = _meet(met, starts.select("rec", BLOCK, F.col("start").alias(f"start{g}")))
-    dt, axes, wanted = rig.dt, [*V.ACC, *V.GYR], tuple(columns)
-    names = [f"{n}{c}" for n in gains for c in "xyz"]
-
-    def write(batches):
-        for b in _pieces(batches):
-            opened, at, place, flat = _opened_blocks(b, dt, wanted)
-            ups = [_run_blocks(*maps, np.array(b.column(f"start{g}").to_pylist(), float), True)[at, place]
-                   for g, maps in zip(wanted, opened)]
-            yield pa.RecordBatch.from_arrays([b.column("rec").take(pa.array(at)), *[flat.field(c) for c in ("frame", *axes, *keep)],
-                                              *[pa.array(up[:, i]) for up in ups for i in range(3)]], ["rec", "frame", *axes, *keep, *names])
-    types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
-    held = [f"{c} {types[c]}" for c in ("rec", "frame")] + [f"{c} double" for c in axes] + [f"`{c}` {types[c]}" for c in keep]
-    out = met.mapInArrow(write, ", ".join(held + [f"{n} double" for n in names]))
-    return out.withColumns({c: F.col(c).cast(types[c]) for c in axes if types[c] != "double"})
+    packs = _packed_blocks(frames, columns, block, keep, at)
+    types = {f.name: f.dataType.simpleString() for t in (at, frames) if t is not None for f in t.schema.fields}
+    more = () if at is None else tuple(c for c in at.columns if c not in ("rec", "frame"))
+    return PackedFrames(packs, rig, block, types, keep, {
+        n: (g, up_starts(packs, rig, tolerance, gain=g)[0]) for n, g in zip(gains, columns)}, more)
+
+
+def _block_axes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Where the blocks of a batch begin and end, rates (turned by a block's axis map) and forces, and the frames."""
+    rows = b.column("rows")
+    n = rows.value_lengths().to_numpy()
+    flat = rows.flatten()
+    w, f = (np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in axes], axis=1) for axes in (V.GYR, V.ACC))
+    if "c00" in b.schema.names:
+        turn = np.stack([b.column(c).to_numpy() for c in V.mat_cols("c")], axis=1).reshape(-1, 3, 3)
+        w = (np.repeat(turn, n, axis=0) @ w[..., None])[..., 0]
+    return np.append(0, np.cumsum(n)), w, f, flat
+
+
+def _rows_asked(at: pa.Array, block: np.ndarray, frame: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each asked row, the place of its frame (one of ``row``) and its own place among those asked, which come last."""
+    asked = at.flatten()
+    theirs = np.repeat(np.arange(len(at)), at.value_lengths().fill_null(0).to_numpy())
+    met = pd.DataFrame({"block": block[row], "frame": frame[row], "row": row}).merge(
+        pd.DataFrame({"block": theirs, "frame": asked.field("frame").to_numpy(), "other": np.arange(len(theirs))}), on=["block", "frame"])
+    return met["row"].to_numpy(), met["other"].to_numpy(), asked
 
 
 def adaptive_gain(alpha: float = ADAPTIVE_GAIN, sigma: float = ADAPTIVE_SIGMA,

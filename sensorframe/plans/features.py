@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from sensorframe.functions import vec as V
-from sensorframe.operators.scan import adaptive_gain, dead_reckon, up_filters
+from sensorframe.operators.scan import PackedFrames, adaptive_gain, dead_reckon, pack_frames
 from sensorframe.operators.windows import rest_reference
 from sensorframe.params import DEFAULT_RIG, FAST_GAIN, SLOW_GAIN, Rig
 from sensorframe.session import cut_lineage
@@ -41,36 +41,48 @@ def _decomposed(df: DataFrame, prefix: str) -> DataFrame:
     return df.withColumns({f"{prefix}_{n}": c for n, c in parts.items()})
 
 
-def with_directions(frames: DataFrame, modes: Sequence[str], rig: Rig = DEFAULT_RIG, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Frames with the filtered directions (<filter>_x, _y, _z) that any of ``modes`` needs and the frames lack."""
+def with_directions(frames: DataFrame, modes: Sequence[str], rig: Rig = DEFAULT_RIG, keep: tuple[str, ...] = (),
+                    packed: bool = False) -> DataFrame | PackedFrames:
+    """Frames with the filtered directions (<filter>_x, _y, _z) that any of ``modes`` needs and the frames lack.
+
+    With ``packed`` the frames stay packed, and each use runs the filters it needs
+    from the solved starts: nothing as wide as all directions is written or moved.
+    """
     gains = {"slow": SLOW_GAIN, "fast": FAST_GAIN, "adapt": adaptive_gain(g=rig.g)}
     needed = {f"{p}_": g for p, g in gains.items() if f"{p}_x" not in frames.columns
               and any(c.startswith(f"{p}_") for m in modes for c in MODES[m])}
     there = [f"{p}_{c}" for p in gains if f"{p}_x" in frames.columns for c in "xyz"]
     rows = frames.select("rec", "frame", *RAW, *keep, *there)
-    return up_filters(rows, needed, rig, keep=(*keep, *there)) if needed else rows
+    if not (needed or packed):
+        return rows
+    made = pack_frames(rows, needed, rig, keep=(*keep, *there))
+    return made if packed else made.rows(list(needed))
 
 
-def features(frames: DataFrame, mode: str = "slowdr", rig: Rig = DEFAULT_RIG,
+def features(frames: DataFrame | PackedFrames, mode: str = "slowdr", rig: Rig = DEFAULT_RIG,
              keep: tuple[str, ...] = ()) -> DataFrame:
     """Frames with the channels of ``mode``; each wider mode contains the raw axes.
 
     Directions that the frames hold (see ``with_directions``) are not filtered again.
     """
     wanted = MODES[mode]
-    out = with_directions(frames, [mode], rig, keep)
+    used = [p for p in ("slow", "fast", "adapt") if any(c.startswith(f"{p}_") for c in wanted)]
     if "rest_score" in wanted:
-        anchors = cut_lineage(rest_reference(frames, rig))
-        ref = anchors.select("rec", F.col("score").alias("rest_score"),
-                             *[F.col(f"f{c}").alias(f"_f{c}") for c in "xyz"])
-        out = out.join(ref, "rec").withColumns(
-            {f"rest_d{c}": F.col(f"a{c}") - F.col(f"_f{c}") for c in "xyz"})
+        made = frames if isinstance(frames, PackedFrames) else with_directions(frames, [mode], rig, keep, packed=True)
+        anchors = cut_lineage(rest_reference(made.rows(), rig).withColumns(
+            {"rest_score": F.col("score"), **{f"_f{c}": F.col(f"f{c}") for c in "xyz"}}))
+        ref = ["rest_score", *[f"_f{c}" for c in "xyz"]]
         if "ux" in wanted:
-            dr = dead_reckon(frames, anchors, rig)
-            out = out.join(dr.select("rec", "frame", *CARRIED, *RECKONED), ["rec", "frame"])
-    for prefix in ("slow", "fast", "adapt"):
-        if any(c.startswith(f"{prefix}_") for c in wanted):
-            out = _decomposed(out, prefix)
+            out = dead_reckon(made, anchors, rig, keep=(*RAW, *keep, *[f"{p}_{c}" for p in used for c in "xyz"], *ref))
+        else:
+            out = made.rows([f"{p}_" for p in used if f"{p}_" in made.starts], made.per_block(anchors.select("rec", *ref)))
+        out = out.withColumns({f"rest_d{c}": F.col(f"a{c}") - F.col(f"_f{c}") for c in "xyz"})
+    elif isinstance(frames, PackedFrames):
+        out = frames.rows([f"{p}_" for p in used if f"{p}_" in frames.starts])
+    else:
+        out = with_directions(frames, [mode], rig, keep)
+    for prefix in used:
+        out = _decomposed(out, prefix)
     return out.select("rec", "frame", *keep, *wanted)
 
 
