@@ -62,3 +62,11 @@ def test_widest_mode_is_the_join_of_its_parts_and_moves_no_frame(frames):
             .withColumns({f"rest_d{c}": F.col(f"a{c}") - F.col(f"f{c}") for c in "xyz"}))
     want = features._decomposed(want, "slow").select("rec", "frame", *features.MODES["slowdr"])
     same(got, want, ["rec", "frame"])
+
+
+@pytest.mark.parametrize("mode", ["none", "both", "slowrest", "slowrest2"])
+def test_modes_share_packed_frames(frames, mode):
+    packed = features.with_directions(frames, ["both", "slowrest2"], RIG, packed=True)
+    got = features.features(packed, mode, RIG)
+    assert not [x for x in moved(got) if "frame" in x]
+    same(got, features.features(frames, mode, RIG), ["rec", "frame"])

@@ -94,7 +94,7 @@ JOIN rk ON rk.rec = sv.rec AND rk.frame = sv.frame JOIN an ON an.rec = sv.rec JO
 {' UNION ALL '.join(rows for _, rows in _MODE_SQL.values())}"""), digits=4)
 def feature_modes(spark, d):
     """The channels of every narrower mode, averaged per window, in long form."""
-    f = write_once(features.with_directions(I.stored_frames(spark, d), list(_RUN_MODES), I.RIG), "directions")
+    f = features.with_directions(I.stored_frames(spark, d), list(_RUN_MODES), I.RIG, packed=True)
 
     def one(mode):
         cols = features.MODES[mode]
