@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sensorframe import Rig
 from sensorframe.operators import scan as N
 from sensorframe.operators import windows as W
+from sensorframe.operators.summary import calm_after_anchor
 from sensorframe.plans import features
 
 RIG = Rig(window=20, fs=20.0)
@@ -70,3 +71,23 @@ def test_modes_share_packed_frames(frames, mode):
     got = features.features(packed, mode, RIG)
     assert not [x for x in moved(got) if "frame" in x]
     same(got, features.features(frames, mode, RIG), ["rec", "frame"])
+
+
+def test_candidate_directions_come_with_the_asked_rows(frames):
+    anchors = W.rest_anchor(frames, RIG).localCheckpoint()
+    asked = frames.where("frame % 3 = 0 AND rec <> 'b'").select("rec", "frame", (F.col("ax") * 2).alias("s_x"))
+    got = N.carried_up_by_map(frames, anchors, RIG, at=asked)
+    assert not [x for x in moved(got) if "frame" in x]
+    same(got, N.carried_up_by_map(frames, anchors, RIG).join(asked, ["rec", "frame"]), ["rec", "candidate", "frame"])
+    turned = frames.select("rec", "frame", *AXES[:3], *[(-F.col(c)).alias(c) for c in AXES[3:]])
+    plain = N.carried_up(N.attitude(turned, anchors, RIG), anchors)
+    same(got.where("candidate = 'negated'").select("rec", "frame", "ux", "uy", "uz"), plain.join(asked.select("rec", "frame"), ["rec", "frame"]), ["rec", "frame"])
+
+
+def test_calm_frames_are_smoothed_where_they_lie(frames):
+    calm = calm_after_anchor(frames, W.rest_anchor(frames, RIG), RIG, earliest=0.0, latest=9.0, minimum=5)
+    assert calm.count() > 100
+    dealt = moved(calm)
+    assert [x for x in dealt if x.startswith("rec, _block")] and not [x for x in dealt if x == "rec" and "_m_ax" in x]
+    plan = calm._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi, ((rec") and "_block" in re.search(r"Join LeftSemi.*", plan)[0]

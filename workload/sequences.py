@@ -623,7 +623,7 @@ def candidate_maps(spark, d):
     from sensorframe.operators.summary import calm_after_anchor
     f = I.stored_frames(spark, d)
     a = cut_lineage(W.rest_anchor(f, I.RIG))
-    up = N.carried_up_by_map(f, a, I.RIG).join(calm_after_anchor(f, a, I.RIG), ["rec", "frame"])
+    up = N.carried_up_by_map(f, a, I.RIG, at=calm_after_anchor(f, a, I.RIG))
     err = V.angle_deg(V.vec("ux", "uy", "uz"), V.vec("s_x", "s_y", "s_z"))
     return up.groupBy("rec", "candidate").agg(F.count(F.lit(1)).alias("n"), F.avg(err).alias("err"))
 
